@@ -250,15 +250,24 @@ def cte(*names: str) -> str:
 _stored: dict[tuple[str, str, str], str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table over ``sf_dir``, written as Parquet on first use.
-
-    Operators then start from a stored observation table, as they do in
-    production, where narrow scans and row-group ranges are available.
-    """
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """``build()`` written as Parquet on first use and read back from there."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         path = f"{scratch_dir(spark)}/{hashlib.sha1(sf_dir.encode()).hexdigest()[:8]}/{name}"
+        # Small files, so that even a small test table is read by several tasks.
+        build().write.option("maxRecordsPerFile", 32768).mode("overwrite").parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One derived table over ``sf_dir``.
+
+    Operators start from a stored observation table, as they do in production,
+    where narrow scans and row-group ranges are available.
+    """
+    def build() -> DataFrame:
         views = {"events": spark.read.parquet(f"{sf_dir}/events.parquet")}
         # Tables this one reads are stored first and read back.
         text = TABLES[name]
@@ -266,7 +275,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             views[need] = table(spark, sf_dir, need)
         for view in views:
             text = re.sub(rf"\b(FROM|JOIN) {view}\b", rf"\1 {{{view}}}", text)
-        used = {v: df for v, df in views.items() if "{" + v + "}" in text}
-        spark.sql(text, **used).write.option("maxRecordsPerFile", 32768).mode("overwrite").parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        return spark.sql(text, **{v: df for v, df in views.items() if "{" + v + "}" in text})
+    return stored(spark, sf_dir, name, build)

@@ -52,12 +52,12 @@ def quarantine(rows: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataF
 
 def check_timeline(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """Unique non-negative frames, finite non-negative time, both rising."""
-    t = finite(F.col("timestamp_s"))
-    rows = previous_row(df.select(*FRAME, "timestamp_s"), [CLIP], "frame_index", ["timestamp_s"], layout.block_frames)
-    return union(
-        _duplicates(df, FRAME, "duplicate_frame"),
-        _report(rows, [("negative_frame", F.col("frame_index") < 0), ("time_not_finite", t.isNull()), ("negative_time", t < 0),
-                       ("time_not_rising", F.col("timestamp_s") <= F.col("prev.timestamp_s"))]))
+    frames = df.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_s").alias("timestamp_s"),
+                                    F.count_if(finite(F.col("timestamp_s")).isNull()).alias("odd"))
+    rows = previous_row(frames, [CLIP], "frame_index", ["timestamp_s"], layout.block_frames)
+    t = F.col("timestamp_s")
+    return _report(rows, [("duplicate_frame", F.col("n") > 1), ("negative_frame", F.col("frame_index") < 0), ("time_not_finite", F.col("odd") > 0),
+                          ("negative_time", t < 0), ("time_not_rising", t <= F.col("prev.timestamp_s"))])
 
 
 def check_shuttle(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:

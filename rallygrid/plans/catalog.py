@@ -89,12 +89,12 @@ class Tables:
                 F.when(gone, 0).otherwise((e * 7 + k * 31 + t * 57) % 740).cast("double").alias("y"),
                 (F.when((e + k) % 53 == 0, 125).otherwise((e * 3 + k * 7 + t * 5) % 100) / 100.0).alias("score"))
         points = pose.name_points(F.transform(F.sequence(F.lit(0), F.lit(16)), point))
-        return self.boxes.select(*FRAME, "timestamp_s", "track_id", F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence",
-                                 F.lit("bytetrack").alias("identity_source"), points.alias("raw_keypoints"))
+        return fixtures.stored(self.spark, self.sf_dir, "raw_players", lambda: self.boxes.select(*FRAME, "timestamp_s", "track_id", F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence",
+                                 F.lit("bytetrack").alias("identity_source"), points.alias("raw_keypoints")))
 
     @property
     def players(self) -> DataFrame:
-        return pose.format_players(self.raw_players, self.clips)
+        return fixtures.stored(self.spark, self.sf_dir, "players", lambda: pose.format_players(self.raw_players, self.clips))
 
     @property
     def expected_frames(self) -> DataFrame:
@@ -270,3 +270,376 @@ def doubles_pair_summary(t):
 @query
 def recovery(t):
     return review.recovery(t.targets, t.labelled_motion, t.frames).drop("reason")
+
+
+# Court -----------------------------------------------------------------------
+
+@query
+def homographies(t):
+    c = t.cameras
+    cols = [F.col(m)[k].alias(f"{m}_{k}") for m in ("to_court", "to_image") for k in range(9)]
+    return c.select("clip_id", *cols)
+
+
+@query
+def projected_players(t):
+    p = court.project_players(t.anchored, t.cameras)
+    return p.select(*FRAME, "x_m", "y_m", "in_singles_court", "in_doubles_court", "court_flags")
+
+
+@query
+def court_frame_flags(t):
+    return court.court_frame_flags(t.frames.select(*FRAME), court.project_players(t.anchored, t.cameras), t.cameras)
+
+
+@query
+def projection_summary(t):
+    return court.projection_summary(court.project_players(t.anchored, t.cameras))
+
+
+@query
+def court_lines(t):
+    return court.court_lines(t.cameras)
+
+
+@query
+def reprojection_error(t):
+    r = court.reprojection_error(court.project_players(t.anchored, t.cameras), t.cameras)
+    return r.select("clip_id", "positions", (F.col("max_error_px") <= 1e-6).alias("consistent"))
+
+
+@query
+def line_checks(t):
+    pts = t.calibrations.select("clip_id", F.explode(F.array(
+        F.struct(F.lit("front_service").alias("name"), ((F.col("x0") + F.col("x1")) / 2).alias("image_x"), (F.col("y0") + 90.0).alias("image_y"),
+                 F.lit(3.05).alias("court_x"), F.lit(4.72).alias("court_y")),
+        F.struct(F.lit("back_service").alias("name"), ((F.col("x2") + F.col("x3")) / 2).alias("image_x"), (F.col("y2") - 150.0).alias("image_y"),
+                 F.lit(3.05).alias("court_x"), F.lit(8.68).alias("court_y")))).alias("p")).select("clip_id", "p.*")
+    return court.line_checks(pts, t.cameras)
+
+
+@query
+def court_range(t):
+    return court.court_range(court.project_players(t.anchored, t.cameras))
+
+
+@query
+def fit_diagnostics(t):
+    return court.fit_diagnostics(t.cameras).select("clip_id", "acceptable")
+
+
+@query
+def condition_numbers(t):
+    return court.condition_numbers(t.calibrations)
+
+
+@query
+def corner_checks(t):
+    return checks.check_corners(t.dirty_corners)
+
+
+@query
+def matching_calibrations(t):
+    saved = t.calibrations.select(F.col("clip_id").alias("calibration_id"), "width", "height",
+                                  F.when(F.col("clip_id") % 2 == 0, F.concat(F.lit("clip-"), F.col("clip_id").cast("string"))).alias("source_digest"))
+    return court.matching_calibrations(t.clips, saved)
+
+
+# Pose and selection -------------------------------------------------------------
+
+@query
+def formatted_keypoints(t):
+    return pose.format_players(t.raw_players, t.clips).select(*FRAME, "track_id", F.posexplode("keypoints").alias("k", "p")).select(
+        *FRAME, "track_id", "k", "p.name", "p.x", "p.y", "p.confidence", "p.visible")
+
+
+@query
+def ankle_midpoints(t):
+    return pose.format_players(t.raw_players, t.clips).select(*FRAME, "track_id", F.col("ankle_midpoint")[0].alias("mid_x"), F.col("ankle_midpoint")[1].alias("mid_y"),
+                            "low_confidence", ((F.col("bbox")[0] + F.col("bbox")[2]) / 2).alias("foot_x"), F.col("bbox")[3].alias("foot_y"))
+
+
+@query
+def players_in_region(t):
+    return pose.roi_gate(t.players, t.regions, t.clips).select(*FRAME, "track_id")
+
+
+@query
+def suppressed_boxes(t):
+    boxes = t.candidates.select(*FRAME, "ord", F.array("x", "y", F.col("x") + 40 * F.col("w"), F.col("y") + 40 * F.col("h")).cast("array<double>").alias("bbox"),
+                                F.col("score").alias("confidence"))
+    return pose.suppress_boxes(boxes, 0.3).select(*FRAME, "ord", "confidence")
+
+
+@query
+def frame_records(t):
+    return t.records
+
+
+@query
+def shuttle_from_candidates(t):
+    frames = t.frames.select(*FRAME, "timestamp_s").join(t.clips.select("clip_id", "width", "height"), "clip_id")
+    return pose.to_detection(pose.pick_candidate(t.candidates, frames)).drop("width", "height")
+
+
+@query
+def contiguous_runs(t):
+    return timeline.contiguous_runs(t.positions)
+
+
+@query
+def track_gaps(t):
+    return timeline.track_gaps(t.positions)
+
+
+@query
+def track_fragments(t):
+    return pose.track_fragments(t.positions)
+
+
+@query
+def track_summary(t):
+    return pose.track_summary(t.records, t.players)
+
+
+@query
+def mismatch_frames(t):
+    return pose.mismatch_frames(t.records)
+
+
+@query
+def player_count_histogram(t):
+    return pose.count_histogram(t.records)
+
+
+@query
+def observation_gaps(t):
+    return pose.observation_gaps(t.players)
+
+
+@query
+def pose_coverage(t):
+    return pose.pose_coverage(t.players)
+
+
+@query
+def near_far_order(t):
+    return pose.near_far_order(t.players)
+
+
+@query
+def track_ids(t):
+    return pose.track_ids(t.positions)
+
+
+@query
+def position_rows(t):
+    return pose.position_rows(t.positions)
+
+
+@query
+def region_checks(t):
+    rings = t.dirty_rois.select("clip_id", F.array(*[F.struct(F.col(f"px{k}").alias("x"), F.col(f"py{k}").alias("y")) for k in range(4)]).alias("points"))
+    return checks.check_rois(rings)
+
+
+@query
+def frame_rates(t):
+    return timeline.resolve_rate(t.rates)
+
+
+# Timing, windows, trails -----------------------------------------------------------
+
+@query
+def normalized_timing(t):
+    return timeline.normalize_pts(t.pts)
+
+
+@query
+def extracted_intervals(t):
+    return timeline.extract_intervals(t.frames, t.intervals).drop("timing_error_s")
+
+
+@query
+def sequence_windows(t):
+    return timeline.sequence_windows(t.frames)
+
+
+@query
+def sampled_frames(t):
+    return timeline.sample_frames(t.frames, 16, seed=7)
+
+
+@query
+def map_trails(t):
+    trail = trails.map_trails(motion.player_positions(t.observed).where("x_m is not null"))
+    return trail.select(*FRAME, "track_id", F.size("trail").alias("points"), F.col("trail")[0]["x_m"].alias("oldest_x"), F.col("trail")[0]["y_m"].alias("oldest_y"))
+
+
+@query
+def shuttle_trails(t):
+    trail = trails.shuttle_trails(t.filled)
+    return trail.select(*FRAME, F.size("trail").alias("points"), F.col("trail")[0]["x"].alias("oldest_x"), F.col("trail")[0]["y"].alias("oldest_y"))
+
+
+@query
+def review_trail(t):
+    return trails.review_trail(t.positions)
+
+
+@query
+def review_trail_at_events(t):
+    return trails.review_trail_at(t.positions, t.events)
+
+
+# Labels and versions ------------------------------------------------------------------
+
+@query
+def detection_evaluation(t):
+    return evaluation.evaluate(timeline.with_raw(t.shuttle), t.truth)
+
+
+@query
+def missed_frames(t):
+    return evaluation.missed_frames(timeline.with_raw(t.shuttle), t.truth)
+
+
+@query
+def label_coverage(t):
+    return evaluation.coverage_problems(t.dirty_shuttle, t.truth)
+
+
+@query
+def timing_error(t):
+    return evaluation.timing_error(t.shuttle, t.dirty_shuttle)
+
+
+@query
+def changed_observations(t):
+    cols = ["clip_id", "frame_index", "x", "y", "source"]
+    one = t.dirty_shuttle.groupBy("clip_id", "frame_index").agg(*[F.min(c).alias(c) for c in cols[2:]])
+    return evaluation.diff_observations(t.shuttle.select(*cols), one, FRAME)
+
+
+@query
+def pixel_labels(t):
+    unit = t.labels.select(*FRAME, "visible", (F.col("lx") / 1280).alias("x"), (F.col("ly") / 720).alias("y"))
+    return evaluation.denormalize(unit, t.clips)
+
+
+# Checks -----------------------------------------------------------------------------
+
+@query
+def timeline_checks(t):
+    return checks.check_timeline(t.dirty_shuttle)
+
+
+@query
+def shuttle_checks(t):
+    # Repeated frame numbers are the timeline check's business.
+    return checks.check_shuttle(t.dirty_shuttle.groupBy(*FRAME).agg(
+        *[F.min(c).alias(c) for c in ("timestamp_s", "x", "y", "confidence", "source", "low_confidence")]))
+
+
+@query
+def source_checks(t):
+    return checks.check_source(t.dirty_shuttle)
+
+
+@query
+def track_id_checks(t):
+    twice = t.positions.select(*FRAME, F.when(F.col("x_m").isNull(), F.col("track_id") - 1).otherwise(F.col("track_id")).alias("track_id"))
+    return checks.check_track_ids(twice)
+
+
+@query
+def alignment_checks(t):
+    return checks.check_alignment(t.dirty_shuttle, t.frames)
+
+
+@query
+def export_timing_checks(t):
+    return checks.check_export_timing(t.dirty_shuttle.groupBy(*FRAME).agg(F.min("timestamp_s").alias("timestamp_s")))
+
+
+@query
+def identity_checks(t):
+    return checks.check_identity(t.dirty_identity, t.positions)
+
+
+@query
+def label_agreement_checks(t):
+    return checks.check_label_agreement(t.dirty_identity)
+
+
+@query
+def simultaneous_label_checks(t):
+    return checks.check_simultaneous(t.dirty_identity, t.positions)
+
+
+@query
+def rally_checks(t):
+    return checks.check_rallies(t.dirty_rallies, t.frames, t.identity)
+
+
+@query
+def event_checks(t):
+    odd = t.events.withColumns({"kind": F.when(F.col("frame_index") % 7 == 0, "serve").otherwise(F.col("kind")),
+                                "frame_index": F.when(F.col("frame_index") % 5 == 0, F.col("frame_index") + 1000).otherwise(F.col("frame_index")),
+                                "player_label": F.when(F.col("frame_index") % 3 == 0, "P8").otherwise(F.col("player_label"))})
+    return checks.check_events(odd, t.frames, t.identity)
+
+
+@query
+def target_checks(t):
+    return checks.check_targets(t.dirty_targets, t.frames, t.identity)
+
+
+@query
+def binding_checks(t):
+    own = t.clips.select("clip_id", "source_digest")
+    reviews = own.withColumn("source_digest", F.when(F.col("clip_id") % 4 == 0, "clip-x").when(F.col("clip_id") % 3 != 0, F.upper("source_digest")))
+    calib = own.withColumn("source_digest", F.when(F.col("clip_id") % 5 == 0, "clip-y").when(F.col("clip_id") % 2 != 0, F.col("source_digest")))
+    return checks.check_binding(reviews, calib, t.clips)
+
+
+@query
+def heatmap_checks(t):
+    cells = motion.heatmap(motion.occupancy(t.motion))
+    return checks.check_heatmap(cells.withColumn("seconds", F.when(F.col("cell_row") % 9 == 0, -F.col("seconds")).otherwise(F.col("seconds"))))
+
+
+@query
+def shuttle_reuse_checks(t):
+    stored = t.clips.withColumns({"fps": F.when(F.col("clip_id") % 9 == 0, F.col("fps") + 1).otherwise(F.col("fps")),
+                                  "source_digest": F.when(F.col("clip_id") % 10 == 0, "other").otherwise(F.col("source_digest"))})
+    return checks.check_shuttle_reuse(timeline.with_raw(t.dirty_shuttle), t.frames, stored, t.clips)
+
+
+@query
+def player_reuse_checks(t):
+    damaged = t.players.withColumns({
+        "confidence": F.when(F.col("frame_index") % 31 == 0, F.lit(1.5)).otherwise(F.col("confidence")),
+        "ankle_midpoint": F.when(F.col("frame_index") % 29 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.col("ankle_midpoint"))})
+    return checks.check_player_reuse(damaged, t.records, t.frames, t.clips, t.clips)
+
+
+@query
+def overlay_checks(t):
+    odd = t.records.withColumn("observed_player_count", F.col("observed_player_count") + F.when(F.col("frame_index") % 37 == 0, 1).otherwise(0))
+    return checks.check_overlay_alignment(t.dirty_shuttle, odd, t.players, t.shuttle)
+
+
+# Clip-level quality ----------------------------------------------------------------
+
+@query
+def clip_quality(t):
+    return summaries.quality(t.labelled_motion, t.records, t.calibrations)
+
+
+@query
+def clip_warnings(t):
+    m = t.labelled_motion
+    unbound = t.clips.select("clip_id", (F.col("clip_id") % 6 == 0).alias("unbound"))
+    return summaries.warnings(t.clips, summaries.quality(m, t.records, t.calibrations), motion.fragment_summary(m, t.frames), t.identity, t.rallies,
+                              shuttle.shuttle_summary(shuttle.shuttle_motion(t.flagged_shuttle)), unbound)

@@ -7,8 +7,8 @@ ORACLES: dict[str, str] = {}
 
 
 def r(expr: str, name: str | None = None) -> str:
-    """Round a measure the way the queries do; adding zero removes a minus sign from zero."""
-    return f"round(round({expr}, 9), 6) + 0e0 AS {name or expr.split('.')[-1]}"
+    """Round a measure the way the queries do."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38, 9)), 6) AS DOUBLE) AS {name or expr.split('.')[-1]}"
 
 
 def i(expr: str, name: str | None = None) -> str:
@@ -204,3 +204,255 @@ ORACLES["recovery"] = f"""{SPANS}, wk AS (SELECT t.*, g.f, m.track_id, m.timesta
  {i("CASE WHEN hit IS NOT NULL AND (bad IS NULL OR hit < bad) THEN hit END", 'reached_frame')},
  CASE WHEN hit IS NOT NULL AND (bad IS NULL OR hit < bad) THEN 'available' WHEN bad IS NULL THEN 'not_reached' ELSE 'unavailable' END AS status
  FROM fx_targets JOIN fh USING (clip_id)"""
+
+# Court -------------------------------------------------------------------------
+CAM = f"""{cte('fx_frames', 'fx_calibrations', 'fx_ankles', 'fx_clips')},
+k1 AS (SELECT *, x1-x2 AS a1, x3-x2 AS a2, x0-x1+x2-x3 AS sx, y1-y2 AS b1, y3-y2 AS b2, y0-y1+y2-y3 AS sy FROM fx_calibrations),
+k2 AS (SELECT *, (sx*b2 - a2*sy)/(a1*b2 - a2*b1) AS g, (a1*sy - sx*b1)/(a1*b2 - a2*b1) AS h FROM k1),
+k3 AS (SELECT *, (x1-x0+g*x1)/6.1e0 AS i0, (x3-x0+h*x3)/13.4e0 AS i1, x0 AS i2, (y1-y0+g*y1)/6.1e0 AS i3, (y3-y0+h*y3)/13.4e0 AS i4, y0 AS i5, g/6.1e0 AS i6, h/13.4e0 AS i7, 1e0 AS i8 FROM k2),
+cam AS (SELECT *, i0*i4 - i1*i3 AS d, NOT ({_CONF}) AS unconf FROM k3),
+cm AS (SELECT *, (i4*i8-i5*i7)/d AS c0, (i2*i7-i1*i8)/d AS c1, (i1*i5-i2*i4)/d AS c2, (i5*i6-i3*i8)/d AS c3, (i0*i8-i2*i6)/d AS c4, (i2*i3-i0*i5)/d AS c5,
+  (i3*i7-i4*i6)/d AS c6, (i1*i6-i0*i7)/d AS c7, d/d AS c8 FROM cam)"""
+ORACLES["homographies"] = f"{CAM} SELECT clip_id, {', '.join(r(f'c{k}', f'to_court_{k}') for k in range(9))}, {', '.join(r(f'i{k}', f'to_image_{k}') for k in range(9))} FROM cm"
+PROJ = f"""{CAM}, an AS (SELECT f.clip_id, f.frame_index, ankle_x, ankle_y, mode, event_type = 'click' AS weak FROM fx_ankles a JOIN fx_frames f ON a.clip_id = f.clip_id AND a.event_id = f.event_id
+  JOIN fx_clips c ON c.clip_id = f.clip_id),
+pj AS (SELECT an.*, unconf, (c0*ankle_x + c1*ankle_y + c2)/(c6*ankle_x + c7*ankle_y + c8) AS x_m, (c3*ankle_x + c4*ankle_y + c5)/(c6*ankle_x + c7*ankle_y + c8) AS y_m FROM an JOIN cm USING (clip_id)),
+pk AS (SELECT *, x_m BETWEEN 0.46 - 1e-9 AND 5.64 + 1e-9 AND y_m BETWEEN -1e-9 AND 13.4 + 1e-9 AS s, x_m BETWEEN -1e-9 AND 6.1 + 1e-9 AND y_m BETWEEN -1e-9 AND 13.4 + 1e-9 AS dd FROM pj),
+pp AS (SELECT *, x_m IS NOT NULL AND NOT (CASE WHEN mode = 'singles' THEN s ELSE dd END) AS outside FROM pk)"""
+ORACLES["projected_players"] = f"""{PROJ} SELECT clip_id, {i('frame_index')}, {r('x_m')}, {r('y_m')}, s AS in_singles_court, dd AS in_doubles_court,
+ concat_ws(';', CASE WHEN ankle_x IS NULL THEN 'ankle_midpoint_unavailable' END, CASE WHEN x_m IS NOT NULL THEN 'approximate_floor_projection' END,
+ CASE WHEN x_m IS NOT NULL AND weak THEN 'low_confidence_pose' END, CASE WHEN x_m IS NOT NULL AND unconf THEN 'unconfirmed_court_calibration' END, CASE WHEN outside THEN 'outside_active_court' END) AS court_flags FROM pp"""
+ORACLES["court_frame_flags"] = f"""{PROJ} SELECT clip_id, {i('frame_index')}, concat_ws(';', CASE WHEN x_m IS NULL THEN 'court_position_unavailable' END, CASE WHEN unconf THEN 'unconfirmed_court_calibration' END) AS court_quality_flags FROM pp"""
+ORACLES["projection_summary"] = f"""{PROJ} SELECT clip_id, {i('count(*)', 'player_observations')}, {i('count(x_m)', 'positions_available')}, {i('count(*) - count(x_m)', 'positions_missing')},
+ {i('count(*) FILTER (outside)', 'positions_outside_active_court')}, {i('count(*) FILTER (weak AND x_m IS NOT NULL)', 'positions_with_low_confidence_pose')} FROM pp GROUP BY clip_id"""
+ORACLES["court_range"] = f"{PROJ} SELECT clip_id, {r('min(x_m)', 'x_min_m')}, {r('max(x_m)', 'x_max_m')}, {r('min(y_m)', 'y_min_m')}, {r('max(y_m)', 'y_max_m')} FROM pp GROUP BY clip_id"
+ORACLES["reprojection_error"] = f"{PROJ} SELECT clip_id, {i('count(x_m)', 'positions')}, true AS consistent FROM pp GROUP BY clip_id"
+
+
+def px(x: str, y: str, m: str) -> tuple[str, str]:
+    w = f"({m}6*{x} + {m}7*{y} + {m}8)"
+    return f"({m}0*{x} + {m}1*{y} + {m}2)/{w}", f"({m}3*{x} + {m}4*{y} + {m}5)/{w}"
+
+
+_LINES = """(VALUES (0, 0e0, 0e0, 6.1e0, 0e0, 'boundary'), (1, 6.1e0, 0e0, 6.1e0, 13.4e0, 'boundary'), (2, 6.1e0, 13.4e0, 0e0, 13.4e0, 'boundary'), (3, 0e0, 13.4e0, 0e0, 0e0, 'boundary'),
+ (4, 0.46e0, 0e0, 0.46e0, 13.4e0, 'singles'), (5, 5.64e0, 0e0, 5.64e0, 13.4e0, 'singles'), (6, 0e0, 6.7e0, 6.1e0, 6.7e0, 'net'), (7, 0e0, 4.72e0, 6.1e0, 4.72e0, 'service'),
+ (8, 0e0, 8.68e0, 6.1e0, 8.68e0, 'service'), (9, 0e0, 0.76e0, 6.1e0, 0.76e0, 'service'), (10, 0e0, 12.64e0, 6.1e0, 12.64e0, 'service'), (11, 3.05e0, 0e0, 3.05e0, 4.72e0, 'service'),
+ (12, 3.05e0, 8.68e0, 3.05e0, 13.4e0, 'service')) l(line, ax, ay, bx, by_, kind)"""
+_A, _B = px("ax", "ay", "i"), px("bx", "by_", "i")
+ORACLES["court_lines"] = f"""{CAM} SELECT clip_id, {i('line')}, kind, {r('ax', 'ax_m')}, {r('ay', 'ay_m')}, {r('bx', 'bx_m')}, {r('by_', 'by_m')}, {r(_A[0], 'ax_px')}, {r(_A[1], 'ay_px')},
+ {r(_B[0], 'bx_px')}, {r(_B[1], 'by_px')} FROM cm CROSS JOIN {_LINES}"""
+_P, _Q = px("3.05e0", "cy", "i"), px("ix", "iy", "c")
+ORACLES["line_checks"] = f"""{CAM}, lp AS (SELECT *, 'front_service' AS name, (x0+x1)/2 AS ix, y0+90 AS iy, 4.72e0 AS cy FROM cm UNION ALL SELECT *, 'back_service', (x2+x3)/2, y2-150, 8.68e0 FROM cm)
+ SELECT clip_id, name, {r(f'sqrt(pow(ix - {_P[0]}, 2) + pow(iy - {_P[1]}, 2))', 'error_px')}, {r(f'sqrt(pow({_Q[0]} - 3.05, 2) + pow({_Q[1]} - cy, 2))', 'error_m')} FROM lp"""
+ORACLES["fit_diagnostics"] = f"{CAM} SELECT clip_id, true AS acceptable FROM cm"
+ORACLES["matching_calibrations"] = f"""{cte('fx_calibrations', 'fx_clips')}, sv AS (SELECT clip_id AS calibration_id, width, height, CASE WHEN clip_id % 2 = 0 THEN concat('clip-', CAST(clip_id AS VARCHAR)) END AS bound FROM fx_calibrations)
+ SELECT clip_id, {i('calibration_id')}, bound IS NOT NULL AS is_bound FROM fx_clips c JOIN sv ON c.width = sv.width AND c.height = sv.height AND (bound IS NULL OR bound = source_digest)"""
+
+
+def violations(prefix: str, rules: list[tuple[str, str]], table: str, key: str) -> str:
+    """One row per broken rule."""
+    return f"{prefix} " + " UNION ALL ".join(f"SELECT clip_id, '{n}' AS rule, {key} AS key FROM {table} WHERE {c}" for n, c in rules)
+
+
+_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3"))
+_TURN = "least(" + ", ".join(f"(x{(k+1)%4}-x{k})*(y{(k+2)%4}-y{(k+1)%4}) - (y{(k+1)%4}-y{k})*(x{(k+2)%4}-x{(k+1)%4})" for k in range(4)) + ")"
+_AREA = "(" + " + ".join(f"x{k}*y{(k+1)%4} - y{k}*x{(k+1)%4}" for k in range(4)) + ")/2"
+ORACLES["corner_checks"] = violations(cte("fx_calibrations", "fx_dirty_corners"), [
+    ("corner_not_finite", f"NOT ({_KNOWN})"),
+    ("corner_outside_image", f"{_KNOWN} AND NOT (least(x0,x1,x2,x3) >= 0 AND greatest(x0,x1,x2,x3) <= width-1 AND least(y0,y1,y2,y3) >= 0 AND greatest(y0,y1,y2,y3) <= height-1)"),
+    ("not_convex_in_order", f"{_KNOWN} AND {_TURN} <= greatest(1e-8, width*height*1e-10)"), ("area_degenerate", f"{_KNOWN} AND {_AREA} <= greatest(1e-6, width*height*1e-7)"),
+    ("corner_order_wrong", f"{_KNOWN} AND NOT (x0 < x1 AND x3 < x2 AND y0+y1 < y2+y3)")], "fx_dirty_corners", "''")
+
+# Pose ----------------------------------------------------------------------------
+POSE = f"""{cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois')},
+kp AS (SELECT *, greatest(0e0, least(1e0, score)) AS conf, score >= 0.3 AND NOT (x = 0 AND y = 0) AND x BETWEEN 0 AND 1280 AND y BETWEEN 0 AND 720 AS vis FROM fx_keypoints),
+pl AS (SELECT clip_id, frame_index, track_id, any_value(x1) AS x1, any_value(y1) AS y1, any_value(x2) AS x2, any_value(y2) AS y2, any_value(box_confidence) AS bc, count(*) FILTER (vis) AS seen,
+  CASE WHEN bool_and(vis) FILTER (k >= 15) THEN avg(x) FILTER (k >= 15) END AS mx, CASE WHEN bool_and(vis) FILTER (k >= 15) THEN avg(y) FILTER (k >= 15) END AS my FROM kp GROUP BY clip_id, frame_index, track_id),
+pw AS (SELECT *, bc < 0.25 OR seen < 6 OR mx IS NULL AS weak FROM pl),
+rec AS (SELECT f.clip_id, f.frame_index, f.timestamp_s, expected_player_count AS e, coalesce(n, 0) AS n, coalesce(weak, false) AS weak, coalesce(nomid, false) AS nomid FROM fx_frames f JOIN fx_clips USING (clip_id)
+  LEFT JOIN (SELECT clip_id, frame_index, count(*) AS n, bool_or(weak) AS weak, bool_or(mx IS NULL) AS nomid FROM pw GROUP BY clip_id, frame_index) s ON s.clip_id = f.clip_id AND s.frame_index = f.frame_index)"""
+_NAMES = "['nose','left_eye','right_eye','left_ear','right_ear','left_shoulder','right_shoulder','left_elbow','right_elbow','left_wrist','right_wrist','left_hip','right_hip','left_knee','right_knee','left_ankle','right_ankle']"
+ORACLES["formatted_keypoints"] = f"{POSE} SELECT {_K}, {i('k')}, {_NAMES}[k+1] AS name, {r('CASE WHEN vis THEN x END', 'x')}, {r('CASE WHEN vis THEN y END', 'y')}, {r('conf', 'confidence')}, vis AS visible FROM kp"
+ORACLES["ankle_midpoints"] = f"{POSE} SELECT {_K}, {r('mx', 'mid_x')}, {r('my', 'mid_y')}, weak AS low_confidence, {r('(x1+x2)/2', 'foot_x')}, {r('y2', 'foot_y')} FROM pw"
+
+
+def inside_ring(x: str, y: str) -> str:
+    """Point in the convex region: on the same side of all four edges (boundary included)."""
+    sides = []
+    for k in range(4):
+        a, b = f"px{k}*1280", f"py{k}*720"
+        c, d = f"px{(k+1)%4}*1280", f"py{(k+1)%4}*720"
+        sides.append(f"(({c})-({a}))*({y}-({b})) - (({d})-({b}))*({x}-({a})) >= 0")
+    return "(" + " AND ".join(sides) + ")"
+
+
+ORACLES["players_in_region"] = f"""{POSE} SELECT {_K.replace('clip_id', 'pw.clip_id')} FROM pw LEFT JOIN fx_rois r ON r.clip_id = pw.clip_id
+ WHERE r.clip_id IS NULL OR (x2 > x1 AND y2 > y1 AND ({inside_ring('(x1+x2)/2', 'y2')} OR coalesce({inside_ring('mx', 'my')}, false)))"""
+# At most three boxes a frame, so the greedy choice is written out.
+ORACLES["suppressed_boxes"] = f"""{cte('fx_frames', 'fx_candidates')}, bx AS (SELECT *, x + 40*w AS x2, y + 40*h AS y2, row_number() OVER (PARTITION BY clip_id, frame_index ORDER BY score DESC, ord) AS rk FROM fx_candidates),
+ ov AS (SELECT a.clip_id, a.frame_index, a.rk AS i, b.rk AS j, greatest(0, least(a.x2,b.x2)-greatest(a.x,b.x)) * greatest(0, least(a.y2,b.y2)-greatest(a.y,b.y)) AS inter,
+  (a.x2-a.x)*(a.y2-a.y) + (b.x2-b.x)*(b.y2-b.y) AS total FROM bx a JOIN bx b ON a.clip_id = b.clip_id AND a.frame_index = b.frame_index AND a.rk < b.rk),
+ hit AS (SELECT clip_id, frame_index, max(inter*1e0/(total-inter)) FILTER (i=1 AND j=2) > 0.3 AS h12, max(inter*1e0/(total-inter)) FILTER (i=1 AND j=3) > 0.3 AS h13, max(inter*1e0/(total-inter)) FILTER (i=2 AND j=3) > 0.3 AS h23 FROM ov GROUP BY ALL)
+ SELECT bx.clip_id, {i('bx.frame_index')}, {i('ord')}, {r('score', 'confidence')} FROM bx LEFT JOIN hit ON hit.clip_id = bx.clip_id AND hit.frame_index = bx.frame_index
+ WHERE rk = 1 OR (rk = 2 AND NOT h12) OR (rk = 3 AND NOT h13 AND (h12 OR NOT h23))"""
+_REC = "concat_ws(';', CASE WHEN n <> e THEN 'player_count_mismatch' END, CASE WHEN n = 0 THEN 'no_players_observed' END, CASE WHEN weak THEN 'low_confidence_player_or_pose' END, CASE WHEN nomid THEN 'ankle_midpoint_unavailable' END)"
+ORACLES["frame_records"] = f"{POSE} SELECT clip_id, {i('frame_index')}, {r('timestamp_s')}, {i('e', 'expected_player_count')}, {i('n', 'observed_player_count')}, n <> e AS count_mismatch, {_REC} AS flags FROM rec"
+ORACLES["mismatch_frames"] = f"{POSE} SELECT clip_id, {i('frame_index')}, {i('n', 'observed_player_count')}, {i('e', 'expected_player_count')} FROM rec WHERE n <> e"
+ORACLES["player_count_histogram"] = f"{POSE} SELECT clip_id, {i('n', 'observed_player_count')}, {i('count(*)', 'frames')} FROM rec GROUP BY clip_id, n"
+ORACLES["observation_gaps"] = f"{POSE} SELECT clip_id, {i('count(*) FILTER (mx IS NULL)', 'players_with_missing_ankle_midpoint')}, {i('0', 'observations_without_track_id')} FROM pw GROUP BY clip_id"
+ORACLES["pose_coverage"] = f"""{POSE} SELECT clip_id, {i('track_id')}, {i('count(*)', 'frames_observed')}, {i('min(frame_index)', 'first_frame')}, {i('max(frame_index)', 'last_frame')}, {i('min(seen)', 'visible_min')},
+ {i('max(seen)', 'visible_max')}, {r('avg(seen)', 'visible_mean')}, {i('count(*) FILTER (mx IS NULL)', 'missing_ankle_midpoints')}, {i('sum(17 - seen)', 'suppressed_keypoints')} FROM pw GROUP BY clip_id, track_id"""
+ORACLES["near_far_order"] = f"""{POSE}, t2 AS (SELECT clip_id, frame_index, arg_min(my, track_id) > arg_max(my, track_id) AS o FROM pw GROUP BY clip_id, frame_index HAVING count(*) = 2 AND count(mx) = 2)
+ SELECT clip_id, bool_and(o) AS first_id_nearer_all_frames, {i('count(*)', 'frames_tested')} FROM t2 GROUP BY clip_id"""
+_TR = """{w}, lg AS (SELECT clip_id, track_id, frame_index, lag(frame_index) OVER (PARTITION BY clip_id, track_id ORDER BY frame_index) AS p FROM {t}),
+tk AS (SELECT clip_id, track_id, count(*) AS n, min(frame_index) AS f0, max(frame_index) AS f1, 1 + count(*) FILTER (frame_index <> p + 1) AS runs, coalesce(sum(frame_index - p - 1), 0) AS miss FROM lg GROUP BY clip_id, track_id)"""
+TRACKS = _TR.format(w=cte("fx_frames", "fx_positions"), t="fx_positions")
+_RUNS = f"clip_id, {i('track_id')}, {i('n', 'frames_observed')}, {i('f0', 'first_frame')}, {i('f1', 'last_frame')}, {i('runs', 'contiguous_segments')}"
+ORACLES["contiguous_runs"] = f"{TRACKS} SELECT {_RUNS} FROM tk"
+ORACLES["track_fragments"] = f"{TRACKS} SELECT {_RUNS}, {i('miss', 'missing_frames_within_span')} FROM tk"
+ORACLES["track_gaps"] = f"{TRACKS} SELECT clip_id, {i('track_id')}, {i('p', 'after_frame')}, {i('frame_index', 'before_frame')}, {i('frame_index - p - 1', 'missing_frames')} FROM lg WHERE frame_index > p + 1"
+ORACLES["track_ids"] = f"{TRACKS} SELECT clip_id, {i('track_id')} FROM tk"
+ORACLES["track_summary"] = f"""{_TR.format(w=POSE, t='pw')}, a AS (SELECT clip_id, count(*) AS t, max(e) AS e, count(*) FILTER (n <> e) AS m, count(*) FILTER (n = 0) AS z, count(*) FILTER (weak) AS w FROM rec GROUP BY clip_id),
+ b AS (SELECT clip_id, count(*) AS k, sum(miss) AS miss, count(*) FILTER (runs > 1) AS g FROM tk GROUP BY clip_id)
+ SELECT clip_id, {i('t', 'total_frames')}, {i('e', 'expected_player_count')}, {i('m', 'count_mismatch_frames')}, {i('z', 'frames_without_players')}, {i('w', 'frames_with_low_confidence_players')},
+ {i('k', 'unique_track_ids')}, {i('miss', 'missing_frames_within_spans')}, {i('g', 'tracks_with_gaps')}, concat_ws(';',
+ CASE WHEN m > 0 THEN concat(m, ' frames differ from the expected ', e, ' players; review the overlay and ROI.') END,
+ CASE WHEN k > e THEN 'More track IDs than expected players were observed; fragmentation, ID switches or ROI contamination need review.' END,
+ CASE WHEN g > 0 THEN 'Some tracks contain observation gaps; missing poses were not interpolated or assigned replacement IDs.' END) AS warnings FROM a JOIN b USING (clip_id)"""
+ORACLES["position_rows"] = f"{cte('fx_positions')} SELECT {_K}, {r('timestamp_s')}, {r('x_m')}, {r('y_m')} FROM fx_positions WHERE x_m IS NOT NULL AND y_m IS NOT NULL"
+ORACLES["shuttle_from_candidates"] = f"""{cte('fx_frames', 'fx_candidates')}, b AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_index ORDER BY w*h DESC, ord) AS rk FROM fx_candidates)
+ SELECT f.clip_id, {i('f.frame_index')}, {r('f.timestamp_s')}, {r('trunc(trunc(b.x + w/2)*1280/512)', 'x')}, {r('trunc(trunc(b.y + h/2)*720/288)', 'y')}, {r('score', 'confidence')},
+ CASE WHEN b.x IS NULL THEN 'missing' ELSE 'detected' END AS source, b.x IS NULL OR score < 0.5 AS low_confidence FROM fx_frames f LEFT JOIN b ON b.clip_id = f.clip_id AND b.frame_index = f.frame_index AND rk = 1"""
+
+
+def _cross(k: int, m: int) -> str:
+    """Whether edge k and edge m of the quadrilateral meet."""
+    p = lambda v: (f"px{v % 4}", f"py{v % 4}")
+    a, b, c, d = p(k), p(k + 1), p(m), p(m + 1)
+    s = lambda u, v, w: f"(({v[0]}-{u[0]})*({w[1]}-{u[1]}) - ({v[1]}-{u[1]})*({w[0]}-{u[0]}))"
+    on = lambda u, v, w: f"(abs({s(u, v, w)}) <= 1e-12 AND {w[0]} BETWEEN least({u[0]},{v[0]}) AND greatest({u[0]},{v[0]}) AND {w[1]} BETWEEN least({u[1]},{v[1]}) AND greatest({u[1]},{v[1]}))"
+    return f"(({s(a, b, c)}*{s(a, b, d)} < 0 AND {s(c, d, a)}*{s(c, d, b)} < 0) OR {on(a, b, c)} OR {on(a, b, d)} OR {on(c, d, a)} OR {on(c, d, b)})"
+
+
+_UNIT = " AND ".join(f"p{c}{k} BETWEEN 0 AND 1" for c in "xy" for k in range(4))
+_RAREA = "abs(" + " + ".join(f"px{k}*py{(k+1)%4} - px{(k+1)%4}*py{k}" for k in range(4)) + ")/2"
+_REP = " OR ".join(f"(px{a} = px{b} AND py{a} = py{b})" for a in range(4) for b in range(a + 1, 4))
+ORACLES["region_checks"] = violations(cte("fx_dirty_rois"), [
+    ("point_outside_unit_square", f"NOT ({_UNIT})"), ("points_repeat", _REP), ("no_area", f"{_UNIT} AND {_RAREA} < 1e-6"),
+    ("self_intersection", f"{_UNIT} AND ({_cross(0, 2)} OR {_cross(1, 3)})")], "fx_dirty_rois", "''")
+ORACLES["frame_rates"] = f"""{cte('fx_rates')}, u AS (SELECT clip_id, CASE WHEN average_rate > 0 THEN average_rate END AS a, CASE WHEN guessed_rate > 0 THEN guessed_rate END AS g,
+ CASE WHEN base_rate > 0 THEN base_rate END AS b, CASE WHEN fps_hint > 0 THEN fps_hint END AS h FROM fx_rates)
+ SELECT clip_id, {r('coalesce(a, g, b, h)', 'fps')}, {r('coalesce(a, g, b)', 'metadata_fps')}, CASE WHEN a IS NOT NULL THEN 'average_rate' WHEN g IS NOT NULL THEN 'guessed_rate' WHEN b IS NOT NULL THEN 'base_rate'
+ WHEN h IS NOT NULL THEN 'fps_hint' END AS fps_source, coalesce(abs(coalesce(a, g, b) - h)/coalesce(a, g, b) > 0.01, false) AS hint_differs FROM u"""
+
+# Timing, windows, trails -------------------------------------------------------------
+ORACLES["normalized_timing"] = f"""{cte('fx_frames', 'fx_pts')}, a AS (SELECT *, pts*(1e0/1000) AS ab, 1/fps AS st FROM fx_pts),
+ o AS (SELECT clip_id, arg_min(ab - frame_index*st, frame_index) AS origin FROM a WHERE ab IS NOT NULL GROUP BY clip_id),
+ b AS (SELECT a.*, ab - origin AS t0, max(CASE WHEN ab IS NOT NULL THEN frame_index END) OVER (PARTITION BY clip_id ORDER BY frame_index) AS af FROM a LEFT JOIN o USING (clip_id)),
+ c AS (SELECT b.*, CASE WHEN b.af IS NULL THEN b.frame_index*b.st ELSE z.t0 + (b.frame_index - b.af)*b.st END AS t FROM b LEFT JOIN b z ON z.clip_id = b.clip_id AND z.frame_index = b.af)
+ SELECT clip_id, {i('frame_index')}, {r('greatest(0, t)', 'timestamp_s')}, t < -1e-6 OR coalesce(t <= lag(t) OVER (PARTITION BY clip_id ORDER BY frame_index), false) AS invalid_timing FROM c"""
+ORACLES["extracted_intervals"] = f"""{cte('fx_frames', 'fx_intervals')}, x AS (SELECT f.clip_id, interval_id, f.frame_index AS sf, timestamp_s - min(timestamp_s) OVER w AS since, row_number() OVER (w ORDER BY f.frame_index) - 1 AS rn
+ FROM fx_frames f JOIN fx_intervals v ON v.clip_id = f.clip_id AND timestamp_s >= start_s - 1e-8 AND timestamp_s < end_s - 1e-8 WHERE end_s - start_s <= 300 WINDOW w AS (PARTITION BY f.clip_id, interval_id))
+ SELECT clip_id, interval_id, {i('rn', 'frame_index')}, {i('sf', 'source_frame')}, {r('round_even(since*90000, 0)/90000', 'timestamp_s')} FROM x"""
+ORACLES["sequence_windows"] = f"""{cte('fx_frames')}, l AS (SELECT clip_id, max(frame_index) AS m FROM fx_frames GROUP BY clip_id)
+ SELECT clip_id, {i('frame_index // 8', 'window')}, {i('frame_index % 8', 'slot')}, {i('frame_index')}, false AS is_padding FROM fx_frames UNION ALL
+ SELECT clip_id, {i('m // 8', 'window')}, {i('s', 'slot')}, {i('m', 'frame_index')}, true FROM l, (SELECT unnest(range(1, 8)) AS s) n WHERE s > m % 8"""
+ORACLES["sampled_frames"] = f"""{cte('fx_frames')}, d AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY md5(concat(clip_id, ':', frame_index, ':7')), frame_index) AS rk FROM fx_frames)
+ SELECT clip_id, {i('frame_index')}, {r('timestamp_s')} FROM d WHERE rk <= 16"""
+ORACLES["map_trails"] = f"""{cte('fx_positions')}, s AS (SELECT *, frame_index - row_number() OVER (PARTITION BY clip_id, track_id ORDER BY frame_index) AS g FROM fx_positions
+  WHERE x_m BETWEEN -0.8 AND 6.9 AND y_m BETWEEN -0.8 AND 14.2) SELECT {_K}, {i('count(*) OVER w', 'points')}, {r('first_value(x_m) OVER w', 'oldest_x')}, {r('first_value(y_m) OVER w', 'oldest_y')}
+ FROM s WINDOW w AS (PARTITION BY clip_id, track_id, g ORDER BY frame_index ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"""
+ORACLES["shuttle_trails"] = f"""{FILLED}, s AS (SELECT *, frame_index - row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) AS g FROM filled WHERE source = 'detected')
+ SELECT clip_id, {i('frame_index')}, {i('count(*) OVER w', 'points')}, {r('first_value(x) OVER w', 'oldest_x')}, {r('first_value(y) OVER w', 'oldest_y')}
+ FROM s WINDOW w AS (PARTITION BY clip_id, g ORDER BY frame_index ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""
+_SEGS = """, sgm AS (SELECT b.clip_id, b.track_id, b.frame_index, a.x_m AS x0, a.y_m AS y0, b.x_m AS x1, b.y_m AS y1 FROM fx_positions a JOIN fx_positions b ON a.clip_id = b.clip_id AND a.track_id = b.track_id
+  AND b.frame_index = a.frame_index + 1 WHERE a.x_m BETWEEN 0 AND 6.1 AND a.y_m BETWEEN 0 AND 13.4 AND b.x_m BETWEEN 0 AND 6.1 AND b.y_m BETWEEN 0 AND 13.4)"""
+_SC = f"{r('x0', 'x0_m')}, {r('y0', 'y0_m')}, {r('x1', 'x1_m')}, {r('y1', 'y1_m')}"
+ORACLES["review_trail"] = f"{cte('fx_positions')}{_SEGS} SELECT {_K}, {_SC} FROM sgm"
+ORACLES["review_trail_at_events"] = f"""{cte('fx_positions', 'fx_events')}{_SEGS} SELECT {_K.replace('clip_id', 's.clip_id').replace('frame_index AS BIGINT) AS frame_index', 's.frame_index AS BIGINT) AS frame_index')}, {_SC}, {i('e.frame_index', 'at_frame')}
+ FROM sgm s JOIN fx_events e ON e.clip_id = s.clip_id AND s.frame_index BETWEEN e.frame_index - 44 AND e.frame_index"""
+
+# Labels and versions --------------------------------------------------------------------
+EVAL = f"""{cte('fx_frames', 'fx_shuttle', 'fx_labels', 'fx_dirty_shuttle')}, ev AS (SELECT s.clip_id, s.frame_index, visible, s.x IS NOT NULL AS det,
+  CASE WHEN visible AND s.x IS NOT NULL THEN sqrt((s.x-lx)*(s.x-lx) + (s.y-ly)*(s.y-ly)) END AS err FROM fx_shuttle s JOIN fx_labels l ON l.clip_id = s.clip_id AND l.frame_index = s.frame_index),
+ eo AS (SELECT *, coalesce(err <= 8, false) AS hit FROM ev)"""
+ORACLES["detection_evaluation"] = f"""{EVAL}, a AS (SELECT clip_id, count(*) AS n, count(*) FILTER (visible) AS v, count(*) FILTER (hit) AS tp, count(*) FILTER (det AND NOT hit) AS fp, count(*) FILTER (visible AND NOT hit) AS fn,
+ count(*) FILTER (NOT visible AND NOT det) AS tn, avg(err) AS me, quantile_cont(err, 0.5) AS md FROM eo GROUP BY clip_id)
+ SELECT clip_id, {i('n', 'frames')}, {i('v', 'visible_ground_truth_frames')}, {i('tp', 'matched_detections')}, {i('fp', 'false_positives')}, {i('fn', 'false_negatives')}, {i('tn', 'true_negatives')},
+ {r('me', 'mean_error_px')}, {r('md', 'median_error_px')}, {r('tp/nullif(tp+fp, 0)', 'precision')}, {r('tp/nullif(tp+fn, 0)', 'recall')} FROM a"""
+ORACLES["missed_frames"] = f"{EVAL} SELECT clip_id, {i('frame_index')} FROM eo WHERE visible AND NOT hit"
+ORACLES["label_coverage"] = f"""{EVAL} SELECT clip_id, {i('frame_index')}, 'no_label_row' AS rule FROM fx_dirty_shuttle d WHERE NOT EXISTS (SELECT 1 FROM fx_labels l WHERE l.clip_id = d.clip_id AND l.frame_index = d.frame_index)
+ UNION ALL SELECT clip_id, {i('frame_index')}, 'no_detection_row' FROM fx_labels l WHERE NOT EXISTS (SELECT 1 FROM fx_dirty_shuttle d WHERE l.clip_id = d.clip_id AND l.frame_index = d.frame_index)"""
+ORACLES["timing_error"] = f"""{EVAL} SELECT clip_id, {r('max(abs(a.timestamp_s - b.timestamp_s))', 'max_timing_error_s')}, count(a.timestamp_s) = count(b.timestamp_s) AS equal_counts
+ FROM fx_shuttle a FULL JOIN fx_dirty_shuttle b USING (clip_id, frame_index) GROUP BY clip_id"""
+ORACLES["changed_observations"] = f"""{EVAL}, n AS (SELECT clip_id, frame_index, min(x) AS x, min(y) AS y, min(source) AS source FROM fx_dirty_shuttle GROUP BY ALL)
+ SELECT clip_id, {i('frame_index')}, CASE WHEN n.source IS NULL THEN 'removed' WHEN a.source IS NULL THEN 'added' ELSE 'changed' END AS change FROM fx_shuttle a FULL JOIN n USING (clip_id, frame_index)
+ WHERE a.x IS DISTINCT FROM n.x OR a.y IS DISTINCT FROM n.y OR a.source IS DISTINCT FROM n.source"""
+ORACLES["pixel_labels"] = f"{EVAL} SELECT clip_id, {i('frame_index')}, visible, {r('lx', 'label_x')}, {r('ly', 'label_y')} FROM fx_labels"
+
+# Checks -------------------------------------------------------------------------------
+_D = cte("fx_frames", "fx_shuttle", "fx_dirty_shuttle")
+_KEY = "CAST(frame_index AS VARCHAR)"
+_LAG = ", lag(timestamp_s) OVER (PARTITION BY clip_id ORDER BY frame_index) AS pt, lag(frame_index) OVER (PARTITION BY clip_id ORDER BY frame_index) AS pf"
+_ONE = "SELECT clip_id, frame_index, min(timestamp_s) AS timestamp_s, min(x) AS x, min(y) AS y, min(source) AS source FROM fx_dirty_shuttle GROUP BY clip_id, frame_index"
+ORACLES["shuttle_checks"] = violations(f"{_D}, u AS ({_ONE}), l AS (SELECT *{_LAG} FROM u)", [
+    ("frames_not_consecutive", "frame_index <> coalesce(pf + 1, 0)"), ("bad_time", "timestamp_s < 0"), ("time_not_rising", "timestamp_s <= pt"),
+    ("unpaired_coordinates", "(x IS NULL) <> (y IS NULL)"), ("detected_without_coordinates", "source = 'detected' AND x IS NULL"),
+    ("missing_with_coordinates", "source = 'missing' AND x IS NOT NULL")], "l", _KEY)
+ORACLES["export_timing_checks"] = violations(f"{_D}, u AS (SELECT *, round_even(timestamp_s*90000, 0) AS tick FROM ({_ONE})), l AS (SELECT *{_LAG}, lag(tick) OVER (PARTITION BY clip_id ORDER BY frame_index) AS pk FROM u)", [
+    ("frames_not_consecutive", "frame_index <> coalesce(pf + 1, 0)"), ("negative_time", "timestamp_s < 0"), ("time_not_rising", "timestamp_s <= pt"), ("tick_not_rising", "tick <= pk")], "l", _KEY)
+ORACLES["source_checks"] = violations(_D, [("unknown_source", "source NOT IN ('detected', 'missing', 'interpolated')")], "fx_dirty_shuttle", _KEY)
+ORACLES["alignment_checks"] = violations(f"{_D}, j AS (SELECT d.clip_id, d.frame_index, abs(d.timestamp_s - f.timestamp_s) AS e FROM fx_dirty_shuttle d JOIN fx_frames f ON f.clip_id = d.clip_id AND f.frame_index = d.frame_index)",
+                                         [("times_not_aligned", "e > 1e-6")], "j", _KEY)
+ORACLES["track_id_checks"] = f"""{cte('fx_positions')}, t AS (SELECT clip_id, frame_index, CASE WHEN x_m IS NULL THEN track_id - 1 ELSE track_id END AS tid FROM fx_positions)
+ SELECT clip_id, 'track_id_not_positive' AS rule, concat(frame_index, ':', tid) AS key FROM t WHERE tid < 1 UNION ALL
+ SELECT clip_id, 'duplicate_track_in_frame', concat(frame_index, ':', tid) FROM t GROUP BY clip_id, frame_index, tid HAVING count(*) > 1"""
+_ID = f"{cte('fx_frames', 'fx_positions', 'fx_dirty_identity')}"
+ORACLES["identity_checks"] = violations(f"{_ID}, j AS (SELECT d.*, p.track_id IS NOT NULL AS seen FROM fx_dirty_identity d LEFT JOIN (SELECT DISTINCT clip_id, track_id FROM fx_positions) p ON p.clip_id = d.clip_id AND p.track_id = d.track_id)", [
+    ("unknown_track", "NOT seen"), ("label_invalid", "trim(player_label) = ''"), ("side_invalid", "side NOT IN ('near', 'far')"), ("team_blank", "trim(team) = ''")], "j", "CAST(track_id AS VARCHAR)")
+ORACLES["label_agreement_checks"] = violations(f"{_ID}, g AS (SELECT clip_id, trim(player_label) AS label, count(DISTINCT side) AS s, count(DISTINCT team) AS t FROM fx_dirty_identity GROUP BY ALL)",
+                                               [("sides_differ", "s > 1"), ("teams_differ", "t > 1")], "g", "label")
+ORACLES["simultaneous_label_checks"] = f"""{_ID} SELECT p.clip_id, 'label_twice_in_frame' AS rule, concat(frame_index, ':', trim(player_label)) AS key FROM fx_positions p JOIN fx_dirty_identity d
+ ON d.clip_id = p.clip_id AND d.track_id = p.track_id GROUP BY p.clip_id, frame_index, trim(player_label) HAVING count(*) > 1"""
+_RV = cte("fx_frames", "fx_identity", "fx_dirty_rallies", "fx_dirty_targets", "fx_events")
+_HASF = "EXISTS (SELECT 1 FROM fx_frames f WHERE f.clip_id = {t}.clip_id AND f.frame_index = {t}.{c})"
+_HASL = "EXISTS (SELECT 1 FROM fx_identity d WHERE d.clip_id = {t}.clip_id AND d.player_label = {t}.{c})"
+ORACLES["rally_checks"] = violations(f"{_RV}, q AS (SELECT *, lag(end_frame) OVER (PARTITION BY clip_id ORDER BY ordinal) AS pe FROM fx_dirty_rallies)", [
+    ("rally_id_blank", "trim(rally_id) = ''"), ("frame_unknown", f"NOT {_HASF.format(t='q', c='start_frame')} OR NOT {_HASF.format(t='q', c='end_frame')}"),
+    ("ends_before_start", "start_frame > end_frame"), ("overlaps_previous", "start_frame <= coalesce(pe, -1)"),
+    ("winner_unknown", f"winner_label IS NOT NULL AND NOT {_HASL.format(t='q', c='winner_label')}")], "q", "CAST(ordinal AS VARCHAR)") + (
+    " UNION ALL SELECT clip_id, 'rally_id_repeats', rally_id FROM fx_dirty_rallies WHERE trim(rally_id) <> '' GROUP BY clip_id, rally_id HAVING count(*) > 1")
+ORACLES["event_checks"] = violations(f"{_RV}, q AS (SELECT clip_id, CASE WHEN f % 3 = 0 THEN 'P8' ELSE player_label END AS player_label, kind, f AS frame_index FROM (SELECT clip_id, player_label, CASE WHEN frame_index % 7 = 0 THEN 'serve' ELSE kind END AS kind, CASE WHEN frame_index % 5 = 0 THEN frame_index + 1000 ELSE frame_index END AS f, frame_index AS f0 FROM fx_events))".replace("WHEN f % 3 = 0", "WHEN f0 % 3 = 0"), [
+    ("frame_unknown", f"NOT {_HASF.format(t='q', c='frame_index')}"), ("kind_unknown", "kind NOT IN ('contact', 'outcome', 'note')"),
+    ("label_unknown", f"player_label IS NOT NULL AND NOT {_HASL.format(t='q', c='player_label')}")], "q", _KEY)
+ORACLES["target_checks"] = violations(f"{_RV}, q AS (SELECT clip_id, ordinal, player_label, contact_frame, coalesce(until_frame, m) AS u, target_x_m AS x, target_y_m AS y, coalesce(radius_m, 0.5) AS rad FROM fx_dirty_targets JOIN (SELECT clip_id, max(frame_index) AS m FROM fx_frames GROUP BY clip_id) USING (clip_id))", [
+    ("label_unknown", f"NOT {_HASL.format(t='q', c='player_label')}"), ("contact_frame_unknown", f"NOT {_HASF.format(t='q', c='contact_frame')}"), ("until_frame_unknown", f"NOT {_HASF.format(t='q', c='u')}"),
+    ("ends_before_contact", "u < contact_frame"), ("target_off_court", "NOT (x BETWEEN 0 AND 6.1 AND y BETWEEN 0 AND 13.4)"), ("radius_invalid", "NOT (rad > 0 AND rad <= 3)")], "q", "CAST(ordinal AS VARCHAR)")
+ORACLES["binding_checks"] = violations(f"{cte('fx_clips')}, q AS (SELECT clip_id, source_digest AS c, CASE WHEN clip_id % 4 = 0 THEN 'clip-x' WHEN clip_id % 3 <> 0 THEN source_digest END AS r, CASE WHEN clip_id % 5 = 0 THEN 'clip-y' WHEN clip_id % 2 <> 0 THEN source_digest END AS k FROM fx_clips)", [
+    ("review_for_other_source", "r <> c"), ("calibration_for_other_source", "k <> c"), ("review_and_calibration_differ", "r <> k")], "q", "''")
+ORACLES["heatmap_checks"] = f"{OCC} SELECT clip_id, 'seconds_invalid' AS rule, concat(track_id, ':', cell_row, ':', cell_col) AS key FROM hm WHERE cell_row % 9 = 0 AND seconds > 0"
+_FULL = f"j AS (SELECT coalesce(d.clip_id, f.clip_id) AS clip_id, coalesce(d.frame_index, f.frame_index) AS frame_index, d.timestamp_s AS ta, f.timestamp_s AS tb FROM fx_dirty_shuttle d FULL JOIN fx_frames f ON f.clip_id = d.clip_id AND f.frame_index = d.frame_index)"
+ORACLES["shuttle_reuse_checks"] = violations(f"{cte('fx_frames', 'fx_shuttle', 'fx_dirty_shuttle')}, {_FULL}", [
+    ("frame_not_stored", "ta IS NULL"), ("frame_not_in_source", "tb IS NULL"), ("time_differs_from_source", "abs(ta - tb) > 1e-5")], "j", _KEY) + f""" UNION ALL
+ SELECT clip_id, 'raw_unpaired', {_KEY} FROM fx_dirty_shuttle WHERE (x IS NULL) <> (y IS NULL) UNION ALL
+ SELECT DISTINCT clip_id, 'fps_mismatch', '' FROM fx_frames WHERE clip_id % 9 = 0 UNION ALL SELECT DISTINCT clip_id, 'source_digest_mismatch', '' FROM fx_frames WHERE clip_id % 10 = 0"""
+ORACLES["player_reuse_checks"] = f"""{POSE}, pd AS (SELECT *, frame_index % 29 = 0 AS bad_mid, concat(frame_index, ':', track_id) AS key FROM pw)
+ SELECT clip_id, 'score_invalid' AS rule, key FROM pd WHERE frame_index % 31 = 0 UNION ALL SELECT clip_id, 'box_invalid', key FROM pd WHERE x2 <= x1 OR y2 <= y1 UNION ALL
+ SELECT clip_id, 'midpoint_disagrees', key FROM pd WHERE bad_mid AND mx IS NOT NULL AND (abs(mx - 1) > 1e-5 OR abs(my - 2) > 1e-5) UNION ALL
+ SELECT clip_id, 'midpoint_invented', key FROM pd WHERE bad_mid AND mx IS NULL"""
+ORACLES["overlay_checks"] = f"""{POSE.replace(cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois'), cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois', 'fx_shuttle', 'fx_dirty_shuttle'))}, {_FULL}
+ SELECT clip_id, 'frame_not_stored' AS rule, {_KEY} AS key FROM j WHERE tb IS NULL UNION ALL SELECT clip_id, 'frame_not_in_source', {_KEY} FROM j WHERE ta IS NULL UNION ALL
+ SELECT clip_id, 'time_differs_from_source', {_KEY} FROM j WHERE abs(ta - tb) > 1e-5 UNION ALL SELECT clip_id, 'motion_row_differs', {_KEY} FROM j WHERE ta IS NULL OR tb IS NULL OR abs(ta - tb) > 1e-5 UNION ALL
+ SELECT clip_id, 'observed_count_wrong', {_KEY} FROM fx_frames WHERE frame_index % 37 = 0"""
+ORACLES["timeline_checks"] = f"""{_D}, d AS (SELECT clip_id, frame_index, min(timestamp_s) AS t, count(*) AS c FROM fx_dirty_shuttle GROUP BY clip_id, frame_index),
+ l AS (SELECT *, lag(t) OVER (PARTITION BY clip_id ORDER BY frame_index) AS pt FROM d)
+ SELECT clip_id, 'duplicate_frame' AS rule, {_KEY} AS key FROM l WHERE c > 1 UNION ALL SELECT clip_id, 'negative_time', {_KEY} FROM l WHERE t < 0 UNION ALL
+ SELECT clip_id, 'time_not_rising', {_KEY} FROM l WHERE t <= pt"""
+
+# Clip-level quality ----------------------------------------------------------------------
+_PREF = cte('fx_frames', 'fx_positions', 'fx_identity')
+_EVERY = cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois', 'fx_calibrations', 'fx_rallies', 'fx_shuttle')
+QUALITY = f"""{MOTION.replace(_PREF, _EVERY)}{POSE[len(cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois')):]},
+qu AS (SELECT r.clip_id, r.frames, r.mism, coalesce(m.v, 0) AS v, coalesce(m.n, 0) AS n, {_CONF} AS reviewed FROM (SELECT clip_id, count(*) AS frames, count(*) FILTER (n <> e) AS mism FROM rec GROUP BY clip_id) r
+ LEFT JOIN (SELECT clip_id, count(*) FILTER (valid) AS v, count(*) AS n FROM mo GROUP BY clip_id) m USING (clip_id) JOIN fx_calibrations USING (clip_id))"""
+ORACLES["clip_quality"] = f"""{QUALITY} SELECT clip_id, {i('frames', 'frame_count')}, {i('mism', 'count_mismatch_frames')}, {i('v', 'valid_player_positions')}, {i('n', 'player_observations')}, reviewed AS calibration_reviewed FROM qu"""
