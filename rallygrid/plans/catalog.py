@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from .. import fixtures
 from ..functions.court import zone
 from ..operators import checks, court, evaluation, motion, pose, review, shuttle, summaries, timeline, trails
-from ..policy import KEYPOINTS
+from ..sources import writers
+from . import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FRAME = ["clip_id", "frame_index"]
@@ -643,3 +644,56 @@ def clip_warnings(t):
     unbound = t.clips.select("clip_id", (F.col("clip_id") % 6 == 0).alias("unbound"))
     return summaries.warnings(t.clips, summaries.quality(m, t.records, t.calibrations), motion.fragment_summary(m, t.frames), t.identity, t.rallies,
                               shuttle.shuttle_summary(shuttle.shuttle_motion(t.flagged_shuttle)), unbound)
+
+
+# Exports ---------------------------------------------------------------------------
+
+@query
+def players_wide(t):
+    return writers.players_wide(t.players, t.records)
+
+
+@query
+def players_nested(t):
+    n = writers.players_nested(t.records, t.players)
+    return n.select(*FRAME, F.size("players").alias("players"), F.get("players", F.lit(0))["track_id"].alias("first_track"))
+
+
+@query
+def court_position_export(t):
+    return writers.court_positions(court.project_players(t.anchored, t.cameras))
+
+
+@query
+def report_lines(t):
+    return _report_parts(t)[0]
+
+
+@query
+def insight_documents(t):
+    return _report_parts(t)[1]
+
+
+@query
+def run_summaries(t):
+    s = reports.run_summaries(t.clips, summaries.tracking_summary(t.filled), pose.track_summary(t.records, t.players),
+                              court.projection_summary(court.project_players(t.anchored, t.cameras)),
+                              summaries.quality(t.labelled_motion, t.records, t.calibrations), {"mode": "mixed"}, ["player_motion", "shuttle_motion"], 0.0)
+    return s.select("clip_id", "status", F.col("tracking_quality.detected").alias("detected"), F.col("player_tracking_quality.unique_track_ids").alias("unique_track_ids"),
+                    F.col("court_tracking_quality.positions_available").alias("positions_available"), F.col("insights.valid_player_positions").alias("valid_player_positions"))
+
+
+def _report_parts(t):
+    m = fixtures.stored(t.spark, t.sf_dir, "labelled_motion", lambda: t.labelled_motion)
+    frag = motion.fragment_summary(m, t.frames)
+    zones = motion.zone_seconds(motion.occupancy(m))
+    shuttles = shuttle.shuttle_summary(shuttle.shuttle_motion(t.flagged_shuttle))
+    doubles = t.clips.where("mode = 'doubles'").select("clip_id")
+    pairs = review.pair_summary(review.pair_spacing(m.join(doubles, "clip_id", "left_semi")))
+    spacing, rec = review.spacing_status(t.clips, pairs), review.recovery(t.targets, m, t.frames)
+    q = summaries.quality(m, t.records, t.calibrations)
+    warn = summaries.warnings(t.clips, q, frag, t.identity, t.rallies, shuttles)
+    spans = review.rally_spans(t.rallies, t.frames)
+    lines = reports.report_lines(t.clips, frag, motion.top_zones(zones.withColumn("seconds", F.round("seconds", 9))), shuttles, spans, pairs, spacing, rec, warn)
+    docs = reports.insight_documents(t.clips, q, frag, zones, review.identified_players(frag), shuttles, spans, pairs, spacing, rec, warn)
+    return lines, docs
