@@ -123,8 +123,8 @@ def _local_fit(policy: Policy):
     around = F.array_compact(F.array("p2", "p1", "p0", "n1", "n2"))
     closest = F.slice(F.array_sort(F.transform(around, lambda p: F.struct(
         F.abs(p["t"] - t0).alias("d"), p["f"].alias("f"), p["t"].alias("t"), p["x"].alias("x"), p["y"].alias("y")))), 1, 3)
-    picked = F.when(F.size(near) >= 3, F.transform(near, lambda p: F.struct(p["t"].alias("t"), p["x"].alias("x"), p["y"].alias("y")))).otherwise(
-        F.transform(closest, lambda p: F.struct(p["t"].alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
+    picked = F.when(F.size(near) >= 3, near).otherwise(F.transform(closest, lambda p: F.struct(
+        p["t"].alias("t"), p["x"].alias("x"), p["y"].alias("y"), p["f"].alias("f"))))
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "s", "ss", "x", "y", "sx", "sy")])
 
     def add(a, p):
@@ -161,20 +161,10 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
         F.col("is_core") & F.col("first_seen") & F.col("valid_position") & F.coalesce("carried", F.lit(False)),
         "observation_gap").otherwise(F.col("reason")))
 
+    # One order serves every window below, so the rows are sorted once per segment.
     seg_by = ", ".join([*BLOCK, "seg"])
     ws = Window.partitionBy(*BLOCK, "seg").orderBy("timestamp_s")
-    whole = Window.partitionBy(*BLOCK, "seg")
-    point = F.struct(F.col("timestamp_s").alias("t"), F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.col("frame_index").alias("f"))
-    reach = policy.smoothing_half_window_s + 1e-6
-    r = (r.withColumn("p0", point)
-          .withColumns({"neighbours": F.expr(
-              f"collect_list(p0) over (partition by {seg_by} order by timestamp_s "
-              f"range between {reach!r}D preceding and {reach!r}D following)"),
-              "p1": F.lag("p0", 1).over(ws), "p2": F.lag("p0", 2).over(ws),
-              "n1": F.lead("p0", 1).over(ws), "n2": F.lead("p0", 2).over(ws)})
-          .withColumn("fit", F.when(F.col("valid_position"), _local_fit(policy)))
-          .drop("p0", "neighbours", "p1", "p2", "n1", "n2"))
-
+    whole = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = block_of(pos, layout.block_s)
     spread = policy.stationary_extent_m + 1e-9
     r = r.withColumns({
@@ -192,6 +182,18 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
              .when(F.col("inside") & F.col("after"), F.col("still_tail"))
              .when(F.col("radius") * 2 <= policy.stationary_extent_m, F.struct("mx", "my")))
     r = r.withColumn("radius", radius).withColumn("rest", rest)
+
+    # The fit is only worked out where the athlete moved.
+    point = F.struct(F.col("timestamp_s").alias("t"), F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.col("frame_index").alias("f"))
+    reach = policy.smoothing_half_window_s + 1e-6
+    r = (r.withColumn("p0", F.when(F.col("valid_position") & F.col("rest").isNull(), point))
+          .withColumns({"neighbours": F.expr(
+              f"collect_list(p0) over (partition by {seg_by} order by timestamp_s "
+              f"range between {reach!r}D preceding and {reach!r}D following)"),
+              "p1": F.lag("p0", 1).over(ws), "p2": F.lag("p0", 2).over(ws),
+              "n1": F.lead("p0", 1).over(ws), "n2": F.lead("p0", 2).over(ws)})
+          .withColumn("fit", F.when(F.col("p0").isNotNull(), _local_fit(policy)))
+          .drop("p0", "neighbours", "p1", "p2", "n1", "n2"))
     r = r.withColumns({f"smoothed_{axis}_m": F.when(F.col("valid_position"), F.coalesce(
         F.col(f"rest.{m}"), F.col(f"fit.{axis}"), F.col(f"{axis}_m"))) for axis, m in (("x", "mx"), ("y", "my"))})
 

@@ -63,6 +63,11 @@ class Tables:
         placed = motion.with_identity(motion.player_positions(self.observed), self.identity)
         return motion.player_motion(placed, self.frames)
 
+    @property
+    def stored_motion(self) -> DataFrame:
+        """Motion is worked out once and stored; summaries read it from there."""
+        return fixtures.stored(self.spark, self.sf_dir, "labelled_motion", lambda: self.labelled_motion)
+
     @property
     def motion(self) -> DataFrame:
         return motion.player_motion(motion.player_positions(self.observed), self.frames)
@@ -206,44 +211,44 @@ def player_motion(t):
 
 @query
 def zone_seconds(t):
-    return motion.zone_seconds(motion.occupancy(t.motion))
+    return motion.zone_seconds(motion.occupancy(t.stored_motion))
 
 
 @query
 def top_zones(t):
-    return motion.top_zones(motion.zone_seconds(motion.occupancy(t.motion)).withColumn("seconds", F.round("seconds", 9)))
+    return motion.top_zones(motion.zone_seconds(motion.occupancy(t.stored_motion)).withColumn("seconds", F.round("seconds", 9)))
 
 
 @query
 def heatmap_seconds(t):
-    return motion.heatmap(motion.occupancy(t.motion))
+    return motion.heatmap(motion.occupancy(t.stored_motion))
 
 
 @query
 def heatmap_intensity(t):
-    return motion.heatmap_intensity(motion.heatmap(motion.occupancy(t.motion)))
+    return motion.heatmap_intensity(motion.heatmap(motion.occupancy(t.stored_motion)))
 
 
 @query
 def fragment_summary(t):
-    return motion.fragment_summary(t.labelled_motion, t.frames)
+    return motion.fragment_summary(t.stored_motion, t.frames)
 
 
 @query
 def player_flag_counts(t):
-    return motion.flag_counts(t.motion)
+    return motion.flag_counts(t.stored_motion)
 
 
 # Annotations -----------------------------------------------------------------
 
 @query
 def identified_players(t):
-    return review.identified_players(motion.fragment_summary(t.labelled_motion, t.frames))
+    return review.identified_players(motion.fragment_summary(t.stored_motion, t.frames))
 
 
 @query
 def rally_summary(t):
-    return review.rally_summary(t.rallies, t.labelled_motion, t.frames)
+    return review.rally_summary(t.rallies, t.stored_motion, t.frames)
 
 
 @query
@@ -253,24 +258,24 @@ def events_in_rallies(t):
 
 @query
 def reviewed_events(t):
-    return review.reviewed_events(t.events, t.labelled_motion)
+    return review.reviewed_events(t.events, t.stored_motion)
 
 
 @query
 def doubles_pair_spacing(t):
     doubles = t.clips.where("mode = 'doubles'").select("clip_id")
-    return review.pair_spacing(t.labelled_motion.join(doubles, "clip_id", "left_semi"))
+    return review.pair_spacing(t.stored_motion.join(doubles, "clip_id", "left_semi"))
 
 
 @query
 def doubles_pair_summary(t):
     doubles = t.clips.where("mode = 'doubles'").select("clip_id")
-    return review.pair_summary(review.pair_spacing(t.labelled_motion.join(doubles, "clip_id", "left_semi")))
+    return review.pair_summary(review.pair_spacing(t.stored_motion.join(doubles, "clip_id", "left_semi")))
 
 
 @query
 def recovery(t):
-    return review.recovery(t.targets, t.labelled_motion, t.frames).drop("reason")
+    return review.recovery(t.targets, t.stored_motion, t.frames).drop("reason")
 
 
 # Court -----------------------------------------------------------------------
@@ -606,7 +611,7 @@ def binding_checks(t):
 
 @query
 def heatmap_checks(t):
-    cells = motion.heatmap(motion.occupancy(t.motion))
+    cells = motion.heatmap(motion.occupancy(t.stored_motion))
     return checks.check_heatmap(cells.withColumn("seconds", F.when(F.col("cell_row") % 9 == 0, -F.col("seconds")).otherwise(F.col("seconds"))))
 
 
@@ -635,12 +640,12 @@ def overlay_checks(t):
 
 @query
 def clip_quality(t):
-    return summaries.quality(t.labelled_motion, t.records, t.calibrations)
+    return summaries.quality(t.stored_motion, t.records, t.calibrations)
 
 
 @query
 def clip_warnings(t):
-    m = t.labelled_motion
+    m = t.stored_motion
     unbound = t.clips.select("clip_id", (F.col("clip_id") % 6 == 0).alias("unbound"))
     return summaries.warnings(t.clips, summaries.quality(m, t.records, t.calibrations), motion.fragment_summary(m, t.frames), t.identity, t.rallies,
                               shuttle.shuttle_summary(shuttle.shuttle_motion(t.flagged_shuttle)), unbound)
@@ -678,13 +683,13 @@ def insight_documents(t):
 def run_summaries(t):
     s = reports.run_summaries(t.clips, summaries.tracking_summary(t.filled), pose.track_summary(t.records, t.players),
                               court.projection_summary(court.project_players(t.anchored, t.cameras)),
-                              summaries.quality(t.labelled_motion, t.records, t.calibrations), {"mode": "mixed"}, ["player_motion", "shuttle_motion"], 0.0)
+                              summaries.quality(t.stored_motion, t.records, t.calibrations), {"mode": "mixed"}, ["player_motion", "shuttle_motion"], 0.0)
     return s.select("clip_id", "status", F.col("tracking_quality.detected").alias("detected"), F.col("player_tracking_quality.unique_track_ids").alias("unique_track_ids"),
                     F.col("court_tracking_quality.positions_available").alias("positions_available"), F.col("insights.valid_player_positions").alias("valid_player_positions"))
 
 
 def _report_parts(t):
-    m = fixtures.stored(t.spark, t.sf_dir, "labelled_motion", lambda: t.labelled_motion)
+    m = fixtures.stored(t.spark, t.sf_dir, "labelled_motion", lambda: t.stored_motion)
     frag = motion.fragment_summary(m, t.frames)
     zones = motion.zone_seconds(motion.occupancy(m))
     shuttles = shuttle.shuttle_summary(shuttle.shuttle_motion(t.flagged_shuttle))
