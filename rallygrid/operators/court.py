@@ -1,6 +1,8 @@
 """Camera calibration: matrices, projection, floor lines, consistency measures."""
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,8 +106,10 @@ def fit_diagnostics(calib: DataFrame) -> DataFrame:
         trip.append(F.hypot(bx - x, by - y))
         if i < 4:
             fit.append(F.hypot(cx - truth[i][0], cy - truth[i][1]))
-    return (calib.withColumns({"max_corner_fit_error_m": F.greatest(*fit), "max_roundtrip_error_px": F.greatest(*trip)})
-                 .withColumn("acceptable", (F.col("max_corner_fit_error_m") <= 1e-7) & (F.col("max_roundtrip_error_px") <= 1e-5)))
+    # A sample point at the horizon leaves a null behind and fails the calibration.
+    broken = reduce(lambda a, b: a | b, [e.isNull() for e in fit + trip])
+    return (calib.withColumns({"max_corner_fit_error_m": F.when(~broken, F.greatest(*fit)), "max_roundtrip_error_px": F.when(~broken, F.greatest(*trip))})
+                 .withColumn("acceptable", ~broken & (F.col("max_corner_fit_error_m") <= 1e-7) & (F.col("max_roundtrip_error_px") <= 1e-5)))
 
 
 def condition_numbers(calib: DataFrame) -> DataFrame:

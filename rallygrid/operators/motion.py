@@ -139,7 +139,7 @@ def _local_fit(policy: Policy):
         return F.struct(((a["ss"] * a["x"] - a["s"] * a["sx"]) / det).alias("x"),
                         ((a["ss"] * a["y"] - a["s"] * a["sy"]) / det).alias("y"))
 
-    return F.when(F.size(around) >= 3, F.aggregate(picked, zero, add, read_off))
+    return F.when(F.col("n") >= 3, F.aggregate(picked, zero, add, read_off))
 
 
 def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = POLICY, layout: Layout = LAYOUT) -> DataFrame:
@@ -168,6 +168,7 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
     own = block_of(pos, layout.block_s)
     spread = policy.stationary_extent_m + 1e-9
     r = r.withColumns({
+        "n": F.count(F.lit(1)).over(whole),
         "maybe": F.col("valid_position") & (F.count(F.lit(1)).over(whole) >= 3)
         & (F.max("x_m").over(whole) - F.min("x_m").over(whole) <= spread)
         & (F.max("y_m").over(whole) - F.min("y_m").over(whole) <= spread),
