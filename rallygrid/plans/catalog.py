@@ -273,6 +273,12 @@ def doubles_pair_summary(t):
     return review.pair_summary(review.pair_spacing(t.stored_motion.join(doubles, "clip_id", "left_semi")))
 
 
+@query
+def doubles_spacing_status(t):
+    doubles = t.clips.where("mode = 'doubles'").select("clip_id")
+    return review.spacing_status(t.clips, review.pair_summary(review.pair_spacing(t.stored_motion.join(doubles, "clip_id", "left_semi"))))
+
+
 @query
 def recovery(t):
     return review.recovery(t.targets, t.stored_motion, t.frames).drop("reason")

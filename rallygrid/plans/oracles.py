@@ -451,8 +451,46 @@ ORACLES["timeline_checks"] = f"""{_D}, d AS (SELECT clip_id, frame_index, min(ti
 
 # Clip-level quality ----------------------------------------------------------------------
 _PREF = cte('fx_frames', 'fx_positions', 'fx_identity')
-_EVERY = cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois', 'fx_calibrations', 'fx_rallies', 'fx_shuttle')
+_EVERY = cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois', 'fx_calibrations', 'fx_rallies', 'fx_shuttle', 'fx_ankles')
 QUALITY = f"""{MOTION.replace(_PREF, _EVERY)}{POSE[len(cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois')):]},
 qu AS (SELECT r.clip_id, r.frames, r.mism, coalesce(m.v, 0) AS v, coalesce(m.n, 0) AS n, {_CONF} AS reviewed FROM (SELECT clip_id, count(*) AS frames, count(*) FILTER (n <> e) AS mism FROM rec GROUP BY clip_id) r
  LEFT JOIN (SELECT clip_id, count(*) FILTER (valid) AS v, count(*) AS n FROM mo GROUP BY clip_id) m USING (clip_id) JOIN fx_calibrations USING (clip_id))"""
 ORACLES["clip_quality"] = f"""{QUALITY} SELECT clip_id, {i('frames', 'frame_count')}, {i('mism', 'count_mismatch_frames')}, {i('v', 'valid_player_positions')}, {i('n', 'player_observations')}, reviewed AS calibration_reviewed FROM qu"""
+
+# Exports -------------------------------------------------------------------------------
+_POINT_NAMES = _NAMES.strip("[]").replace("'", "").split(",")
+_WIDE = ", ".join(f"max(CASE WHEN k = {k} AND vis THEN x END) AS {n}_x, max(CASE WHEN k = {k} AND vis THEN y END) AS {n}_y, "
+                  f"max(CASE WHEN k = {k} THEN conf END) AS {n}_confidence, bool_or(k = {k} AND vis) AS {n}_visible" for k, n in enumerate(_POINT_NAMES))
+_WIDE_OUT = ", ".join(f"{r(f'{n}_x')}, {r(f'{n}_y')}, {r(f'{n}_confidence')}, {n}_visible" for n in _POINT_NAMES)
+ORACLES["players_wide"] = f"""{POSE}, wd AS (SELECT clip_id, frame_index, track_id, {_WIDE} FROM kp GROUP BY clip_id, frame_index, track_id)
+ SELECT {_K}, {r('timestamp_s')}, {i('e', 'expected_player_count')}, {i('n', 'observed_player_count')}, n <> e AS count_mismatch, {_REC.replace('weak', 'rec.weak')} AS frame_flags,
+ 'bytetrack' AS identity_source, {r('bc', 'confidence')}, {r('x1', 'bbox_x1')}, {r('y1', 'bbox_y1')}, {r('x2', 'bbox_x2')}, {r('y2', 'bbox_y2')}, {r('mx', 'ankle_midpoint_x')}, {r('my', 'ankle_midpoint_y')},
+ pw.weak AS low_confidence, {_WIDE_OUT} FROM wd JOIN pw USING (clip_id, frame_index, track_id) JOIN rec USING (clip_id, frame_index)"""
+ORACLES["players_nested"] = f"""{POSE} SELECT clip_id, {i('frame_index')}, {i('n', 'players')}, {i('first_track')} FROM rec LEFT JOIN
+ (SELECT clip_id, frame_index, min(track_id) AS first_track FROM pw GROUP BY clip_id, frame_index) USING (clip_id, frame_index)"""
+ORACLES["court_position_export"] = ORACLES["projected_players"].replace("AS court_flags", "AS quality_flags").replace(
+    "f.frame_index, ankle_x", "f.frame_index, f.timestamp_s, ankle_x").replace(f"SELECT clip_id, {i('frame_index')}, ", f"SELECT clip_id, {i('frame_index')}, {r('timestamp_s')}, {i('1', 'track_id')}, ")
+
+# Clip-level texts ----------------------------------------------------------------------------
+# Both chains name a step sm; the shuttle one is renamed.
+_SUMMARY = f"""{QUALITY}{SHUTTLE[len(cte('fx_frames', 'fx_shuttle')):].replace("sm AS (SELECT *, CASE WHEN joined", "sm2 AS (SELECT *, CASE WHEN joined")},
+ fs AS (SELECT clip_id, track_id, count(*) - 1 - count(dt) > 0 AS partial FROM mo GROUP BY clip_id, track_id),
+ tw AS (SELECT clip_id, count(*) AS tracks, bool_or(partial) AS partial FROM fs GROUP BY clip_id),
+ jc AS (SELECT clip_id, count(*) FILTER ({JUMP}) AS jumps FROM sm2 GROUP BY clip_id)"""
+ORACLES["clip_warnings"] = f"""{_SUMMARY} SELECT clip_id, concat_ws(';',
+ CASE WHEN clip_id % 6 = 0 THEN 'The supplied annotations have no source_video_sha256 binding; confirm they belong to this exact video before trusting identities or targets.' END,
+ CASE WHEN NOT reviewed THEN 'Court calibration is unavailable or an unconfirmed automatic proposal; metre movement metrics are unavailable.' END,
+ CASE WHEN mism > 0 THEN concat(mism, ' frames have unexpected player counts; review identities and court ROI.') END,
+ CASE WHEN partial THEN 'Some movement intervals were excluded due to gaps, confidence, calibration or implausible jumps; distance is a partial observed estimate.' END,
+ CASE WHEN tracks > expected_player_count THEN 'More tracker fragments than expected athletes; raw tracker IDs do not establish athlete identity.' END,
+ CASE WHEN clip_id NOT IN (SELECT clip_id FROM fx_identity) THEN 'No athlete identity mapping was reviewed; all player summaries describe raw tracker fragments.' END,
+ CASE WHEN clip_id NOT IN (SELECT clip_id FROM fx_rallies) THEN 'No rally boundaries were reviewed; whole-clip totals may include waiting, replay or between-rally movement.' END,
+ CASE WHEN jumps > 0 THEN concat(jumps, ' shuttle intervals moved at least 10% of the source image diagonal in one frame. This review cue does not distinguish a fast shuttle from a false detection. Review the video before interpreting mean or largest detected image motion.') END) AS warnings
+ FROM fx_clips JOIN qu USING (clip_id) JOIN tw USING (clip_id) JOIN jc USING (clip_id)"""
+ORACLES["doubles_spacing_status"] = f"""{PAIRS} SELECT clip_id, CASE WHEN mode = 'doubles' AND have THEN 'available' ELSE 'unavailable' END AS status,
+ CASE WHEN mode <> 'doubles' THEN 'Only applicable to doubles.' WHEN NOT have THEN 'Requires exactly four valid floor positions with reviewed identity and near/far side mapping; no inferred partnerships.' END AS reason
+ FROM (SELECT clip_id, mode, clip_id IN (SELECT clip_id FROM ps) AS have FROM fx_clips) q"""
+ORACLES["run_summaries"] = f"""{QUALITY}{FILLED[len(cte('fx_frames', 'fx_shuttle')):]}, td AS (SELECT clip_id, count(*) FILTER (source = 'detected') AS d FROM filled GROUP BY clip_id),
+ tt AS (SELECT clip_id, count(DISTINCT track_id) AS t FROM pw GROUP BY clip_id), ta AS (SELECT clip_id, count(ankle_x) AS a FROM fx_ankles GROUP BY clip_id)
+ SELECT clip_id, 'complete' AS status, {i('d', 'detected')}, {i('t', 'unique_track_ids')}, {i('a', 'positions_available')}, {i('v', 'valid_player_positions')}
+ FROM qu JOIN td USING (clip_id) JOIN tt USING (clip_id) JOIN ta USING (clip_id)"""
