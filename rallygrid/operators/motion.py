@@ -263,8 +263,8 @@ def flag_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def fragment_summary(motion: DataFrame, timeline: DataFrame) -> DataFrame:
     """Totals per track: distances stay null without an interval, time is zero."""
     labels = [c for c in ("player_label", "side", "team") if c in motion.columns]
-    s = motion.groupBy(*TRACK).agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in labels],
+    # A track has one label, side and team, so they are part of the key and the aggregate stays hash-based.
+    s = motion.groupBy(*TRACK, *labels).agg(
         F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"),
         F.count(F.lit(1)).alias("observed_frames"), F.count_if("valid_position").alias("valid_position_frames"),
         F.count("distance_m").alias("motion_intervals"), F.sum("distance_m").alias("distance_m"),

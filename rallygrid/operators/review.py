@@ -45,9 +45,10 @@ def rally_summary(rallies: DataFrame, motion: DataFrame, frames: DataFrame) -> D
         "frame_index", "interval_start_frame", "interval_duration_s", "distance_m")
     inside = match_ranges(moves, spans.select(CLIP, "rally_id", "start_frame", "end_frame"), [CLIP],
                           "frame_index", "start_frame", "end_frame", CELL).where("interval_start_frame >= start_frame")
-    label = [F.first("player_label", ignorenulls=True).alias("player_label")] if "player_label" in motion.columns else []
-    per = inside.groupBy(CLIP, "rally_id", "track_id").agg(
-        *label, F.sum("distance_m").alias("distance_m"), F.sum("interval_duration_s").alias("valid_motion_time_s"))
+    # The label belongs to the track; as part of the key it keeps the aggregate hash-based.
+    label = ["player_label"] if "player_label" in motion.columns else []
+    per = inside.groupBy(CLIP, "rally_id", "track_id", *label).agg(
+        F.sum("distance_m").alias("distance_m"), F.sum("interval_duration_s").alias("valid_motion_time_s"))
     return (spans.join(per, [CLIP, "rally_id"], "left")
                  .withColumn("average_speed_m_s", F.try_divide("distance_m", "valid_motion_time_s")))
 
