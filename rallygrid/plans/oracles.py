@@ -95,7 +95,7 @@ def zone_sql(x: str, y: str) -> str:
 
 ORACLES["court_zones"] = f"{cte('fx_positions')} SELECT clip_id, {i('frame_index')}, {i('track_id')}, {zone_sql('x_m', 'y_m')} AS zone FROM fx_positions WHERE x_m IS NOT NULL"
 _CONF = "NOT (method LIKE 'auto%' AND NOT manually_reviewed)"
-_NEAR = "x_m BETWEEN -1 AND 7.1 AND y_m BETWEEN -1 AND 14.4"
+_NEAR = "x_m BETWEEN -1 AND 6.1e0 + 1 AND y_m BETWEEN -1 AND 13.4e0 + 1"
 ORACLES["player_positions"] = f"""{cte('fx_positions', 'fx_calibrations')},
 q AS (SELECT p.*, {_CONF} AS conf, {_CONF} AND x_m IS NOT NULL AND NOT low_confidence AND cut_flag IS NULL AS v FROM fx_positions p JOIN fx_calibrations USING (clip_id)),
 u AS (SELECT *, coalesce(v AND {_NEAR}, false) AS ok FROM q)
@@ -360,7 +360,7 @@ ORACLES["sequence_windows"] = f"""{cte('fx_frames')}, l AS (SELECT clip_id, max(
 ORACLES["sampled_frames"] = f"""{cte('fx_frames')}, d AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY md5(concat(clip_id, ':', frame_index, ':7')), frame_index) AS rk FROM fx_frames)
  SELECT clip_id, {i('frame_index')}, {r('timestamp_s')} FROM d WHERE rk <= 16"""
 ORACLES["map_trails"] = f"""{cte('fx_positions')}, s AS (SELECT *, frame_index - row_number() OVER (PARTITION BY clip_id, track_id ORDER BY frame_index) AS g FROM fx_positions
-  WHERE x_m BETWEEN -0.8 AND 6.9 AND y_m BETWEEN -0.8 AND 14.2) SELECT {_K}, {i('count(*) OVER w', 'points')}, {r('first_value(x_m) OVER w', 'oldest_x')}, {r('first_value(y_m) OVER w', 'oldest_y')}
+  WHERE x_m BETWEEN -0.8e0 AND 6.1e0 + 0.8e0 AND y_m BETWEEN -0.8e0 AND 13.4e0 + 0.8e0) SELECT {_K}, {i('count(*) OVER w', 'points')}, {r('first_value(x_m) OVER w', 'oldest_x')}, {r('first_value(y_m) OVER w', 'oldest_y')}
  FROM s WINDOW w AS (PARTITION BY clip_id, track_id, g ORDER BY frame_index ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"""
 ORACLES["shuttle_trails"] = f"""{FILLED}, s AS (SELECT *, frame_index - row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) AS g FROM filled WHERE source = 'detected')
  SELECT clip_id, {i('frame_index')}, {i('count(*) OVER w', 'points')}, {r('first_value(x) OVER w', 'oldest_x')}, {r('first_value(y) OVER w', 'oldest_y')}
