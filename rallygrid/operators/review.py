@@ -20,17 +20,19 @@ def _plausible() -> Column:
 
 def rally_spans(rallies: DataFrame, frames: DataFrame) -> DataFrame:
     """Reviewed rallies with their times; a clip without any becomes one whole-clip span."""
+    notes = [c for c in ("notes", "outcome", "winner_label") if c in rallies.columns]
     ends = frames.groupBy(CLIP).agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"),
                                     F.min_by("timestamp_s", "frame_index").alias("start_s"),
                                     F.max_by("timestamp_s", "frame_index").alias("end_s"))
     whole = ends.join(rallies.select(CLIP).distinct(), CLIP, "left_anti").select(
         CLIP, F.lit("unsegmented_clip").alias("rally_id"), "start_frame", "end_frame", "start_s", "end_s",
-        F.lit("whole_clip_not_automatically_classified_as_rally").alias("boundary_source"))
+        F.lit("whole_clip_not_automatically_classified_as_rally").alias("boundary_source"),
+        *[F.lit(None).cast("string").alias(c) for c in notes])
     times = frames.select(CLIP, "frame_index", "timestamp_s")
-    reviewed = (rallies.select(CLIP, "rally_id", "start_frame", "end_frame")
+    reviewed = (rallies.select(CLIP, "rally_id", "start_frame", "end_frame", *notes)
                 .join(times.select(CLIP, F.col("frame_index").alias("start_frame"), F.col("timestamp_s").alias("start_s")), [CLIP, "start_frame"])
                 .join(times.select(CLIP, F.col("frame_index").alias("end_frame"), F.col("timestamp_s").alias("end_s")), [CLIP, "end_frame"])
-                .select(CLIP, "rally_id", "start_frame", "end_frame", "start_s", "end_s", F.lit("manual_review").alias("boundary_source")))
+                .select(CLIP, "rally_id", "start_frame", "end_frame", "start_s", "end_s", F.lit("manual_review").alias("boundary_source"), *notes))
     return reviewed.unionByName(whole).withColumn("duration_s", F.col("end_s") - F.col("start_s"))
 
 
