@@ -70,8 +70,8 @@ def test_teleport_splits(spark):
     assert [r.speed_m_s is None for r in m.orderBy("frame_index").collect()] == [True, False, True, True, False]
 
 
-def test_smoothed_speed_guard_keeps_the_segment(spark):
-    # Raw steps stay below the guard only because it is set between raw and smoothed speed.
+def test_raw_speed_guard_decides_segments(spark):
+    # Steps of 6.67 m/s: one segment just below the guard, three just above.
     t, x = _every(3, .3), [1.0, 3.0, 5.0]
     m, s = _move(spark, t, x, Policy(max_player_speed_m_s=6.7, gap_cap_multiplier=10.0))
     ok, _ = _move(spark, t, x, Policy(max_player_speed_m_s=6.6, gap_cap_multiplier=10.0))
