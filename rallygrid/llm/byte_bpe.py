@@ -17,7 +17,6 @@ ones too; an id outside the vocabulary fails the job when decoding.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Bounds of a worker's memory: chunks in each of two generations, the longest of them, and characters of text encoded at once.
 KEEP_CHUNKS, KEEP_CHARS, BLOCK_CHARS = 400_000, 48, 1 << 20
 TWO_BLANKS = re.compile(r"\s\s")
@@ -165,7 +166,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 at += len(block)
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, schema)
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -180,7 +181,7 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = Non
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([own.decode(x) for x in part.column(2).to_pylist()], pa.binary())],
                                                  names=["doc_id", "n_tokens", "token_ids", "decoded"])
 
-    return tokens.select("doc_id", "n_tokens", "token_ids").mapInArrow(run, "doc_id long, n_tokens long, token_ids binary, decoded binary")
+    return map_arrow(tokens.select("doc_id", "n_tokens", "token_ids"), run, "doc_id long, n_tokens long, token_ids binary, decoded binary")
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,7 +1,12 @@
 """What the text operators share: word rules, tables, lineage cuts."""
 from __future__ import annotations
 
+import os
+import sys
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +44,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package where their path doesn't have it."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in known) or getattr(sc, "_text_operators_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "rallygrid.zip")  # the driver serves it to executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in (root / "rallygrid").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    known_path = list(sys.path)
+    sc.addPyFile(path)
+    sys.path[:] = known_path  # the driver itself keeps importing from the folder
+    sc._text_operators_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
