@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, sharding
+from . import byte_bpe, minhash, sharding, substring_dedup
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,21 @@ m AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(m.b, w.doc_id)) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id
 """
+
+
+@query
+def op3_debruijn_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_debruijn_dedup"] = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT win, min(doc_id) AS low FROM g GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (win) WHERE low < doc_id),
+k AS (
+  SELECT w.doc_id, w.p, w.x FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x FROM w) w
+  LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = w.p WHERE c.p IS NULL),
+s AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM k GROUP BY 1)
+SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(s.n, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+"""
