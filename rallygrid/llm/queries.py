@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, sharding, substring_dedup
+from . import byte_bpe, minhash, quality_lines, sharding, substring_dedup
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,32 @@ k AS (
 s AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM k GROUP BY 1)
 SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(s.n, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
 """
+
+
+@query
+def op5_line_frequency_rules(spark, sf_dir):
+    return quality_lines.judge(load(spark, sf_dir, "documents")).drop("host", "lost_lines")
+
+
+ORACLES["op5_line_frequency_rules"] = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM g) WHERE k > 1) GROUP BY 1),
+l AS MATERIALIZED (
+  SELECT doc_id, source, line, regexp_replace(translate(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm,
+    len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n
+  FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+f AS (
+  SELECT source, norm, min(doc_id) AS first_doc FROM l JOIN (SELECT source, count(DISTINCT doc_id) AS k FROM d GROUP BY 1) h USING (source)
+  GROUP BY source, norm, k HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) * 100 > k),
+x AS (SELECT l.doc_id, sum(l.n) AS n FROM l JOIN f ON f.source = l.source AND f.norm = l.norm AND f.first_doc <> l.doc_id GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
+c AS (
+  SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_lost_words
+  FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_lost_words > 0 AND (n_words - n_lost_words < 50 OR 100 * n_lost_words > 50 * n_words)) AS kept
+FROM c
+"""
