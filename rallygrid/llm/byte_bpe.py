@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 #: Bounds of a worker's memory: chunks in each of two generations, the longest of them, and characters of text encoded at once.
-KEEP_CHUNKS, KEEP_CHARS, BLOCK_CHARS = 400_000, 48, 1 << 20
+KEEP_CHUNKS, KEEP_CHARS, BLOCK_CHARS = 200_000, 48, 1 << 20
 TWO_BLANKS = re.compile(r"\s\s")
 
 
