@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, quality_lines, sharding, substring_dedup
+from . import byte_bpe, decontaminate, minhash, quality_lines, sharding, substring_dedup, url_trust
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,58 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_lost_words > 0 AND (n_words - n_lost_words < 50 OR 100 * n_lost_words > 50 * n_words)) AS kept
 FROM c
 """
+
+
+@query
+def op10_minhash_containment(spark, sf_dir):
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op10_minhash_containment"] = """
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM t),
+s AS MATERIALIZED (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY 1)
+SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_item, count(*) AS n_shared
+FROM s i JOIN s d ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id
+GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 75 * n.n
+"""
+
+#: Host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op6_link_trust(spark, sf_dir):
+    return url_trust.judge(load(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _trust_sql(rounds: int) -> str:
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{(h + p, v)[k]}'" for h, p, v in longest) + " END"
+    steps = "".join(f""",
+m{k + 1} AS MATERIALIZED (SELECT way, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
+  SELECT m.way, w.dst AS host, (m.mass * {url_trust.FOLLOW}) // (100 * w.degree) AS mass FROM m{k} m JOIN ways w ON w.way = m.way AND w.src = m.host
+  UNION ALL SELECT way, host, (mass * {100 - url_trust.FOLLOW}) // 100 FROM m0) GROUP BY 1, 2)""" for k in range(rounds))
+    return rf"""
+WITH u AS MATERIALIZED (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS MATERIALIZED (SELECT page_id, html, host, path, {case(0)} AS rule, {case(1)} AS said FROM u),
+l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s>]*)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM r),
+h AS (SELECT DISTINCT string_split(host, '.') AS p FROM r),
+t AS (SELECT array_to_string(p[i:], '.') AS a, array_to_string(p[i + 1:], '.') AS b FROM (SELECT p, unnest(range(1, len(p) - 1)) AS i FROM h)),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM l UNION ALL SELECT a, b FROM t UNION ALL SELECT b, a FROM t) WHERE src <> '' AND dst <> '' AND src <> dst),
+both_ways AS (SELECT 'trust' AS way, src, dst FROM e UNION ALL SELECT 'distrust', dst, src FROM e),
+ways AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY way, src) AS degree FROM both_ways),
+s AS (SELECT CASE WHEN said = 'allow' THEN 'trust' ELSE 'distrust' END AS way, host, count(*) AS n FROM r WHERE said IS NOT NULL AND host <> '' GROUP BY 1, 2),
+m0 AS MATERIALIZED (SELECT way, host, CAST(({url_trust.MASS} // sum(n) OVER (PARTITION BY way)) * n AS BIGINT) AS mass FROM s){steps},
+f AS (SELECT host, coalesce(sum(mass) FILTER (way = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (way = 'distrust'), 0) AS distrust FROM m{rounds} GROUP BY 1)
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) // 100 * {url_trust.RATIO} THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(coalesce(trust, 0) AS BIGINT) AS trust, CAST(coalesce(distrust, 0) AS BIGINT) AS distrust
+FROM r LEFT JOIN f ON f.host = r.host
+"""
+
+
+ORACLES["op6_link_trust"] = _trust_sql(url_trust.ROUNDS)
