@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, minhash, quality_lines, sharding, substring_dedup, url_trust
+from . import byte_bpe, decontaminate, minhash, quality_lines, sanitize, sharding, substring_dedup, url_trust
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,11 @@ FROM r LEFT JOIN f ON f.host = r.host
 
 
 ORACLES["op6_link_trust"] = _trust_sql(url_trust.ROUNDS)
+
+
+@query
+def op8_disclosure_pii(spark, sf_dir):
+    out = sanitize.personal_data(load(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *[count(k) for k, _, _ in sanitize.KINDS], F.sha2(sanitize.span_list(F.col("base")), 256).alias("base_sha256"),
+                      sanitize.span_list(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
