@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, minhash, quality_lines, sanitize, sharding, substring_dedup, url_trust
+from . import byte_bpe, decontaminate, license_scan, minhash, quality_lines, sanitize, secret_scan, sharding, substring_dedup, url_trust
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,14 @@ def op8_disclosure_pii(spark, sf_dir):
     count = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *[count(k) for k, _, _ in sanitize.KINDS], F.sha2(sanitize.span_list(F.col("base")), 256).alias("base_sha256"),
                       sanitize.span_list(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+
+
+@query
+def op1_license_paragraphs(spark, sf_dir):
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
+@query
+def op2_secret_forest(spark, sf_dir):
+    out = secret_scan.scan(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("found", 256).alias("found_sha256"), "score", "is_secret")
