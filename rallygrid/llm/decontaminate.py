@@ -78,3 +78,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         x["item_id"].alias("item_id"), F.size(x["shingles"]).alias("n_item"), F.size(F.array_intersect(x["shingles"], F.col("own"))).alias("n_shared")))).alias("m"))
     best = shared.groupBy("doc_id", "m.item_id").agg(F.first("m.n_item").cast("long").alias("n_item"), F.max("m.n_shared").cast("long").alias("n_shared"))
     return best.where(100 * F.col("n_shared") >= contained * F.col("n_item"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that hold a benchmark item; columns stay."""
+    hit = written(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_hit_id")).distinct(), "hit")
+    return docs.join(hit, F.col(id_col).cast("long") == F.col("_hit_id"), "left_anti")

@@ -3,8 +3,9 @@
 Counts of a text (words, symbols, repeated lines and words) come from array
 functions inside its row.  Lines are normalised (A-Z lower-cased, blanks in a row
 as one, digits as 0), hashed, and counted by distinct document of their host.  A
-line above the limits is removed from all documents of the host but its first
-(the smallest id), so a passage never vanishes from a host.  A document that
+line above the limits is removed from all documents of the host but the first
+that passes the base rules (the smallest id), so a passage doesn't vanish with
+its copies.  A document that
 loses too much is depleted and rejected, as is one that fails the base rules.
 
 Limits grow with the host: a line is above them in more than ``least`` documents
@@ -56,18 +57,22 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> D
     cover = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, p: F.struct(
         (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
     return step.select(
-        "doc_id", "host", F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
+        "doc_id", "host", F.xxhash64("text").alias("mark"), F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         cover.cast("long").alias("n_repeat_words"),
         F.transform("lines", lambda x: F.struct(F.xxhash64(line_norm(x)).alias("h"), F.size(words(x)).alias("n"))).alias("lines"))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
+
+
 def frequent_lines(counted: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """Lines above the limits: ``host, h, n_docs, first_doc``."""
     # A row for each line and document, summed on the map side, so that a host or line of any size spreads.
-    seen = counted.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    once = seen.groupBy("host", "h", "doc_id").agg(F.lit(1).alias("one"))
-    lines = once.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") > least)
+    seen = counted.select("host", "doc_id", (~base_failed()).alias("good"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    once = seen.groupBy("host", "h", "doc_id").agg(F.max("good").alias("good"))
+    lines = once.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min(F.when(F.col("good"), F.col("doc_id"))).alias("first_doc")).where(F.col("n_docs") > least)
     hosts = counted.groupBy("host").agg(F.countDistinct("doc_id").alias("host_docs"))
     over = lines.join(hosts, lines["host"].eqNullSafe(hosts["host"])).where(F.col("n_docs") * 100 > F.col("host_docs") * share)
     return over.select(lines["host"], "h", "n_docs", "first_doc")
@@ -84,10 +89,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     lost = hit.groupBy("doc_id", "host").agg(F.collect_set("h").alias("gone")).select(F.col("doc_id").alias("lost_doc"), F.col("host").alias("lost_host"), "gone")
     both = counted.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_doc")) & F.col("host").eqNullSafe(F.col("lost_host")), "left")
     n_lost = F.coalesce(F.aggregate("lines", F.lit(0), lambda s, x: s + F.when(F.array_contains("gone", x["h"]), x["n"]).otherwise(0)), F.lit(0)).cast("long")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
+    failed = base_failed()
     depleted = (F.col("n_lost_words") > 0) & ((F.col("n_words") - F.col("n_lost_words") < MIN_WORDS) | (100 * F.col("n_lost_words") > LOST * F.col("n_words")))
     return both.withColumn("n_lost_words", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n_lost)).select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_lost_words",
+        "doc_id", "host", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_lost_words",
         F.col("gone").alias("lost_lines"), (~failed & ~depleted).alias("kept"))
 
 
@@ -95,3 +100,14 @@ def without_lines(text: Column, gone: Column) -> Column:
     """The text without the lines whose hashes are in ``gone``."""
     left = F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(gone, F.xxhash64(line_norm(x)))))
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` without rejected rows, and without lines above the limits in those kept; other columns stay."""
+    told = judge(docs, id_col, text_col, host_col).where("not kept or lost_lines is not null").select(
+        F.col("doc_id").alias("_told_id"), F.col("host").alias("_told_host"), F.col("mark").alias("_told_mark"), F.col("kept").alias("_told_kept"), "lost_lines").distinct()
+    told = written(told.withColumnRenamed("lost_lines", "_told_lines"), "told")
+    text = F.col(text_col)
+    same = (F.col(id_col).cast("long").eqNullSafe(F.col("_told_id")) & F.col(host_col).cast("string").eqNullSafe(F.col("_told_host"))
+            & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_told_mark")))
+    return docs.join(told, same, "left").where(F.coalesce("_told_kept", F.lit(True))).withColumn(text_col, without_lines(text, F.col("_told_lines"))).select(*docs.columns)

@@ -73,7 +73,7 @@ SELECT w.doc_id, len(w.ws) AS n_words, len(w.ws) - coalesce(s.n, 0) AS n_removed
 
 @query
 def op5_line_frequency_rules(spark, sf_dir):
-    return quality_lines.judge(load(spark, sf_dir, "documents")).drop("host", "lost_lines")
+    return quality_lines.judge(load(spark, sf_dir, "documents")).drop("host", "mark", "lost_lines")
 
 
 ORACLES["op5_line_frequency_rules"] = """
@@ -85,10 +85,11 @@ l AS MATERIALIZED (
   SELECT doc_id, source, line, regexp_replace(translate(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm,
     len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n
   FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+b AS MATERIALIZED (SELECT doc_id, len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS failed FROM w LEFT JOIN r USING (doc_id)),
 f AS (
-  SELECT source, norm, min(doc_id) AS first_doc FROM l JOIN (SELECT source, count(DISTINCT doc_id) AS k FROM d GROUP BY 1) h USING (source)
+  SELECT source, norm, min(doc_id) FILTER (NOT failed) AS first_doc FROM l JOIN b USING (doc_id) JOIN (SELECT source, count(DISTINCT doc_id) AS k FROM d GROUP BY 1) h USING (source)
   GROUP BY source, norm, k HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) * 100 > k),
-x AS (SELECT l.doc_id, sum(l.n) AS n FROM l JOIN f ON f.source = l.source AND f.norm = l.norm AND f.first_doc <> l.doc_id GROUP BY 1),
+x AS (SELECT l.doc_id, sum(l.n) AS n FROM l JOIN f ON f.source = l.source AND f.norm = l.norm AND f.first_doc IS DISTINCT FROM l.doc_id GROUP BY 1),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
 c AS (
   SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
