@@ -9,9 +9,10 @@ similarity of 0.75 meets in some table except once in 250,000 pairs.
 2. Groups that only one node has are dropped before keys are formed.
 3. In each bucket one node (that shares most groups, then the smallest) is
    compared with all others; then those buckets that still hold several
-   components are opened: pairs across components that lengths and 64 four-bit
-   minhashes don't rule out.  So a group of copies costs rows in proportion to
-   its size, and no bucket is capped.
+   components are opened: pairs across components that lengths, 64 four-bit
+   minhashes and the number of shingles shared with any other node don't rule
+   out.  So a group of copies costs rows in proportion to its size, and no bucket
+   is capped.
 4. Every pair is confirmed on its full shingle sets before it links.
 
 Defined results: no words, no text or no id link with nothing (component: the
@@ -112,15 +113,39 @@ def stars(buckets: DataFrame) -> DataFrame:
         F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def across(buckets: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket that lengths and sketches don't rule out."""
-    placed = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def solid(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
+    """Rows ``node, solid``: how many of a node's shingles another of ``nodes`` has too."""
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body")).where("body is not null").join(nodes, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [rolling.shingles(lowered(t), k).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+
+    each = map_arrow(texts, run, "node long, own array<long>").select("node", F.explode("own").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    return each.join(common, "h").groupBy("node").agg(F.count("*").alias("solid"))
+
+
+def across(buckets: DataFrame, groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of different components in one bucket that no bound rules out.
+
+    A pair shares at most the shingles that each has in common with any node, so two texts that differ from all
+    others in their own ways are no pair: members of a group that are too far from each other aren't paired.
+    """
+    placed = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rows = placed.join(mixed, "bucket").join(groups.select("node", "bits"), "node").select("bucket", "node", "n_shingles", "component", "bits")
-    rows = written(rows, "mixed")
+    rows = written(placed.join(mixed, "bucket"), "mixed")
+    counts = solid(written(rows.select("node").distinct(), "open"), docs, id_col, text_col)
+    able = written(counts.join(groups.select("node", "n_shingles", "bits"), "node").where("100 * solid >= 75 * n_shingles"), "solid")
+    rows = rows.join(able, "node")
     u, v = rows.alias("u"), rows.alias("v")
+    low = F.least("u.solid", "v.solid")
     meets = (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.node") < F.col("v.node")) & (F.col("u.component") != F.col("v.component"))
-    return u.join(v, meets & near("u.n_shingles", "v.n_shingles") & agree(F.col("u.bits"), F.col("v.bits"))).select(
+    bound = 100 * low >= 75 * (F.col("u.n_shingles") + F.col("v.n_shingles") - low)
+    return u.join(v, meets & near("u.n_shingles", "v.n_shingles") & bound & agree(F.col("u.bits"), F.col("v.bits"))).select(
         F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
 
 
@@ -134,9 +159,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: in
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keep = []
+                keep, sets = [], {}  # one text meets several others
                 for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = rolling.shingles(lowered(a), k), rolling.shingles(lowered(b), k)
+                    x, y = (sets[t] if t in sets else sets.setdefault(t, rolling.shingles(lowered(t), k)) for t in (a, b))
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= 75 * (len(x) + len(y) - both) and both > 0)
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -153,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = written(shared_groups(nodes), "groups")
     buckets = tables(groups)
     links = written(confirm(stars(buckets), docs, id_col, text_col), "links")
-    more = written(confirm(across(buckets, groups, components(links)), docs, id_col, text_col), "links")
+    more = written(confirm(across(buckets, groups, components(links), docs, id_col, text_col), docs, id_col, text_col), "links")
     labels = components(links.union(more))
     found = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     own = base.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
