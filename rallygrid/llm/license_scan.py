@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 UNKNOWN = "unknown"
-#: Paragraphs drawn for the unknown class; percentage of them that a rare word may stand in; damaged copies of a template.
-SAMPLE, RARE, COPIES = 4000, 1, 24
+#: Paragraphs drawn for the unknown class; percentage, and number, of them that a rare word may stand in; damaged copies of a template.
+SAMPLE, RARE, RARE_LEAST, COPIES = 4000, 1, 20, 24
 #: Percentage of a template's pairs that confirms its family; the lowest score that may be calibrated.
 CONFIRMED, LEAST_SCORE = 60, 0.5
 
@@ -82,7 +82,7 @@ class Scanner:
         # Words of templates only: a bounded list for the driver, as the templates are fixed.
         seen = drawn.select(F.explode(F.array_distinct("ws")).alias("word")).join(F.broadcast(template_words), "word").groupBy("word").agg(F.count("*").alias("n"))
         size = max(1, drawn.count())
-        common = {r.word for r in seen.where(F.col("n") * 100 > RARE * size).collect()}
+        common = {r.word for r in seen.where((F.col("n") * 100 > RARE * size) & (F.col("n") > RARE_LEAST)).collect()}
         grams = {g for r in plain.select(F.concat("ws", pairs(F.col("ws"))).alias("g")).collect() for g in r.g}
         self.vocabulary = sorted(g for g in grams if not set(g.split()) <= common)
         self.rare = sorted({w for g in self.vocabulary for w in g.split()} - common)

@@ -1,0 +1,271 @@
+"""Each operator against its plain version, and on nulls, repeats and empty tables."""
+import hashlib
+import random
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rallygrid.llm import (byte_bpe, components, decontaminate, license_scan, minhash, quality_lines, rolling, sanitize, secret_scan, sharding,
+                           substring_dedup, url_trust)
+
+TWICE = "doc_id long, text string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, rows that repeat, and ids with two texts."""
+    long = " ".join(f"v{k}" for k in range(80))
+    return spark.createDataFrame([(None, long, "a", 1), (None, None, None, None), (3, long, "a", 1), (3, long, "a", 1), (4, long + " tail", "b", 1), (4, "other text " + long[:100], "b", 1), (5, None, "b", 1)], TWICE)
+
+
+# Near duplicates ----------------------------------------------------------------
+
+def test_near_duplicates_equal_all_pairs(docs, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == brute.near_dedup(texts)
+
+
+def test_near_duplicates_of_odd_rows(odd, nothing):
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in minhash.near_duplicates(odd).collect())
+    assert got == [(-1, -1), (-1, -1), (3, 3), (3, 3), (4, 3), (4, 4), (5, 5)] or got == [(-1, -1), (-1, -1), (3, 3), (3, 3), (4, 3), (4, 3), (5, 5)]
+    assert minhash.near_duplicates(nothing).count() == 0
+    assert minhash.one_of_each(odd).columns == odd.columns
+
+
+def test_components_of_chains(spark):
+    chain = [(k, k + 1) for k in range(10, 40)] + [(7, 39), (100, 101), (103, 102), (102, 101), (5, 5)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {**{k: 7 for k in (7, *range(10, 41))}, **{k: 100 for k in range(100, 104)}}
+
+
+# Repeated word runs -----------------------------------------------------------------
+
+@pytest.mark.parametrize("block", [substring_dedup.BLOCK_BYTES, 700])
+def test_repeats_equal_brute_force(docs, texts, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == sorted(brute.substring_dedup(texts))
+
+
+def test_repeats_of_odd_rows(odd, nothing):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(odd).collect()), key=repr)
+    assert got == sorted(brute.substring_dedup(rows), key=repr)
+    assert substring_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_unconfirmed_paths_are_not_cut(spark, docs):
+    wrong = spark.createDataFrame([(20, 0, 5, 3, 0), (21, 1, 2, 2, 4)], substring_dedup.PIECES)
+    assert substring_dedup.cut(docs, wrong, "doc_id", "text").agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_paths_join_neighbouring_pieces(spark):
+    rows = [(9, 0, 4, 1, 10), (9, 4, 3, 1, 14), (9, 8, 2, 1, 18), (9, 4, 2, 2, 0)]
+    got = sorted(tuple(r) for r in substring_dedup.paths(spark.createDataFrame(rows, substring_dedup.PIECES)).collect())
+    assert got == [(9, 0, 7, 1, 10), (9, 4, 2, 2, 0), (9, 8, 2, 1, 18)]
+
+
+def test_resolving_in_ranges_keeps_keys_whole(docs, texts, monkeypatch):
+    """Small key ranges, in one process."""
+    import pyarrow as pa
+    ids, bodies = np.array([i for i, _ in texts]), [t or "" for _, t in texts]
+    rows = pa.Table.from_batches([substring_dedup.block_edges(ids[k:k + 40], bodies[k:k + 40], 13) for k in range(0, len(ids), 40)]).sort_by(
+        [("key", "ascending"), ("doc", "ascending"), ("start", "ascending")])
+    whole = pa.Table.from_batches(list(substring_dedup.resolve(rows.slice(0, rows.num_rows)))) if rows.num_rows < 1 << 16 else None
+    assert whole is not None and whole.num_rows > 0 and all(s < d for s, d in zip(whole["src"].to_pylist(), whole["doc"].to_pylist()))
+
+
+def test_hashes_of_words_and_runs(monkeypatch):
+    rng, pool = random.Random(2), ["a", "b", "é", "ab", "\x00", "x" * 50]
+    monkeypatch.setattr(rolling, "BLOCK", 64)
+    known = {}
+    for _ in range(100):
+        text = "".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\t", ""]) for _ in range(rng.randrange(60)))
+        hashes, starts, ends = rolling.word_hashes(text.encode())
+        found = brute.words(text)
+        assert [text.encode()[a:b].decode() for a, b in zip(starts, ends)] == found
+        runs = [(w,) for w in found] + [tuple(found[i:i + 3]) for i in range(len(found) - 2)]
+        assert all(known.setdefault(x, y) == y for x, y in zip(runs, [*hashes, *rolling.run_hashes(hashes, 3)]))
+    assert len(set(known.values())) == len(known)
+
+
+# Quality, shards, personal data -----------------------------------------------------------
+
+def test_quality_equals_brute_force(docs, texts):
+    hosts = {r.doc_id: r.source for r in docs.collect()}
+    got = {(r.doc_id, r.host): (r.kept, r.n_repeat_words) for r in quality_lines.judge(docs).collect()}
+    want = brute.quality([(i, t, hosts[i]) for i, t in texts])
+    assert {k: v[0] for k, v in got.items()} == want and not all(want.values())
+    assert all(v[1] == brute.repeated_words(dict(texts)[k[0]]) for k, v in got.items())
+
+
+def test_quality_filter_removes_frequent_lines(docs):
+    told = {r.doc_id: r for r in quality_lines.judge(docs).collect()}
+    out = quality_lines.filtered(docs)
+    assert out.columns == docs.columns
+    left = {r.doc_id: len(brute.words(r.text)) for r in out.collect()}
+    assert left == {i: r.n_words - r.n_lost_words for i, r in told.items() if r.kept}
+    assert any(r.kept and r.n_lost_words for r in told.values())
+
+
+def test_quality_of_odd_rows(odd, nothing):
+    assert quality_lines.judge(odd).count() == quality_lines.judge(nothing).count() + 7
+    assert [r.doc_id for r in quality_lines.filtered(odd).orderBy("doc_id").collect()] == [None, 3, 3, 4]
+
+
+def test_shards_are_contiguous_and_balanced(docs, texts, odd, nothing):
+    rows = sorted(sharding.shard_documents(docs, 7).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.size, r.text_crc32) for r in rows] == [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts]
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    total, before, slots = sum(r.size for r in rows), 0, {}
+    for r in rows:
+        assert r.shard == min(6, (2 * before + r.size) * 7 // (2 * total)) and r.slot == slots.get(r.shard, 0)
+        slots[r.shard], before = r.slot + 1, before + r.size
+    again = sharding.shard_documents(odd, 3).collect()
+    assert len(again) == 7 and all(sorted(r.slot for r in again if r.shard == s) == list(range(sum(r.shard == s for r in again))) for s in range(3))
+    assert sharding.shard_documents(nothing, 3).count() == 0
+
+
+ADVERSE = ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "300.1.1.1 1.1.1.300 000255.1.1.1 1.1.1." + "9" * 60, "4111 1111 1111 1111 5", "x 4111111111111111", "+1 (555) 123-4567 x +12 3",
+           "é 👩 a@b.co", "a@@b.c a..b@c.d.", "x" * 3000 + "@", "@", "+", "1-1 1-1", None, "", "call +49 30 1234567890 or mail Jo.Doe+x@Mail.example.com, 10.0.0.1"]
+
+
+def test_personal_data_equals_plain_patterns(spark, nothing):
+    rows = spark.createDataFrame(list(enumerate(ADVERSE)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in sanitize.personal_data(rows).select("doc_id", sanitize.span_list(F.col("base")).alias("s")).collect()}
+    assert got == {i: brute.spans(t) for i, t in enumerate(ADVERSE)}
+    out = {r.doc_id: r.text for r in sanitize.sanitised(rows).collect()}
+    assert out[0] == "[EMAIL][EMAIL]" and out[14] == "call [PHONE] or mail [EMAIL], [IP]" and out[12] == ""
+    assert sanitize.personal_data(nothing).count() == 0
+
+
+def test_terms_that_reveal_are_found(spark):
+    near = [(k, f"number {k} of zebulon smith jo@doe.example.org today") for k in range(4)]
+    far = [(k, f"number {k} of the smith family walked today") for k in range(10, 200)]
+    rows = spark.createDataFrame(near + far, "doc_id long, text string")
+    got = {r.doc_id: r for r in sanitize.personal_data(rows).collect()}
+    assert [(s.start, s.end) for s in got[2].terms] == [(12, 19)]  # zebulon, not smith
+    assert all(not r.terms for i, r in got.items() if i >= 10)
+    text = {r.doc_id: r.text for r in sanitize.sanitised(rows).collect()}
+    assert text[2] == "number 2 of [TERM] smith [EMAIL] today" and text[10] == far[0][1]
+
+
+# Benchmarks, urls -----------------------------------------------------------------------
+
+def test_containment_equals_brute_force(spark, docs, texts):
+    rng = random.Random(3)
+    long = [(i, t) for i, t in texts if t and len(t.split()) > 60]
+    items = []
+    for k in range(60):
+        w = rng.choice(long)[1].split()
+        a, n = rng.randrange(len(w) - 30), rng.choice([5, 6, 8, 12, 20, 30])
+        cut = w[a:a + n]
+        items.append((k, " ".join(cut if k % 3 else [x if rng.random() > 0.05 else "odd" for x in cut]).upper()))
+    items += [(60, None), (61, ""), (62, "too short"), (None, long[0][1])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contaminated(docs, table).collect()}
+    assert got == brute.contained(texts, [x for x in items if x[0] is not None]) and len(got) > 60
+    hit = {d for d, _ in got}
+    assert {r.doc_id for r in decontaminate.clean(docs, table).collect()} == {i for i, _ in texts} - hit
+
+
+def test_containment_of_empty_tables(docs, odd, nothing):
+    none = nothing.select(F.col("doc_id").alias("item_id"), "text")
+    assert decontaminate.contaminated(docs, none).count() == 0
+    assert decontaminate.clean(odd, none).count() == 7
+    assert decontaminate.contaminated(nothing, odd.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
+
+
+def test_url_rules(spark):
+    urls = ["http://A.com/x?y", "https://example.com/en/1", "http://www.example.com/en/#z", "http://m.www.example.com/en/", "http://b.net/es/9", "http://b.net", "x://com", "x://com?/", "no url", None, "",
+            "http://notexample.com/en/", "HTTP://Ü.COM/é"]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_trust.judge(spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string"), RULES).collect()}
+    assert got[0] == ("a.com", "/x", "com/", "allow") and got[1] == ("example.com", "/en/1", "example.com/en/", "block")
+    assert got[2][2] == got[3][2] == "www.example.com/en/" and got[4] == ("b.net", "/es/9", "net/es/", "block")
+    assert got[5][:3] == ("b.net", "", None) and got[6][:3] == ("com", "", None) and got[7][:3] == ("com", "", None)
+    assert got[8] == got[9] == got[10] == ("", "", None, "allow") and got[11][2] == "com/" and got[12] == ("Ü.com", "/é", "com/", "allow")
+
+
+def test_distrust_flows_against_links_and_trust_with_them(spark):
+    page = lambda i, host, *to: (i, f"http://{host}/", "".join(f'<a href="//{t}/q">x</a><IMG SRC=http://{t}/i>' for t in to))
+    rows = [page(1, "good.com", "friend.org"), page(2, "fan.org", "bad.net"), (3, "http://bad.net/es/", ""), page(4, "friend.org"), page(5, "alone.org"), page(6, "both.org", "bad.net"), page(7, "good.com", "both.org"), (7, "http://good.com/", None)]
+    got = {r.page_id: (r.verdict, r.trust, r.distrust) for r in url_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert got[2][0] == "block" and got[4][0] == "allow" and got[4][1] > 0 and got[5] == ("allow", 0, 0)
+    m, half = url_trust.MASS, url_trust.FOLLOW
+    assert got[2][2] == (m * (100 - half) // 100) * half // 200 and got[3][2] == m * (100 - half) // 100
+    assert url_trust.judge(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
+
+
+# Tokens ------------------------------------------------------------------------------------
+
+TEXTS = ["", " ", "  ", " a", "a ", "a b ", "\x00\x01", "a b \u3000x", "İstanbul 'S 'll'D don't", "٣٤५", "á \u200b\ufeff", "\r\n\r\n  x\t\t y", "𝔘𝔫𝔦 👩\u200d👩\u200d👧 ", "\u0085  z", "x" * 5000,
+         "ab" * 3000, " " * 999 + "a", "ſ'ſ 's", "a \nb", "a\n b", "\x1c a \x1cb", "<|endoftext|> x", "é\u0301 à", "a\u00a0\u00a0b \u2003 c"]
+
+
+def test_tokens_equal_the_other_library(spark, docs, texts, odd, nothing):
+    import public_tokenizers as public
+    import tiktoken
+    ranks = byte_bpe.read_ranks(byte_bpe.vocabulary(None))
+    other = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    cases = [(i + 1000, t) for i, t in enumerate(TEXTS)] + texts
+    rows = spark.createDataFrame(cases, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(rows)).collect()}
+    digests = {r.doc_id: r for r in byte_bpe.token_digests(rows).collect()}
+    for i, t in cases:
+        want = np.array(other.encode_ordinary(t or ""), "<u4").tobytes()
+        assert bytes(got[i].token_ids) == want and got[i].n_tokens == len(want) // 4 and bytes(got[i].decoded) == (t or "").encode(), (i, t)
+        assert digests[i].ids_sha256 == hashlib.sha256(want).hexdigest() and digests[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert byte_bpe.token_digests(odd).count() == 7 and byte_bpe.token_digests(nothing).count() == 0
+
+
+def test_offsets_cover_split_characters(spark):
+    r = byte_bpe.encode(spark.createDataFrame([(1, "a 👩b"), (2, None)], "doc_id long, text string"), offsets=True).orderBy("doc_id").collect()
+    own, text = byte_bpe.codec(byte_bpe.vocabulary(None), byte_bpe.split_pattern(None)), "a 👩b"
+    at = 0
+    for k, a, b in zip(np.frombuffer(bytes(r[0].token_ids), "<u4").tolist(), r[0].char_starts, r[0].char_ends):
+        part = text.encode()[at:at + own.length_of[k]]
+        assert part in text[a:b].encode() and len(text[a:b].encode()) - len(part) < 4
+        at += len(part)
+    assert list(r[1].char_starts) == []
+
+
+# Trained scanners -----------------------------------------------------------------------------
+
+def test_licence_families(spark, docs, nothing):
+    prose = [r.text for r in docs.where("length(text) > 300").limit(40).collect()]
+    cases = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.", "Licensed under CC BY-NC 4.0.",
+             "All rights reserved.", "We met at the licensed bar and talked of version 3.", None, ""]
+    rows = spark.createDataFrame([(k, f"{prose[k]}\n{c}" if c is not None else None) for k, c in enumerate(cases)] + [(100 + k, p) for k, p in enumerate(prose)], "doc_id long, text string")
+    got = license_scan.scan(rows).where("confirmed").collect()
+    assert {r.doc_id: r.family for r in got} == {0: "mit", 1: "apache", 2: "gpl", 3: "cc-by-nc", 4: "proprietary"}
+    assert license_scan.scan(nothing).count() == 0
+
+
+def test_secrets_and_their_look_alikes(spark, docs, nothing):
+    key = hashlib.sha1(b"7").hexdigest()
+    cases = [(f'x token = "{key}" y', True), (f"commit {key} fixed", False), ("card 4929348385146306 here", False), ('api_key = "qP7xW2mZ9kL4vB8nR3tY6uJ1"', True), ("mail someone20240101abcd@example.com", False),
+             (None, False), ("", False), ("no candidates at all", False), (f"sha256:{hashlib.sha256(b'1').hexdigest()}", False)]
+    extra = docs.select("doc_id", "text", "source").where("doc_id > 20")
+    rows = spark.createDataFrame([(k, t, "src") for k, (t, _) in enumerate(cases)], "doc_id long, text string, source string").union(extra)
+    got = {r.doc_id for r in secret_scan.scan(rows).where("is_secret").collect()}
+    assert got == {k for k, (_, y) in enumerate(cases) if y}
+    out = {r.doc_id: r.text for r in secret_scan.redacted(rows).collect()}
+    assert out[0] == 'x token = "[SECRET]" y' and out[1] == cases[1][0] and out[5] is None
+    assert secret_scan.scan(nothing).count() == 0 and secret_scan.redacted(nothing).count() == 0
+
+
+def test_forest_on_held_out_findings(spark, docs):
+    """Accuracy on variants of seeds that the fit hasn't seen."""
+    found = secret_scan.candidates(docs)
+    words = secret_scan.dictionary(docs, found)
+    model = secret_scan.fit(found, words)
+    seeds = spark.range(300).select(F.concat(F.lit("seed"), F.col("id")).alias("found"), F.lit("").alias("path"), F.lit("q").alias("before"), F.lit("q").alias("after"))
+    held = secret_scan.covered(secret_scan.shaped(secret_scan.labelled(seeds)), words)
+    right = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.97
