@@ -51,7 +51,8 @@ def homography(c: list[Column]) -> tuple[list[Column], list[Column]]:
     dx1, dx2, sx = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
     dy1, dy2, sy = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
     det = dx1 * dy2 - dx2 * dy1
-    g, h = (sx * dy2 - dx2 * sy) / det, (dx1 * sy - sx * dy1) / det
+    # Corners on one line have no mapping: all elements are null.
+    g, h = F.try_divide(sx * dy2 - dx2 * sy, det), F.try_divide(dx1 * sy - sx * dy1, det)
     w, l = F.lit(COURT_WIDTH), F.lit(COURT_LENGTH)
     inv = [(x1 - x0 + g * x1) / w, (x3 - x0 + h * x3) / l, x0,
            (y1 - y0 + g * y1) / w, (y3 - y0 + h * y3) / l, y0,
@@ -65,7 +66,7 @@ def adjugate(m: list[Column]) -> list[Column]:
     adj = [e * i - f * h, c * h - b * i, b * f - c * e,
            f * g - d * i, a * i - c * g, c * d - a * f,
            d * h - e * g, b * g - a * h, a * e - b * d]
-    return [v / adj[8] for v in adj]
+    return [F.try_divide(v, adj[8]) for v in adj]
 
 
 def project(m: list[Column], x: Column, y: Column) -> tuple[Column, Column, Column]:

@@ -45,11 +45,6 @@ def long_groups(df: DataFrame, keys: Sequence[str], pos: Column, size: float) ->
     return df.where(pos >= F.lit(size)).select(*keys).distinct()
 
 
-def any_beyond_block(df: DataFrame, pos: Column, size: float) -> bool:
-    """Whether any group is longer than one block; a range filter the scan can use."""
-    return not df.where(pos >= F.lit(size)).select(F.lit(1)).isEmpty()
-
-
 def carry_over(df: DataFrame, keys: Sequence[str], pos: Column, size: float, last: Column) -> DataFrame:
     """One row per (keys, block): ``last`` of the nearest earlier block that has one."""
     tails = df.groupBy(*keys, block_of(pos, size).alias("block")).agg(last.alias("tail"))

@@ -3,10 +3,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.court import (calibration_confirmed, homography, project, within_active_court)
 from ..functions.flags import flag_set
@@ -113,37 +111,21 @@ def fit_diagnostics(calib: DataFrame) -> DataFrame:
 
 
 def condition_numbers(calib: DataFrame) -> DataFrame:
-    """Conditioning of the normalized corner fit, one small decomposition per clip.
+    """Condition of each camera's mapping: the product of the norms of the matrix and of its inverse.
 
-    A singular-value decomposition has no column form, so it runs vectorized
-    over Arrow batches of calibrations.
+    Both matrices are stored, each up to a factor; their product is a multiple of one, and that multiple takes the factors out.
     """
-    @F.pandas_udf(T.StructType([T.StructField("design", T.DoubleType()), T.StructField("matrix", T.DoubleType())]))
-    def svd(corners: pd.Series) -> pd.DataFrame:
-        import numpy as np
-        src = np.asarray(corners.tolist(), dtype=float).reshape(-1, 4, 2)
-        dst = np.broadcast_to(np.array([[0, 0], [COURT_WIDTH, 0], [COURT_WIDTH, COURT_LENGTH], [0, COURT_LENGTH]], float), src.shape)
-
-        def unit(p):
-            q = p - p.mean(1, keepdims=True)
-            return q * (np.sqrt(2) / np.linalg.norm(q, axis=2).mean(1))[:, None, None]
-        a, b = unit(src), unit(dst)
-        one, nil = np.ones(a.shape[:2]), np.zeros(a.shape[:2])
-        x, y, u, v = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
-        rows = np.stack([np.stack([-x, -y, -one, nil, nil, nil, u * x, u * y, u], -1),
-                         np.stack([nil, nil, nil, -x, -y, -one, v * x, v * y, v], -1)], 2).reshape(len(a), 8, 9)
-        _, s, vt = np.linalg.svd(rows, full_matrices=True)
-        return pd.DataFrame({"design": s[:, 0] / s[:, -1], "matrix": np.linalg.cond(vt[:, -1].reshape(-1, 3, 3))})
-
-    return (calib.withColumn("c", svd(F.array(*CORNERS)))
-                 .select(CLIP, F.col("c.design").alias("design_condition"), F.col("c.matrix").alias("homography_condition"))
-                 .withColumn("well_conditioned", (F.col("design_condition") <= 1e8) & (F.col("homography_condition") <= 1e10)))
+    a, b = _matrix("to_image"), _matrix("to_court")
+    norm = lambda m: F.sqrt(sum((v * v for v in m[1:]), m[0] * m[0]))
+    multiple = F.abs(sum((a[3 * r + k] * b[3 * k + r] for r in range(3) for k in range(3)), F.lit(0.0))) / 3
+    condition = F.try_divide(norm(a) * norm(b), multiple)
+    return calib.select(CLIP, F.round(F.log10(condition), 4).alias("log10_condition"), F.coalesce(condition <= 1e10, F.lit(False)).alias("well_conditioned"))
 
 
 def _line_table() -> list[tuple[int, float, float, float, float, str]]:
     w, l, s, net = COURT_WIDTH, COURT_LENGTH, SINGLES_MARGIN, COURT_LENGTH / 2
     short, back = SERVICE_FROM_NET, DOUBLES_SERVICE_FROM_BASELINE
-    # Thirteen painted lines, metres.
+    # The thirteen painted lines, in metres and in output order.
     lines = [(0, 0, w, 0, "boundary"), (w, 0, w, l, "boundary"), (w, l, 0, l, "boundary"), (0, l, 0, 0, "boundary"),
              (s, 0, s, l, "singles"), (w - s, 0, w - s, l, "singles"), (0, net, w, net, "net"),
              (0, net - short, w, net - short, "service"), (0, net + short, w, net + short, "service"),
@@ -184,15 +166,14 @@ def line_checks(points: DataFrame, calib: DataFrame) -> DataFrame:
 
 
 def matching_calibrations(clips: DataFrame, saved: DataFrame) -> DataFrame:
-    """Saved calibrations usable for a clip: same image size, and bound to no source or to this one.
+    """Saved calibrations usable for clips: bound ones by clip, free ones once for each image size that clips have.
 
-    The two kinds are joined separately, so each is an equi join: bound ones on
-    the source, unbound ones on the image size.
+    A free calibration fits every clip of its size, so it is listed by size
+    (null ``clip_id``) and never once for each clip.
     """
     s = saved.select("calibration_id", "width", "height", F.col("source_digest").alias("bound_to"))
     size = ["width", "height"]
     c = clips.select(CLIP, *size, "source_digest")
-    free = c.join(s.where("bound_to is null"), size)
-    bound = c.join(s.where("bound_to is not null"), [*[c[k] == s[k] for k in size], c["source_digest"] == s["bound_to"]])
-    return (free.select(CLIP, "calibration_id", F.lit(False).alias("is_bound"))
-            .unionByName(bound.select(CLIP, "calibration_id", F.lit(True).alias("is_bound"))))
+    bound = c.join(s.where("bound_to is not null"), [*[c[k] == s[k] for k in size], c["source_digest"] == s["bound_to"]]).select(CLIP, *[c[k] for k in size], "calibration_id")
+    free = s.where("bound_to is null").join(c.select(*size).distinct(), size, "left_semi")
+    return bound.unionByName(free.select(F.lit(None).cast(clips.schema[CLIP].dataType).alias(CLIP), *size, "calibration_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.court import calibration_confirmed, heatmap_cell, on_court, zone
 from ..functions.flags import flag_set, invalidates, merge, or_empty
-from ..functions.ordered import any_beyond_block, block_of, carry_over, fill_forward, long_groups, with_halo
+from ..functions.ordered import block_of, carry_over, fill_forward, long_groups, with_halo
 from ..functions.stats import exact_median, finite
 from ..policy import COURT_LENGTH, COURT_WIDTH, LAYOUT, POLICY, Layout, Policy
 from ..sources.store import materialize
@@ -28,12 +28,12 @@ def player_positions(obs: DataFrame, calibrations: DataFrame | None = None, poli
     """Usable floor positions with every reason against them.
 
     ``flags`` on the input is the union of frame, court and position flags.
-    Without ``calibrations`` the metres are taken as reviewed.
+    Without ``calibrations``, or for a clip that has none, no position is usable.
     """
     x, y = finite(F.col("x_m")), finite(F.col("y_m"))
     flags = or_empty(F.col("flags")) if "flags" in obs.columns else F.array().cast("array<string>")
     if calibrations is None:
-        confirmed, known = F.lit(True), F.lit(True)
+        confirmed, known = F.lit(False), F.lit(False)
     else:
         c = calibrations.select(CLIP, "method", "manually_reviewed")
         obs = obs.join(c, CLIP, "left")
@@ -69,10 +69,11 @@ def _links(rows: DataFrame, policy: Policy, layout: Layout) -> DataFrame:
     prev = F.lag(F.struct("frame_index", "timestamp_s", "x_m", "y_m", "valid_position")).over(w)
     dt = F.col("timestamp_s") - F.col("prev.timestamp_s")
     dx, dy = F.col("x_m") - F.col("prev.x_m"), F.col("y_m") - F.col("prev.y_m")
-    gap = (F.col("frame_index") != F.col("prev.frame_index") + 1) | (dt > F.col("gap_cap_s"))
+    # A stamp that doesn't advance breaks the motion like a gap.
+    gap = (F.col("frame_index") != F.col("prev.frame_index") + 1) | (dt > F.col("gap_cap_s")) | (dt <= 0)
     after_valid = F.coalesce(F.col("valid_position") & F.col("prev.valid_position"), F.lit(False))
     reason = F.when(after_valid, F.when(gap, "observation_gap").when(
-        F.sqrt(dx * dx + dy * dy) / dt > policy.max_player_speed_m_s, "implausible_position_jump"))
+        F.try_divide(F.sqrt(dx * dx + dy * dy), dt) > policy.max_player_speed_m_s, "implausible_position_jump"))
     starts = F.col("valid_position") & (~F.col("after_valid") | F.col("reason").isNotNull())
     rows = (rows.withColumn("prev", prev)
                 .withColumns({"after_valid": after_valid, "reason": reason, "first_seen": F.col("prev").isNull()})
@@ -136,8 +137,8 @@ def _local_fit(policy: Policy):
 
     def read_off(a):
         det = a["w"] * a["ss"] - a["s"] * a["s"]
-        return F.struct(((a["ss"] * a["x"] - a["s"] * a["sx"]) / det).alias("x"),
-                        ((a["ss"] * a["y"] - a["s"] * a["sy"]) / det).alias("y"))
+        return F.struct(F.try_divide(a["ss"] * a["x"] - a["s"] * a["sx"], det).alias("x"),
+                        F.try_divide(a["ss"] * a["y"] - a["s"] * a["sy"], det).alias("y"))
 
     return F.when(F.col("n") >= 3, F.aggregate(picked, zero, add, read_off))
 
@@ -148,15 +149,10 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
     core_cols = [*TRACK, "frame_index", "timestamp_s", "x_m", "y_m", "valid_position", "gap_cap_s"]
     pos = F.col("timestamp_s")
     r = _links(rows, policy, layout)
-    if any_beyond_block(timeline, pos, layout.block_s):
-        # What lies beyond a block edge joins on the block keys, where the rows already are.
-        earlier = carry_over(rows.select(*core_cols), TRACK, pos, layout.block_s, F.max_by("valid_position", pos))
-        still = _still_across_blocks(rows.select(*core_cols), policy, layout)
-        r = r.join(earlier.join(still, BLOCK, "full"), BLOCK, "left")
-    else:
-        nowhere = F.lit(None).cast("struct<mx:double,my:double>")
-        r = (r.withColumn("carried", F.lit(None).cast("boolean"))
-              .withColumn("still_head", nowhere).withColumn("still_tail", nowhere))
+    # What lies beyond a block edge joins on the block keys, where the rows already are; short tracks leave nothing there.
+    earlier = carry_over(rows.select(*core_cols), TRACK, pos, layout.block_s, F.max_by("valid_position", pos))
+    still = _still_across_blocks(rows.select(*core_cols), policy, layout)
+    r = r.join(earlier.join(still, BLOCK, "full"), BLOCK, "left")
     r = r.withColumn("reason", F.when(
         F.col("is_core") & F.col("first_seen") & F.col("valid_position") & F.coalesce("carried", F.lit(False)),
         "observation_gap").otherwise(F.col("reason")))
@@ -202,7 +198,7 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
     dt = pos - F.col("back.timestamp_s")
     sx, sy = F.col("smoothed_x_m") - F.col("back.smoothed_x_m"), F.col("smoothed_y_m") - F.col("back.smoothed_y_m")
     r = r.where("is_core").withColumns({"dt": F.when(F.col("valid_position"), dt), "moved": F.sqrt(sx * sx + sy * sy)})
-    fast = F.col("moved") / F.col("dt") > policy.max_player_speed_m_s
+    fast = F.try_divide("moved", "dt") > policy.max_player_speed_m_s
     ok = F.col("dt").isNotNull() & ~fast
     flags = merge(F.col("quality_flags"), flag_set(
         (F.col("reason") == "implausible_position_jump", "implausible_position_jump"),
@@ -217,7 +213,7 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
         F.when(ok, F.col("back.frame_index")).alias("interval_start_frame"),
         F.when(ok, F.col("back.timestamp_s")).alias("interval_start_timestamp_s"),
         F.when(ok, F.col("dt")).alias("interval_duration_s"), F.when(ok, F.col("moved")).alias("distance_m"),
-        F.when(ok, F.col("moved") / F.col("dt")).alias("speed_m_s"),
+        F.when(ok, F.try_divide("moved", "dt")).alias("speed_m_s"),
         F.when(ok, F.struct(F.col("back.x_m").alias("x_m"), F.col("back.y_m").alias("y_m"))).alias("interval_start_point"),
         "zone", flags.alias("quality_flags"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.flags import words
 from ..functions.ordered import match_ranges
 from ..functions.stats import exact_median
-from ..policy import IMPLAUSIBLE_FLAGS
+from ..policy import IMPLAUSIBLE_FLAGS, note
 from .timeline import CLIP
 
 # Width, in frames, of the cells that range joins are cut into.
@@ -19,7 +19,10 @@ def _plausible() -> Column:
 
 
 def rally_spans(rallies: DataFrame, frames: DataFrame) -> DataFrame:
-    """Reviewed rallies with their times; a clip without any becomes one whole-clip span."""
+    """Reviewed rallies with their times; a clip without any becomes one whole-clip span.
+
+    A rally with an unknown end frame stays, without that time, and says so in ``boundary_status``.
+    """
     notes = [c for c in ("notes", "outcome", "winner_label") if c in rallies.columns]
     ends = frames.groupBy(CLIP).agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"),
                                     F.min_by("timestamp_s", "frame_index").alias("start_s"),
@@ -30,10 +33,11 @@ def rally_spans(rallies: DataFrame, frames: DataFrame) -> DataFrame:
         *[F.lit(None).cast("string").alias(c) for c in notes])
     times = frames.select(CLIP, "frame_index", "timestamp_s")
     reviewed = (rallies.select(CLIP, "rally_id", "start_frame", "end_frame", *notes)
-                .join(times.select(CLIP, F.col("frame_index").alias("start_frame"), F.col("timestamp_s").alias("start_s")), [CLIP, "start_frame"])
-                .join(times.select(CLIP, F.col("frame_index").alias("end_frame"), F.col("timestamp_s").alias("end_s")), [CLIP, "end_frame"])
+                .join(times.select(CLIP, F.col("frame_index").alias("start_frame"), F.col("timestamp_s").alias("start_s")), [CLIP, "start_frame"], "left")
+                .join(times.select(CLIP, F.col("frame_index").alias("end_frame"), F.col("timestamp_s").alias("end_s")), [CLIP, "end_frame"], "left")
                 .select(CLIP, "rally_id", "start_frame", "end_frame", "start_s", "end_s", F.lit("manual_review").alias("boundary_source"), *notes))
-    return reviewed.unionByName(whole).withColumn("duration_s", F.col("end_s") - F.col("start_s"))
+    status = F.when(F.col("start_s").isNull() | F.col("end_s").isNull(), "unknown_frame").otherwise("timed")
+    return reviewed.unionByName(whole).withColumns({"duration_s": F.col("end_s") - F.col("start_s"), "boundary_status": status})
 
 
 def rally_summary(rallies: DataFrame, motion: DataFrame, frames: DataFrame) -> DataFrame:
@@ -71,9 +75,13 @@ def reviewed_events(events: DataFrame, motion: DataFrame) -> DataFrame:
 
 
 def nested_events(enriched: DataFrame) -> DataFrame:
-    """One row per event with its positions as a list: the players of one frame."""
-    item = F.struct("track_id", "position_label", "x_m", "y_m", "valid_position", "position_flags")
-    return enriched.groupBy(CLIP, "frame_index", "kind", "player_label").agg(
+    """One row per event with its positions as a list: the players of one frame.
+
+    An event is told from others by all its own columns, its place in the list and note among them.
+    """
+    places = ["track_id", "position_label", "x_m", "y_m", "valid_position", "position_flags"]
+    item = F.struct(*places)
+    return enriched.groupBy(*[c for c in enriched.columns if c not in places]).agg(
         F.array_sort(F.collect_list(F.when(F.col("track_id").isNotNull(), item))).alias("positions"))
 
 
@@ -116,8 +124,7 @@ def spacing_status(clips: DataFrame, pairs: DataFrame) -> DataFrame:
     doubles, got = F.col("mode") == "doubles", F.coalesce("have", F.lit(False))
     return clips.join(have, CLIP, "left").select(
         CLIP, F.when(doubles & got, "available").otherwise("unavailable").alias("status"),
-        F.when(~doubles, "Only applicable to doubles.").when(~got, F.lit(
-            "Requires exactly four valid floor positions with reviewed identity and near/far side mapping; no inferred partnerships.")).alias("reason"))
+        F.when(~doubles, note("not_doubles")).when(~got, note("no_pairs")).alias("reason"))
 
 
 def recovery(targets: DataFrame, motion: DataFrame, frames: DataFrame) -> DataFrame:
@@ -156,8 +163,7 @@ def recovery(targets: DataFrame, motion: DataFrame, frames: DataFrame) -> DataFr
     return out.select(
         *key, F.when(reached, F.col("first_hit.timestamp_s") - F.col("contact_s")).alias("recovery_time_s"),
         F.when(reached, F.col("first_hit.frame_index")).alias("reached_frame"), status.alias("status"),
-        F.when(status == "unavailable", F.lit("Position gap, excluded interval or tracker fragment boundary prevents continuous recovery timing."))
-         .when(status == "not_reached", F.lit("Target was not reached in the continuously observed review interval.")).alias("reason"))
+        F.when(status == "unavailable", note("recovery_broken")).when(status == "not_reached", note("recovery_not_reached")).alias("reason"))
 
 
 def identified_players(fragments: DataFrame) -> DataFrame:

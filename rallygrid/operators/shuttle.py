@@ -81,7 +81,7 @@ def shuttle_motion(shuttle: DataFrame, timeline: DataFrame | None = None, policy
         F.when(joined, F.col("prev.frame_index")).alias("interval_start_frame"),
         F.when(joined, dt).alias("interval_duration_s"),
         F.when(joined, moved).alias("displacement_px"),
-        F.when(joined, moved / dt).alias("image_speed_px_s"),
+        F.when(joined, F.try_divide(moved, dt)).alias("image_speed_px_s"),
         F.lit(None).cast("double").alias("physical_speed_km_h"),
         merge(F.col("quality_flags"), extra).alias("quality_flags"))
 

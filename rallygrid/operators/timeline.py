@@ -14,8 +14,9 @@ def _measured_caps(timeline: DataFrame, policy: Policy, layout: Layout) -> DataF
     """Caps of the clips that have at least one pair of consecutive frames.
 
     Steps are counted before they are ranked.  All steps too short to lift the
-    cap above its floor share one count, so the state of a clip at ordinary
-    cadence is a single number; longer steps are told apart to the nanosecond.
+    cap above its floor share one count and stand for their longest (the only one
+    of them that a median above the floor can touch), so the state of a clip at
+    ordinary cadence is a single number; longer steps are told apart to the nanosecond.
     """
     rows = with_halo(timeline.select(CLIP, "frame_index", "timestamp_s"),
                      F.col("frame_index"), layout.block_frames, before=1)
@@ -24,8 +25,8 @@ def _measured_caps(timeline: DataFrame, policy: Policy, layout: Layout) -> DataF
     prev = F.lag(F.struct("frame_index", "timestamp_s")).over(w)
     dt = F.when(prev["frame_index"] == F.col("frame_index") - 1, F.col("timestamp_s") - prev["timestamp_s"])
     step = F.when(dt <= floor, F.lit(0.0)).otherwise(F.round(dt, 9))
-    counts = (rows.select(CLIP, "is_core", step.alias("step")).where("is_core and step is not null")
-                  .groupBy(CLIP, "step").agg(F.count(F.lit(1)).alias("c")))
+    counts = (rows.select(CLIP, "is_core", step.alias("kind"), dt.alias("dt")).where("is_core and kind is not null")
+                  .groupBy(CLIP, "kind").agg(F.count(F.lit(1)).alias("c"), F.max("dt").alias("step")))
     return counts.groupBy(CLIP).agg(F.greatest(
         F.lit(policy.min_gap_cap_s),
         F.percentile("step", F.lit(0.5), F.col("c")) * policy.gap_cap_multiplier).alias("gap_cap_s"))
@@ -88,7 +89,7 @@ def interpolate_gaps(shuttle: DataFrame, max_gap: int = POLICY.max_fill_frames,
                 .withColumn("right", F.first(end, ignorenulls=True).over(w.rowsBetween(1, max_gap))))
     fill = ((F.col("source") == "missing") & F.col("left.ok") & F.col("right.ok")
             & (F.col("right.frame_index") - F.col("left.frame_index") - 1 <= max_gap))
-    part = (F.col("timestamp_s") - F.col("left.timestamp_s")) / (F.col("right.timestamp_s") - F.col("left.timestamp_s"))
+    part = F.try_divide(F.col("timestamp_s") - F.col("left.timestamp_s"), F.col("right.timestamp_s") - F.col("left.timestamp_s"))
     rows = rows.where("is_core").withColumn("fill", F.coalesce(fill, F.lit(False)))
     for c in ("x", "y"):
         rows = rows.withColumn(c, F.when(F.col("fill"), F.col(f"left.{c}") + part * (F.col(f"right.{c}") - F.col(f"left.{c}")))
@@ -154,8 +155,8 @@ def normalize_pts(frame_pts: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     The origin is fixed by the first real stamp; a frame without a stamp takes
     the time before it plus one nominal step.
     """
-    step = F.lit(1.0) / F.col("fps")
-    absolute = F.col("pts") * (F.col("time_base_num") / F.col("time_base_den"))
+    step = F.try_divide(F.lit(1.0), "fps")
+    absolute = F.col("pts") * F.try_divide("time_base_num", "time_base_den")
     rows = frame_pts.withColumn("absolute", absolute).withColumn("step", step)
     origin = rows.where("absolute is not null").groupBy(CLIP).agg(
         F.min_by(F.col("absolute") - F.col("frame_index") * F.col("step"), "frame_index").alias("origin"))
@@ -171,8 +172,18 @@ def normalize_pts(frame_pts: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
                        bad.alias("invalid_timing"))
 
 
+def check_intervals(intervals: DataFrame, max_s: float = 300.0) -> DataFrame:
+    """A row ``clip_id, interval_id, rule`` for each broken rule; such intervals aren't extracted."""
+    start, end = F.col("start_s"), F.col("end_s")
+    rules = [("missing_bound", start.isNull() | end.isNull()), ("negative_start", start < 0), ("empty_or_reversed", end <= start), ("too_long", end - start > max_s)]
+    return intervals.select(CLIP, "interval_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))).alias("rule"))
+
+
 def extract_intervals(frames: DataFrame, intervals: DataFrame, max_s: float = 300.0) -> DataFrame:
-    """Frames inside each requested interval, renumbered and rebased to its first frame."""
+    """Frames inside each requested interval, renumbered and rebased to its first frame.
+
+    :func:`check_intervals` names every interval that this leaves out.
+    """
     eps = 1e-8
     wanted = (intervals.where((F.col("start_s") >= 0) & (F.col("end_s") > F.col("start_s"))
                               & (F.col("end_s") - F.col("start_s") <= max_s))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from ..fixtures import cte
+from ..policy import note
 
 ORACLES: dict[str, str] = {}
 
@@ -102,8 +103,8 @@ u AS (SELECT *, coalesce(v AND {_NEAR}, false) AS ok FROM q)
 SELECT clip_id, {i('frame_index')}, {i('track_id')}, {r('x_m')}, {r('y_m')}, ok AS valid_position, CASE WHEN ok THEN {zone_sql('x_m', 'y_m')} END AS zone,
  {flags(('cut_flag IS NOT NULL', 'camera_cut'), ('x_m IS NULL', 'court_position_unavailable'), ('low_confidence', 'low_confidence_pose'), ('NOT conf', 'unconfirmed_court_calibration'), (f'v AND NOT ({_NEAR})', 'position_outside_reasonable_floor_bounds'))} AS quality_flags FROM u"""
 
-MOTION = f"""{cte('fx_frames', 'fx_positions', 'fx_identity')}, {caps('pcap', 'fx_frames')},
-pv AS (SELECT p.*, coalesce(x_m IS NOT NULL AND NOT low_confidence AND cut_flag IS NULL AND {_NEAR}, false) AS valid FROM fx_positions p),
+MOTION = f"""{cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations')}, {caps('pcap', 'fx_frames')},
+pv AS (SELECT p.*, {_CONF} AS conf, coalesce({_CONF} AND x_m IS NOT NULL AND NOT low_confidence AND cut_flag IS NULL AND {_NEAR}, false) AS valid FROM fx_positions p JOIN fx_calibrations USING (clip_id)),
 lk AS (SELECT pv.*, lag(valid) OVER w AS bv, lag(frame_index) OVER w AS bf, lag(timestamp_s) OVER w AS bt, lag(x_m) OVER w AS bx, lag(y_m) OVER w AS byy
    FROM pv WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame_index)),
 br AS (SELECT lk.*, CASE WHEN valid AND bv THEN CASE WHEN frame_index <> bf + 1 OR timestamp_s - bt > coalesce(cap, 0.25) THEN 'observation_gap'
@@ -126,12 +127,12 @@ sm AS (SELECT v.*, CASE WHEN n < 3 THEN x_m WHEN 2*radius <= 0.08 THEN mx ELSE (
 iv AS (SELECT *, lag(frame_index) OVER w AS f0, lag(timestamp_s) OVER w AS t0, lag(x_m) OVER w AS x0, lag(y_m) OVER w AS y0,
    timestamp_s - lag(timestamp_s) OVER w AS dt, sqrt(pow(smx - lag(smx) OVER w, 2) + pow(smy - lag(smy) OVER w, 2)) AS moved
    FROM sm WINDOW w AS (PARTITION BY clip_id, track_id, seg ORDER BY frame_index)),
-mo AS (SELECT sg.clip_id, sg.frame_index, sg.timestamp_s, sg.track_id, player_label, side, team, sg.x_m, sg.y_m, sg.valid, sg.starts, sg.reason, sg.cut_flag, sg.low_confidence,
+mo AS (SELECT sg.clip_id, sg.frame_index, sg.timestamp_s, sg.track_id, player_label, side, team, sg.x_m, sg.y_m, sg.valid, sg.conf, sg.starts, sg.reason, sg.cut_flag, sg.low_confidence,
    smx, smy, coalesce(moved/dt > 12, false) AS fast, CASE WHEN moved/dt <= 12 THEN f0 END AS f0, CASE WHEN moved/dt <= 12 THEN t0 END AS t0, x0, y0,
    CASE WHEN moved/dt <= 12 THEN dt END AS dt, CASE WHEN moved/dt <= 12 THEN moved END AS moved, CASE WHEN sg.valid THEN {zone_sql('sg.x_m', 'sg.y_m')} END AS zone
    FROM sg LEFT JOIN iv USING (clip_id, track_id, frame_index) LEFT JOIN fx_identity d ON d.clip_id = sg.clip_id AND d.track_id = sg.track_id)"""
 _PFLAGS = flags(("cut_flag IS NOT NULL", "camera_cut"), ("x_m IS NULL", "court_position_unavailable"), ("low_confidence", "low_confidence_pose"),
-                (f"x_m IS NOT NULL AND NOT low_confidence AND cut_flag IS NULL AND NOT ({_NEAR})", "position_outside_reasonable_floor_bounds"),
+                ("NOT conf", "unconfirmed_court_calibration"), (f"conf AND x_m IS NOT NULL AND NOT low_confidence AND cut_flag IS NULL AND NOT ({_NEAR})", "position_outside_reasonable_floor_bounds"),
                 ("reason = 'observation_gap'", "observation_gap"), ("reason = 'implausible_position_jump'", "implausible_position_jump"), ("fast", "implausible_smoothed_speed"))
 _K = f"clip_id, {i('frame_index')}, {i('track_id')}"
 ORACLES["player_segments"] = f"{MOTION} SELECT {_K}, valid AS valid_position, starts, {_PFLAGS} AS quality_flags FROM mo"
@@ -164,17 +165,22 @@ ORACLES["player_flag_counts"] = f"""{MOTION}, f AS (SELECT clip_id, track_id, un
 ORACLES["identified_players"] = f"""{FRAG} SELECT clip_id, player_label, string_agg(CAST(track_id AS VARCHAR), ';' ORDER BY track_id) AS track_ids, {r('sum(distance_m)', 'distance_m')},
  {r('coalesce(sum(secs) FILTER (distance_m IS NOT NULL), 0)', 'valid_motion_time_s')}, {r('max(top)', 'max_speed_m_s')},
  {r('sum(distance_m)/nullif(sum(secs) FILTER (distance_m IS NOT NULL), 0)', 'average_speed_m_s')} FROM fs WHERE player_label IS NOT NULL GROUP BY clip_id, player_label"""
-SPANS = f"""{MOTION.replace(cte('fx_frames', 'fx_positions', 'fx_identity'), cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_rallies', 'fx_events', 'fx_targets', 'fx_clips'))},
+SPANS = f"""{MOTION.replace(cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations'), cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations', 'fx_rallies', 'fx_events', 'fx_targets', 'fx_clips'))},
 sp AS (SELECT clip_id, rally_id, start_frame, end_frame, 'manual_review' AS boundary_source FROM fx_rallies UNION ALL
   SELECT clip_id, 'unsegmented_clip', min(frame_index), max(frame_index), 'whole_clip_not_automatically_classified_as_rally' FROM fx_frames
   WHERE clip_id NOT IN (SELECT clip_id FROM fx_rallies) GROUP BY clip_id)"""
 ORACLES["rally_summary"] = f"""{SPANS}, st AS (SELECT sp.*, a.timestamp_s AS start_s, b.timestamp_s AS end_s FROM sp
-  JOIN fx_frames a ON a.clip_id = sp.clip_id AND a.frame_index = start_frame JOIN fx_frames b ON b.clip_id = sp.clip_id AND b.frame_index = end_frame),
+  LEFT JOIN fx_frames a ON a.clip_id = sp.clip_id AND a.frame_index = start_frame LEFT JOIN fx_frames b ON b.clip_id = sp.clip_id AND b.frame_index = end_frame),
  pr AS (SELECT sp.clip_id, rally_id, track_id, any_value(player_label) AS player_label, sum(moved) AS distance_m, sum(dt) AS secs FROM sp JOIN mo ON mo.clip_id = sp.clip_id
   AND f0 >= start_frame AND frame_index <= end_frame GROUP BY sp.clip_id, rally_id, track_id)
- SELECT st.clip_id, st.rally_id, {i('start_frame')}, {i('end_frame')}, {r('start_s')}, {r('end_s')}, boundary_source, {r('end_s - start_s', 'duration_s')},
+ SELECT st.clip_id, st.rally_id, {i('start_frame')}, {i('end_frame')}, {r('start_s')}, {r('end_s')}, boundary_source, {r('end_s - start_s', 'duration_s')}, CASE WHEN end_s - start_s IS NULL THEN 'unknown_frame' ELSE 'timed' END AS boundary_status,
  {i('track_id')}, player_label, {r('distance_m')}, {r('secs', 'valid_motion_time_s')}, {r('distance_m/nullif(secs, 0)', 'average_speed_m_s')}
  FROM st LEFT JOIN pr ON pr.clip_id = st.clip_id AND pr.rally_id = st.rally_id"""
+ORACLES["rally_status"] = f"""{cte('fx_frames', 'fx_rallies')}, o AS (SELECT clip_id, rally_id, start_frame, CASE WHEN clip_id % 4 = 0 THEN end_frame + 1000 ELSE end_frame END AS end_frame, 'manual_review' AS boundary_source FROM fx_rallies
+  UNION ALL SELECT clip_id, 'unsegmented_clip', min(frame_index), max(frame_index), 'whole_clip_not_automatically_classified_as_rally' FROM fx_frames WHERE clip_id NOT IN (SELECT clip_id FROM fx_rallies) GROUP BY clip_id)
+ SELECT o.clip_id, rally_id, {i('start_frame')}, {i('end_frame')}, boundary_source, {r('b.timestamp_s', 'end_s')}, {r('b.timestamp_s - a.timestamp_s', 'duration_s')},
+ CASE WHEN b.timestamp_s - a.timestamp_s IS NULL THEN 'unknown_frame' ELSE 'timed' END AS boundary_status FROM o
+ LEFT JOIN fx_frames a ON a.clip_id = o.clip_id AND a.frame_index = start_frame LEFT JOIN fx_frames b ON b.clip_id = o.clip_id AND b.frame_index = end_frame"""
 ORACLES["events_in_rallies"] = f"""{SPANS} SELECT e.clip_id, {i('e.frame_index')}, kind, player_label, rally_id FROM fx_events e JOIN sp ON sp.clip_id = e.clip_id
  AND e.frame_index BETWEEN start_frame AND end_frame"""
 ORACLES["reviewed_events"] = f"""{SPANS} SELECT e.clip_id, {i('e.frame_index')}, kind, e.player_label, {i('m.track_id')}, m.player_label AS position_label, {r('m.x_m')}, {r('m.y_m')},
@@ -245,8 +251,12 @@ _P, _Q = px("3.05e0", "cy", "i"), px("ix", "iy", "c")
 ORACLES["line_checks"] = f"""{CAM}, lp AS (SELECT *, 'front_service' AS name, (x0+x1)/2 AS ix, y0+90 AS iy, 4.72e0 AS cy FROM cm UNION ALL SELECT *, 'back_service', (x2+x3)/2, y2-150, 8.68e0 FROM cm)
  SELECT clip_id, name, {r(f'sqrt(pow(ix - {_P[0]}, 2) + pow(iy - {_P[1]}, 2))', 'error_px')}, {r(f'sqrt(pow({_Q[0]} - 3.05, 2) + pow({_Q[1]} - cy, 2))', 'error_m')} FROM lp"""
 ORACLES["fit_diagnostics"] = f"{CAM} SELECT clip_id, true AS acceptable FROM cm"
+ORACLES["condition_numbers"] = f"""{CAM}, nm AS (SELECT clip_id, sqrt({"+".join(f"i{k}*i{k}" for k in range(8))}+1) AS a, sqrt({"+".join(f"c{k}*c{k}" for k in range(9))}) AS b,
+ abs({"+".join(f"i{j}*c{k}" if j < 8 else f"c{k}" for j, k in ((0, 0), (1, 3), (2, 6), (3, 1), (4, 4), (5, 7), (6, 2), (7, 5), (8, 8)))})/3 AS s FROM cm)
+ SELECT clip_id, CAST(round(log10(a*b/s), 4) AS DOUBLE) AS log10_condition, a*b/s <= 1e10 AS well_conditioned FROM nm"""
 ORACLES["matching_calibrations"] = f"""{cte('fx_calibrations', 'fx_clips')}, sv AS (SELECT clip_id AS calibration_id, width, height, CASE WHEN clip_id % 2 = 0 THEN concat('clip-', CAST(clip_id AS VARCHAR)) END AS bound FROM fx_calibrations)
- SELECT clip_id, {i('calibration_id')}, bound IS NOT NULL AS is_bound FROM fx_clips c JOIN sv ON c.width = sv.width AND c.height = sv.height AND (bound IS NULL OR bound = source_digest)"""
+ SELECT clip_id, c.width, c.height, {i('calibration_id')} FROM fx_clips c JOIN sv ON c.width = sv.width AND c.height = sv.height AND bound = source_digest
+ UNION ALL SELECT NULL, width, height, calibration_id FROM sv WHERE bound IS NULL AND (width, height) IN (SELECT (width, height) FROM fx_clips)"""
 
 
 def violations(prefix: str, rules: list[tuple[str, str]], table: str, key: str) -> str:
@@ -316,9 +326,9 @@ ORACLES["track_summary"] = f"""{_TR.format(w=POSE, t='pw')}, a AS (SELECT clip_i
  b AS (SELECT clip_id, count(*) AS k, sum(miss) AS miss, count(*) FILTER (runs > 1) AS g FROM tk GROUP BY clip_id)
  SELECT clip_id, {i('t', 'total_frames')}, {i('e', 'expected_player_count')}, {i('m', 'count_mismatch_frames')}, {i('z', 'frames_without_players')}, {i('w', 'frames_with_low_confidence_players')},
  {i('k', 'unique_track_ids')}, {i('miss', 'missing_frames_within_spans')}, {i('g', 'tracks_with_gaps')}, concat_ws(';',
- CASE WHEN m > 0 THEN concat(m, ' frames differ from the expected ', e, ' players; review the overlay and ROI.') END,
- CASE WHEN k > e THEN 'More track IDs than expected players were observed; fragmentation, ID switches or ROI contamination need review.' END,
- CASE WHEN g > 0 THEN 'Some tracks contain observation gaps; missing poses were not interpolated or assigned replacement IDs.' END) AS warnings FROM a JOIN b USING (clip_id)"""
+ CASE WHEN m > 0 THEN concat(m, ' {note("player_count")}') END,
+ CASE WHEN k > e THEN '{note("many_tracks")}' END,
+ CASE WHEN g > 0 THEN '{note("broken_tracks")}' END) AS warnings FROM a JOIN b USING (clip_id)"""
 ORACLES["position_rows"] = f"{cte('fx_positions')} SELECT {_K}, {r('timestamp_s')}, {r('x_m')}, {r('y_m')} FROM fx_positions WHERE x_m IS NOT NULL AND y_m IS NOT NULL"
 ORACLES["shuttle_from_candidates"] = f"""{cte('fx_frames', 'fx_candidates')}, b AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_index ORDER BY w*h DESC, ord) AS rk FROM fx_candidates)
  SELECT f.clip_id, {i('f.frame_index')}, {r('f.timestamp_s')}, {r('trunc(trunc(b.x + w/2)*1280/512)', 'x')}, {r('trunc(trunc(b.y + h/2)*720/288)', 'y')}, {r('score', 'confidence')},
@@ -354,6 +364,9 @@ ORACLES["normalized_timing"] = f"""{cte('fx_frames', 'fx_pts')}, a AS (SELECT *,
 ORACLES["extracted_intervals"] = f"""{cte('fx_frames', 'fx_intervals')}, x AS (SELECT f.clip_id, interval_id, f.frame_index AS sf, timestamp_s - min(timestamp_s) OVER w AS since, row_number() OVER (w ORDER BY f.frame_index) - 1 AS rn
  FROM fx_frames f JOIN fx_intervals v ON v.clip_id = f.clip_id AND timestamp_s >= start_s - 1e-8 AND timestamp_s < end_s - 1e-8 WHERE end_s - start_s <= 300 WINDOW w AS (PARTITION BY f.clip_id, interval_id))
  SELECT clip_id, interval_id, {i('rn', 'frame_index')}, {i('sf', 'source_frame')}, {r('round_even(since*90000, 0)/90000', 'timestamp_s')} FROM x"""
+ORACLES["interval_checks"] = f"""{cte('fx_intervals')}, o AS (SELECT clip_id, interval_id, CASE WHEN clip_id % 5 = 1 THEN -start_s - 1 ELSE start_s END AS a, CASE WHEN clip_id % 5 = 2 THEN NULL ELSE end_s END AS b FROM fx_intervals)
+ SELECT clip_id, interval_id, 'missing_bound' AS rule FROM o WHERE a IS NULL OR b IS NULL UNION ALL SELECT clip_id, interval_id, 'negative_start' FROM o WHERE a < 0
+ UNION ALL SELECT clip_id, interval_id, 'empty_or_reversed' FROM o WHERE b <= a UNION ALL SELECT clip_id, interval_id, 'too_long' FROM o WHERE b - a > 300"""
 ORACLES["sequence_windows"] = f"""{cte('fx_frames')}, l AS (SELECT clip_id, max(frame_index) AS m FROM fx_frames GROUP BY clip_id)
  SELECT clip_id, {i('frame_index // 8', 'window')}, {i('frame_index % 8', 'slot')}, {i('frame_index')}, false AS is_padding FROM fx_frames UNION ALL
  SELECT clip_id, {i('m // 8', 'window')}, {i('s', 'slot')}, {i('m', 'frame_index')}, true FROM l, (SELECT unnest(range(1, 8)) AS s) n WHERE s > m % 8"""
@@ -450,7 +463,7 @@ ORACLES["timeline_checks"] = f"""{_D}, d AS (SELECT clip_id, frame_index, min(ti
  SELECT clip_id, 'time_not_rising', {_KEY} FROM l WHERE t <= pt"""
 
 # Clip-level quality ----------------------------------------------------------------------
-_PREF = cte('fx_frames', 'fx_positions', 'fx_identity')
+_PREF = cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations')
 _EVERY = cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois', 'fx_calibrations', 'fx_rallies', 'fx_shuttle', 'fx_ankles')
 QUALITY = f"""{MOTION.replace(_PREF, _EVERY)}{POSE[len(cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois')):]},
 qu AS (SELECT r.clip_id, r.frames, r.mism, coalesce(m.v, 0) AS v, coalesce(m.n, 0) AS n, {_CONF} AS reviewed FROM (SELECT clip_id, count(*) AS frames, count(*) FILTER (n <> e) AS mism FROM rec GROUP BY clip_id) r
@@ -478,17 +491,17 @@ _SUMMARY = f"""{QUALITY}{SHUTTLE[len(cte('fx_frames', 'fx_shuttle')):].replace("
  tw AS (SELECT clip_id, count(*) AS tracks, bool_or(partial) AS partial FROM fs GROUP BY clip_id),
  jc AS (SELECT clip_id, count(*) FILTER ({JUMP}) AS jumps FROM sm2 GROUP BY clip_id)"""
 ORACLES["clip_warnings"] = f"""{_SUMMARY} SELECT clip_id, concat_ws(';',
- CASE WHEN clip_id % 6 = 0 THEN 'The supplied annotations have no source_video_sha256 binding; confirm they belong to this exact video before trusting identities or targets.' END,
- CASE WHEN NOT reviewed THEN 'Court calibration is unavailable or an unconfirmed automatic proposal; metre movement metrics are unavailable.' END,
- CASE WHEN mism > 0 THEN concat(mism, ' frames have unexpected player counts; review identities and court ROI.') END,
- CASE WHEN partial THEN 'Some movement intervals were excluded due to gaps, confidence, calibration or implausible jumps; distance is a partial observed estimate.' END,
- CASE WHEN tracks > expected_player_count THEN 'More tracker fragments than expected athletes; raw tracker IDs do not establish athlete identity.' END,
- CASE WHEN clip_id NOT IN (SELECT clip_id FROM fx_identity) THEN 'No athlete identity mapping was reviewed; all player summaries describe raw tracker fragments.' END,
- CASE WHEN clip_id NOT IN (SELECT clip_id FROM fx_rallies) THEN 'No rally boundaries were reviewed; whole-clip totals may include waiting, replay or between-rally movement.' END,
- CASE WHEN jumps > 0 THEN concat(jumps, ' shuttle intervals moved at least 10% of the source image diagonal in one frame. This review cue does not distinguish a fast shuttle from a false detection. Review the video before interpreting mean or largest detected image motion.') END) AS warnings
+ CASE WHEN clip_id % 6 = 0 THEN '{note("unbound_annotations")}' END,
+ CASE WHEN NOT reviewed THEN '{note("calibration_unreviewed")}' END,
+ CASE WHEN mism > 0 THEN concat(mism, ' {note("player_count")}') END,
+ CASE WHEN partial THEN '{note("partial_motion")}' END,
+ CASE WHEN tracks > expected_player_count THEN '{note("many_fragments")}' END,
+ CASE WHEN clip_id NOT IN (SELECT clip_id FROM fx_identity) THEN '{note("identity_unreviewed")}' END,
+ CASE WHEN clip_id NOT IN (SELECT clip_id FROM fx_rallies) THEN '{note("rallies_unreviewed")}' END,
+ CASE WHEN jumps > 0 THEN concat(jumps, ' {note("large_jumps")}') END) AS warnings
  FROM fx_clips JOIN qu USING (clip_id) JOIN tw USING (clip_id) JOIN jc USING (clip_id)"""
 ORACLES["doubles_spacing_status"] = f"""{PAIRS} SELECT clip_id, CASE WHEN mode = 'doubles' AND have THEN 'available' ELSE 'unavailable' END AS status,
- CASE WHEN mode <> 'doubles' THEN 'Only applicable to doubles.' WHEN NOT have THEN 'Requires exactly four valid floor positions with reviewed identity and near/far side mapping; no inferred partnerships.' END AS reason
+ CASE WHEN mode <> 'doubles' THEN '{note("not_doubles")}' WHEN NOT have THEN '{note("no_pairs")}' END AS reason
  FROM (SELECT clip_id, mode, clip_id IN (SELECT clip_id FROM ps) AS have FROM fx_clips) q"""
 ORACLES["run_summaries"] = f"""{QUALITY}{FILLED[len(cte('fx_frames', 'fx_shuttle')):]}, td AS (SELECT clip_id, count(*) FILTER (source = 'detected') AS d FROM filled GROUP BY clip_id),
  tt AS (SELECT clip_id, count(DISTINCT track_id) AS t FROM pw GROUP BY clip_id), ta AS (SELECT clip_id, count(ankle_x) AS a FROM fx_ankles GROUP BY clip_id)

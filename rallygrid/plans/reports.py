@@ -38,39 +38,39 @@ def report_lines(clips: DataFrame, fragments: DataFrame, zones: DataFrame, shutt
     ``zones`` are the top zones with their ``rank``; ``rallies`` are rally spans.
     Written per clip in this order, the rows form the report.
     """
-    label = F.replace(F.replace(F.coalesce("player_label", F.lit("unmapped")), F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" "))
+    label = F.replace(F.replace(F.coalesce("player_label", F.lit("no label")), F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" "))
     movement = _lines(fragments, 1, [F.col("track_id")], F.concat(
         F.lit("| "), F.col("track_id").cast("string"), F.lit(" | "), label, F.lit(" | "), number(F.col("distance_m"), " m"), F.lit(" | "),
         number(F.col("valid_motion_time_s"), " s"), F.lit(" | "), number(F.col("average_speed_m_s"), " m/s"), F.lit(" | "),
         number(F.col("max_speed_m_s"), " m/s"), F.lit(" |")))
     nobody = _lines(clips.join(fragments.select(CLIP).distinct(), CLIP, "left_anti"), 1, [F.lit(0)],
-                    F.lit("| unavailable | unmapped | unavailable | 0 s | unavailable | unavailable |"))
+                    F.lit("| - | nobody | unavailable | 0 s | unavailable | unavailable |"))
     image = _lines(shuttle, 2, [F.lit(0)], F.concat(
-        F.lit("Average observed image motion: "), number(F.col("average_image_speed_px_s"), " px/s", 1),
-        F.lit(". Largest detected image motion: "), number(F.col("max_image_speed_px_s"), " px/s", 1), F.lit(".")))
+        F.lit("Shuttle in the image, on average: "), number(F.col("average_image_speed_px_s"), " px/s", 1),
+        F.lit("; at most: "), number(F.col("max_image_speed_px_s"), " px/s", 1), F.lit(".")))
     part = F.format_string("%s (%.2f s)", F.replace("zone", F.lit("_"), F.lit(" ")), "seconds")
     # At most three zones per track.
     best = zones.groupBy(CLIP, "track_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", part.alias("text")))), lambda s: s["text"]), ", ").alias("text"))
     place = _lines(fragments.select(CLIP, "track_id").join(best, [CLIP, "track_id"], "left"), 3, [F.col("track_id")], F.concat(
-        F.lit("Tracker fragment "), F.col("track_id").cast("string"), F.lit(": "), F.coalesce("text", F.lit("no accepted occupancy intervals")),
-        F.lit(". Heatmaps show accepted observed seconds, with far baseline at the top.")))
+        F.lit("Fragment "), F.col("track_id").cast("string"), F.lit(": "), F.coalesce("text", F.lit("no usable time")),
+        F.lit(". Cells of the heat map hold usable seconds; row 0 is the far end.")))
     manual = F.col("boundary_source") == "manual_review"
-    span = F.format_string("frames %d through %d, %.2f s.", "start_frame", "end_frame", "duration_s")
-    rally = _lines(rallies, 4, [F.col("start_frame"), F.lit(0)], F.when(manual, F.concat(F.lit("Reviewed rally "), "rally_id", F.lit(": "), span))
-                   .otherwise(F.concat(F.lit("Clip span: "), span, F.lit(" No rally boundaries were reviewed."))))
-    extra = [_lines(rallies.where(f"coalesce({c}, '') <> ''"), 4, [F.col("start_frame"), F.lit(k)], F.concat(F.lit(f"Reviewed {word}: "), c))
+    span = F.format_string("from frame %d to %d, %.2f s.", "start_frame", "end_frame", "duration_s")
+    rally = _lines(rallies, 4, [F.col("start_frame"), F.lit(0)], F.when(manual, F.concat(F.lit("Rally "), "rally_id", F.lit(": "), span))
+                   .otherwise(F.concat(F.lit("Whole clip: "), span, F.lit(" Rallies are not marked."))))
+    extra = [_lines(rallies.where(f"coalesce({c}, '') <> ''"), 4, [F.col("start_frame"), F.lit(k)], F.concat(F.lit(f"Its {word}: "), c))
              for k, (c, word) in enumerate((("notes", "note"), ("outcome", "outcome")), 1) if c in rallies.columns]
     pair = _lines(pairs, 5, ["side", "first_label"], F.format_string(
-        "Reviewed %s pair %s, %s: median spacing %.2f m across %d valid observations.", "side", "first_label", "second_label",
+        "Pair at the %s side, %s and %s: %.2f m apart in the median of %d frames.", "side", "first_label", "second_label",
         "median_spacing_m", "valid_frames"))
-    spread = _lines(spacing, 5, ["status"], F.coalesce(
-        "reason", F.lit("Spacing describes the reviewed pair; it does not classify an attacking or defensive formation.")))
+    spread = _lines(spacing.withColumn("last", F.lit("~")), 5, ["last"], F.coalesce(
+        "reason", F.lit("Distances alone; formations are not told apart.")))
     back = _lines(recovery, 6, ["player_label", F.col("contact_frame")], F.concat(
-        "player_label", F.lit(" after reviewed contact frame "), F.col("contact_frame").cast("string"), F.lit(": "),
+        "player_label", F.lit(" after contact at frame "), F.col("contact_frame").cast("string"), F.lit(": "),
         number(F.col("recovery_time_s"), " s"), F.lit(" ("), "status", F.lit("). "), F.coalesce("reason", F.lit(""))))
     no_target = _lines(clips.join(recovery.select(CLIP).distinct(), CLIP, "left_anti"), 6, [F.lit(0)],
-                       F.lit("No explicit contact and recovery targets were supplied; automatic recovery advice was not inferred."))
+                       F.lit("No targets are given, so recovery is not timed."))
     texts = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in LIMITATIONS]))
     limits = clips.select(CLIP).join(warnings, CLIP, "left").select(CLIP, F.posexplode(texts).alias("k", "text"))
     caution = _lines(limits, 7, [F.col("k")], F.concat(F.lit("1. "), "text"))
@@ -94,14 +94,14 @@ def insight_documents(clips: DataFrame, quality: DataFrame, fragments: DataFrame
     Lists hold what a clip has few of: tracks, labels, rallies, pairs, targets.
     The row-level motion stays in its own table and is not folded in.
     """
-    zone_map = zones.groupBy(CLIP, "track_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("zone", "seconds")))).alias("zones"))
+    zone_map = zones.groupBy(CLIP, "track_id").agg(F.array_sort(F.collect_list(F.struct("zone", "seconds"))).alias("zones"))
 
     def listed(df: DataFrame, name: str, order: list[str]) -> DataFrame:
         rest = [c for c in df.columns if c not in (CLIP, *order)]
         return df.groupBy(CLIP).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
 
     out = clips.select(CLIP, "mode")
-    for table in (listed(fragments.join(zone_map, [CLIP, "track_id"], "left").withColumn("zones", F.to_json("zones")), "players", ["track_id"]),
+    for table in (listed(fragments.join(zone_map, [CLIP, "track_id"], "left"), "players", ["track_id"]),
                   listed(identified, "identified_players", ["player_label"]), listed(rallies, "rallies", ["start_frame", "rally_id"]),
                   listed(pairs, "doubles_pairs", ["side", "first_label", "second_label"]), listed(recovery, "recovery", ["player_label", "contact_frame"]),
                   spacing.select(CLIP, F.struct("status", "reason").alias("doubles_pair_spacing")),

@@ -72,3 +72,26 @@ class Layout:
 
 POLICY = Policy()
 LAYOUT = Layout()
+
+
+#: Notes that reports and summaries give, by a stable code; the wording is ours and may change.
+NOTES = {
+    "unbound_annotations": "annotations are not tied to this recording",
+    "calibration_unreviewed": "no reviewed calibration, so no measures in metres",
+    "player_count": "frames with another number of players than expected",
+    "partial_motion": "motion is incomplete, some intervals are left out",
+    "many_fragments": "more fragments than athletes",
+    "identity_unreviewed": "fragments are not assigned to athletes",
+    "rallies_unreviewed": "totals cover the whole clip, rallies are not marked",
+    "large_jumps": "shuttle intervals with a large jump in the image",
+    "many_tracks": "more track ids than expected players",
+    "broken_tracks": "tracks have holes, which stay unfilled",
+    "not_doubles": "spacing is for doubles",
+    "no_pairs": "no frame with four placed players of known side",
+    "recovery_broken": "the path to the target is broken",
+    "recovery_not_reached": "the target is not reached in the span",
+}
+
+
+def note(code: str) -> str:
+    return f"{code}: {NOTES[code]}"

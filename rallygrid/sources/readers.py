@@ -57,7 +57,7 @@ def read_calibrations(spark: SparkSession, path: str, clips: DataFrame | None =
     """One row per calibration, corners as eight columns; ``problem`` names what makes it unusable."""
     d = _documents(spark, path, schemas.CALIBRATION).select("clip_id", "doc.*")
     xy = [F.try_element_at(F.try_element_at("corners_px", F.lit(i + 1)), F.lit(j + 1)).alias(f"{'xy'[j]}{i}") for i in range(4) for j in range(2)]
-    out = d.select("clip_id", F.col("source_dimensions")[0].alias("width"), F.col("source_dimensions")[1].alias("height"), *xy,
+    out = d.select("clip_id", F.get("source_dimensions", F.lit(0)).alias("width"), F.get("source_dimensions", F.lit(1)).alias("height"), *xy,
                    F.coalesce(F.trim("method"), F.lit("manual")).alias("method"), F.coalesce("reference_frame", F.lit(0)).alias("reference_frame"),
                    F.coalesce(F.lower(F.col("metadata")["manually_reviewed"]) == "true", F.lit(False)).alias("manually_reviewed"),
                    F.col("metadata")["input_video_sha256"].alias("source_digest"), "corner_order", F.size("corners_px").alias("n"))
@@ -92,7 +92,7 @@ def read_rois(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(
         clip_of_path(F.input_file_name()).alias("clip_id"), F.regexp_replace("value", "^﻿", "").alias("value"))
     pts = F.coalesce(F.from_json("value", "struct<points:array<array<double>>>")["points"], F.from_json("value", "array<array<double>>"))
-    shaped = text.select("clip_id", F.transform(pts, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+    shaped = text.select("clip_id", F.transform(pts, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("points"))
     closed = (F.size("points") > 1) & (F.element_at("points", 1) == F.element_at("points", -1))
     return shaped.withColumn("points", F.when(closed, F.slice("points", F.lit(1), F.size("points") - 1)).otherwise(F.col("points")))
 

@@ -52,15 +52,15 @@ def players_wide(obs: DataFrame, frames: DataFrame) -> DataFrame:
                       F.concat_ws(";", "flags").alias("frame_flags"))
     rows = obs.join(f, ["clip_id", "frame_index"])
     box, mid = F.col("bbox"), F.col("ankle_midpoint")
-    points = [F.col("keypoints")[i][part].alias(f"{name}_{part}") for i, name in enumerate(KEYPOINTS) for part in ("x", "y", "confidence", "visible")]
+    points = [F.get("keypoints", F.lit(i))[part].alias(f"{name}_{part}") for i, name in enumerate(KEYPOINTS) for part in ("x", "y", "confidence", "visible")]
     court = []
     if "x_m" in obs.columns:
         court = [F.col("x_m").alias("court_x_m"), F.col("y_m").alias("court_y_m"), "in_doubles_court", "in_singles_court",
                  F.concat_ws(";", "court_flags").alias("court_flags")]
     return rows.select(
         "clip_id", "frame_index", "timestamp_s", "expected_player_count", "observed_player_count", "count_mismatch", "frame_flags", "track_id",
-        "identity_source", "confidence", *[box[i].alias(f"bbox_{n}") for i, n in enumerate(("x1", "y1", "x2", "y2"))],
-        mid[0].alias("ankle_midpoint_x"), mid[1].alias("ankle_midpoint_y"), "low_confidence", *points, *court)
+        "identity_source", "confidence", *[F.get(box, F.lit(i)).alias(f"bbox_{n}") for i, n in enumerate(("x1", "y1", "x2", "y2"))],
+        F.get(mid, F.lit(0)).alias("ankle_midpoint_x"), F.get(mid, F.lit(1)).alias("ankle_midpoint_y"), "low_confidence", *points, *court)
 
 
 def _nested(frames: DataFrame, rows: DataFrame, item) -> DataFrame:

@@ -20,8 +20,12 @@ def _frames(spark, times, clip=1):
     return spark.createDataFrame([(clip, k, float(t)) for k, t in enumerate(times)], "clip_id long, frame_index long, timestamp_s double")
 
 
+def _manual(spark):
+    return spark.createDataFrame([(1, "manual", True)], "clip_id long, method string, manually_reviewed boolean")
+
+
 def _move(spark, times, xs, policy=Policy(), **kw):
-    m = motion.player_motion(motion.player_positions(_players(spark, times, xs, **kw)), _frames(spark, times), policy)
+    m = motion.player_motion(motion.player_positions(_players(spark, times, xs, **kw), _manual(spark)), _frames(spark, times), policy)
     return m, motion.fragment_summary(m, _frames(spark, times)).first()
 
 
@@ -46,7 +50,7 @@ def test_standing_still_is_not_movement(spark):
 
 def test_standing_still_across_block_edges(spark):
     t, x = _every(60, .02), [3 + .01 * (-1) ** k for k in range(60)]
-    pos = motion.player_positions(_players(spark, t, x))
+    pos = motion.player_positions(_players(spark, t, x), _manual(spark))
     m = motion.player_motion(pos, _frames(spark, t), layout=Layout(block_s=.3))
     assert m.agg(F.sum("distance_m"), F.count("distance_m")).first() == (0.0, 59)
     assert {r[0] for r in m.select("smoothed_x_m").collect()} == {3.0}
@@ -57,6 +61,26 @@ def test_fast_footwork(spark):
     assert round(s.distance_m, 6) == 1.44
 
 
+def test_equal_stamps_are_a_gap(spark):
+    _, s = _move(spark, [0, .02, .02, .04], [1, 1.04, 1.08, 1.12])
+    assert s.motion_intervals == 2
+
+
+def test_gap_cap_of_mixed_cadence_is_exact(spark):
+    frames = _frames(spark, [0, .08, .16, .28, .40])
+    assert round(timeline.gap_caps(frames).first().gap_cap_s, 9) == .3
+
+
+def test_no_calibration_gives_no_metres(spark):
+    assert motion.player_positions(_players(spark, [0, .02], [1, 1.04])).where("valid_position").count() == 0
+
+
+def test_corners_on_a_line_give_no_mapping(spark):
+    flat = spark.createDataFrame([(1, 0., 0., 1., 1., 2., 2., 3., 3.)], "clip_id long, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    assert court.fit_homography(flat).first().to_court[0] is None
+    assert not court.condition_numbers(court.fit_homography(flat)).first().well_conditioned
+
+
 def test_absent_row_is_a_gap(spark):
     t = _every(5, .02)
     m, s = _move(spark, t, [1 + .04 * k for k in range(5)], skip=(2,))
@@ -200,7 +224,7 @@ def test_recovery_reaches_the_target_and_stops_at_gaps(spark):
                                                                        "target_x_m double, target_y_m double, radius_m double")
 
     def run(skip=()):
-        pos = motion.with_identity(motion.player_positions(_players(spark, t, [1 + v for v in t], skip=skip)), identity)
+        pos = motion.with_identity(motion.player_positions(_players(spark, t, [1 + v for v in t], skip=skip), _manual(spark)), identity)
         return review.recovery(target, motion.player_motion(pos, frames), frames).first()
     r = run()
     assert (r.status, r.reached_frame, round(r.recovery_time_s, 9)) == ("available", 9, .9)

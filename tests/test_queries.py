@@ -3,13 +3,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import harness
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from rallygrid import fixtures
 from rallygrid.operators import motion, shuttle, timeline
+from rallygrid.plans.catalog import QUERIES
+from rallygrid.plans.oracles import ORACLES
 from rallygrid.policy import Layout
 
 SF = "/root/testdata/sf0.001"
-CHECKED = sorted(oracle_sql())
+CHECKED = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -19,13 +21,13 @@ def con():
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, con, name):
-    found = harness.compare(queries()[name](spark, SF), con, oracle_sql()[name])
+    found = harness.compare(QUERIES[name](spark, SF), con, ORACLES[name])
     assert found is None or (found == "no rows"), found
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(CHECKED)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKED)))
 def test_query_without_sql_has_rows(spark, name):
-    assert queries()[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
@@ -46,7 +48,7 @@ def _flat(df):
 
 def test_player_motion_does_not_depend_on_blocks(spark):
     frames = fixtures.table(spark, SF, "fx_frames")
-    pos = motion.player_positions(fixtures.table(spark, SF, "fx_positions").withColumn("flags", F.array_compact(F.array("cut_flag"))))
+    pos = motion.player_positions(fixtures.table(spark, SF, "fx_positions").withColumn("flags", F.array_compact(F.array("cut_flag"))), fixtures.table(spark, SF, "fx_calibrations"))
     cols = lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
     _same(cols(_flat(motion.player_motion(pos, frames))), cols(_flat(motion.player_motion(pos, frames, layout=TINY))))
 
