@@ -8,8 +8,8 @@ similarity of 0.75 meets in some table except once in 250,000 pairs.
 1. Texts with one shingle set are one node, its smallest document.
 2. Groups that only one node has are dropped before keys are formed.
 3. In each bucket one node (that shares most groups, then the smallest) is
-   compared with all others; then those buckets that still hold several
-   components are opened: pairs across components that lengths, 64 four-bit
+   compared with all others; then what still holds several components is
+   opened: pairs across components that lengths, 64 four-bit
    minhashes and the number of shingles shared with any other node don't rule
    out.  So a group of copies costs rows in proportion to its size, and no bucket
    is capped.
@@ -129,24 +129,28 @@ def solid(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
     return each.join(common, "h").groupBy("node").agg(F.count("*").alias("solid"))
 
 
-def across(buckets: DataFrame, groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of different components in one bucket that no bound rules out.
+def across(groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of different components that share a group of the first collection, if no bound rules them out.
+
+    These are all pairs that share a table, and some more.
 
     A pair shares at most the shingles that each has in common with any node, so two texts that differ from all
     others in their own ways are no pair: members of a group that are too far from each other aren't paired.
     """
-    placed = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rows = written(placed.join(mixed, "bucket"), "mixed")
+    keys = groups.select("node", F.explode("first").alias("key")).join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rows = written(keys.join(mixed, "key"), "mixed")
     counts = solid(written(rows.select("node").distinct(), "open"), docs, id_col, text_col)
-    able = written(counts.join(groups.select("node", "n_shingles", "bits"), "node").where("100 * solid >= 75 * n_shingles"), "solid")
+    able = written(counts.join(groups.select("node", "n_shingles", "bits", "first"), "node").where("100 * solid >= 75 * n_shingles"), "solid")
     rows = rows.join(able, "node")
     u, v = rows.alias("u"), rows.alias("v")
     low = F.least("u.solid", "v.solid")
-    meets = (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.node") < F.col("v.node")) & (F.col("u.component") != F.col("v.component"))
+    meets = (F.col("u.key") == F.col("v.key")) & (F.col("u.node") < F.col("v.node")) & (F.col("u.component") != F.col("v.component"))
     bound = 100 * low >= 75 * (F.col("u.n_shingles") + F.col("v.n_shingles") - low)
-    return u.join(v, meets & near("u.n_shingles", "v.n_shingles") & bound & agree(F.col("u.bits"), F.col("v.bits"))).select(
-        F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+    # A pair may share many groups; it comes out of the first of them alone.
+    once = F.get(F.array_intersect("u.first", "v.first"), F.lit(0)) == F.col("u.key")
+    return u.join(v, meets & near("u.n_shingles", "v.n_shingles") & bound & agree(F.col("u.bits"), F.col("v.bits")) & once).select(
+        F.col("u.node").alias("u"), F.col("v.node").alias("v"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
@@ -178,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = written(shared_groups(nodes), "groups")
     buckets = tables(groups)
     links = written(confirm(stars(buckets), docs, id_col, text_col), "links")
-    more = written(confirm(across(buckets, groups, components(links), docs, id_col, text_col), docs, id_col, text_col), "links")
+    more = written(confirm(across(groups, components(links), docs, id_col, text_col), docs, id_col, text_col), "links")
     labels = components(links.union(more))
     found = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     own = base.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
