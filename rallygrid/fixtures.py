@@ -180,7 +180,7 @@ SELECT clip_id, frame_index + CASE WHEN event_id % 211 = 0 THEN 1 ELSE 0 END AS
        CASE WHEN event_id % 157 = 0 THEN timestamp_s - 2 ELSE timestamp_s END AS timestamp_s,
        CASE WHEN event_id % 131 = 0 THEN NULL ELSE x END AS x, CASE WHEN event_id % 113 = 0 THEN NULL ELSE y END AS y,
        CASE WHEN event_id % 109 = 0 THEN 'guessed' WHEN event_id % 173 = 0 THEN 'missing' ELSE source END AS source,
-       confidence, low_confidence
+       confidence, low_confidence, frame_index AS ordinal
 FROM (SELECT s.*, f.event_id FROM fx_shuttle s JOIN fx_frames f ON s.clip_id = f.clip_id AND s.frame_index = f.frame_index) d
 """
 

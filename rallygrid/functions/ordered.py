@@ -54,12 +54,15 @@ def carry_over(df: DataFrame, keys: Sequence[str], pos: Column, size: float, las
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
-                 size: float, into: str = "prev") -> DataFrame:
-    """Add a struct of ``cols`` taken from the preceding row of the group, null on the first."""
-    pos = F.col(order)
+                 size: float, into: str = "prev", then: str | None = None) -> DataFrame:
+    """Add a struct of ``cols`` taken from the preceding row of the group, null on the first.
+
+    ``then`` orders rows of equal position.
+    """
+    pos, ties = F.col(order), [then] if then else []
     row = F.struct(*[F.col(c) for c in cols])
-    carry = carry_over(df, keys, pos, size, F.max_by(row, pos))
-    w = Window.partitionBy(*keys, "block").orderBy(order)
+    carry = carry_over(df, keys, pos, size, F.max_by(row, F.struct(order, *ties)))
+    w = Window.partitionBy(*keys, "block").orderBy(order, *ties)
     return (df.withColumn("block", block_of(pos, size))
               .join(carry, [*keys, "block"], "left")
               .withColumn(into, F.coalesce(F.lag(row).over(w), F.col("carried")))

@@ -60,12 +60,18 @@ def check_timeline(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
                           ("negative_time", t < 0), ("time_not_rising", t <= F.col("prev.timestamp_s"))])
 
 
+def _place(df: DataFrame) -> str | None:
+    """The column with a row's place in its file."""
+    return "ordinal" if "ordinal" in df.columns else None
+
+
 def check_shuttle(df: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """Shuttle rows: consecutive from zero, paired and finite values, source agrees with coordinates.
 
-    Consecutive from zero means the frame before exists, whatever its number.
+    Consecutive from zero means the row before has the frame before.  Rows that
+    repeat a frame are checked one by one, in the order of ``ordinal`` if given.
     """
-    rows = previous_row(df, [CLIP], "frame_index", ["frame_index", "timestamp_s"], layout.block_frames)
+    rows = previous_row(df, [CLIP], "frame_index", ["frame_index", "timestamp_s"], layout.block_frames, then=_place(df))
     values = [c for c in ("x", "y", "confidence", "raw_x", "raw_y", "raw_confidence") if c in df.columns]
     odd = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & finite(F.col(c)).isNull() for c in values])
     t = finite(F.col("timestamp_s"))
@@ -192,8 +198,9 @@ def check_overlay_alignment(shuttle: DataFrame, records: DataFrame, obs: DataFra
 
 def check_export_timing(frames: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """Frames stay consecutive and apart on the export clock (round half to even)."""
-    rows = frames.select(*FRAME, "timestamp_s", F.bround(F.col("timestamp_s") * TICKS_PER_SECOND).alias("tick"))
-    rows = previous_row(rows, [CLIP], "frame_index", ["frame_index", "timestamp_s", "tick"], layout.block_frames)
+    place = _place(frames)
+    rows = frames.select(*FRAME, "timestamp_s", *[place] * bool(place), F.bround(F.col("timestamp_s") * TICKS_PER_SECOND).alias("tick"))
+    rows = previous_row(rows, [CLIP], "frame_index", ["frame_index", "timestamp_s", "tick"], layout.block_frames, then=place)
     return _report(rows, [
         ("frames_not_consecutive", F.col("frame_index") != F.coalesce(F.col("prev.frame_index") + 1, F.lit(0))),
         ("time_not_rising", F.col("timestamp_s") <= F.col("prev.timestamp_s")), ("negative_time", F.col("timestamp_s") < 0),

@@ -543,8 +543,7 @@ def timing_error(t):
 @query
 def changed_observations(t):
     cols = ["clip_id", "frame_index", "x", "y", "source"]
-    one = t.dirty_shuttle.groupBy("clip_id", "frame_index").agg(*[F.min(c).alias(c) for c in cols[2:]])
-    return evaluation.diff_observations(t.shuttle.select(*cols), one, FRAME)
+    return evaluation.diff_observations(t.shuttle.select(*cols), t.dirty_shuttle.select(*cols), FRAME)
 
 
 @query
@@ -562,9 +561,7 @@ def timeline_checks(t):
 
 @query
 def shuttle_checks(t):
-    # Repeated frame numbers are the timeline check's business.
-    return checks.check_shuttle(t.dirty_shuttle.groupBy(*FRAME).agg(
-        *[F.min(c).alias(c) for c in ("timestamp_s", "x", "y", "confidence", "source", "low_confidence")]))
+    return checks.check_shuttle(t.dirty_shuttle)
 
 
 @query
@@ -585,7 +582,7 @@ def alignment_checks(t):
 
 @query
 def export_timing_checks(t):
-    return checks.check_export_timing(t.dirty_shuttle.groupBy(*FRAME).agg(F.min("timestamp_s").alias("timestamp_s")))
+    return checks.check_export_timing(t.dirty_shuttle)
 
 
 @query

@@ -398,7 +398,7 @@ ORACLES["label_coverage"] = f"""{EVAL} SELECT clip_id, {i('frame_index')}, 'no_l
  UNION ALL SELECT clip_id, {i('frame_index')}, 'no_detection_row' FROM fx_labels l WHERE NOT EXISTS (SELECT 1 FROM fx_dirty_shuttle d WHERE l.clip_id = d.clip_id AND l.frame_index = d.frame_index)"""
 ORACLES["timing_error"] = f"""{EVAL} SELECT clip_id, {r('max(abs(a.timestamp_s - b.timestamp_s))', 'max_timing_error_s')}, count(a.timestamp_s) = count(b.timestamp_s) AS equal_counts
  FROM fx_shuttle a FULL JOIN fx_dirty_shuttle b USING (clip_id, frame_index) GROUP BY clip_id"""
-ORACLES["changed_observations"] = f"""{EVAL}, n AS (SELECT clip_id, frame_index, min(x) AS x, min(y) AS y, min(source) AS source FROM fx_dirty_shuttle GROUP BY ALL)
+ORACLES["changed_observations"] = f"""{EVAL}, n AS (SELECT clip_id, frame_index, x, y, source FROM fx_dirty_shuttle)
  SELECT clip_id, {i('frame_index')}, CASE WHEN n.source IS NULL THEN 'removed' WHEN a.source IS NULL THEN 'added' ELSE 'changed' END AS change FROM fx_shuttle a FULL JOIN n USING (clip_id, frame_index)
  WHERE a.x IS DISTINCT FROM n.x OR a.y IS DISTINCT FROM n.y OR a.source IS DISTINCT FROM n.source"""
 ORACLES["pixel_labels"] = f"{EVAL} SELECT clip_id, {i('frame_index')}, visible, {r('lx', 'label_x')}, {r('ly', 'label_y')} FROM fx_labels"
@@ -406,13 +406,13 @@ ORACLES["pixel_labels"] = f"{EVAL} SELECT clip_id, {i('frame_index')}, visible,
 # Checks -------------------------------------------------------------------------------
 _D = cte("fx_frames", "fx_shuttle", "fx_dirty_shuttle")
 _KEY = "CAST(frame_index AS VARCHAR)"
-_LAG = ", lag(timestamp_s) OVER (PARTITION BY clip_id ORDER BY frame_index) AS pt, lag(frame_index) OVER (PARTITION BY clip_id ORDER BY frame_index) AS pf"
-_ONE = "SELECT clip_id, frame_index, min(timestamp_s) AS timestamp_s, min(x) AS x, min(y) AS y, min(source) AS source FROM fx_dirty_shuttle GROUP BY clip_id, frame_index"
+_LAG = ", lag(timestamp_s) OVER (PARTITION BY clip_id ORDER BY frame_index, ordinal) AS pt, lag(frame_index) OVER (PARTITION BY clip_id ORDER BY frame_index, ordinal) AS pf"
+_ONE = "SELECT * FROM fx_dirty_shuttle"
 ORACLES["shuttle_checks"] = violations(f"{_D}, u AS ({_ONE}), l AS (SELECT *{_LAG} FROM u)", [
     ("frames_not_consecutive", "frame_index <> coalesce(pf + 1, 0)"), ("bad_time", "timestamp_s < 0"), ("time_not_rising", "timestamp_s <= pt"),
     ("unpaired_coordinates", "(x IS NULL) <> (y IS NULL)"), ("detected_without_coordinates", "source = 'detected' AND x IS NULL"),
     ("missing_with_coordinates", "source = 'missing' AND x IS NOT NULL")], "l", _KEY)
-ORACLES["export_timing_checks"] = violations(f"{_D}, u AS (SELECT *, round_even(timestamp_s*90000, 0) AS tick FROM ({_ONE})), l AS (SELECT *{_LAG}, lag(tick) OVER (PARTITION BY clip_id ORDER BY frame_index) AS pk FROM u)", [
+ORACLES["export_timing_checks"] = violations(f"{_D}, u AS (SELECT *, round_even(timestamp_s*90000, 0) AS tick FROM ({_ONE})), l AS (SELECT *{_LAG}, lag(tick) OVER (PARTITION BY clip_id ORDER BY frame_index, ordinal) AS pk FROM u)", [
     ("frames_not_consecutive", "frame_index <> coalesce(pf + 1, 0)"), ("negative_time", "timestamp_s < 0"), ("time_not_rising", "timestamp_s <= pt"), ("tick_not_rising", "tick <= pk")], "l", _KEY)
 ORACLES["source_checks"] = violations(_D, [("unknown_source", "source NOT IN ('detected', 'missing', 'interpolated')")], "fx_dirty_shuttle", _KEY)
 ORACLES["alignment_checks"] = violations(f"{_D}, j AS (SELECT d.clip_id, d.frame_index, abs(d.timestamp_s - f.timestamp_s) AS e FROM fx_dirty_shuttle d JOIN fx_frames f ON f.clip_id = d.clip_id AND f.frame_index = d.frame_index)",

@@ -12,6 +12,8 @@ from rallygrid.policy import Layout
 
 SF = "/root/testdata/sf0.001"
 CHECKED = sorted(ORACLES)
+# Queries that the small tables give no rows.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def con():
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, con, name):
     found = harness.compare(QUERIES[name](spark, SF), con, ORACLES[name])
-    assert found is None or (found == "no rows"), found
+    assert found is None or (found == "no rows" and name in EMPTY), found
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKED)))
