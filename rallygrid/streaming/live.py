@@ -24,15 +24,23 @@ def _plain(row) -> tuple:
     return (int(f), float(t), None if pd.isna(x) else float(x), None if pd.isna(y) else float(y), bool(ok), int(at))
 
 
-def _advance(gap_cap_s: float):
-    """One clip: hold rows until the watermark has passed them, then emit them in frame order."""
+def _advance(gap_cap_s: float, idle_ms: int):
+    """One clip: hold rows until the watermark has passed them, then emit them in frame order.
+
+    A clip that holds nothing and stays silent for ``idle_ms`` of event time is forgotten.
+    """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held, late = state.get if state.exists else (None, [], 0)
+        if state.hasTimedOut and not held:
+            state.remove()
+            return
         rows = [pd.DataFrame(held, columns=ROW)] if held else []
         rows += [b[ROW] for b in batches]
         mark = state.getCurrentWatermarkMs()
         if rows:
-            todo = pd.concat(rows, ignore_index=True).sort_values("frame_index", kind="stable").drop_duplicates("frame_index")
+            found = pd.concat(rows, ignore_index=True).sort_values("frame_index", kind="stable")
+            todo = found.drop_duplicates("frame_index")
+            late += len(found) - len(todo)
             if last is not None:
                 old = todo["frame_index"] <= last[0]
                 late += int(old.sum())
@@ -63,6 +71,8 @@ def _advance(gap_cap_s: float):
         if held:
             # Never before the present watermark, which the engine refuses.
             state.setTimeoutTimestamp(max(int(max(h[5] for h in held)), mark) + 1)
+        else:
+            state.setTimeoutTimestamp(mark + idle_ms)
     return step
 
 
@@ -71,17 +81,19 @@ STATE = f"last {_ROW}, held array<{_ROW}>, late bigint"
 
 
 def stream_shuttle_motion(stream: DataFrame, gap_cap_s: float = POLICY.min_gap_cap_s, event_time: str = "ts",
-                          delay: str = "2 seconds", policy: Policy = POLICY) -> DataFrame:
+                          delay: str = "2 seconds", policy: Policy = POLICY, idle_s: float = 3600.0) -> DataFrame:
     """Live form of the batch shuttle motion, the row before kept as state per clip.
 
     The gap cap is given, as a running median does not exist.  Rows out of order
-    within ``delay`` are put in order; rows behind what was already emitted are
-    dropped and counted in ``late_rows``.
+    within ``delay`` are put in order.  Rows behind what was already emitted, and
+    repeats of a frame, are dropped and counted in ``late_rows``; rows that are behind the
+    watermark may be dropped by the engine before they are seen here.  State goes ``idle_s``
+    after a clip's last row, so it grows with the clips that are live, not with all there ever were.
     """
     rows = (shuttle_observations(stream, policy).withWatermark(event_time, delay)
             .select(CLIP, event_time, F.unix_millis(event_time).alias("at_ms"), *ROW[:-1]))
     return rows.groupBy(CLIP).applyInPandasWithState(
-        _advance(gap_cap_s), MOTION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _advance(gap_cap_s, int(idle_s * 1000)), MOTION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _counts() -> list:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import harness
 from __spark_entry__ import entry
 from rallygrid import fixtures
-from rallygrid.operators import motion, shuttle, timeline
+from rallygrid.operators import checks, motion, shuttle, timeline, trails
 from rallygrid.plans.catalog import QUERIES
 from rallygrid.plans.oracles import ORACLES
 from rallygrid.policy import Layout
@@ -63,6 +63,14 @@ def test_shuttle_operators_do_not_depend_on_blocks(spark, op):
     _same(op(s, Layout()), op(s, TINY))
 
 
+def test_trails_and_checks_do_not_depend_on_blocks(spark):
+    pos = motion.player_positions(fixtures.table(spark, SF, "fx_positions"), fixtures.table(spark, SF, "fx_calibrations")).where("x_m is not null")
+    dirty, seen = fixtures.table(spark, SF, "fx_dirty_shuttle"), fixtures.table(spark, SF, "fx_shuttle")
+    text = lambda df: df.select(*[F.to_json(c).alias(c) if "<" in t else F.col(c) for c, t in df.dtypes])
+    for op, df in ((trails.map_trails, pos), (trails.review_trail, pos), (trails.shuttle_trails, seen), (checks.check_shuttle, dirty), (checks.check_export_timing, dirty)):
+        _same(text(op(df, layout=Layout())), text(op(df, layout=TINY)))
+
+
 def test_track_and_timing_operators_do_not_depend_on_blocks(spark):
     pos, pts = fixtures.table(spark, SF, "fx_positions"), fixtures.table(spark, SF, "fx_pts")
     for op, df in ((timeline.track_gaps, pos), (timeline.contiguous_runs, pos), (timeline.normalize_pts, pts)):

@@ -41,6 +41,30 @@ def test_stream_motion_equals_batch(spark, tmp_path):
     assert gaps == shuttle_motion(rows, gap_cap_s=0.25).where("array_contains(quality_flags, 'observation_gap')").count()
 
 
+def test_repeated_rows_are_counted(spark, tmp_path):
+    rows, _ = _feed(spark, str(tmp_path / "in"))
+    again = rows.where("frame_index % 10 = 3")
+    again.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    _run(stream_shuttle_motion(stream, 0.25, delay="3 seconds"), "live_repeats")
+    live = spark.table("live_repeats").where("clip_id >= 0")
+    assert live.count() == rows.count()
+    assert live.groupBy("clip_id").agg(F.max("late_rows").alias("n")).agg(F.sum("n")).first()[0] == again.count()
+
+
+def test_idle_clips_are_forgotten(spark, tmp_path):
+    folder, sizes = str(tmp_path / "in"), []
+    rows, stream = _feed(spark, folder)
+    for k in range(3):
+        later = rows.limit(1).withColumns({"clip_id": F.lit(-2).cast("long"), "frame_index": F.lit(k).cast("long"), "ts": F.timestamp_seconds(F.lit(1002000 + 100 * k))})
+        later.coalesce(1).write.mode("append").parquet(folder)
+        q = (stream_shuttle_motion(stream, 0.25, delay="3 seconds", idle_s=1.0).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "log"))
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+    assert sizes[-1] <= 1
+
+
 def test_stream_coverage_counts_every_row(spark, tmp_path):
     rows, stream = _feed(spark, str(tmp_path / "in"))
     _run(stream_coverage(stream), "live_coverage")
