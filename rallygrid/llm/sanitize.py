@@ -63,12 +63,20 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.array_sort(F.concat(*each)).alias("base"))
 
 
-def neighbours(found: DataFrame) -> DataFrame:
+def entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(span["found"]))
+
+
+def with_contexts(found: DataFrame) -> DataFrame:
+    """``doc_id, mark, base, size`` (of the text) and ``contexts``: the text around each entity, so that it isn't searched again."""
+    low = lambda e: F.greatest(e["start"] - REACH, F.lit(0))
+    near = F.transform("base", lambda e: F.struct(entity(e).alias("entity"), low(e).alias("low"), F.col("text").substr(low(e) + 1, e["end"] - low(e) + REACH).alias("around")))
+    return found.select("doc_id", "mark", "base", F.length("text").alias("size"), near.alias("contexts"))
+
+
+def neighbours(wide: DataFrame) -> DataFrame:
     """Terms near entities: ``doc_id, mark, entity, term, start, end``; none overlaps a base span."""
-    own = found.where("size(base) > 0").select("doc_id", "mark", "text", "base", F.explode("base").alias("e"))
-    own = own.select("doc_id", "mark", "base", F.concat_ws(":", "e.kind", F.lower("e.found")).alias("entity"), "text", "e.start", "e.end")
-    low = F.greatest(F.col("start") - REACH, F.lit(0))
-    around = own.select("doc_id", "mark", "base", "entity", low.alias("low"), F.col("text").substr(low + 1, F.col("end") - low + REACH).alias("around"), F.length("text").alias("size"))
+    around = wide.select("doc_id", "mark", "base", "size", F.explode("contexts").alias("c")).select("doc_id", "mark", "base", "size", "c.*")
     around = around.withColumn("m", matches(F.col("around"), TERM)).withColumn("b", stretches(F.col("around"), TERM, F.col("m"))).withColumn("s", starts(F.col("m"), F.col("b")))
     terms = around.select("doc_id", "mark", "base", "entity", "low", "size", F.length("around").alias("width"), F.explode(F.arrays_zip("s", "m")).alias("z"))
     terms = terms.withColumns({"start": F.col("low") + F.col("z.s"), "end": F.col("low") + F.col("z.s") + F.length("z.m")})
@@ -78,16 +86,15 @@ def neighbours(found: DataFrame) -> DataFrame:
     return terms.where(whole & clear).select("doc_id", "mark", "entity", F.lower("z.m").alias("term"), "start", "end")
 
 
-def revealing(found: DataFrame, near: DataFrame, support: int = SUPPORT, disclosed: int = DISCLOSED) -> DataFrame:
+def revealing(texts: DataFrame, wide: DataFrame, near: DataFrame, support: int = SUPPORT, disclosed: int = DISCLOSED) -> DataFrame:
     """Pairs ``entity, term`` above the limits, with ``disclosure``: the part of the entity's information that the term gives."""
-    one = ["doc_id", "mark"]
-    total = found.agg(F.count("*").alias("n"))
-    entities = found.select(*one, F.explode(F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["found"]))))).alias("entity"))
+    total = wide.agg(F.count("*").alias("n"))
+    entities = wide.select("doc_id", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
     entities = entities.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e"))
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("mark").alias("texts")).where(F.col("texts") >= support)
     pairs = written(pairs, "pairs")
     # Partly counted before the exchange; then only terms of pairs go on.
-    words = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     known = pairs.join(terms, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
     pmi, own = F.ln(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), F.ln(F.col("n") / F.col("n_e"))
@@ -97,9 +104,10 @@ def revealing(found: DataFrame, near: DataFrame, support: int = SUPPORT, disclos
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, mark, base, terms`` (spans of revealing terms)."""
     found = detect(docs, id_col, text_col)
-    base = written(found.select("doc_id", "mark", "base"), "base")
-    near = written(neighbours(found), "near")
-    told = written(revealing(found, near), "revealing")
+    wide = written(with_contexts(found), "base")
+    base = wide.select("doc_id", "mark", "base")
+    near = written(neighbours(wide), "near")
+    told = written(revealing(found.select("text"), wide, near), "revealing")
     hits = near.join(told, ["entity", "term"]).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct(
         "start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), F.lit(None).cast("string").alias("found")))).alias("terms"))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "terms")
