@@ -9,7 +9,7 @@ similarity of 0.75 meets in some table except once in 250,000 pairs.
 2. Groups that only one node has are dropped before keys are formed.
 3. In each bucket one node (that shares most groups, then the smallest) is
    compared with all others; then what still holds several components is
-   opened: pairs across components that lengths, 64 four-bit
+   opened: pairs across components that lengths, 512 four-bit
    minhashes and the number of shingles shared with any other node don't rule
    out.  So a group of copies costs rows in proportion to its size, and no bucket
    is capped.
@@ -36,25 +36,33 @@ from .components import components
 #: Words in a shingle; groups in each collection; minhashes in a group.
 WORDS, GROUPS, DEPTH = 5, 16, 2
 HASHES = 2 * GROUPS * DEPTH
-#: Least agreement of four-bit minhashes, of HASHES.  A pair at 0.75 agrees in 49 and falls below it once in 10 million.
-AGREE = 29
-_SEEDS = rolling.mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR, _TIMES = _SEEDS[:HASHES, None], _SEEDS[HASHES:, None] | np.uint64(1)
+#: Four-bit minhashes of nodes that pairs across components are made of, and their least agreement.  A pair at 0.75
+#: agrees in 392 (standard deviation 9.6) and falls below the least once in 50 million.
+FINE, AGREE = 512, 339
+_SEEDS = rolling.mix(np.arange(1, 2 * (HASHES + FINE) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1, 1)
+_XOR, _TIMES = _SEEDS[0], _SEEDS[1] | np.uint64(1)
 
 
 def lowered(text: str) -> bytes:
     return text.encode().lower()  # bytes: A-Z only
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        low = np.minimum(low, ((shingles[None, at:at + 4096] ^ _XOR) * _TIMES).min(axis=1))
+def minhashes(shingles: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Minima of the hashes from ``first`` to ``end``."""
+    low = np.full(end - first, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        low = np.minimum(low, ((shingles[None, at:at + 2048] ^ _XOR[first:end]) * _TIMES[first:end]).min(axis=1))
     return low
 
 
+def fine_bits(shingles: np.ndarray) -> np.ndarray:
+    """Four bits of each of FINE minhashes: four longs for every 64 of them, one for each bit."""
+    top = (minhashes(shingles, HASHES, HASHES + FINE) >> np.uint64(40)).astype(np.uint8).reshape(-1, 64)
+    return np.stack([np.packbits((top >> b) & 1, axis=1).view("<i8")[:, 0] for b in range(4)], axis=1).ravel()
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
-    """Rows ``doc_id, n_shingles, digest`` (of the whole set)``, minhash`` (HASHES ints)``, bits`` (four longs)."""
+    """Rows ``doc_id, n_shingles, digest`` (of the whole set)``, minhash`` (HASHES ints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,21 +71,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> Dat
                 rows = []
                 for text in part.column(1).to_pylist():
                     s = rolling.shingles(lowered(text or ""), k)
-                    low = minhashes(s)
-                    top = (low >> np.uint64(32)).astype(np.uint32)
-                    bits = [np.packbits((low >> np.uint64(40 + b)).astype(np.uint8) & 1).view("<i8")[0] for b in range(4)]
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), top.view(np.int32), bits))
-                n, digest, low, bits = zip(*rows, strict=True) if rows else ((),) * 4
+                    top = (minhashes(s, 0, HASHES) >> np.uint64(32)).astype(np.uint32)
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), top.view(np.int32)))
+                n, digest, low = zip(*rows, strict=True) if rows else ((),) * 3
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                                  pa.array(low, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))],
-                                                 names=["doc_id", "n_shingles", "digest", "minhash", "bits"])
+                                                  pa.array(low, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "digest", "minhash"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, (
-        "doc_id long, n_shingles long, digest binary, minhash array<int>, bits array<long>"))
+        "doc_id long, n_shingles long, digest binary, minhash array<int>"))
 
 
 def shared_groups(nodes: DataFrame) -> DataFrame:
-    """Rows ``node, n_shingles, bits, support, first, second``: the groups of each collection that other nodes have too."""
+    """Rows ``node, n_shingles, support, first, second``: the groups of each collection that other nodes have too."""
     group = F.transform(F.sequence(F.lit(0), F.lit(2 * GROUPS - 1)), lambda g: F.struct(
         (g < GROUPS).alias("is_first"), F.xxhash64(g, *[F.get("minhash", g * DEPTH + d) for d in range(DEPTH)]).alias("key")))
     keys = nodes.select("node", F.explode(group).alias("g")).select("node", "g.is_first", "g.key")
@@ -85,7 +90,7 @@ def shared_groups(nodes: DataFrame) -> DataFrame:
     kept = keys.join(common, "key").groupBy("node").agg(
         F.sum("n").alias("support"), F.collect_list(F.when(F.col("is_first"), F.col("key"))).alias("first"),
         F.collect_list(F.when(~F.col("is_first"), F.col("key"))).alias("second"))
-    return kept.where("size(first) > 0 and size(second) > 0").join(nodes.select("node", "n_shingles", "bits"), "node")
+    return kept.where("size(first) > 0 and size(second) > 0").join(nodes.select("node", "n_shingles"), "node")
 
 
 def tables(groups: DataFrame) -> DataFrame:
@@ -100,8 +105,12 @@ def near(a: str, b: str) -> Column:
 
 
 def agree(a: Column, b: Column) -> Column:
-    differ = [a[i].bitwiseXOR(b[i]) for i in range(4)]
-    return F.lit(HASHES) - F.bit_count(differ[0].bitwiseOR(differ[1]).bitwiseOR(differ[2]).bitwiseOR(differ[3])) >= AGREE
+    """Whether enough of the fine minhashes are equal in all their bits."""
+    differ = []
+    for at in range(0, FINE // 16, 4):
+        x = [a[at + i].bitwiseXOR(b[at + i]) for i in range(4)]
+        differ.append(F.bit_count(x[0].bitwiseOR(x[1]).bitwiseOR(x[2]).bitwiseOR(x[3])))
+    return F.lit(FINE) - sum(differ[1:], differ[0]) >= AGREE
 
 
 def stars(buckets: DataFrame) -> DataFrame:
@@ -114,19 +123,21 @@ def stars(buckets: DataFrame) -> DataFrame:
 
 
 def solid(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
-    """Rows ``node, solid``: how many of a node's shingles another of ``nodes`` has too."""
+    """Rows ``node, solid, fine``: how many of a node's shingles another of ``nodes`` has too, and its fine minhashes."""
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body")).where("body is not null").join(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [rolling.shingles(lowered(t), k).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+                own = [rolling.shingles(lowered(t), k) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
+                                                  pa.array([fine_bits(s) for s in own], pa.list_(pa.int64()))], names=["node", "own", "fine"])
 
-    each = map_arrow(texts, run, "node long, own array<long>").select("node", F.explode("own").alias("h"))
+    sets = written(map_arrow(texts, run, "node long, own array<long>, fine array<long>"), "sets")
+    each = sets.select("node", F.explode("own").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return each.join(common, "h").groupBy("node").agg(F.count("*").alias("solid"))
+    return each.join(common, "h").groupBy("node").agg(F.count("*").alias("solid")).join(sets.select("node", "fine"), "node")
 
 
 def across(groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,7 +152,7 @@ def across(groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, t
     mixed = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rows = written(keys.join(mixed, "key"), "mixed")
     counts = solid(written(rows.select("node").distinct(), "open"), docs, id_col, text_col)
-    able = written(counts.join(groups.select("node", "n_shingles", "bits", "first"), "node").where("100 * solid >= 75 * n_shingles"), "solid")
+    able = written(counts.join(groups.select("node", "n_shingles", "first"), "node").where("100 * solid >= 75 * n_shingles"), "solid")
     rows = rows.join(able, "node")
     u, v = rows.alias("u"), rows.alias("v")
     low = F.least("u.solid", "v.solid")
@@ -149,7 +160,7 @@ def across(groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, t
     bound = 100 * low >= 75 * (F.col("u.n_shingles") + F.col("v.n_shingles") - low)
     # A pair may share many groups; it comes out of the first of them alone.
     once = F.get(F.array_intersect("u.first", "v.first"), F.lit(0)) == F.col("u.key")
-    return u.join(v, meets & near("u.n_shingles", "v.n_shingles") & bound & agree(F.col("u.bits"), F.col("v.bits")) & once).select(
+    return u.join(v, meets & near("u.n_shingles", "v.n_shingles") & bound & agree(F.col("u.fine"), F.col("v.fine")) & once).select(
         F.col("u.node").alias("u"), F.col("v.node").alias("v"))
 
 
@@ -178,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = written(sketches(docs, id_col, text_col), "sketches")
     # One set, one sketch: any row's will do.
     nodes = written(base.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("minhash").alias("minhash"), F.first("bits").alias("bits")), "nodes")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("minhash").alias("minhash")), "nodes")
     groups = written(shared_groups(nodes), "groups")
     buckets = tables(groups)
     links = written(confirm(stars(buckets), docs, id_col, text_col), "links")
