@@ -120,12 +120,12 @@ def test_reports(spark, tmp_path):
     lines, docs = _report_parts(Tables(spark, SF))
     lines = lines.where("clip_id in (0, 1)")
     text = [r.line for r in lines.where("clip_id = 1").orderBy("section", "ord").collect()]
-    assert text[0].startswith("| 1 | P1 | ") and any(x.startswith("Clip span: frames 0 through") for x in text)
+    assert text[0].startswith("| 1 | P1 | ") and any(x.startswith("Whole clip: from frame 0 to") for x in text)
     assert text[-1].startswith("1. These descriptive reports")
     reports.write_report(lines, str(tmp_path / "report"))
     assert os.path.isdir(tmp_path / "report/clip_id=1")
     doc = json.loads(docs.where("clip_id = 1").first().document)
-    assert doc["shuttle"]["physical_speed_km_h"] is None and {p["track_id"] for p in doc["players"]} == {1, 2}
+    assert doc["shuttle"]["physical_speed_km_h"] is None and all(isinstance(p["zones"], list) for p in doc["players"]) and {p["track_id"] for p in doc["players"]} == {1, 2}
 
 
 def test_quarantine(spark):

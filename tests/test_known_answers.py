@@ -291,7 +291,7 @@ def test_exact_median_of_a_hot_group(spark):
 def test_rally_keeps_its_notes_and_boundary(spark):
     t = _every(10, .04)
     frames = _frames(spark, t)
-    m = motion.player_motion(motion.player_positions(_players(spark, t, [1 + .04 * k for k in range(10)])), frames)
+    m = motion.player_motion(motion.player_positions(_players(spark, t, [1 + .04 * k for k in range(10)]), _manual(spark)), frames)
     rallies = spark.createDataFrame([(1, "r1", 2, 5, "long", None)], "clip_id long, rally_id string, start_frame long, end_frame long, notes string, outcome string")
     r = review.rally_summary(rallies, m, frames).first()
     assert (round(r.duration_s, 9), round(r.distance_m, 9), r.notes, r.outcome) == (.12, .12, "long", None)
