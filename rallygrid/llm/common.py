@@ -42,6 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(df: DataFrame, h: Column, n: int, of: int) -> DataFrame:
+    """The rows of ``df`` with a hash (a long) in the part of all hashes that ``n`` of ``of`` rows are expected in.
+
+    Taken before a sample is sorted, so that what meets in one task doesn't grow with the table.
+    """
+    return df if of <= n else df.where(h < -(1 << 63) + (n << 64) // of)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import drawn as drawn_part
 from .common import written
 
 UNKNOWN = "unknown"
@@ -66,8 +67,9 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def draw(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
     """At most ``sample`` different paragraphs, those of the smallest hashes."""
     texts = docs.select(F.explode(F.array_distinct(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    # More than needed are taken at first, as equal paragraphs stand together.
-    low = texts.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(4 * sample).distinct().orderBy("h", "text").limit(sample)
+    # Texts have about a paragraph or more each; equal paragraphs have one hash and are drawn once.
+    hashed = drawn_part(texts.select(F.xxhash64("text").alias("h"), "text"), F.col("h"), 4 * sample, docs.count())
+    low = hashed.distinct().orderBy("h", "text").limit(sample)
     return low.select("h", "text", tokens(F.col("text")).alias("ws"))
 
 

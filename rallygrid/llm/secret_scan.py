@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drawn as drawn_part
 from .common import written
 from .spans import starts, stretches
 
@@ -91,7 +92,9 @@ def dictionary(docs: DataFrame, found: DataFrame, text_col: str = "text", least:
 def labelled(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` candidates of the corpus with sure labels, and their variants."""
     f = F.col("found")
-    drawn = found.select("path", "found", "before", "after").distinct().orderBy(F.xxhash64("found", "before", "after"), "found", "before", "after", "path").limit(sample)
+    h = F.xxhash64("found", "before", "after")
+    some = drawn_part(found.select("path", "found", "before", "after"), h, 16 * sample, found.count())
+    drawn = some.distinct().orderBy(h, "found", "before", "after", "path").limit(sample)
     strong = f.rlike("^[0-9a-fA-F]{32,}$") | (F.length(f) >= 20) & f.rlike("[A-Z]") & f.rlike("[a-z]") & f.rlike("[0-9]")
     plain = f.rlike("^[0-9]+$") | f.rlike("^([A-Za-z]{3,}[0-9]{0,4}[_/-]?)+$") | F.col("before").rlike("@[A-Za-z0-9.]*$") | F.col("after").rlike("^[.A-Za-z0-9]*@")
     sure = drawn.withColumn("label", F.when(strong & F.col("before").rlike(ASSIGNED), 1.0).when(plain & ~F.col("before").rlike(ASSIGNED), 0.0)).where("label is not null")
