@@ -1,18 +1,20 @@
 """Personal data by patterns, and terms that would reveal it by co-occurrence.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
-What they find are the protected entities.  A term near an entity tells about it
-as much as their pointwise mutual information over the corpus: from documents
-with the entity, the term, and both within reach of each other, out of all
-documents.  An entity's own information is that of its rarity.  A term that
-reveals at least DISCLOSED percent of it, in SUPPORT or more different texts, is
-a span of its own and is generalised with the entity.
-
-Counts are of documents and cover the whole corpus.  Pairs come only from terms
-within REACH characters of an entity, so they grow with the text.
-
-Defined results: no text counts as empty; rows that share an id and a text are
-one document; a null id is judged like others; an empty table gives an empty result.
+What they find are the protected entities.  A term tells about an entity as much
+as their pointwise mutual information over the corpus: from documents with the
+entity, the term, and both, out of all documents.  An entity's own information is
+that of its rarity.  A term that reveals at least DISCLOSED percent of it, in
+SUPPORT or more different texts, is generalised with the entity: each of its
+occurrences in a document that holds the entity is a span, unless it overlaps
+what a pattern found.
+
+Counts are of rows and cover the whole corpus.  An entity in fewer than SUPPORT
+different texts has no such term, so only the others meet the terms of their
+documents.
+
+Defined results: no text counts as empty; rows that repeat count alike on all
+sides; a null id is judged like others; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -33,8 +35,8 @@ KINDS = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 ]
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
-#: Characters around an entity; different texts that show a term with it; percentage of its information.
-REACH, SUPPORT, DISCLOSED = 80, 3, 90
+#: Different texts that show a term with an entity; percentage of the entity's information.
+SUPPORT, DISCLOSED = 3, 90
 
 
 def holds(kind: str, match: Column) -> Column:
@@ -67,52 +69,72 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.lower(span["found"]))
 
 
-def with_contexts(found: DataFrame) -> DataFrame:
-    """``doc_id, mark, base, size`` (of the text) and ``contexts``: the text around each entity, so that it isn't searched again."""
-    low = lambda e: F.greatest(e["start"] - REACH, F.lit(0))
-    near = F.transform("base", lambda e: F.struct(entity(e).alias("entity"), low(e).alias("low"), F.col("text").substr(low(e) + 1, e["end"] - low(e) + REACH).alias("around")))
-    return found.select("doc_id", "mark", "base", F.length("text").alias("size"), near.alias("contexts"))
+def with_entities(found: DataFrame) -> DataFrame:
+    """``doc_id, mark, base, entities`` (each once) and ``text``, null without an entity: so that the others aren't kept."""
+    return found.select("doc_id", "mark", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), F.when(F.size("base") > 0, F.col("text")).alias("text"))
 
 
-def neighbours(wide: DataFrame) -> DataFrame:
-    """Terms near entities: ``doc_id, mark, entity, term, start, end``; none overlaps a base span."""
-    around = wide.select("doc_id", "mark", "base", "size", F.explode("contexts").alias("c")).select("doc_id", "mark", "base", "size", "c.*")
-    around = around.withColumn("m", matches(F.col("around"), TERM)).withColumn("b", stretches(F.col("around"), TERM, F.col("m"))).withColumn("s", starts(F.col("m"), F.col("b")))
-    terms = around.select("doc_id", "mark", "base", "entity", "low", "size", F.length("around").alias("width"), F.explode(F.arrays_zip("s", "m")).alias("z"))
-    terms = terms.withColumns({"start": F.col("low") + F.col("z.s"), "end": F.col("low") + F.col("z.s") + F.length("z.m")})
-    # The first and last may be parts of longer terms.
-    whole = ((F.col("z.s") > 0) | (F.col("low") == 0)) & ((F.col("end") < F.col("low") + F.col("width")) | (F.col("end") == F.col("size")))
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return terms.where(whole & clear).select("doc_id", "mark", "entity", F.lower("z.m").alias("term"), "start", "end")
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
+
+
+def companions(wide: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """Terms of the documents of an entity, wherever they stand: ``doc_id, mark, entity, term`` and ``n`` rows."""
+    holders = wide.where(F.size("entities") > 0)
+    each = written(holders.select("doc_id", "mark", F.explode("entities").alias("entity")).groupBy("doc_id", "mark", "entity").agg(F.count("*").alias("n")), "entities")
+    shared = each.groupBy("entity").agg(F.count_distinct("mark").alias("texts")).where(F.col("texts") >= support)
+    held = written(each.join(shared.select("entity"), "entity", "left_semi"), "held")
+    docs = held.select("doc_id", "mark").distinct()
+    words = holders.join(docs, same_document(holders, docs), "left_semi").select("doc_id", "mark", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    return words.join(held, same_document(words, held)).select(words["doc_id"], words["mark"], "entity", "term", "n")
 
 
 def revealing(texts: DataFrame, wide: DataFrame, near: DataFrame, support: int = SUPPORT, disclosed: int = DISCLOSED) -> DataFrame:
     """Pairs ``entity, term`` above the limits, with ``disclosure``: the part of the entity's information that the term gives."""
     total = wide.agg(F.count("*").alias("n"))
-    entities = wide.select("doc_id", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
-    entities = entities.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("mark").alias("texts")).where(F.col("texts") >= support)
+    pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count_distinct("mark").alias("texts")).where(F.col("texts") >= support)
     pairs = written(pairs, "pairs")
-    # Partly counted before the exchange; then only terms of pairs go on.
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    asked = pairs.select("entity").distinct()
+    entities = wide.select(F.explode("entities").alias("entity")).join(asked, "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
+    # Counted before the join, so what is exchanged are counts of a task's different terms, however many pairs ask for them.
+    words = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = words.join(pairs.select("term").distinct(), "term", "left_semi")
     known = pairs.join(terms, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
     pmi, own = F.ln(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), F.ln(F.col("n") / F.col("n_e"))
     return known.withColumn("disclosure", F.when(own > 0, pmi / own)).where(F.col("disclosure") * 100 >= disclosed - 1e-9).select("entity", "term", "disclosure")
 
 
+def occurrences(text: Column, told: Column, base: Column) -> Column:
+    """Spans of all places of the ``told`` terms in a text that don't overlap a base span, in order; ``told`` and ``base`` must be stored columns."""
+    found = matches(text, TERM)
+    span = lambda s, z: F.struct((s["at"] + F.length(z["b"])).alias("start"), F.lit(len(KINDS)).alias("rank"), (s["at"] + F.length(z["b"]) + F.length(z["m"])).alias("end"),
+                                 F.lit("term").alias("kind"), F.lit(None).cast("string").alias("found"))
+    none = F.filter(base, lambda b: F.lit(False))
+    # There is a stretch more than there are matches.
+    each = F.filter(F.arrays_zip(stretches(text, TERM, found).alias("b"), found.alias("m")), lambda z: z["m"].isNotNull())
+    all_spans = F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("all")), lambda s, z: F.struct(
+        (s["at"] + F.length(z["b"]) + F.length(z["m"])).alias("at"),
+        F.when(F.array_contains(told, F.lower(z["m"])), F.array_append(s["all"], span(s, z))).otherwise(s["all"]).alias("all")), lambda s: s["all"])
+    return F.filter(all_spans, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, mark, base, terms`` (spans of revealing terms)."""
     found = detect(docs, id_col, text_col)
-    wide = written(with_contexts(found), "base")
-    base = wide.select("doc_id", "mark", "base")
-    near = written(neighbours(wide), "near")
+    wide = written(with_entities(found), "base")
+    near = written(companions(wide), "near")
     told = written(revealing(found.select("text"), wide, near), "revealing")
-    hits = near.join(told, ["entity", "term"]).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct(
-        "start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), F.lit(None).cast("string").alias("found")))).alias("terms"))
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "terms")
-    joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
-    return joined.select("doc_id", "mark", "base", F.coalesce("terms", F.filter("base", lambda b: F.lit(False))).alias("terms"))
+    hits = near.join(told, ["entity", "term"]).groupBy("doc_id", "mark").agg(F.collect_set("term").alias("told"))
+    places = wide.join(hits, same_document(wide, hits)).select(wide["doc_id"], wide["mark"], "base", "text", "told").dropDuplicates(["doc_id", "mark"])
+    places = written(places.select("doc_id", "mark", occurrences(F.col("text"), F.col("told"), F.col("base")).alias("terms")), "terms")
+    base = wide.select("doc_id", "mark", "base")
+    joined = base.join(places, same_document(base, places), "left")
+    return joined.select(base["doc_id"], base["mark"], "base", F.coalesce("terms", F.filter("base", lambda b: F.lit(False))).alias("terms"))
 
 
 def span_list(spans: Column) -> Column:

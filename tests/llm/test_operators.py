@@ -153,6 +153,20 @@ def test_terms_that_reveal_are_found(spark):
     assert text[2] == "number 2 of [TERM] smith [EMAIL] today" and text[10] == far[0][1]
 
 
+def test_terms_that_reveal_are_found_at_any_distance(spark):
+    """A name in the heading, and more of it beside and between; near the entity in half of its documents only."""
+    gap = "plain words of no interest " * 20
+    rows = [(k, f"Zebulon of unit {k}\n{gap}zebulon {gap if k % 2 else ''}jo@doe.example.org said ZEBULON") for k in range(10)]
+    rows += [(k, f"unit {k} said {gap}") for k in range(10, 200)] + [(3, rows[3][1]), (None, rows[4][1])]
+    got = sanitize.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = {(r[0], r[1]) for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        own = next(t for i, t in text if i == r.doc_id)
+        want = [k for k in range(len(own)) if own[k:k + 7].lower() == "zebulon"]
+        assert [(s.start, s.end) for s in r.terms] == [(k, k + 7) for k in want] and len(want) == (0 if (r.doc_id or 0) >= 10 else 3)
+
+
 # Benchmarks, urls -----------------------------------------------------------------------
 
 def test_containment_equals_brute_force(spark, docs, texts):
