@@ -1,8 +1,13 @@
 """Licence families of paragraphs: sparse word n-grams, logistic regression, templates.
 
+A paragraph is a line, or a window of adjacent lines up to a blank one, as
+notices are wrapped.  A window counts if its first and last line both add to what
+it holds of a template, so a notice isn't found again with its surroundings; of
+the paragraphs that begin at one line the surest stands for all.
+
 A multinomial logistic regression over single words and pairs is fitted on the
 templates below, damaged and set among words of the corpus, against an unknown
-class: at most SAMPLE paragraphs of the corpus, drawn by hash, that share no
+class: at most SAMPLE lines of the corpus, drawn by hash, that share no
 pair of rare words with a template.  Its vocabulary is the templates' n-grams
 that have a word which is rare in the sample, so a paragraph without any such
 word has no feature and is unknown without being scored.  The score from which a
@@ -29,6 +34,8 @@ UNKNOWN = "unknown"
 SAMPLE, RARE, RARE_LEAST, COPIES = 4000, 1, 20, 24
 #: Percentage of a template's pairs that confirms its family; the lowest score that may be calibrated.
 CONFIRMED, LEAST_SCORE = 60, 0.5
+#: Lines of a window at most: the longest template has 30 words, so it fits at two words a line.
+LINES = 16
 
 #: Short notices of well-known licences, by family.
 TEMPLATES = [
@@ -57,11 +64,16 @@ def pairs(ws: Column) -> Column:
     return F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1)))).otherwise(F.array().cast("array<string>"))
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows ``doc_id, paragraph, text``: lines with a letter or digit, counted from 0."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(lines).alias("paragraph", "text"))
-    return each.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, ends: Column) -> DataFrame:
+    """Rows ``row`` (of ``docs``)``, doc_id, paragraph`` (first line, from 0)``, n`` (lines)``, parts`` (their words): lines with a letter or digit, and windows of
+    such lines whose first and last have a word of ``ends``."""
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), tokens).alias("ls"))
+    ahead = lines.select("row", "doc_id", F.posexplode(F.transform("ls", lambda _, i: F.slice("ls", i + 1, LINES))).alias("paragraph", "ahead")).where(F.size(F.get("ahead", F.lit(0))) > 0)
+    blank = F.array_position(F.transform("ahead", F.size), F.lit(0))
+    run = F.when(blank > 0, blank.cast("int") - 1).otherwise(F.size("ahead"))
+    own = lambda n: F.arrays_overlap(F.get("ahead", n - 1), ends)
+    sizes = F.filter(F.sequence(F.lit(1), run), lambda n: (n == 1) | own(F.lit(1)) & own(n))
+    return ahead.select("row", "doc_id", "paragraph", "ahead", F.explode(sizes).alias("n")).select("row", "doc_id", "paragraph", "n", F.slice("ahead", 1, F.col("n")).alias("parts"))
 
 
 def draw(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
@@ -81,6 +93,7 @@ class Scanner:
         plain = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "id int, family string, text string").withColumn("ws", tokens(F.col("text")))
         self.templates = plain.select("id", "family", F.array_distinct(pairs(F.col("ws"))).alias("pairs"))
         template_words = plain.select(F.explode("ws").alias("word")).distinct()
+        self.words = sorted(r.word for r in template_words.collect())
         # Words of templates only: a bounded list for the driver, as the templates are fixed.
         seen = drawn.select(F.explode(F.array_distinct("ws")).alias("word")).join(F.broadcast(template_words), "word").groupBy("word").agg(F.count("*").alias("n"))
         size = max(1, drawn.count())
@@ -113,20 +126,29 @@ class Scanner:
         return out.withColumn("predicted", name).withColumn("probability", F.array_max(vector_to_array("probability")))
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Paragraphs with a rare word of a template: ``doc_id, paragraph, family, probability, overlap, confirmed``."""
+        """Paragraphs with a rare word of a template, the surest of each first line: ``doc_id, paragraph, family, probability, overlap, confirmed``."""
         rare = F.array(*[F.lit(w) for w in self.rare])
         # A document without any rare word is done with; then the same holds for each paragraph.
         some = docs.where(F.arrays_overlap(tokens(F.coalesce(F.col(text_col), F.lit(""))), rare))
-        rows = paragraphs(some, id_col, text_col).withColumn("ws", tokens(F.col("text"))).where(F.arrays_overlap("ws", rare))
-        told = self.scored(self.features(rows)).select("doc_id", "paragraph", "ws", "predicted", "probability")
-        best = F.aggregate(F.filter("ts", lambda t: t["family"] == F.col("predicted")), F.lit(0.0), lambda s, t: F.greatest(
-            s, F.size(F.array_intersect(t["pairs"], F.col("own"))) / F.size(t["pairs"])))
+        rows = paragraphs(some, id_col, text_col, F.array(*[F.lit(w) for w in self.words])).withColumn("ws", F.flatten("parts")).where(F.arrays_overlap("ws", rare))
         # All templates in one row of fixed size.
-        both = told.withColumn("own", pairs(F.col("ws"))).crossJoin(F.broadcast(self.templates.agg(F.collect_list(F.struct("family", "pairs")).alias("ts"))))
-        both = both.withColumn("overlap", F.round(best, 6))
+        rows = rows.withColumn("own", pairs(F.col("ws"))).crossJoin(F.broadcast(self.templates.agg(F.collect_list(F.struct("family", "pairs")).alias("ts"))))
+        part = lambda t, own: F.size(F.array_intersect(t["pairs"], own)) / F.size(t["pairs"])
+        # A window that holds too little of any template can't be confirmed.
+        rows = rows.where((F.col("n") == 1) | F.exists("ts", lambda t: part(t, F.col("own")) * 100 >= CONFIRMED))
+        told = self.scored(self.features(rows)).select("row", "doc_id", "paragraph", "n", "parts", "own", "ts", "predicted", "probability")
+        best = lambda own: F.aggregate(F.filter("ts", lambda t: t["family"] == F.col("predicted")), F.lit(0.0), lambda s, t: F.greatest(s, part(t, F.col(own))))
+        both = told.withColumn("overlap", F.round(best("own"), 6)).where((F.col("n") == 1) | (F.col("predicted") != UNKNOWN))
+        # Windows without their first or last line must hold less.
+        inner = lambda first: pairs(F.flatten(F.slice("parts", first, F.col("n") - 1)))
+        both = both.withColumns({"tail": F.when(F.col("n") > 1, inner(2)), "head": F.when(F.col("n") > 1, inner(1))})
+        both = both.where((F.col("n") == 1) | (F.col("overlap") > F.round(best("tail"), 6)) & (F.col("overlap") > F.round(best("head"), 6)))
         sure = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= self.least) & (F.col("overlap") * 100 >= CONFIRMED)
-        return both.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"),
-                           F.round("probability", 6).alias("probability"), "overlap", sure.alias("confirmed"))
+        found = both.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "n", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"),
+                            F.round("probability", 6).alias("probability"), "overlap", sure.alias("confirmed"), "row")
+        rank = F.struct("confirmed", "overlap", "probability", (-F.col("n")).alias("shorter"), "family")
+        one = found.groupBy("row", "doc_id", "paragraph").agg(F.max(rank).alias("b"))
+        return one.select("doc_id", "paragraph", "b.family", "b.probability", "b.overlap", "b.confirmed")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

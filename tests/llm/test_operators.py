@@ -261,6 +261,29 @@ def test_licence_families(spark, docs, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:"""}
+
+
+def test_wrapped_licence_notices(spark, docs):
+    prose = [r.text for r in docs.where("length(text) > 300").limit(40).collect()]
+    rows = [(k, f"{prose[k]}\n{prose[k + 9][:200]}\n{t}\n{prose[k + 20][:200]}") for k, t in enumerate(WRAPPED.values())]
+    rows += [(9, WRAPPED["bsd"].replace("without\n", "without\n\n"))] + [(100 + k, p) for k, p in enumerate(prose)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.family) for r in got.where("confirmed and doc_id < 9").collect()} == set(enumerate(WRAPPED))
+    assert got.where("doc_id >= 9 and confirmed").count() == 0
+    assert got.select("doc_id", "paragraph").distinct().count() == got.count()
+
+
 def test_secrets_and_their_look_alikes(spark, docs, nothing):
     key = hashlib.sha1(b"7").hexdigest()
     cases = [(f'x token = "{key}" y', True), (f"commit {key} fixed", False), ("card 4929348385146306 here", False), ('api_key = "qP7xW2mZ9kL4vB8nR3tY6uJ1"', True), ("mail someone20240101abcd@example.com", False),
