@@ -9,7 +9,8 @@ A multinomial logistic regression over single words and pairs is fitted on the
 templates below, damaged and set among words of the corpus, against an unknown
 class: at most SAMPLE lines of the corpus, drawn by hash, that share no
 pair of rare words with a template.  Its vocabulary is the templates' n-grams
-that have a word which is rare in the sample, so a paragraph without any such
+that have a word which is rare in those of the sample that share no pair with a
+template (a notice doesn't go unseen because it is frequent), so a paragraph without any such
 word has no feature and is unknown without being scored.  The score from which a
 family counts is calibrated on held-out paragraphs of both classes.  A family
 then has to be confirmed: enough of one of its templates' pairs must stand in the
@@ -94,9 +95,11 @@ class Scanner:
         self.templates = plain.select("id", "family", F.array_distinct(pairs(F.col("ws"))).alias("pairs"))
         template_words = plain.select(F.explode("ws").alias("word")).distinct()
         self.words = sorted(r.word for r in template_words.collect())
+        template_pairs = sorted({g for r in self.templates.select("pairs").collect() for g in r.pairs})
+        apart = drawn.where(~F.arrays_overlap(pairs(F.col("ws")), F.array(*[F.lit(g) for g in template_pairs])))
         # Words of templates only: a bounded list for the driver, as the templates are fixed.
-        seen = drawn.select(F.explode(F.array_distinct("ws")).alias("word")).join(F.broadcast(template_words), "word").groupBy("word").agg(F.count("*").alias("n"))
-        size = max(1, drawn.count())
+        seen = apart.select(F.explode(F.array_distinct("ws")).alias("word")).join(F.broadcast(template_words), "word").groupBy("word").agg(F.count("*").alias("n"))
+        size = max(1, apart.count())
         common = {r.word for r in seen.where((F.col("n") * 100 > RARE * size) & (F.col("n") > RARE_LEAST)).collect()}
         grams = {g for r in plain.select(F.concat("ws", pairs(F.col("ws"))).alias("g")).collect() for g in r.g}
         self.vocabulary = sorted(g for g in grams if not set(g.split()) <= common)

@@ -284,6 +284,13 @@ def test_wrapped_licence_notices(spark, docs):
     assert got.select("doc_id", "paragraph").distinct().count() == got.count()
 
 
+def test_frequent_notices_stay_seen(spark, docs):
+    prose = [r.text for r in docs.where("length(text) > 300").limit(40).collect()]
+    rows = [(k, f"{prose[k % 40]}\nCopyright (c) 2019 holder{k}. All rights reserved.") for k in range(60)] + [(100, "All rights reserved.")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in got} == {(k, "proprietary") for k in (*range(60), 100)}
+
+
 def test_secrets_and_their_look_alikes(spark, docs, nothing):
     key = hashlib.sha1(b"7").hexdigest()
     cases = [(f'x token = "{key}" y', True), (f"commit {key} fixed", False), ("card 4929348385146306 here", False), ('api_key = "qP7xW2mZ9kL4vB8nR3tY6uJ1"', True), ("mail someone20240101abcd@example.com", False),
