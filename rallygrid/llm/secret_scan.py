@@ -1,7 +1,8 @@
 """Secrets in text: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters with a digit in it.  Features
-are its length, how often its kind of character changes, its make-up, how much of
+A candidate is the value assigned to a name such as ``password``, the password of
+a URL's login, what follows the prefix of a known kind of key (these of any length
+and characters), or a run of 16 or more key characters.  Features are its length, how often its kind of character changes, its make-up, how much of
 its letters dictionary words cover (words that the corpus has often), its path,
 and the words beside it.
 
@@ -29,15 +30,23 @@ from .common import written
 from .spans import starts, stretches
 
 KEY = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{KEY}])(?=[A-Za-z+/_-]*+[0-9])[{KEY}]{{16,}}+=*"
 #: Characters of context on each side; candidates labelled at most; a dictionary word's least count; trees and their depth.
 CONTEXT, SAMPLE, DICTIONARY, TREES, DEPTH = 40, 2000, 20, 24, 6
 #: A finding is a secret from this score on.
 SCORE = 0.5
 
-NAMES = r"(?i)(token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
+NAME = r"token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+NAMES = rf"(?i)({NAME})"
+#: A value follows = or : at once or after an opening quote; that is looked for first, as it is rare.
+VALUE = (rf"(?<=[=:]>?\s{{0,3}}[\"']?)(?<=(?i:{NAME})(?i:s|[_-]?(?:key|value|token))?[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}[\"']?)"
+         r"(?:(?<=\")(?:[^\"\\\n]++|\\.)++(?=\")|(?<=')(?:[^'\\\n]++|\\.)++(?=')|[^\s\"'=:>](?:\S*[^\s\"',;.)\]}>])?)")
+LOGIN = r"(?<=:)(?<=://[^\s/:@]{0,256}:)[^\s/]+(?=@)"
+PREFIXED = rf"(?<![{KEY}])(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|sk[_-]|pk_live_|xox[abeprs]-|hf_|npm_|eyJ)[.{KEY}]*[{KEY}]=*"
+CANDIDATE = rf"{VALUE}|{LOGIN}|{PREFIXED}|(?<![{KEY}])[{KEY}]{{16,}}+=*"
 ASSIGNED = NAMES + r"[\"']?\s{0,3}(?:=|:|=>)?\s{0,3}[\"']?$"
-FEATURES = ["length", "changes", "digits", "uppers", "hexes", "distinct", "coverage", "test_path", "named", "assigned", "quoted", "mail", "web", "digest_word", "dashes"]
+FEATURES = ["length", "changes", "digits", "uppers", "hexes", "distinct", "coverage", "test_path", "named", "assigned", "quoted", "mail", "web", "digest_word", "dashes", "others", "login", "stand_in"]
+#: What stands where a secret would: names of types and states, calls, variables and gaps to fill in.
+STAND_IN = r"(?i)^(?:none|null|nil|true|false|yes|no|str(?:ing)?|int|bool(?:ean)?|text|required|optional|bearer|basic|undefined|empty|n/a|\*+|x+|\.+)$|^[\[<{$%]|[(\[]|^(?:os|env|process|self|config|settings|this)\.|your|example|changeme|placeholder|redacted"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -54,6 +63,11 @@ def part(found: Column, kinds: str) -> Column:
     return F.length(F.regexp_replace(found, f"[^{kinds}]", "")) / F.length(found)
 
 
+def login(before: Column, after: Column) -> Column:
+    """Whether what stands between is the password of a URL's login."""
+    return before.rlike(r"(?:://|^)[^\s/:@]*:$") & after.rlike("^@")
+
+
 def runs(found: Column) -> Column:
     """Its runs of three letters or more, lower-cased."""
     return F.regexp_extract_all(F.lower(found), F.lit("[a-z]{3,}"), F.lit(0))
@@ -66,6 +80,7 @@ def shaped(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "length": F.length(f).cast("double"), "changes": F.size(F.regexp_extract_all(f, F.lit("[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))) / F.length(f),
         "digits": part(f, "0-9"), "uppers": part(f, "A-Z"), "hexes": part(f, "0-9a-fA-F"), "dashes": part(f, "_/+-"),
+        "others": F.length(F.regexp_replace(f, "[A-Za-z0-9_/+-]", "")) / F.length(f), "login": flag(login(before, after)), "stand_in": flag(f.rlike(STAND_IN)),
         "distinct": F.size(F.array_distinct(F.split(F.lower(f), ""))) / F.length(f), "test_path": flag(F.col("path").rlike("(?i)test|example|sample|fixture")),
         "named": flag(before.rlike(NAMES)), "assigned": flag(before.rlike(ASSIGNED)), "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "mail": flag(before.rlike("@[A-Za-z0-9.]*$") | after.rlike("^[.A-Za-z0-9]*@")), "web": flag(before.rlike(r"(?i)https?://\S*$")),
@@ -96,8 +111,8 @@ def labelled(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
     some = drawn_part(found.select("path", "found", "before", "after"), h, 16 * sample, found.count())
     drawn = some.distinct().orderBy(h, "found", "before", "after", "path").limit(sample)
     strong = f.rlike("^[0-9a-fA-F]{32,}$") | (F.length(f) >= 20) & f.rlike("[A-Z]") & f.rlike("[a-z]") & f.rlike("[0-9]")
-    plain = f.rlike("^[0-9]+$") | f.rlike("^([A-Za-z]{3,}[0-9]{0,4}[_/-]?)+$") | F.col("before").rlike("@[A-Za-z0-9.]*$") | F.col("after").rlike("^[.A-Za-z0-9]*@")
-    sure = drawn.withColumn("label", F.when(strong & F.col("before").rlike(ASSIGNED), 1.0).when(plain & ~F.col("before").rlike(ASSIGNED), 0.0)).where("label is not null")
+    plain = f.rlike("^[0-9]+$") | f.rlike("^(?:[A-Za-z]{3,}+[0-9]{0,4}+[_/-]?+)++$") | F.col("before").rlike("@[A-Za-z0-9.]*$") | F.col("after").rlike("^[.A-Za-z0-9]*@")
+    sure = drawn.withColumn("label", F.when(strong & F.col("before").rlike(ASSIGNED), 1.0).when(plain & ~F.col("before").rlike(ASSIGNED) & ~login(F.col("before"), F.col("after")), 0.0)).where("label is not null")
     # Variants are made from hashes of the drawn rows; one row stands in for an empty sample.
     seeds = drawn.select(F.sha2(F.concat_ws("|", "found", "before"), 256).alias("h")).union(found.sparkSession.range(64).select(F.sha2(F.col("id").cast("string"), 256).alias("h")))
     h = F.col("h")
@@ -109,6 +124,14 @@ def labelled(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
             ("uuid ", F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), " ", 0),
             ("version ", F.concat(F.lit("release-2024-"), F.substring(h, 1, 6)), " ", 0), ("token = \"", F.concat(F.lit("example-token-"), F.substring(F.conv(F.substring(h, 1, 4), 16, 10), 1, 3)), "\"", 0),
             ("api_key = \"", F.lit("xxxxxxxxxxxxxxxx1234"), "\"", 0), ("card ", F.substring(F.translate(h, "abcdef", "123456"), 1, 16), " ", 0), (" ", F.concat(lead, F.lit("-2024-item1")), " ", 0)]
+    # Short ones, with other characters, letters alone, logins; and what else is assigned to such names.
+    letters, word = F.translate(h, "0123456789", "ghijklmnop"), F.element_at(F.array(*[F.lit(w) for w in ("required", "string", "None", "true", "null", "os.environ", "your_password", "<password>", "${TOKEN}", "get_secret()")]),
+                                                                                     F.pmod(F.xxhash64("h"), F.lit(10)).cast("int") + 1)
+    short = F.concat(F.substring(letters, 1, 6), F.substring(F.conv(F.substring(h, 1, 4), 16, 10), 1, 2), F.substring(letters, 9, 4))
+    mixed = F.concat(F.upper(F.substring(letters, 1, 1)), F.lit("@"), F.substring(letters, 2, 3), F.substring(h, 3, 3), F.lit("!"), F.substring(h, 9, 4), F.lit("#"), F.substring(letters, 20, 3))
+    made += [("password = \"", short, "\"", 1), ("password: ", short, "\n", 1), ("password: \"", mixed, "\"", 1), ("pwd=", mixed, " ", 1), ("api_key=\"", F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), "\"", 1),
+             ("secret = \"", F.substring(letters, 1, 30), "\"", 1), ("token: ", F.substring(letters, 1, 30), "\n", 1), ("postgres://u:", F.substring(key, 1, 10), "@db/x", 1), ("https://me:", short, "@host/", 1), ("amqp://app:", mixed, "@q", 1),
+             ("password: ", word, "\n", 0), ("token = ", word, "\n", 0), ("api_key=\"", word, "\"", 0), (" ", F.substring(letters, 1, 18), " ", 0), (" ", F.concat_ws("/", F.substring(letters, 1, 6), F.substring(letters, 7, 8), F.substring(letters, 15, 5)), " ", 0)]
     variants = seeds.select(F.explode(F.array(*[F.struct(F.lit("").alias("path"), c.alias("found"), F.lit(b).alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label")) for b, c, a, y in made])).alias("v")).select("v.*")
     return sure.union(variants.select(*sure.columns))
 
