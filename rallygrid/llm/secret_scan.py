@@ -101,7 +101,8 @@ def dictionary(docs: DataFrame, found: DataFrame, text_col: str = "text", least:
     """Those letter runs of candidates that are words of the corpus, counted over all of it."""
     asked = found.select(F.explode(runs(F.col("found"))).alias("word")).distinct()
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?<![a-z0-9])[a-z]{3,}(?![a-z0-9])"), F.lit(0))).alias("word"))
-    return words.join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # Counted before the join, so what is exchanged are counts of a task's different words, however many are asked for.
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(asked, "word", "left_semi")
 
 
 def labelled(found: DataFrame, sample: int = SAMPLE) -> DataFrame:
