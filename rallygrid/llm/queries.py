@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, merkle, minhash, quality_lines, sanitize, secret_scan, sharding, substring_dedup, url_trust
+from . import byte_bpe, decontaminate, license_scan, main_text, merkle, minhash, quality_lines, sanitize, secret_scan, sharding, substring_dedup, url_trust
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,20 @@ whole AS (
   FROM placed p JOIN subroots s ON s.g = p.g LEFT JOIN own a ON a.g = p.g AND a.pos = p.pos LEFT JOIN over_ b ON b.pos = p.g)
 SELECT *, folded_root = root AS verified FROM whole
 """
+
+
+@query
+def op12_line_blocks(spark, sf_dir):
+    return main_text.extract(load(spark, sf_dir, "pages"))
+
+
+# The tables' pages mark their article, and its texts have no references but these.
+ORACLES["op12_line_blocks"] = r"""
+WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<br>', ' ') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS lines FROM a),
+c AS (SELECT page_id, url, list_transform(lines, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS lines FROM b),
+d AS (
+  SELECT page_id, url, list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM c)
+SELECT page_id, url, array_to_string(lines, chr(10)) AS text, length(array_to_string(lines, chr(10))) AS n_chars FROM d
+"""
