@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, main_text, merkle, minhash, quality_lines, sanitize, secret_scan, sharding, substring_dedup, url_trust
+from . import byte_bpe, decontaminate, license_scan, main_text, merkle, minhash, quality_lines, sanitize, secret_scan, sharding, spelling, substring_dedup, url_trust
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,38 @@ d AS (
   FROM c)
 SELECT page_id, url, array_to_string(lines, chr(10)) AS text, length(array_to_string(lines, chr(10))) AS n_chars FROM d
 """
+
+
+@query
+def op11_fm_spelling(spark, sf_dir):
+    return spelling.spelling_variants(load(spark, sf_dir, "documents"))
+
+
+# A checksum of n bytes is the exclusive or of one table value for each byte and its distance from the end (and, for the starting value, of 255 with the first four bytes).
+ORACLES["op11_fm_spelling"] = r"""
+WITH RECURSIVE base AS MATERIALIZED (
+  SELECT b, list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM (SELECT unnest(range(256)) AS b)),
+crc AS (SELECT 0 AS far, b, v FROM base UNION ALL SELECT far + 1, c.b, xor(base.v, c.v >> 8) FROM crc c JOIN base ON base.b = c.v & 255 WHERE far < 80),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, doc_id, run, k, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS bytes
+  FROM (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY 1, 2)),
+p AS (SELECT i, len(bytes) // 2 AS n, unnest(range(len(bytes) // 2)) AS q, bytes FROM k),
+h AS (SELECT i, xor(bit_xor(crc.v), 4294967295) AS h FROM p JOIN crc ON crc.far = n - 1 - q AND crc.b = xor(CAST('0x' || bytes[2 * q + 1:2 * q + 2] AS BIGINT), CASE WHEN q < 4 THEN 255 ELSE 0 END) GROUP BY 1),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM k JOIN h USING (i))
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+o AS MATERIALIZED (SELECT word, i, word[1:i - 1] AS a, word[i + 1:] AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS MATERIALIZED (
+  SELECT DISTINCT u, v FROM (
+    SELECT x.word AS u, y.word AS v FROM o x JOIN o y ON x.a = y.a AND x.b = y.b AND x.i = y.i AND x.word <> y.word
+    UNION ALL SELECT o.word, w.word FROM o JOIN w ON w.word = o.a || o.b
+    UNION ALL SELECT w.word, o.word FROM o JOIN w ON w.word = o.a || o.b)),
+m AS (SELECT u, count(*) AS n_near, max(w.n) AS most FROM near JOIN w ON w.word = v GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.most >= 5 * w.n THEN m.most END AS form_n,
+    CASE WHEN m.most >= 5 * w.n THEN (SELECT decode(min(encode(v))) FROM near JOIN w x ON x.word = v WHERE u = w.word AND x.n = m.most) END AS form
+  FROM w LEFT JOIN m ON m.u = w.word),
+t AS (SELECT word, word AS reached FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.reached WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.reached AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word JOIN f e ON e.word = t.reached AND e.form IS NULL
+"""

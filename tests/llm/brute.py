@@ -146,3 +146,38 @@ def merkle(docs, fanout=2):
             root = top[-1][0]
             out.append((row[0], leaf(row), trees[g][-1][0], root, digest(*[x for s in steps for x in s]), folded, folded == root))
     return out
+
+
+def spelling(docs):
+    """``(word, form, root, n, n_near, form_n)`` of rows ``(doc_id, text)``."""
+    count = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(UPPER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            count[run[:h % len(run)] + run[h % len(run) + 1:] if h % 199 == 0 else run] += 1
+    n = {w: k for w, k in count.items() if len(w) >= 6 and k >= 5}
+    near = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            short = w[:i] + w[i + 1:]
+            near[short] |= {w} if short in n else set()
+            near[w] |= {short} if short in n else set()
+    places = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            places[w[:i], w[i + 1:]].add(w)
+    for group in places.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return out
