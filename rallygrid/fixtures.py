@@ -218,6 +218,15 @@ SELECT clip_id, width, height, CASE WHEN clip_id % 7 = 0 THEN 1280e0 ELSE x0 END
 FROM fx_calibrations c
 """
 
+# Corners that are squeezed to a line, drawn together, or have a third one almost between its neighbours, ever closer.
+TABLES["fx_thin_corners"] = """
+SELECT clip_id, x0, CASE WHEN kind = 1 THEN 263 + (y0 - 263)/thin ELSE y0 END AS y0, CASE WHEN kind = 2 THEN x0 + (x1 - x0)/thin ELSE x1 END AS x1,
+       CASE WHEN kind = 1 THEN 263 + (y1 - 263)/thin WHEN kind = 2 THEN y0 + (y1 - y0)/thin ELSE y1 END AS y1,
+       CASE WHEN kind = 3 THEN (x1 + x3)/2 + 1/thin ELSE x2 END AS x2, CASE WHEN kind = 1 THEN 263 + (y2 - 263)/thin WHEN kind = 3 THEN (y1 + y3)/2 + 1/thin ELSE y2 END AS y2,
+       x3, CASE WHEN kind = 1 THEN 263 + (y3 - 263)/thin ELSE y3 END AS y3
+FROM (SELECT c.*, c.clip_id % 4 AS kind, pow(10e0, c.clip_id % 13) AS thin FROM fx_calibrations c) t
+"""
+
 TABLES["fx_dirty_rois"] = """
 SELECT DISTINCT user_id AS clip_id, 3/10e0 AS px0, 3/10e0 AS py0,
        CASE WHEN user_id % 5 = 0 THEN 9 ELSE 7 END/10e0 AS px1, CASE WHEN user_id % 5 = 0 THEN 9 WHEN user_id % 7 = 0 THEN 5 ELSE 3 END/10e0 AS py1,
@@ -233,7 +242,7 @@ _NEEDS = {
     "fx_labels": ("fx_frames",), "fx_clips": ("fx_frames",), "fx_boxes": ("fx_frames",),
     "fx_keypoints": ("fx_frames", "fx_boxes"), "fx_candidates": ("fx_frames",), "fx_pts": ("fx_frames",),
     "fx_events": ("fx_frames",), "fx_dirty_shuttle": ("fx_frames", "fx_shuttle"),
-    "fx_dirty_corners": ("fx_calibrations",),
+    "fx_dirty_corners": ("fx_calibrations",), "fx_thin_corners": ("fx_calibrations",),
 }
 
 

@@ -1,17 +1,22 @@
 """Camera calibration: matrices, projection, floor lines, consistency measures."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.court import (calibration_confirmed, homography, project, within_active_court)
 from ..functions.flags import flag_set
+from ..functions.linalg import centred, centred_values, condition3, row_norms_after_jacobi
 from ..policy import (COURT_LENGTH, COURT_WIDTH, DOUBLES_SERVICE_FROM_BASELINE, SERVICE_FROM_NET, SINGLES_MARGIN)
 from .timeline import CLIP
 
 CORNERS = ["x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3"]
+#: The corners' places on the floor, in the same order.
+COURT_CORNERS = [(0.0, 0.0), (COURT_WIDTH, 0.0), (COURT_WIDTH, COURT_LENGTH), (0.0, COURT_LENGTH)]
+#: Greatest conditions of the fit's equations and of the normalized mapping; least distance of the image origin from the horizon.
+DESIGN_LIMIT, MAPPING_LIMIT, HORIZON_LIMIT = 1e8, 1e10, 1e-14
+#: Sweeps that make the eight rows of the equations orthogonal to the last digit.
+SWEEPS = 8
 
 
 def fit_homography(calib: DataFrame) -> DataFrame:
@@ -88,38 +93,64 @@ def court_range(positions: DataFrame) -> DataFrame:
 
 
 def fit_diagnostics(calib: DataFrame) -> DataFrame:
-    """Largest corner error in metres and round-trip error in pixels over nine sample points.
+    """Largest corner error in metres, round-trip error in pixels over nine sample points, and conditions of the fit.
 
-    ``acceptable`` applies the limits 1e-7 m and 1e-5 px.
+    ``acceptable`` applies the limits 1e-7 m, 1e-5 px, and those of ``condition_numbers``.
     """
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     px = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
     mid = [((px[i][0] + px[(i + 1) % 4][0]) / 2, (px[i][1] + px[(i + 1) % 4][1]) / 2) for i in range(4)]
     mean = (sum((p[0] for p in px[1:]), px[0][0]) / 4, sum((p[1] for p in px[1:]), px[0][1]) / 4)
-    truth = [(0.0, 0.0), (COURT_WIDTH, 0.0), (COURT_WIDTH, COURT_LENGTH), (0.0, COURT_LENGTH)]
-    to_court, to_image = _matrix("to_court"), _matrix("to_image")
-    fit, trip = [], []
-    for i, (x, y) in enumerate(px + mid + [mean]):
-        cx, cy, _ = project(to_court, x, y)
-        bx, by, _ = project(to_image, cx, cy)
-        trip.append(F.hypot(bx - x, by - y))
-        if i < 4:
-            fit.append(F.hypot(cx - truth[i][0], cy - truth[i][1]))
+    through = lambda name, p: (lambda q: point(q[0], q[1]))(project(_matrix(name), p["x"], p["y"]))
+    out = calib.withColumn("__image", F.array(*[point(x, y) for x, y in px + mid + [mean]]))
+    out = out.withColumn("__court", F.transform("__image", lambda p: through("to_court", p)))
+    out = out.withColumn("__back", F.transform("__court", lambda p: through("to_image", p)))
+    away = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])
+    truth = F.array(*[point(F.lit(x), F.lit(y)) for x, y in COURT_CORNERS])
+    out = out.withColumns({"__fit": F.zip_with(F.slice("__court", 1, 4), truth, away), "__trip": F.zip_with("__image", "__back", away)})
     # A sample point at the horizon leaves a null behind and fails the calibration.
-    broken = reduce(lambda a, b: a | b, [e.isNull() for e in fit + trip])
-    return (calib.withColumns({"max_corner_fit_error_m": F.when(~broken, F.greatest(*fit)), "max_roundtrip_error_px": F.when(~broken, F.greatest(*trip))})
-                 .withColumn("acceptable", ~broken & (F.col("max_corner_fit_error_m") <= 1e-7) & (F.col("max_roundtrip_error_px") <= 1e-5)))
+    broken = F.exists(F.concat("__fit", "__trip"), lambda e: e.isNull())
+    out = out.withColumns({"max_corner_fit_error_m": F.when(~broken, F.array_max("__fit")), "max_roundtrip_error_px": F.when(~broken, F.array_max("__trip"))})
+    out = with_conditions(out.drop("__image", "__court", "__back", "__fit", "__trip"))
+    fits = (F.col("max_corner_fit_error_m") <= 1e-7) & (F.col("max_roundtrip_error_px") <= 1e-5)
+    return out.withColumn("acceptable", F.col("well_conditioned") & F.coalesce(fits, F.lit(False)))
 
 
-def condition_numbers(calib: DataFrame) -> DataFrame:
-    """Condition of each camera's mapping: the product of the norms of the matrix and of its inverse.
+def with_conditions(calib: DataFrame) -> DataFrame:
+    """``calib`` with ``design_condition``, ``mapping_condition`` and ``well_conditioned``.
 
-    Both matrices are stored, each up to a factor; their product is a multiple of one, and that multiple takes the factors out.
+    Image corners and court corners are moved and scaled to mean distance root two first.  The design condition is that
+    of the eight equations that the four corners give for the mapping, the other one that of the mapping between the
+    scaled points.  Corners on one line have neither, and a mapping that sends the image origin to
+    the horizon counts as ill-conditioned too.
     """
-    a, b = _matrix("to_image"), _matrix("to_court")
-    norm = lambda m: F.sqrt(sum((v * v for v in m[1:]), m[0] * m[0]))
-    multiple = F.abs(sum((a[3 * r + k] * b[3 * k + r] for r in range(3) for k in range(3)), F.lit(0.0))) / 3
-    condition = F.try_divide(norm(a) * norm(b), multiple)
-    return calib.select(CLIP, F.round(F.log10(condition), 4).alias("log10_condition"), F.coalesce(condition <= 1e10, F.lit(False)).alias("well_conditioned"))
+    _, scale, mx, my = centred([(F.col(f"x{i}").cast("double"), F.col(f"y{i}").cast("double")) for i in range(4)])
+    floor, floor_scale, cx, cy = centred_values(COURT_CORNERS)
+    out = calib.withColumns({"__k": scale, "__mx": mx, "__my": my})
+    k, mx, my = F.col("__k"), F.col("__mx"), F.col("__my")
+    # Each step's values are columns of their own, so that none is spelled out again in the next.
+    out = out.withColumns({f"__p{i}": F.array(k * (F.col(f"x{i}") - mx), k * (F.col(f"y{i}") - my)) for i in range(4)})
+    one, zero, rows = F.lit(1.0), F.lit(0.0), []
+    for i, (u, v) in enumerate(floor):
+        x, y = F.col(f"__p{i}")[0], F.col(f"__p{i}")[1]
+        rows += [F.array(-x, -y, -one, zero, zero, zero, u * x, u * y, F.lit(u)), F.array(zero, zero, zero, -x, -y, -one, v * x, v * y, F.lit(v))]
+    # Scaled court points -> court -> image -> scaled image points: the mapping's inverse, which has its condition.
+    m = _matrix("to_image")
+    from_floor = [[m[3 * r] / floor_scale, m[3 * r + 1] / floor_scale, m[3 * r] * cx + m[3 * r + 1] * cy + m[3 * r + 2]] for r in range(3)]
+    mapping = [k * (from_floor[0][j] - mx * from_floor[2][j]) for j in range(3)] + [k * (from_floor[1][j] - my * from_floor[2][j]) for j in range(3)] + from_floor[2]
+    known = F.col("to_court")[8].isNotNull() & k.isNotNull()
+    out = out.withColumns({f"__m{j}": v for j, v in enumerate(mapping)}).withColumn("__s", F.when(known, row_norms_after_jacobi(F.array(*rows), 8, SWEEPS)))
+    out = out.withColumns({"design_condition": F.try_divide(F.array_max("__s"), F.array_min("__s")), "mapping_condition": F.when(known, condition3([F.col(f"__m{j}") for j in range(9)]))})
+    c = _matrix("to_court")
+    size = F.sqrt(sum((v * v for v in c[1:]), c[0] * c[0]))
+    sound = (F.col("design_condition") <= DESIGN_LIMIT) & (F.col("mapping_condition") <= MAPPING_LIMIT) & (size * HORIZON_LIMIT < 1)
+    return out.withColumn("well_conditioned", F.coalesce(sound, F.lit(False))).drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def condition_numbers(calib: DataFrame) -> DataFrame:
+    """Decimal logarithms of both conditions for each clip, and whether they are within their limits."""
+    return with_conditions(calib).select(CLIP, F.round(F.log10("design_condition"), 3).alias("log10_design_condition"),
+                                         F.round(F.log10("mapping_condition"), 3).alias("log10_mapping_condition"), "well_conditioned")
 
 
 def _line_table() -> list[tuple[int, float, float, float, float, str]]:

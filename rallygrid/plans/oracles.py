@@ -1,6 +1,9 @@
 """The same queries as plain SQL over the same derived tables, for checking."""
 from __future__ import annotations
 
+import itertools
+import math
+
 from ..fixtures import cte
 from ..policy import note
 
@@ -250,10 +253,43 @@ ORACLES["court_lines"] = f"""{CAM} SELECT clip_id, {i('line')}, kind, {r('ax', '
 _P, _Q = px("3.05e0", "cy", "i"), px("ix", "iy", "c")
 ORACLES["line_checks"] = f"""{CAM}, lp AS (SELECT *, 'front_service' AS name, (x0+x1)/2 AS ix, y0+90 AS iy, 4.72e0 AS cy FROM cm UNION ALL SELECT *, 'back_service', (x2+x3)/2, y2-150, 8.68e0 FROM cm)
  SELECT clip_id, name, {r(f'sqrt(pow(ix - {_P[0]}, 2) + pow(iy - {_P[1]}, 2))', 'error_px')}, {r(f'sqrt(pow({_Q[0]} - 3.05, 2) + pow({_Q[1]} - cy, 2))', 'error_m')} FROM lp"""
-ORACLES["fit_diagnostics"] = f"{CAM} SELECT clip_id, true AS acceptable FROM cm"
-ORACLES["condition_numbers"] = f"""{CAM}, nm AS (SELECT clip_id, sqrt({"+".join(f"i{k}*i{k}" for k in range(8))}+1) AS a, sqrt({"+".join(f"c{k}*c{k}" for k in range(9))}) AS b,
- abs({"+".join(f"i{j}*c{k}" if j < 8 else f"c{k}" for j, k in ((0, 0), (1, 3), (2, 6), (3, 1), (4, 4), (5, 7), (6, 2), (7, 5), (8, 8)))})/3 AS s FROM cm)
- SELECT clip_id, CAST(round(log10(a*b/s), 4) AS DOUBLE) AS log10_condition, a*b/s <= 1e10 AS well_conditioned FROM nm"""
+def _conditions(table: str) -> str:
+    """CTEs up to ``cn`` (clip_id, design, mapping): singular values by turning pairs of rows (and, for the mapping, of its inverse) until they are orthogonal."""
+    dot = "list_inner_product"
+    turned = lambda n: f"""list_reduce(range({n * (n - 1) // 2 * 12}), lambda a, k: list_transform([{{'p': ps[k % len(ps) + 1], 'q': qs[k % len(ps) + 1]}}], lambda e:
+      list_transform([CASE WHEN {dot}(a[e.p], a[e.q]) = 0 THEN NULL ELSE ({dot}(a[e.q], a[e.q]) - {dot}(a[e.p], a[e.p])) / (2 * {dot}(a[e.p], a[e.q])) END], lambda z:
+      list_transform([CASE WHEN z IS NULL THEN 0e0 ELSE (CASE WHEN z < 0 THEN -1e0 ELSE 1e0 END) / (abs(z) + sqrt(1 + z * z)) END], lambda t:
+        list_transform(a, lambda row, i: CASE WHEN i = e.p THEN list_transform(a[e.p], lambda v, j: (v - t * a[e.q][j]) / sqrt(1 + t * t))
+          WHEN i = e.q THEN list_transform(a[e.q], lambda v, j: (t * a[e.p][j] + v) / sqrt(1 + t * t)) ELSE row END))[1])[1])[1], m)"""
+    pairs = lambda n: ", ".join(f"[{', '.join(str(p[k]) for p in itertools.combinations(range(1, n + 1), 2))}] AS {c}" for k, c in ((0, "ps"), (1, "qs")))
+    mean = lambda c: f"({c}0+{c}1+{c}2+{c}3)/4"
+    floor = [(0, 0), (6.1, 0), (6.1, 13.4), (0, 13.4)]
+    away = math.sqrt(2) / (sum(math.hypot(x - 3.05, y - 6.7) for x, y in floor) / 4)
+    uv = [(away * (x - 3.05), away * (y - 6.7)) for x, y in floor]
+    rows = ", ".join(f"[-sx{i}, -sy{i}, -1e0, 0e0, 0e0, 0e0, {u!r}*sx{i}, {u!r}*sy{i}, {u!r}], [0e0, 0e0, 0e0, -sx{i}, -sy{i}, -1e0, {v!r}*sx{i}, {v!r}*sy{i}, {v!r}]" for i, (u, v) in enumerate(uv))
+    f = [[f"(i{3 * r}/{away!r})", f"(i{3 * r + 1}/{away!r})", f"(i{3 * r}*3.05e0 + i{3 * r + 1}*6.7e0 + i{3 * r + 2})"] for r in range(3)]
+    m = [[f"k*({f[0][j]} - mx*{f[2][j]})" for j in range(3)], [f"k*({f[1][j]} - my*{f[2][j]})" for j in range(3)], f[2]]
+    inverse = [f"(n{a}*n{b} - n{c}*n{d})" for a, b, c, d in ((4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3))]
+    norms = lambda t: f"list_transform({t}, lambda row: sqrt({dot}(row, row)))"
+    return f"""
+q1 AS (SELECT *, x1-x2 AS a1, x3-x2 AS a2, x0-x1+x2-x3 AS sx, y1-y2 AS b1, y3-y2 AS b2, y0-y1+y2-y3 AS sy, {mean('x')} AS mx, {mean('y')} AS my FROM {table}),
+q2 AS (SELECT *, CASE WHEN a1*b2 - a2*b1 <> 0 THEN (sx*b2 - a2*sy)/(a1*b2 - a2*b1) END AS g, CASE WHEN a1*b2 - a2*b1 <> 0 THEN (a1*sy - sx*b1)/(a1*b2 - a2*b1) END AS h,
+  sqrt(2e0)*4/({"+".join(f"sqrt(pow(x{i}-mx,2)+pow(y{i}-my,2))" for i in range(4))}) AS k FROM q1),
+q3 AS (SELECT *, (x1-x0+g*x1)/6.1e0 AS i0, (x3-x0+h*x3)/13.4e0 AS i1, x0 AS i2, (y1-y0+g*y1)/6.1e0 AS i3, (y3-y0+h*y3)/13.4e0 AS i4, y0 AS i5, g/6.1e0 AS i6, h/13.4e0 AS i7, 1e0 AS i8,
+  {", ".join(f"k*(x{i}-mx) AS sx{i}, k*(y{i}-my) AS sy{i}" for i in range(4))} FROM q2),
+q4 AS (SELECT *, {", ".join(f"{v} AS n{3 * r + j}" for r, row in enumerate(m) for j, v in enumerate(row))} FROM q3),
+dm AS (SELECT clip_id, {turned(8)} AS t FROM (SELECT clip_id, [{rows}] AS m, {pairs(8)} FROM q4)),
+mm AS (SELECT clip_id, {turned(3)} AS t, abs(det) AS det FROM (SELECT clip_id, [[n0,n1,n2],[n3,n4,n5],[n6,n7,n8]] AS m, n0*{inverse[0]} + n1*{inverse[3]} + n2*{inverse[6]} AS det, {pairs(3)} FROM q4)),
+mi AS (SELECT clip_id, {turned(3)} AS t FROM (SELECT clip_id, [[{",".join(inverse[:3])}],[{",".join(inverse[3:6])}],[{",".join(inverse[6:])}]] AS m, {pairs(3)} FROM q4)),
+cn AS (SELECT clip_id, list_max({norms('dm.t')})/list_min({norms('dm.t')}) AS design, list_max({norms('mm.t')})*list_max({norms('mi.t')})/det AS mapping FROM dm JOIN mm USING (clip_id) JOIN mi USING (clip_id))"""
+
+
+_THIN = f"{cte('fx_calibrations', 'fx_thin_corners')}, {_conditions('fx_thin_corners')}"
+ORACLES["condition_numbers"] = f"""{_THIN} SELECT clip_id, CAST(round(log10(design), 3) AS DOUBLE) AS log10_design_condition, CAST(round(log10(mapping), 3) AS DOUBLE) AS log10_mapping_condition,
+ design <= 1e8 AND mapping <= 1e10 AS well_conditioned FROM cn"""
+# The limits lie far from all of these corners: sound ones pass every limit, thin ones fail a condition.
+ORACLES["fit_diagnostics"] = f"""{cte('fx_calibrations', 'fx_thin_corners')}, {_conditions('fx_thin_corners')}
+ SELECT clip_id, true AS acceptable, 'given' AS corners FROM fx_calibrations UNION ALL SELECT clip_id, design <= 1e8 AND mapping <= 1e10, 'thin' FROM cn WHERE clip_id % 13 > 7 AND clip_id % 4 > 0"""
 ORACLES["matching_calibrations"] = f"""{cte('fx_calibrations', 'fx_clips')}, sv AS (SELECT clip_id AS calibration_id, width, height, CASE WHEN clip_id % 2 = 0 THEN concat('clip-', CAST(clip_id AS VARCHAR)) END AS bound FROM fx_calibrations)
  SELECT clip_id, c.width, c.height, {i('calibration_id')} FROM fx_clips c JOIN sv ON c.width = sv.width AND c.height = sv.height AND bound = source_digest
  UNION ALL SELECT NULL, width, height, calibration_id FROM sv WHERE bound IS NULL AND (width, height) IN (SELECT (width, height) FROM fx_clips)"""
