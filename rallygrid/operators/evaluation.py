@@ -65,10 +65,36 @@ def timing_error(a: DataFrame, b: DataFrame) -> DataFrame:
         (F.count("ta") == F.count("tb")).alias("equal_counts"))
 
 
-def diff_observations(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that differ between two versions of a table, null-safe."""
-    cols = [c for c in a.columns if c not in keys]
-    left = a.select(*keys, F.struct(*cols).alias("a"))
-    right = b.select(*keys, F.struct(*cols).alias("b"))
-    return left.join(right, keys, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(
-        *keys, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
+def clip_digests(rows: DataFrame, clip: str = CLIP) -> DataFrame:
+    """One row per clip: number of rows and two sums of row hashes, whatever the rows' order.
+
+    A version's digests can be stored with it; comparing versions then reads no rows of clips that didn't change.
+    """
+    cols = sorted(rows.columns)
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *cols).cast("decimal(20,0)"))
+    return rows.groupBy(clip).agg(F.count(F.lit(1)).alias("n_rows"), total(0).alias("sum_a"), total(1).alias("sum_b"))
+
+
+def changed_clips(old: DataFrame, new: DataFrame, clip: str = CLIP) -> DataFrame:
+    """Clips whose digests (from ``clip_digests``) differ, or that one side lacks."""
+    a = old.select(clip, F.struct("n_rows", "sum_a", "sum_b").alias("a"))
+    b = new.select(clip, F.struct("n_rows", "sum_a", "sum_b").alias("b"))
+    return a.join(b, clip, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(clip)
+
+
+def diff_observations(a: DataFrame, b: DataFrame, keys: list[str], digests: tuple[DataFrame, DataFrame] | None = None, clip: str = CLIP) -> DataFrame:
+    """What differs between two versions of a table as multisets of rows: ``keys, change, n_rows``.
+
+    Digests tell the clips that differ, and only their rows are opened.  A key's surplus on either side is
+    counted: as many rows as both sides have in surplus are ``changed``, the rest ``removed`` or ``added``.
+    """
+    b = b.select(*a.columns)
+    old, new = digests or (clip_digests(a, clip), clip_digests(b, clip))
+    open_clips = changed_clips(old, new, clip)
+    side = lambda df, k: df.join(open_clips, clip, "left_semi").withColumn("__side", F.lit(k))
+    surplus = side(a, 1).unionByName(side(b, -1)).groupBy(*a.columns).agg(F.sum("__side").alias("k")).where("k <> 0")
+    each = surplus.groupBy(*keys).agg(F.sum(F.greatest(F.col("k"), F.lit(0))).alias("gone"), F.sum(F.greatest(-F.col("k"), F.lit(0))).alias("come"))
+    both = F.least("gone", "come")
+    kinds = F.array(*[F.struct(F.lit(name).alias("change"), n.cast("long").alias("n_rows"))
+                      for name, n in (("changed", both), ("removed", F.col("gone") - both), ("added", F.col("come") - both))])
+    return each.select(*keys, F.explode(F.filter(kinds, lambda x: x["n_rows"] > 0)).alias("x")).select(*keys, "x.change", "x.n_rows")

@@ -552,6 +552,15 @@ def changed_observations(t):
     return evaluation.diff_observations(t.shuttle.select(*cols), t.dirty_shuttle.select(*cols), FRAME)
 
 
+@query
+def changed_clips(t):
+    """Clips of which a damaged copy differs; the copy is in another order and has one clip's rows twice."""
+    cols = ["clip_id", "frame_index", "x", "y", "source"]
+    copy = t.dirty_shuttle.where("clip_id % 3 = 0").select(*cols).unionByName(t.shuttle.where("clip_id % 3 <> 0").select(*cols))
+    copy = copy.unionByName(t.shuttle.where("clip_id = 4").select(*cols))
+    return evaluation.changed_clips(evaluation.clip_digests(t.shuttle.select(*cols)), evaluation.clip_digests(copy.orderBy(F.desc("x"))))
+
+
 @query
 def pixel_labels(t):
     unit = t.labels.select(*FRAME, "visible", (F.col("lx") / 1280).alias("x"), (F.col("ly") / 720).alias("y"))

@@ -434,9 +434,13 @@ ORACLES["label_coverage"] = f"""{EVAL} SELECT clip_id, {i('frame_index')}, 'no_l
  UNION ALL SELECT clip_id, {i('frame_index')}, 'no_detection_row' FROM fx_labels l WHERE NOT EXISTS (SELECT 1 FROM fx_dirty_shuttle d WHERE l.clip_id = d.clip_id AND l.frame_index = d.frame_index)"""
 ORACLES["timing_error"] = f"""{EVAL} SELECT clip_id, {r('max(abs(a.timestamp_s - b.timestamp_s))', 'max_timing_error_s')}, count(a.timestamp_s) = count(b.timestamp_s) AS equal_counts
  FROM fx_shuttle a FULL JOIN fx_dirty_shuttle b USING (clip_id, frame_index) GROUP BY clip_id"""
-ORACLES["changed_observations"] = f"""{EVAL}, n AS (SELECT clip_id, frame_index, x, y, source FROM fx_dirty_shuttle)
- SELECT clip_id, {i('frame_index')}, CASE WHEN n.source IS NULL THEN 'removed' WHEN a.source IS NULL THEN 'added' ELSE 'changed' END AS change FROM fx_shuttle a FULL JOIN n USING (clip_id, frame_index)
- WHERE a.x IS DISTINCT FROM n.x OR a.y IS DISTINCT FROM n.y OR a.source IS DISTINCT FROM n.source"""
+_OLD, _NEW = [f"SELECT clip_id, frame_index, x, y, source FROM {t}" for t in ("fx_shuttle", "fx_dirty_shuttle")]
+ORACLES["changed_observations"] = f"""{EVAL}, g AS (SELECT clip_id, frame_index, count(*) AS n FROM ({_OLD} EXCEPT ALL {_NEW}) GROUP BY 1, 2), c AS (SELECT clip_id, frame_index, count(*) AS n FROM ({_NEW} EXCEPT ALL {_OLD}) GROUP BY 1, 2),
+ k AS (SELECT clip_id, frame_index, coalesce(g.n, 0) AS gone, coalesce(c.n, 0) AS come FROM g FULL JOIN c USING (clip_id, frame_index))
+ SELECT clip_id, {i('frame_index')}, change, CAST(n AS BIGINT) AS n_rows FROM (SELECT clip_id, frame_index, 'changed' AS change, least(gone, come) AS n FROM k
+ UNION ALL SELECT clip_id, frame_index, 'removed', gone - least(gone, come) FROM k UNION ALL SELECT clip_id, frame_index, 'added', come - least(gone, come) FROM k) WHERE n > 0"""
+_COPY = f"{_NEW} WHERE clip_id % 3 = 0 UNION ALL {_OLD} WHERE clip_id % 3 <> 0 UNION ALL {_OLD} WHERE clip_id = 4"
+ORACLES["changed_clips"] = f"{EVAL} SELECT DISTINCT clip_id FROM (({_OLD} EXCEPT ALL ({_COPY})) UNION ALL (({_COPY}) EXCEPT ALL {_OLD}))"
 ORACLES["pixel_labels"] = f"{EVAL} SELECT clip_id, {i('frame_index')}, visible, {r('lx', 'label_x')}, {r('ly', 'label_y')} FROM fx_labels"
 
 # Checks -------------------------------------------------------------------------------
