@@ -6,6 +6,7 @@ joined by ``;``.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import types as T
 from .. import fixtures
 from ..functions.court import zone
 from ..operators import checks, court, evaluation, motion, pose, review, shuttle, summaries, timeline, trails
-from ..sources import writers
+from ..sources import runs, writers
+from ..sources.store import scratch_dir
 from . import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -706,6 +708,33 @@ def report_lines(t):
     return _report_parts(t)[0]
 
 
+# Review versions -------------------------------------------------------------
+
+def edited_identity(identity):
+    """The identity map after a person has renamed the players of some clips."""
+    return identity.withColumn("player_label", F.when(F.col("clip_id") % 25 == 0, F.concat(F.lit("Q"), F.col("track_id").cast("string"))).otherwise(F.col("player_label")))
+
+
+def edited_rallies(rallies):
+    """Rallies after some clips' have been cut short by four frames."""
+    return rallies.withColumn("end_frame", F.when(F.col("clip_id") % 20 == 2, F.col("end_frame") - 4).otherwise(F.col("end_frame")))
+
+
+@query
+def recomputed_summary(t):
+    """Players and rallies under an edited review, worked out again where the edit reaches and taken from the first version elsewhere."""
+    analysis = runs.ReviewedAnalysis(t.spark, f"{scratch_dir(t.spark)}/reviewed-{uuid.uuid4().hex}", buckets=16)
+    analysis.observe({"motion": t.stored_motion.drop("player_label", "side", "team"), "frames": t.frames, "clips": t.clips})
+    first = {"identity": t.identity, "rallies": t.rallies, "events": t.events, "targets": t.targets}
+    results = ("identified_players", "rally_summary")
+    analysis.run(first, "001", results=results)
+    analysis.run(first | {"identity": edited_identity(t.identity), "rallies": edited_rallies(t.rallies)}, "002", "001", results)
+    shared = ["distance_m", "valid_motion_time_s"]
+    players = analysis.result("identified_players", "002").select("clip_id", F.lit("player").alias("part"), F.col("player_label").alias("name"), *shared)
+    rallies = analysis.result("rally_summary", "002").select("clip_id", F.lit("rally").alias("part"), F.concat_ws(":", "rally_id", F.col("track_id").cast("string")).alias("name"), *shared)
+    return players.unionByName(rallies)
+
+
 @query
 def insight_documents(t):
     return _report_parts(t)[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from ..fixtures import cte
+from ..fixtures import TABLES, cte
 from ..policy import note
 
 ORACLES: dict[str, str] = {}
@@ -547,3 +547,17 @@ ORACLES["run_summaries"] = f"""{QUALITY}{FILLED[len(cte('fx_frames', 'fx_shuttle
  tt AS (SELECT clip_id, count(DISTINCT track_id) AS t FROM pw GROUP BY clip_id), ta AS (SELECT clip_id, count(ankle_x) AS a FROM fx_ankles GROUP BY clip_id)
  SELECT clip_id, 'complete' AS status, {i('d', 'detected')}, {i('t', 'unique_track_ids')}, {i('a', 'positions_available')}, {i('v', 'valid_player_positions')}
  FROM qu JOIN td USING (clip_id) JOIN tt USING (clip_id) JOIN ta USING (clip_id)"""
+
+# The same edits as the query's, in place of the tables they change.
+_EDITS = {"fx_identity": "SELECT clip_id, track_id, CASE WHEN clip_id % 25 = 0 THEN concat('Q', CAST(track_id AS VARCHAR)) ELSE player_label END AS player_label, side, team",
+          "fx_rallies": "SELECT clip_id, rally_id, start_frame, CASE WHEN clip_id % 20 = 2 THEN end_frame - 4 ELSE end_frame END AS end_frame"}
+
+
+def _edited(sql: str) -> str:
+    for name, select in _EDITS.items():
+        sql = sql.replace(f"{name} AS ({TABLES[name]})", f"{name} AS ({select} FROM ({TABLES[name]}) before_edit)")
+    return sql
+
+
+ORACLES["recomputed_summary"] = f"""SELECT clip_id, 'player' AS part, player_label AS name, distance_m, valid_motion_time_s FROM ({_edited(ORACLES["identified_players"])}) a
+ UNION ALL SELECT clip_id, 'rally', concat_ws(':', rally_id, CAST(track_id AS VARCHAR)), distance_m, valid_motion_time_s FROM ({_edited(ORACLES["rally_summary"])}) b"""
