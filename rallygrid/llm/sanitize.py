@@ -2,16 +2,18 @@
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
 What they find are the protected entities.  A term tells about an entity as much
-as their pointwise mutual information over the corpus: from documents with the
-entity, the term, and both, out of all documents.  An entity's own information is
-that of its rarity.  A term that reveals at least DISCLOSED percent of it, in
-SUPPORT or more different texts, is generalised with the entity: each of its
-occurrences in a document that holds the entity is a span, unless it overlaps
-what a pattern found.
-
-Counts are of rows and cover the whole corpus.  An entity in fewer than SUPPORT
-different texts has no such term, so only the others meet the terms of their
-documents.
+as their pointwise mutual information over the corpus: from rows with the
+entity, the term, and both, out of all rows.  An entity's own information is
+that of its rarity.  How often the entity is there when the term is, is an estimate, so
+the lower end of its Wilson interval counts: what is seen in few rows has to be told apart from chance by
+the size of the corpus.  A term that reveals at least DISCLOSED percent of the entity's information is generalised with
+it: each of its occurrences in a document that holds the entity is a span, unless it overlaps
+what a pattern found.  Entities of one document have such terms too.
+
+Counts are of rows and cover the whole corpus.  A term in more than
+``n_e * (n / n_e) ** (1 - DISCLOSED / 100)`` of ``n`` rows can't reveal an entity of ``n_e`` rows, so frequent terms leave
+before terms meet entities.  Terms of the same rows, and entities of the same rows, are counted as one set of
+rows: a page of many addresses and rare words is one pair.
 
 Defined results: no text counts as empty; rows that repeat count alike on all
 sides; a null id is judged like others; an empty table gives an empty result.
@@ -35,8 +37,10 @@ KINDS = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 ]
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
-#: Different texts that show a term with an entity; percentage of the entity's information.
-SUPPORT, DISCLOSED = 3, 90
+#: Percentage of the entity's information; half width of the interval in standard errors.
+DISCLOSED, ERRORS = 90, 1.0
+#: A term of more than one row in so many is joined apart from the others.
+FREQUENT = 1000
 
 
 def holds(kind: str, match: Column) -> Column:
@@ -70,8 +74,9 @@ def entity(span: Column) -> Column:
 
 
 def with_entities(found: DataFrame) -> DataFrame:
-    """``doc_id, mark, base, entities`` (each once) and ``text``, null without an entity: so that the others aren't kept."""
-    return found.select("doc_id", "mark", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), F.when(F.size("base") > 0, F.col("text")).alias("text"))
+    """``row`` (a number)``, doc_id, mark, base, entities`` (each once) and ``text``, null without an entity: so that the others aren't kept."""
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", "base", F.array_distinct(F.transform("base", entity)).alias("entities"),
+                        F.when(F.size("base") > 0, F.col("text")).alias("text"))
 
 
 def terms_of(text: Column) -> Column:
@@ -83,30 +88,49 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
 
 
-def companions(wide: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """Terms of the documents of an entity, wherever they stand: ``doc_id, mark, entity, term`` and ``n`` rows."""
-    holders = wide.where(F.size("entities") > 0)
-    each = written(holders.select("doc_id", "mark", F.explode("entities").alias("entity")).groupBy("doc_id", "mark", "entity").agg(F.count("*").alias("n")), "entities")
-    shared = each.groupBy("entity").agg(F.count_distinct("mark").alias("texts")).where(F.col("texts") >= support)
-    held = written(each.join(shared.select("entity"), "entity", "left_semi"), "held")
-    docs = held.select("doc_id", "mark").distinct()
-    words = holders.join(docs, same_document(holders, docs), "left_semi").select("doc_id", "mark", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
-    return words.join(held, same_document(words, held)).select(words["doc_id"], words["mark"], "entity", "term", "n")
-
-
-def revealing(texts: DataFrame, wide: DataFrame, near: DataFrame, support: int = SUPPORT, disclosed: int = DISCLOSED) -> DataFrame:
-    """Pairs ``entity, term`` above the limits, with ``disclosure``: the part of the entity's information that the term gives."""
-    total = wide.agg(F.count("*").alias("n"))
-    pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count_distinct("mark").alias("texts")).where(F.col("texts") >= support)
-    pairs = written(pairs, "pairs")
-    asked = pairs.select("entity").distinct()
-    entities = wide.select(F.explode("entities").alias("entity")).join(asked, "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
-    # Counted before the join, so what is exchanged are counts of a task's different terms, however many pairs ask for them.
-    words = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = words.join(pairs.select("term").distinct(), "term", "left_semi")
-    known = pairs.join(terms, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    pmi, own = F.ln(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), F.ln(F.col("n") / F.col("n_e"))
-    return known.withColumn("disclosure", F.when(own > 0, pmi / own)).where(F.col("disclosure") * 100 >= disclosed - 1e-9).select("entity", "term", "disclosure")
+def rows_of(rows: DataFrame, key: str, count: str) -> DataFrame:
+    """Each key's number of rows, and ``{key}_set``, a name for the set of texts it stands in (by their ``mark``)."""
+    part = lambda shift: F.sum(F.shiftrightunsigned("mark", shift).bitwiseAND(F.lit((1 << 28) - 1)))
+    sums = rows.groupBy(key).agg(F.count("*").alias(count), part(0).alias("low"), part(32).alias("high"))
+    return sums.select(key, count, F.xxhash64(count, "low", "high").alias(f"{key}_set"))
+
+
+def most_rows(n: Column, total: int, disclosed: int = DISCLOSED) -> Column:
+    """The rows that a term may have and yet reveal an entity of ``n`` rows."""
+    return n * F.pow(F.lit(float(total)) / n, F.lit(1 - disclosed / 100)) * (1 + 1e-9)
+
+
+def disclosure(both: Column, term: Column, ent: Column, total: int, errors: float = ERRORS) -> Column:
+    """Part of an entity's information that a term gives, by the lower end of the share of the term's rows that hold it."""
+    z2, share = errors * errors, both / term
+    low = (share + z2 / (2 * term) - errors * F.sqrt(share * (1 - share) / term + z2 / (4 * term * term))) / (1 + z2 / term)
+    return F.ln(low * total / ent) / F.ln(F.lit(float(total)) / ent)
+
+
+def revealing(texts: DataFrame, wide: DataFrame, disclosed: int = DISCLOSED) -> DataFrame:
+    """Rows ``row, told``: the terms of a row that reveal one of its entities."""
+    total = wide.count()
+    each = wide.select("row", "mark", F.explode("entities").alias("entity"))
+    entities = written(rows_of(each, "entity", "n_e").where(F.col("n_e") < total), "entities")
+    most = entities.agg(F.max(most_rows(F.col("n_e"), total, disclosed))).first()[0]
+    none = "row long, told array<string>"
+    if most is None:
+        return wide.sparkSession.createDataFrame([], none)
+    held = written(each.select("row", "entity").join(entities, "entity").groupBy("row", "entity_set").agg(F.max("n_e").alias("n_e")), "held")
+    words = texts.select("mark", F.explode(terms_of(F.col("text"))).alias("term"))
+    counts = rows_of(words, "term", "n_t")
+    # Counted first, whatever the joins below ask for: written, so no join is pushed ahead of the counts.
+    counts = written(counts.where((F.col("n_t") <= most) | (F.col("n_t") * FREQUENT > total)), "counts")
+    often = written(counts.where(F.col("n_t") * FREQUENT > total).withColumnsRenamed({"n_t": "often", "term_set": "often_set"}), "often")
+    own = wide.where(F.size("entities") > 0).select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(often, "term", "left")
+    rare = own.where("often is null").select("row", "term").join(counts.where((F.col("n_t") <= most) & (F.col("n_t") * FREQUENT <= total)), "term").select("row", "term", "n_t", "term_set")
+    terms = written(rare.union(own.where(F.col("often") <= most).select("row", "term", "often", "often_set")), "terms")
+    sets = terms.groupBy("row", "term_set").agg(F.max("n_t").alias("n_t"))
+    pairs = written(sets.join(held, "row").where(F.col("n_t") <= most_rows(F.col("n_e"), total, disclosed)), "pairs")
+    told = pairs.groupBy("entity_set", "term_set").agg(F.count("*").alias("both"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t")).where(
+        disclosure(F.col("both"), F.col("n_t"), F.col("n_e"), total) * 100 >= disclosed - 1e-9).select("entity_set", "term_set")
+    hits = pairs.join(told, ["entity_set", "term_set"]).select("row", "term_set").distinct()
+    return terms.join(hits, ["row", "term_set"]).groupBy("row").agg(F.collect_list("term").alias("told"))
 
 
 def occurrences(text: Column, told: Column, base: Column) -> Column:
@@ -127,14 +151,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of ``docs``: ``doc_id, mark, base, terms`` (spans of revealing terms)."""
     found = detect(docs, id_col, text_col)
     wide = written(with_entities(found), "base")
-    near = written(companions(wide), "near")
-    told = written(revealing(found.select("text"), wide, near), "revealing")
-    hits = near.join(told, ["entity", "term"]).groupBy("doc_id", "mark").agg(F.collect_set("term").alias("told"))
-    places = wide.join(hits, same_document(wide, hits)).select(wide["doc_id"], wide["mark"], "base", "text", "told").dropDuplicates(["doc_id", "mark"])
-    places = written(places.select("doc_id", "mark", occurrences(F.col("text"), F.col("told"), F.col("base")).alias("terms")), "terms")
-    base = wide.select("doc_id", "mark", "base")
-    joined = base.join(places, same_document(base, places), "left")
-    return joined.select(base["doc_id"], base["mark"], "base", F.coalesce("terms", F.filter("base", lambda b: F.lit(False))).alias("terms"))
+    told = written(revealing(found.select("mark", "text"), wide), "revealing")
+    places = written(wide.join(told, "row").select("row", occurrences(F.col("text"), F.col("told"), F.col("base")).alias("terms")), "places")
+    joined = wide.select("row", "doc_id", "mark", "base").join(places, "row", "left")
+    return joined.select("doc_id", "mark", "base", F.coalesce("terms", F.filter("base", lambda b: F.lit(False))).alias("terms"))
 
 
 def span_list(spans: Column) -> Column:

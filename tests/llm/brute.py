@@ -1,5 +1,6 @@
 """Plain versions of the operators' contracts, on lists of rows."""
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -181,3 +182,26 @@ def spelling(docs):
             root = form[root]
         out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
     return out
+
+
+def revealed(texts, disclosed=90):
+    """For each text the spans of the terms that reveal one of its entities."""
+    base = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans(t).split(",") if x)] for t in texts]
+    entities = [{(k, (t or "")[a:b].lower()) for k, a, b in bs} for t, bs in zip(texts, base)]
+    found = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_](?:[^\W_]){2,}", t or "")] for t in texts]
+    terms = [{x[2] for x in f} for f in found]
+    n, n_e, n_t = len(texts), Counter(e for es in entities for e in es), Counter(t for ts in terms for t in ts)
+    both = Counter((e, t) for es, ts in zip(entities, terms) for e in es for t in ts)
+
+    def tells(e, t):
+        k, m = both[e, t], n_t[t]
+        if n_e[e] == n:
+            return False
+        p = k / m
+        low = (p + 1 / (2 * m) - math.sqrt(p * (1 - p) / m + 1 / (4 * m * m))) / (1 + 1 / m)
+        return math.log(low * n / n_e[e]) / math.log(n / n_e[e]) * 100 >= disclosed - 1e-9
+    out = []
+    for es, bs, fs in zip(entities, base, found):
+        told = {t for t in {x[2] for x in fs} if any(tells(e, t) for e in es)}
+        out.append([(a, b) for a, b, t in fs if t in told and not any(x < b and y > a for _, x, y in bs)])
+    return out

@@ -167,6 +167,27 @@ def test_terms_that_reveal_are_found_at_any_distance(spark):
         assert [(s.start, s.end) for s in r.terms] == [(k, k + 7) for k in want] and len(want) == (0 if (r.doc_id or 0) >= 10 else 3)
 
 
+def test_revealing_terms_equal_plain_version(spark):
+    """Rare and frequent entities, words of one document, list pages, copies, a long text, nulls."""
+    rng = random.Random(9)
+    vocabulary = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(3000)]
+    pick = lambda: vocabulary[int(len(vocabulary) * rng.random() ** 3)]
+    texts = []
+    for k in range(1500):
+        words = [pick() for _ in range(rng.randrange(4, 30))]
+        if k % 11 == 0:
+            who = rng.randrange(60)
+            words[rng.randrange(len(words)):0] = [f"user{who}@mail{who % 3}.example.org", f"Nick{chr(97 + who % 26)}{chr(97 + who // 26)}"]
+        if k % 90 == 0:
+            words += [f"10.0.{k % 256}.{j}" for j in range(20)] + [f"Only{chr(97 + j)}{chr(97 + k // 90)}" for j in range(20)]
+        texts.append(" ".join(words))
+    texts += [None, "", texts[0], texts[11], texts[11], "often@mail.example.org " + "zzzz " * 20000, "no entity here"] + [f"often@mail.example.org {pick()}" for _ in range(700)]
+    rows = spark.createDataFrame([(k, t, 1, "x", 2, [3]) for k, t in enumerate(texts)], "doc_id long, text string, row int, entity string, term int, told array<int>").repartition(5)
+    got = {r.doc_id: [(s.start, s.end) for s in r.terms] for r in sanitize.personal_data(rows).collect()}
+    want = dict(enumerate(brute.revealed(texts)))
+    assert got == want and sum(map(len, want.values())) > 200
+
+
 # Benchmarks, urls -----------------------------------------------------------------------
 
 def test_containment_equals_brute_force(spark, docs, texts):
