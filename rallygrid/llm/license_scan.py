@@ -1,9 +1,10 @@
 """Licence families of paragraphs: sparse word n-grams, logistic regression, templates.
 
 A paragraph is a line, or a window of adjacent lines up to a blank one, as
-notices are wrapped.  A window counts if its first and last line both add to what
+notices are wrapped, even at one word a line.  A window counts if its first and last line both add to what
 it holds of a template, so a notice isn't found again with its surroundings; of
-the paragraphs that begin at one line the surest stands for all.
+the paragraphs that begin at one line the surest stands for all.  Windows are made only from a line that has
+a pair of a template to one that has, pairs over the line's end among them.
 
 A multinomial logistic regression over single words and pairs is fitted on the
 templates below, damaged and set among words of the corpus, against an unknown
@@ -21,6 +22,8 @@ empty table gives an empty result.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -35,9 +38,6 @@ UNKNOWN = "unknown"
 SAMPLE, RARE, RARE_LEAST, COPIES = 4000, 1, 20, 24
 #: Percentage of a template's pairs that confirms its family; the lowest score that may be calibrated.
 CONFIRMED, LEAST_SCORE = 60, 0.5
-#: Lines of a window at most: the longest template has 30 words, so it fits at two words a line.
-LINES = 16
-
 #: Short notices of well-known licences, by family.
 TEMPLATES = [
     ("mit", "Released under the MIT License."), ("mit", "This project is licensed under the terms of the MIT license."),
@@ -54,6 +54,8 @@ TEMPLATES = [
     ("public-domain", "This work is dedicated to the public domain."), ("public-domain", "To the extent possible under law, the author has waived all copyright under CC0 1.0."),
     ("proprietary", "All rights reserved."), ("proprietary", "Copyright (c) 2020 the authors. All rights reserved."), ("proprietary", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
 ]
+#: Lines that a notice takes at most: the longest template with each word on its own line.
+LINES = max(len(re.findall(r"[^\W_]+", text)) for _, text in TEMPLATES)
 
 
 def tokens(text: Column) -> Column:
@@ -65,16 +67,22 @@ def pairs(ws: Column) -> Column:
     return F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1)))).otherwise(F.array().cast("array<string>"))
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str, ends: Column) -> DataFrame:
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, known: list[str]) -> DataFrame:
     """Rows ``row`` (of ``docs``)``, doc_id, paragraph`` (first line, from 0)``, n`` (lines)``, parts`` (their words): lines with a letter or digit, and windows of
-    such lines whose first and last have a word of ``ends``."""
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), tokens).alias("ls"))
-    ahead = lines.select("row", "doc_id", F.posexplode(F.transform("ls", lambda _, i: F.slice("ls", i + 1, LINES))).alias("paragraph", "ahead")).where(F.size(F.get("ahead", F.lit(0))) > 0)
-    blank = F.array_position(F.transform("ahead", F.size), F.lit(0))
+    such lines that begin and end with a line that has one of the pairs ``known``."""
+    split = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), tokens)
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), split.alias("ls"))
+    over = lambda ws, i: F.concat_ws(" ", F.element_at(ws, -1), F.get(F.get("ls", i + 1), F.lit(0)))  # noqa: E731  the pair over the line's end
+    told = F.transform("ls", lambda ws, i: F.struct(ws.alias("ws"), F.exists(pairs(ws), lambda p: p.isin(known)).alias("own"),
+                                                    F.when(F.size(ws) > 0, over(ws, i).isin(known)).otherwise(False).alias("over")))
+    told = lines.select("row", "doc_id", told.alias("told"))
+    reach = F.transform("told", lambda x, i: F.slice("told", i + 1, F.when(x["own"] | x["over"], LINES).otherwise(1)))
+    ahead = told.select("row", "doc_id", F.posexplode(reach).alias("paragraph", "ahead")).where(F.size(F.get("ahead", F.lit(0))["ws"]) > 0)
+    blank = F.array_position(F.transform("ahead", lambda x: F.size(x["ws"])), F.lit(0))
     run = F.when(blank > 0, blank.cast("int") - 1).otherwise(F.size("ahead"))
-    own = lambda n: F.arrays_overlap(F.get("ahead", n - 1), ends)
-    sizes = F.filter(F.sequence(F.lit(1), run), lambda n: (n == 1) | own(F.lit(1)) & own(n))
-    return ahead.select("row", "doc_id", "paragraph", "ahead", F.explode(sizes).alias("n")).select("row", "doc_id", "paragraph", "n", F.slice("ahead", 1, F.col("n")).alias("parts"))
+    sizes = F.filter(F.sequence(F.lit(1), run), lambda n: (n == 1) | F.get("ahead", n - 1)["own"] | F.get("ahead", n - 2)["over"])
+    return ahead.select("row", "doc_id", "paragraph", "ahead", F.explode(sizes).alias("n")).select(
+        "row", "doc_id", "paragraph", "n", F.transform(F.slice("ahead", 1, F.col("n")), lambda x: x["ws"]).alias("parts"))
 
 
 def draw(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
@@ -94,8 +102,7 @@ class Scanner:
         plain = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "id int, family string, text string").withColumn("ws", tokens(F.col("text")))
         self.templates = plain.select("id", "family", F.array_distinct(pairs(F.col("ws"))).alias("pairs"))
         template_words = plain.select(F.explode("ws").alias("word")).distinct()
-        self.words = sorted(r.word for r in template_words.collect())
-        template_pairs = sorted({g for r in self.templates.select("pairs").collect() for g in r.pairs})
+        self.pairs = template_pairs = sorted({g for r in self.templates.select("pairs").collect() for g in r.pairs})
         apart = drawn.where(~F.arrays_overlap(pairs(F.col("ws")), F.array(*[F.lit(g) for g in template_pairs])))
         # Words of templates only: a bounded list for the driver, as the templates are fixed.
         seen = apart.select(F.explode(F.array_distinct("ws")).alias("word")).join(F.broadcast(template_words), "word").groupBy("word").agg(F.count("*").alias("n"))
@@ -133,7 +140,7 @@ class Scanner:
         rare = F.array(*[F.lit(w) for w in self.rare])
         # A document without any rare word is done with; then the same holds for each paragraph.
         some = docs.where(F.arrays_overlap(tokens(F.coalesce(F.col(text_col), F.lit(""))), rare))
-        rows = paragraphs(some, id_col, text_col, F.array(*[F.lit(w) for w in self.words])).withColumn("ws", F.flatten("parts")).where(F.arrays_overlap("ws", rare))
+        rows = paragraphs(some, id_col, text_col, self.pairs).withColumn("ws", F.flatten("parts")).where(F.arrays_overlap("ws", rare))
         # All templates in one row of fixed size.
         rows = rows.withColumn("own", pairs(F.col("ws"))).crossJoin(F.broadcast(self.templates.agg(F.collect_list(F.struct("family", "pairs")).alias("ts"))))
         part = lambda t, own: F.size(F.array_intersect(t["pairs"], own)) / F.size(t["pairs"])

@@ -305,6 +305,19 @@ def test_wrapped_licence_notices(spark, docs):
     assert got.select("doc_id", "paragraph").distinct().count() == got.count()
 
 
+def test_notices_at_one_word_a_line_and_in_odd_rows(spark, docs):
+    """A notice with each word on its own line, after a very long text, in repeated rows, and with columns whose names are used inside."""
+    prose = [r.text for r in docs.where("length(text) > 300").limit(40).collect()]
+    mit = next(t for f, t in license_scan.TEMPLATES if f == "mit" and len(t.split()) > 20)
+    tall, rows = mit.replace(" ", "\n"), [(100 + k, p) for k, p in enumerate(prose)]
+    rows += [(1, f"intro\n\n{tall}\n\nmore"), (2, f"{'plain words ' * 60000}\n{mit}"), (3, mit), (3, mit), (None, mit), (5, "All rights reserved.\n" * 300)]
+    table = spark.createDataFrame([(*r, 1, ["x"], "y") for r in rows], "doc_id long, text string, row long, parts array<string>, ws string")
+    got = license_scan.scan(table).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in got if r.doc_id != 5} == {(k, "mit") for k in (1, 2, 3, None)} and min(r.paragraph for r in got if r.doc_id == 1) == 2
+    assert sorted((r.doc_id, r.paragraph) for r in got if r.doc_id in (2, 3)) == [(2, 1), (3, 0), (3, 0)]
+    assert {(r.paragraph, r.family) for r in got if r.doc_id == 5} == {(k, "proprietary") for k in range(300)}
+
+
 def test_frequent_notices_stay_seen(spark, docs):
     prose = [r.text for r in docs.where("length(text) > 300").limit(40).collect()]
     rows = [(k, f"{prose[k % 40]}\nCopyright (c) 2019 holder{k}. All rights reserved.") for k in range(60)] + [(100, "All rights reserved.")]
