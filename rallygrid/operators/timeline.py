@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import fill_forward, match_ranges, previous_row, with_halo
+from ..functions.stats import exact_median
 from ..policy import LAYOUT, POLICY, TICKS_PER_SECOND, Layout, Policy
 
 CLIP = "clip_id"
@@ -13,10 +14,10 @@ CLIP = "clip_id"
 def _measured_caps(timeline: DataFrame, policy: Policy, layout: Layout) -> DataFrame:
     """Caps of the clips that have at least one pair of consecutive frames.
 
-    Steps are counted before they are ranked.  All steps too short to lift the
-    cap above its floor share one count and stand for their longest (the only one
-    of them that a median above the floor can touch), so the state of a clip at
-    ordinary cadence is a single number; longer steps are told apart to the nanosecond.
+    Steps are counted in cells that widen with them (a thousandth of the step), so a clip has some twenty thousand cells
+    at most, however its steps differ; the cell of a middle rank is then opened if it holds different steps.  All steps too
+    short to lift the cap above its floor share one cell, and their longest is
+    the only one that a median above the floor can touch, so a clip at ordinary cadence has a single cell.
     """
     rows = with_halo(timeline.select(CLIP, "frame_index", "timestamp_s"),
                      F.col("frame_index"), layout.block_frames, before=1)
@@ -24,12 +25,10 @@ def _measured_caps(timeline: DataFrame, policy: Policy, layout: Layout) -> DataF
     floor = policy.min_gap_cap_s / policy.gap_cap_multiplier
     prev = F.lag(F.struct("frame_index", "timestamp_s")).over(w)
     dt = F.when(prev["frame_index"] == F.col("frame_index") - 1, F.col("timestamp_s") - prev["timestamp_s"])
-    step = F.when(dt <= floor, F.lit(0.0)).otherwise(F.round(dt, 9))
-    counts = (rows.select(CLIP, "is_core", step.alias("kind"), dt.alias("dt")).where("is_core and kind is not null")
-                  .groupBy(CLIP, "kind").agg(F.count(F.lit(1)).alias("c"), F.max("dt").alias("step")))
-    return counts.groupBy(CLIP).agg(F.greatest(
-        F.lit(policy.min_gap_cap_s),
-        F.percentile("step", F.lit(0.5), F.col("c")) * policy.gap_cap_multiplier).alias("gap_cap_s"))
+    steps = rows.select(CLIP, "is_core", dt.alias("step")).where("is_core and step is not null")
+    cell = F.when(F.col("__v") <= floor, F.lit(-1)).otherwise(F.greatest(F.lit(0), F.floor(F.log(F.col("__v") / floor) * 1000))).cast("long")
+    median = exact_median(steps, [CLIP], "step", cell, "median_step", closed=F.col("__cell") < 0)
+    return median.select(CLIP, F.greatest(F.lit(policy.min_gap_cap_s), F.col("median_step") * policy.gap_cap_multiplier).alias("gap_cap_s"))
 
 
 def gap_caps(timeline: DataFrame, policy: Policy = POLICY, layout: Layout = LAYOUT) -> DataFrame:

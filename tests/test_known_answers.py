@@ -1,6 +1,7 @@
 """Small hand-made series with known results."""
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,17 @@ def test_rally_keeps_its_notes_and_boundary(spark):
     assert (round(r.duration_s, 9), round(r.distance_m, 9), r.notes, r.outcome) == (.12, .12, "long", None)
     empty = review.rally_spans(rallies.where("false"), frames).first()
     assert (empty.rally_id, empty.start_frame, empty.end_frame, empty.notes) == ("unsegmented_clip", 0, 9, None)
+
+
+def test_gap_cap_of_a_hot_clip_with_jittered_steps(spark):
+    """A third of all rows in one clip, hardly two steps alike and all above the floor: exact, from cells alone."""
+    rng = np.random.default_rng(4)
+    steps = {1: rng.uniform(.09, .5, 3000), 2: np.where(rng.random(800) < .5, .04, rng.uniform(.09, .2, 800)), 3: rng.uniform(.01, .08, 900), 4: np.array([.2]), 5: np.array([.05, .3]), 6: rng.uniform(60, 3000, 501)}
+    rows = [(c, k, float(t)) for c, s in steps.items() for k, t in enumerate(np.concatenate([[0], np.cumsum(s)]))]
+    frames = spark.createDataFrame(rows + [(7, 0, 1.0)], "clip_id long, frame_index long, timestamp_s double")
+    want = {7: .25}
+    for c in steps:
+        t = np.array([x for k, _, x in rows if k == c])
+        want[c] = max(.25, 3 * float(np.median(np.diff(t))))
+    for layout in (Layout(), Layout(block_frames=7)):
+        assert {r.clip_id: r.gap_cap_s for r in timeline.gap_caps(frames, layout=layout).collect()} == want
