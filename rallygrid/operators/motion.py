@@ -246,6 +246,19 @@ def heatmap_intensity(cells: DataFrame) -> DataFrame:
     return cells.withColumn("intensity", F.when(top > 0, F.log1p("seconds") / F.log1p(top)).otherwise(0.0))
 
 
+def dense_heatmap(cells: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The whole grid of each of ``tracks``: seconds of all cells in row order, zeros where nobody was, and the grid's size.
+
+    Filled cells become one map per track (a grid has 1296 cells), which is looked up over a generated index.
+    """
+    height, width = POLICY.heatmap_rows, POLICY.heatmap_cols
+    place = (F.col("cell_row") * width + F.col("cell_col")).cast("int")
+    filled = cells.groupBy(*TRACK).agg(F.map_from_entries(F.collect_list(F.struct(place, "seconds"))).alias("filled"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: F.coalesce(F.element_at("filled", k), F.lit(0.0)))
+    return tracks.select(*TRACK).distinct().join(filled, TRACK, "left").select(
+        *TRACK, F.array(F.lit(height), F.lit(width)).alias("grid_shape"), grid.alias("values_s"))
+
+
 def top_zones(zones: DataFrame, n: int = 3) -> DataFrame:
     w = Window.partitionBy(*TRACK).orderBy(F.desc("seconds"), "zone")
     return zones.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

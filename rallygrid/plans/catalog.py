@@ -231,6 +231,14 @@ def heatmap_seconds(t):
     return motion.heatmap(motion.occupancy(t.stored_motion))
 
 
+@query
+def dense_heatmap(t):
+    """All cells of each track's grid, in microseconds; some tracks have no time."""
+    grid = motion.dense_heatmap(motion.heatmap(motion.occupancy(t.stored_motion)), t.stored_motion)
+    micro = F.transform("values_s", lambda v: F.round(v * 1000000).cast("long"))
+    return grid.select("clip_id", "track_id", "grid_shape", micro.alias("values_us"))
+
+
 @query
 def heatmap_intensity(t):
     return motion.heatmap_intensity(motion.heatmap(motion.occupancy(t.stored_motion)))

@@ -151,6 +151,9 @@ ORACLES["zone_seconds"] = f"{OCC} SELECT clip_id, {i('track_id')}, zone, {r('sec
 ORACLES["top_zones"] = f"""{OCC}, rk AS (SELECT *, row_number() OVER (PARTITION BY clip_id, track_id ORDER BY round(seconds, 9) DESC, zone) AS rank FROM zs)
  SELECT clip_id, {i('track_id')}, zone, {r('seconds')}, {i('rank')} FROM rk WHERE rank <= 3"""
 ORACLES["heatmap_seconds"] = f"{OCC} SELECT clip_id, {i('track_id')}, cell_row, cell_col, {r('seconds')} FROM hm"
+ORACLES["dense_heatmap"] = f"""{OCC}, tr AS (SELECT DISTINCT clip_id, track_id FROM mo), ce AS (SELECT clip_id, track_id, unnest(range(1296)) AS k FROM tr)
+ SELECT ce.clip_id, CAST(ce.track_id AS BIGINT) AS track_id, '54;24' AS grid_shape, string_agg(CAST(CAST(round(coalesce(seconds, 0) * 1000000) AS BIGINT) AS VARCHAR), ';' ORDER BY k) AS values_us
+ FROM ce LEFT JOIN hm ON hm.clip_id = ce.clip_id AND hm.track_id = ce.track_id AND hm.cell_row * 24 + hm.cell_col = k GROUP BY 1, 2"""
 ORACLES["heatmap_intensity"] = f"""{OCC} SELECT clip_id, {i('track_id')}, cell_row, cell_col, {r('seconds')},
  {r('ln(1+seconds)/ln(1+max(seconds) OVER (PARTITION BY clip_id, track_id))', 'intensity')} FROM hm"""
 FRAG = f"""{MOTION}, fs AS (SELECT clip_id, track_id, any_value(player_label) AS player_label, any_value(side) AS side, any_value(team) AS team,

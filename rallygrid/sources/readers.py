@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..policy import CORNER_ORDER, MEDIA_SUFFIXES
 from .. import schemas
+from .long_json import LongDocuments
 
 
 def clip_of_path(path: Column) -> Column:
@@ -24,8 +25,21 @@ def _documents(spark: SparkSession, path: str, schema) -> DataFrame:
     return text.withColumn("doc", F.from_json("value", schema))
 
 
-def read_shuttle(spark: SparkSession, path: str) -> DataFrame:
-    """Shuttle rows; documents of another version or without frames give none (see :func:`rejected_documents`)."""
+def long_frames(spark: SparkSession, path: str, frame, range_bytes: int) -> DataFrame:
+    """Rows ``clip_id, f`` of documents too long for one task, cut into byte ranges; ranges that are no frames give none (``LongDocuments.faults`` lists them)."""
+    docs = LongDocuments(spark, path, frame, range_bytes=range_bytes)
+    version = F.from_json(F.regexp_replace("header", "^\ufeff", ""), "struct<schema_version:string>")["schema_version"]
+    good = docs.headers().where(version == "1.0").select("path")  # a row for each file
+    return docs.frames().where("problem is null").join(good, "path", "left_semi").select(clip_of_path(F.col("path")).alias("clip_id"), "f")
+
+
+def read_shuttle(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Shuttle rows; documents of another version or without frames give none (see :func:`rejected_documents`).
+
+    With ``range_bytes`` a document is read by as many tasks as it has ranges of that size.
+    """
+    if range_bytes:
+        return long_frames(spark, path, schemas.DETECTION, range_bytes).select("clip_id", "f.*")
     d = _documents(spark, path, schemas.document(schemas.DETECTION)).where("doc.schema_version = '1.0'")
     return d.select("clip_id", F.explode("doc.frames").alias("f")).select("clip_id", "f.*")
 
@@ -44,10 +58,13 @@ def rejected_documents(spark: SparkSession, path: str) -> DataFrame:
     return d.select("clip_id", reason.alias("reason")).where("reason is not null")
 
 
-def read_players(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(frames, observations); frames without players stay in the first table."""
-    d = _documents(spark, path, schemas.document(schemas.PLAYER_FRAME)).where("doc.schema_version = '1.0'")
-    rows = d.select("clip_id", F.explode("doc.frames").alias("f")).select("clip_id", "f.*")
+def read_players(spark: SparkSession, path: str, range_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames, observations); frames without players stay in the first table.  ``range_bytes`` as for shuttle rows."""
+    if range_bytes:
+        rows = long_frames(spark, path, schemas.PLAYER_FRAME, range_bytes).select("clip_id", "f.*")
+    else:
+        d = _documents(spark, path, schemas.document(schemas.PLAYER_FRAME)).where("doc.schema_version = '1.0'")
+        rows = d.select("clip_id", F.explode("doc.frames").alias("f")).select("clip_id", "f.*")
     obs = rows.select("clip_id", "frame_index", "timestamp_s", F.explode("players").alias("p")).select(
         "clip_id", "frame_index", "timestamp_s", "p.*")
     return rows.drop("players"), obs

@@ -5,11 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from rallygrid import fixtures
+from rallygrid import fixtures, schemas
 from rallygrid.operators import checks
 from rallygrid.plans import reports
 from rallygrid.plans.catalog import Tables, _report_parts
-from rallygrid.sources import readers, writers
+from rallygrid.sources import long_json, readers, writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +41,37 @@ def test_player_files_keep_empty_frames(spark, tmp_path):
     assert frames.count() == 2 and [r.track_id for r in obs.collect()] == [4]
 
 
+def test_long_documents_are_read_by_several_tasks(spark, tmp_path):
+    """Ranges that cut strings, escapes and names; text that looks like brackets; other lists beside the frames."""
+    odd = ['a"b', "\\", "}{", ']"', "é\\\"", "frames\": [", "\u2603"]
+    rows = [dict(frame_index=k, timestamp_s=k / 25, x=None if k % 5 else 1.5, y=2.0, confidence=.5, source=odd[k % 7] * (1 + k % 40), low_confidence=False) for k in range(4000)]
+    doc = dict(metadata={"note": odd[1] * 9, "list": [{"frames": [{"frame_index": -1}]}]}, warnings=[{"frame_index": -2}], schema_version="1.0", frames=rows, after=[{"frame_index": -3}])
+    _put(tmp_path, "a", "shuttle.json", doc)
+    _put(tmp_path, "b", "shuttle.json", doc | {"schema_version": "2.0"})
+    _put(tmp_path, "c", "shuttle.json", dict(frames=[], schema_version="1.0"))
+    player = dict(track_id=4, bbox=[0, 0, 1, 1], confidence=.5, keypoints=[dict(name="nose", x=1.0, y=2.0, confidence=.4, visible=True)], ankle_midpoint=None, low_confidence=True)
+    _put(tmp_path, "d", "players.json", dict(schema_version="1.0", frames=[dict(frame_index=k, timestamp_s=k / 10, players=[player] * (k % 3), flags=[]) for k in range(500)]))
+    path, count = str(tmp_path / "*/shuttle.json"), lambda df: sorted(map(str, df.collect()))
+    whole = readers.read_shuttle(spark, path)
+    for size in (997, 40000, 1 << 20):
+        assert count(readers.read_shuttle(spark, path, size)) == count(whole)
+    pieces = long_json.LongDocuments(spark, str(tmp_path / "a/shuttle.json"), schemas.DETECTION, range_bytes=40000).pieces
+    assert pieces.where("text is not null").select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    assert all(map(lambda ab: count(ab[0]) == count(ab[1]), zip(readers.read_players(spark, str(tmp_path / "d/players.json")), readers.read_players(spark, str(tmp_path / "d/players.json"), 500))))
+
+
+def test_faults_of_long_documents_are_reported(spark, tmp_path):
+    good = '{"frame_index": %d, "timestamp_s": 0.5}'
+    _put(tmp_path, "a", "shuttle.json", '{"schema_version": "1.0", "frames": [' + good % 0 + ', {"frame_index": oops}, ' + good % 2 + "]}")
+    _put(tmp_path, "b", "shuttle.json", '{"schema_version": "1.0", "frames": [' + good % 0 + ', {"frame_index": 1, "timest')
+    docs = long_json.LongDocuments(spark, str(tmp_path / "*/shuttle.json"), schemas.DETECTION, range_bytes=50)
+    got = {(r.path.split("/")[-2], r.problem) for r in docs.faults().collect()}
+    assert got == {("a", "malformed"), ("b", "unclosed"), ("b", "unbalanced")}
+    assert sorted((r.clip_id, r.frame_index) for r in readers.read_shuttle(spark, str(tmp_path / "*/shuttle.json"), 50).collect()) == [("a", 0), ("a", 2)]
+    one = docs.faults().where("problem = 'malformed'").first()
+    assert (tmp_path / "a/shuttle.json").read_bytes()[one.start:one.end] == b'{"frame_index": oops}'
+
+
 def test_annotation_files(spark, tmp_path):
     _put(tmp_path, "a", "review.json", dict(schema_version=1, source_video_sha256="AB" * 32, identity_map={"3": dict(player_label=" Kim ", side="near")},
                                             rallies=[dict(id="r1", start_frame=0, end_frame=5)], events=[], recovery_targets=[]), bom=True)
