@@ -141,17 +141,19 @@ class Scanner:
         # A document without any rare word is done with; then the same holds for each paragraph.
         some = docs.where(F.arrays_overlap(tokens(F.coalesce(F.col(text_col), F.lit(""))), rare))
         rows = paragraphs(some, id_col, text_col, self.pairs).withColumn("ws", F.flatten("parts")).where(F.arrays_overlap("ws", rare))
+        # Stored, or the words would be worked out again for each pair of them, and the pairs for each template.
+        rows = written(rows.withColumn("own", pairs(F.col("ws"))), "paragraphs")
         # All templates in one row of fixed size.
-        rows = rows.withColumn("own", pairs(F.col("ws"))).crossJoin(F.broadcast(self.templates.agg(F.collect_list(F.struct("family", "pairs")).alias("ts"))))
+        rows = rows.crossJoin(F.broadcast(self.templates.agg(F.collect_list(F.struct("family", "pairs")).alias("ts"))))
         part = lambda t, own: F.size(F.array_intersect(t["pairs"], own)) / F.size(t["pairs"])
         # A window that holds too little of any template can't be confirmed.
         rows = rows.where((F.col("n") == 1) | F.exists("ts", lambda t: part(t, F.col("own")) * 100 >= CONFIRMED))
         told = self.scored(self.features(rows)).select("row", "doc_id", "paragraph", "n", "parts", "own", "ts", "predicted", "probability")
         best = lambda own: F.aggregate(F.filter("ts", lambda t: t["family"] == F.col("predicted")), F.lit(0.0), lambda s, t: F.greatest(s, part(t, F.col(own))))
         both = told.withColumn("overlap", F.round(best("own"), 6)).where((F.col("n") == 1) | (F.col("predicted") != UNKNOWN))
-        # Windows without their first or last line must hold less.
-        inner = lambda first: pairs(F.flatten(F.slice("parts", first, F.col("n") - 1)))
-        both = both.withColumns({"tail": F.when(F.col("n") > 1, inner(2)), "head": F.when(F.col("n") > 1, inner(1))})
+        # Windows without their first or last line must hold less; their pairs are those of the window from, or up to, a place.
+        first, last = F.size(F.get("parts", F.lit(0))), F.size(F.element_at("parts", -1))
+        both = both.withColumns({"tail": F.slice("own", first + 1, F.size("own")), "head": F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - last))})
         both = both.where((F.col("n") == 1) | (F.col("overlap") > F.round(best("tail"), 6)) & (F.col("overlap") > F.round(best("head"), 6)))
         sure = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= self.least) & (F.col("overlap") * 100 >= CONFIRMED)
         found = both.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "n", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"),
