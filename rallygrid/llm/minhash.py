@@ -10,9 +10,10 @@ similarity of 0.75 meets in some table except once in 250,000 pairs.
 3. In each bucket one node (that shares most groups, then the smallest) is
    compared with all others; then what still holds several components is
    opened: pairs across components that lengths, 512 four-bit
-   minhashes and the number of shingles shared with any other node don't rule
-   out.  So a group of copies costs rows in proportion to its size, and no bucket
-   is capped.
+   minhashes and counts of shingles don't rule out.  A node's shingles are counted in two parts, those of the most supported
+   node near it (its hub) and others that some open node has too; two nodes of one hub share no more than
+   the smaller counts of each part.  A text that lost much of what its group has in common can't make up
+   for it, so a group of copies costs rows in proportion to its size, and no bucket is capped.
 4. Every pair is confirmed on its full shingle sets before it links.
 
 Defined results: no words, no text or no id link with nothing (component: the
@@ -123,21 +124,27 @@ def stars(buckets: DataFrame) -> DataFrame:
 
 
 def solid(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = WORDS) -> DataFrame:
-    """Rows ``node, solid, fine``: how many of a node's shingles another of ``nodes`` has too, and its fine minhashes."""
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body")).where("body is not null").join(nodes, "node")
+    """Rows ``node, hub, inner, outer, fine`` of ``nodes`` (``node, hub``): a node's shingles that another of them has too, those that
+    its hub has and the others, and its fine minhashes."""
+    hubs = nodes.select(F.col("hub").alias("node")).distinct()
+    wanted = nodes.select("node", "hub").union(hubs.join(nodes, "node", "left_anti").select("node", F.lit(None).cast("long")))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("body")).where("body is not null").join(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [rolling.shingles(lowered(t), k) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
-                                                  pa.array([fine_bits(s) for s in own], pa.list_(pa.int64()))], names=["node", "own", "fine"])
+                own = [rolling.shingles(lowered(t), k) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())),
+                                                  pa.array([fine_bits(s) for s in own], pa.list_(pa.int64()))], names=["node", "hub", "own", "fine"])
 
-    sets = written(map_arrow(texts, run, "node long, own array<long>, fine array<long>"), "sets")
-    each = sets.select("node", F.explode("own").alias("h"))
+    sets = written(map_arrow(texts.select("node", "hub", "body"), run, "node long, hub long, own array<long>, fine array<long>"), "sets")
+    each = sets.where("hub is not null").select("node", "hub", F.explode("own").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return each.join(common, "h").groupBy("node").agg(F.count("*").alias("solid")).join(sets.select("node", "fine"), "node")
+    # Keyed by shingle too, so what a hub has is dealt over all tasks.
+    held = sets.join(hubs, "node").select(F.col("node").alias("hub"), F.explode("own").alias("h"), F.lit(True).alias("in_hub"))
+    counts = each.join(common, "h").join(held, ["hub", "h"], "left").groupBy("node").agg(F.count("in_hub").alias("inner"), F.count_if(F.col("in_hub").isNull()).alias("outer"))
+    return counts.join(sets.select("node", "hub", "fine"), "node")
 
 
 def across(groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -148,14 +155,17 @@ def across(groups: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str, t
     A pair shares at most the shingles that each has in common with any node, so two texts that differ from all
     others in their own ways are no pair: members of a group that are too far from each other aren't paired.
     """
-    keys = groups.select("node", F.explode("first").alias("key")).join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rows = written(keys.join(mixed, "key"), "mixed")
-    counts = solid(written(rows.select("node").distinct(), "open"), docs, id_col, text_col)
+    all_keys = groups.select("node", "support", F.explode("first").alias("key"))
+    keys = all_keys.join(labels, "node", "left").select("key", "node", "support", F.coalesce("component", "node").alias("component"))
+    order = F.struct("support", (-F.col("node")).alias("minus"))  # the largest support, then the smallest node
+    mixed = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(order).alias("top")).where("low < high").select("key", "top")
+    rows = written(keys.join(mixed, "key").select("key", "node", "component", "top"), "mixed")
+    open_nodes = written(rows.groupBy("node").agg((-F.max("top")["minus"]).alias("hub")), "open")
+    counts = solid(open_nodes, docs, id_col, text_col).withColumn("solid", F.col("inner") + F.col("outer"))
     able = written(counts.join(groups.select("node", "n_shingles", "first"), "node").where("100 * solid >= 75 * n_shingles"), "solid")
-    rows = rows.join(able, "node")
+    rows = rows.drop("top").join(able, "node")
     u, v = rows.alias("u"), rows.alias("v")
-    low = F.least("u.solid", "v.solid")
+    low = F.when(F.col("u.hub") == F.col("v.hub"), F.least("u.inner", "v.inner") + F.least("u.outer", "v.outer")).otherwise(F.least("u.solid", "v.solid"))
     meets = (F.col("u.key") == F.col("v.key")) & (F.col("u.node") < F.col("v.node")) & (F.col("u.component") != F.col("v.component"))
     bound = 100 * low >= 75 * (F.col("u.n_shingles") + F.col("v.n_shingles") - low)
     # A pair may share many groups; it comes out of the first of them alone.
