@@ -92,8 +92,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     failed = base_failed()
     depleted = (F.col("n_lost_words") > 0) & ((F.col("n_words") - F.col("n_lost_words") < MIN_WORDS) | (100 * F.col("n_lost_words") > LOST * F.col("n_words")))
     return both.withColumn("n_lost_words", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(n_lost)).select(
-        "doc_id", "host", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_lost_words",
-        F.col("gone").alias("lost_lines"), (~failed & ~depleted).alias("kept"))
+        "doc_id", "host", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_lost_words",
+        F.col("gone").alias("lost_lines"))
 
 
 def without_lines(text: Column, gone: Column) -> Column:
