@@ -8,8 +8,8 @@ that passes the base rules (the smallest id), so a passage doesn't vanish with
 its copies.  A document that
 loses too much is depleted and rejected, as is one that fails the base rules.
 
-Limits grow with the host: a line is above them in more than ``least`` documents
-and more than ``share`` percent of the host's documents.
+A line is above the limits in more than ``least`` documents and more than
+``share`` percent of the host's documents, and in more than ``most`` documents however large the host is.
 
 Defined results: no text counts as empty (it fails the base rules); a null host
 is a host of its own; rows that share an id are one document; rows with a null id
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, WORD, ascii_lower, words, written
 
-#: A line is too frequent in more than LEAST documents and more than SHARE percent of the host's.
-LEAST, SHARE = 20, 1
+#: A line is too frequent in more than LEAST documents and more than SHARE percent of the host's, and in more than MOST documents of any host.
+LEAST, SHARE, MOST = 20, 1, 1000
 #: A document is depleted that keeps fewer words than MIN_WORDS or loses more than LOST percent.
 MIN_WORDS, LOST = 50, 50
 #: Base rule: more than this percentage of words in repeated windows of three.
@@ -67,21 +67,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
 
 
-def frequent_lines(counted: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
+def frequent_lines(counted: DataFrame, least: int = LEAST, share: int = SHARE, most: int = MOST) -> DataFrame:
     """Lines above the limits: ``host, h, n_docs, first_doc``."""
     # A row for each line and document, summed on the map side, so that a host or line of any size spreads.
     seen = counted.select("host", "doc_id", (~base_failed()).alias("good"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     once = seen.groupBy("host", "h", "doc_id").agg(F.max("good").alias("good"))
     lines = once.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min(F.when(F.col("good"), F.col("doc_id"))).alias("first_doc")).where(F.col("n_docs") > least)
     hosts = counted.groupBy("host").agg(F.countDistinct("doc_id").alias("host_docs"))
-    over = lines.join(hosts, lines["host"].eqNullSafe(hosts["host"])).where(F.col("n_docs") * 100 > F.col("host_docs") * share)
+    over = lines.join(hosts, lines["host"].eqNullSafe(hosts["host"])).where((F.col("n_docs") * 100 > F.col("host_docs") * share) | (F.col("n_docs") > most))
     return over.select(lines["host"], "h", "n_docs", "first_doc")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST, share: int = SHARE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST, share: int = SHARE, most: int = MOST) -> DataFrame:
     """Base counts, ``base_failed``, ``n_lost_words``, ``lost_lines`` (hashes to remove) and ``kept`` for each row."""
     counted = written(base_counts(docs, id_col, text_col, host_col), "counted")
-    over = written(frequent_lines(counted, least, share), "frequent")
+    over = written(frequent_lines(counted, least, share, most), "frequent")
     # Few documents hold such lines: only their line hashes travel, and only by host and line.
     rows = counted.select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", "l.h", "l.n").distinct()
     hit = rows.join(over.withColumnRenamed("host", "over_host"), F.col("host").eqNullSafe(F.col("over_host")) & (rows["h"] == over["h"])).where(

@@ -88,7 +88,7 @@ l AS MATERIALIZED (
 b AS MATERIALIZED (SELECT doc_id, len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS failed FROM w LEFT JOIN r USING (doc_id)),
 f AS (
   SELECT source, norm, min(doc_id) FILTER (NOT failed) AS first_doc FROM l JOIN b USING (doc_id) JOIN (SELECT source, count(DISTINCT doc_id) AS k FROM d GROUP BY 1) h USING (source)
-  GROUP BY source, norm, k HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) * 100 > k),
+  GROUP BY source, norm, k HAVING count(DISTINCT doc_id) > 20 AND (count(DISTINCT doc_id) * 100 > k OR count(DISTINCT doc_id) > 1000)),
 x AS (SELECT l.doc_id, sum(l.n) AS n FROM l JOIN f ON f.source = l.source AND f.norm = l.norm AND f.first_doc IS DISTINCT FROM l.doc_id GROUP BY 1),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1),
 c AS (

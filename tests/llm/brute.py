@@ -62,7 +62,7 @@ def repeated_words(text):
     return len({p for i in range(len(w) - 2) if grams[tuple(w[i:i + 3])] > 1 for p in range(i, i + 3)})
 
 
-def quality(docs, least=20, share=1):
+def quality(docs, least=20, share=1, most=1000):
     """{(doc_id, host): kept} of rows ``(doc_id, text, host)``."""
     norm = lambda x: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").translate(UPPER))
     failed = {(i, h): len(words(t)) < 50 or 100 * repeated_words(t) > 50 * len(words(t)) for i, t, h in docs}
@@ -73,7 +73,7 @@ def quality(docs, least=20, share=1):
             if words(x):
                 seen[h, norm(x)].add(i)
     first = {key: min((i for i in ids if not failed[i, key[0]]), default=None) for key, ids in seen.items()
-             if len(ids) > least and 100 * len(ids) > share * len(hosts[key[0]])}
+             if len(ids) > least and (100 * len(ids) > share * len(hosts[key[0]]) or len(ids) > most)}
     out = {}
     for i, t, h in docs:
         n = len(words(t))
