@@ -92,6 +92,7 @@ def check_track_ids(obs: DataFrame) -> DataFrame:
                  _duplicates(obs, [*FRAME, "track_id"], "duplicate_track_in_frame"))
 
 
+# Names of stored metadata and settings.
 VIDEO_FIELDS = ("width", "height", "fps", "frame_count", "duration_s", "time_base", "codec")
 SHUTTLE_SETTINGS = ("confidence_threshold", "heatmap_threshold", "background_samples")
 PLAYER_SETTINGS = ("players_mode", "pose_image_size", "player_confidence", "keypoint_confidence", "pose_nms_iou",
@@ -99,13 +100,21 @@ PLAYER_SETTINGS = ("players_mode", "pose_image_size", "player_confidence", "keyp
 
 
 def _check_metadata(stored: DataFrame, clips: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Stored run metadata against the clip table; only fields known to the clip table are compared."""
-    fields = tuple(f for f in ("source_digest", *fields) if f in clips.columns)
-    a, b = stored.alias("a"), clips.alias("b")
-    rows = a.join(b, F.col(f"a.{CLIP}") == F.col(f"b.{CLIP}"))
-    broken = F.array_compact(F.array(*[
-        F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f"{f}_mismatch")) for f in fields]))
-    return rows.select(F.col(f"a.{CLIP}").alias(CLIP), F.explode(broken).alias("rule"), F.lit("").alias("key"))
+    """Stored run metadata against what is known of the clips now.
+
+    Every field has to be stored, known and equal.  A clip without a stored run, a stored run without a clip, and a field
+    that either table lacks or leaves empty are violations: incomplete provenance can't be reused.
+    """
+    fields = ("source_digest", *fields)
+    of = lambda df, name: df.select(CLIP, F.struct(F.lit(True).alias("there"), *[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields]).alias(name))
+    rows = of(stored, "a").join(of(clips, "b"), CLIP, "full")
+    issue = lambda rule, key="": F.struct(F.lit(rule).alias("rule"), F.lit(key).alias("key"))
+    # A field that a table lacks is null there, so it needs no common type to be compared.
+    each = [F.when(F.col(f"a.{f}").isNull(), issue("field_not_stored", f)).when(F.col(f"b.{f}").isNull(), issue("field_not_known", f)).when(
+        ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}").cast(stored.schema[f].dataType) if f in stored.columns else F.col(f"b.{f}").cast("string")), issue(f"{f}_mismatch")) for f in fields]
+    broken = (F.when(F.col("a.there").isNull(), F.array(issue("run_not_stored"))).when(F.col("b.there").isNull(), F.array(issue("clip_not_known")))
+              .otherwise(F.array_compact(F.array(*each))))
+    return rows.select(CLIP, F.explode(broken).alias("x")).select(CLIP, "x.rule", "x.key")
 
 
 def _check_against_frames(rows: DataFrame, frames: DataFrame, tolerance: float) -> DataFrame:
@@ -126,8 +135,9 @@ def check_shuttle_reuse(shuttle: DataFrame, frames: DataFrame, stored: DataFrame
                  _report(shuttle, [("raw_unpaired", raw[0].isNull() != raw[1].isNull()), ("raw_not_finite", odd)]))
 
 
-def check_player_reuse(obs: DataFrame, records: DataFrame, frames: DataFrame, stored: DataFrame, clips: DataFrame) -> DataFrame:
-    """Whether stored player observations may stand in for new ones.
+def check_player_reuse(obs: DataFrame, records: DataFrame, frames: DataFrame, stored: DataFrame, clips: DataFrame,
+                       regions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Whether stored player observations may stand in for new ones; ``regions`` are those of the stored runs and of now.
 
     Adds to the shuttle rules: counts, flags, boxes, scores, ordered pose points
     that agree with the threshold, and a midpoint that is the two ankles' own.
@@ -163,8 +173,9 @@ def check_player_reuse(obs: DataFrame, records: DataFrame, frames: DataFrame, st
         ("expected_count_wrong", F.col("expected_player_count") != F.col("__e")),
         ("mismatch_flag_wrong", F.col("count_mismatch") != (n != F.col("__e"))),
         ("flags_missing", F.col("flags").isNull() | F.exists("flags", lambda f: f.isNull()))])
+    same = [check_roi_equal(*regions)] if regions else []
     return union(_check_metadata(stored, clips, VIDEO_FIELDS + PLAYER_SETTINGS), _check_against_frames(records, frames, 1e-5),
-                 _duplicates(obs, [*FRAME, "track_id"], "duplicate_track_in_frame"), player, counts)
+                 _duplicates(obs, [*FRAME, "track_id"], "duplicate_track_in_frame"), player, counts, *same)
 
 
 def check_roi_equal(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -172,7 +183,7 @@ def check_roi_equal(stored: DataFrame, current: DataFrame) -> DataFrame:
     a, b = stored.select(CLIP, F.col("points").alias("a")), current.select(CLIP, F.col("points").alias("b"))
     same = (F.size("a") == F.size("b")) & F.forall(F.zip_with("a", "b", lambda p, q: (
         F.abs(p["x"] - q["x"]) <= 1e-6) & (F.abs(p["y"] - q["y"]) <= 1e-6)), lambda v: v)
-    return a.join(b, CLIP, "right").where(~F.coalesce(same, F.lit(False))).select(
+    return a.join(b, CLIP, "full").where(~F.coalesce(same, F.lit(False))).select(
         CLIP, F.lit("roi_mismatch").alias("rule"), F.lit("").alias("key"))
 
 

@@ -657,11 +657,27 @@ def heatmap_checks(t):
     return checks.check_heatmap(cells.withColumn("seconds", F.when(F.col("cell_row") % 9 == 0, -F.col("seconds")).otherwise(F.col("seconds"))))
 
 
+def provenance(t):
+    """What is known of each clip: the file's properties and the settings in force."""
+    return t.clips.withColumns({
+        "duration_s": F.col("frame_count") / 25.0, "time_base": F.lit("1/90000"), "codec": F.lit("h264"), "confidence_threshold": F.lit(0.5), "heatmap_threshold": F.lit(0.3),
+        "background_samples": F.lit(64), "players_mode": F.col("mode"), "pose_image_size": F.lit(1280), "player_confidence": F.lit(0.25), "keypoint_confidence": F.lit(0.3),
+        "pose_nms_iou": F.lit(0.7), "tracker_settings": F.lit("buffer=30")})
+
+
+def stored_runs(t):
+    """The same as runs were stored: some clips have none, one run has no clip, some fields are gone or differ."""
+    c = F.col("clip_id")
+    runs_ = provenance(t).where("clip_id % 8 <> 7").withColumns({
+        "fps": F.when(c % 9 == 0, F.col("fps") + 1).otherwise(F.col("fps")), "source_digest": F.when(c % 10 == 0, "other").otherwise(F.col("source_digest")),
+        "codec": F.when(c % 6 == 1, F.lit(None)).otherwise(F.col("codec")), "duration_s": F.when(c % 5 == 2, F.col("duration_s") + 1).otherwise(F.col("duration_s")),
+        "heatmap_threshold": F.when(c % 7 == 1, F.lit(0.4)).otherwise(F.col("heatmap_threshold")), "pose_nms_iou": F.when(c % 7 == 2, F.lit(0.5)).otherwise(F.col("pose_nms_iou"))})
+    return runs_.drop("time_base").unionByName(runs_.where("clip_id = 0").drop("time_base").withColumn("clip_id", F.lit(-1).cast(runs_.schema["clip_id"].dataType)))
+
+
 @query
 def shuttle_reuse_checks(t):
-    stored = t.clips.withColumns({"fps": F.when(F.col("clip_id") % 9 == 0, F.col("fps") + 1).otherwise(F.col("fps")),
-                                  "source_digest": F.when(F.col("clip_id") % 10 == 0, "other").otherwise(F.col("source_digest"))})
-    return checks.check_shuttle_reuse(timeline.with_raw(t.dirty_shuttle), t.frames, stored, t.clips)
+    return checks.check_shuttle_reuse(timeline.with_raw(t.dirty_shuttle), t.frames, stored_runs(t), provenance(t))
 
 
 @query
@@ -669,7 +685,9 @@ def player_reuse_checks(t):
     damaged = t.players.withColumns({
         "confidence": F.when(F.col("frame_index") % 31 == 0, F.lit(1.5)).otherwise(F.col("confidence")),
         "ankle_midpoint": F.when(F.col("frame_index") % 29 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.col("ankle_midpoint"))})
-    return checks.check_player_reuse(damaged, t.records, t.frames, t.clips, t.clips)
+    moved = t.regions.where("clip_id % 11 <> 3").withColumn("points", F.transform("points", lambda p: F.struct(
+        (p["x"] + F.when(F.col("clip_id") % 6 == 5, 1e-3).otherwise(1e-9)).alias("x"), p["y"].alias("y"))))
+    return checks.check_player_reuse(damaged, t.records, t.frames, stored_runs(t), provenance(t), (moved, t.regions))
 
 
 @query

@@ -488,14 +488,26 @@ ORACLES["binding_checks"] = violations(f"{cte('fx_clips')}, q AS (SELECT clip_id
     ("review_for_other_source", "r <> c"), ("calibration_for_other_source", "k <> c"), ("review_and_calibration_differ", "r <> k")], "q", "''")
 ORACLES["heatmap_checks"] = f"{OCC} SELECT clip_id, 'seconds_invalid' AS rule, concat(track_id, ':', cell_row, ':', cell_col) AS key FROM hm WHERE cell_row % 9 = 0 AND seconds > 0"
 _FULL = f"j AS (SELECT coalesce(d.clip_id, f.clip_id) AS clip_id, coalesce(d.frame_index, f.frame_index) AS frame_index, d.timestamp_s AS ta, f.timestamp_s AS tb FROM fx_dirty_shuttle d FULL JOIN fx_frames f ON f.clip_id = d.clip_id AND f.frame_index = d.frame_index)"
+_CLIP_IDS = "(SELECT DISTINCT clip_id FROM fx_frames)"
+
+
+def _provenance(setting: str, rest: int) -> str:
+    """Rules broken by the stored runs: which clips have none, which fields are gone or differ."""
+    rules = [("fps_mismatch", "", "clip_id % 9 = 0"), ("source_digest_mismatch", "", "clip_id % 10 = 0"), ("field_not_stored", "codec", "clip_id % 6 = 1"), ("duration_s_mismatch", "", "clip_id % 5 = 2"),
+             ("field_not_stored", "time_base", "true"), (setting, "", f"clip_id % 7 = {rest}")]
+    return (f"SELECT clip_id, 'run_not_stored', '' FROM {_CLIP_IDS} z WHERE clip_id % 8 = 7 UNION ALL SELECT -1, 'clip_not_known', '' WHERE EXISTS (SELECT 1 FROM fx_frames WHERE clip_id = 0) UNION ALL "
+            + " UNION ALL ".join(f"SELECT clip_id, '{r}', '{k}' FROM {_CLIP_IDS} z WHERE clip_id % 8 <> 7 AND {c}" for r, k, c in rules))
+
+
 ORACLES["shuttle_reuse_checks"] = violations(f"{cte('fx_frames', 'fx_shuttle', 'fx_dirty_shuttle')}, {_FULL}", [
     ("frame_not_stored", "ta IS NULL"), ("frame_not_in_source", "tb IS NULL"), ("time_differs_from_source", "abs(ta - tb) > 1e-5")], "j", _KEY) + f""" UNION ALL
  SELECT clip_id, 'raw_unpaired', {_KEY} FROM fx_dirty_shuttle WHERE (x IS NULL) <> (y IS NULL) UNION ALL
- SELECT DISTINCT clip_id, 'fps_mismatch', '' FROM fx_frames WHERE clip_id % 9 = 0 UNION ALL SELECT DISTINCT clip_id, 'source_digest_mismatch', '' FROM fx_frames WHERE clip_id % 10 = 0"""
+ {_provenance("heatmap_threshold_mismatch", 1)}"""
 ORACLES["player_reuse_checks"] = f"""{POSE}, pd AS (SELECT *, frame_index % 29 = 0 AS bad_mid, concat(frame_index, ':', track_id) AS key FROM pw)
  SELECT clip_id, 'score_invalid' AS rule, key FROM pd WHERE frame_index % 31 = 0 UNION ALL SELECT clip_id, 'box_invalid', key FROM pd WHERE x2 <= x1 OR y2 <= y1 UNION ALL
  SELECT clip_id, 'midpoint_disagrees', key FROM pd WHERE bad_mid AND mx IS NOT NULL AND (abs(mx - 1) > 1e-5 OR abs(my - 2) > 1e-5) UNION ALL
- SELECT clip_id, 'midpoint_invented', key FROM pd WHERE bad_mid AND mx IS NULL"""
+ SELECT clip_id, 'midpoint_invented', key FROM pd WHERE bad_mid AND mx IS NULL UNION ALL
+ SELECT clip_id, 'roi_mismatch', '' FROM fx_rois WHERE clip_id % 11 = 3 OR clip_id % 6 = 5 UNION ALL {_provenance("pose_nms_iou_mismatch", 2)}"""
 ORACLES["overlay_checks"] = f"""{POSE.replace(cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois'), cte('fx_frames', 'fx_boxes', 'fx_keypoints', 'fx_clips', 'fx_rois', 'fx_shuttle', 'fx_dirty_shuttle'))}, {_FULL}
  SELECT clip_id, 'frame_not_stored' AS rule, {_KEY} AS key FROM j WHERE tb IS NULL UNION ALL SELECT clip_id, 'frame_not_in_source', {_KEY} FROM j WHERE ta IS NULL UNION ALL
  SELECT clip_id, 'time_differs_from_source', {_KEY} FROM j WHERE abs(ta - tb) > 1e-5 UNION ALL SELECT clip_id, 'motion_row_differs', {_KEY} FROM j WHERE ta IS NULL OR tb IS NULL OR abs(ta - tb) > 1e-5 UNION ALL
