@@ -417,8 +417,9 @@ ORACLES["map_trails"] = f"""{cte('fx_positions')}, s AS (SELECT *, frame_index -
 ORACLES["shuttle_trails"] = f"""{FILLED}, s AS (SELECT *, frame_index - row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) AS g FROM filled WHERE source = 'detected')
  SELECT clip_id, {i('frame_index')}, {i('count(*) OVER w', 'points')}, {r('first_value(x) OVER w', 'oldest_x')}, {r('first_value(y) OVER w', 'oldest_y')}
  FROM s WINDOW w AS (PARTITION BY clip_id, g ORDER BY frame_index ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""
-_SEGS = """, sgm AS (SELECT b.clip_id, b.track_id, b.frame_index, a.x_m AS x0, a.y_m AS y0, b.x_m AS x1, b.y_m AS y1 FROM fx_positions a JOIN fx_positions b ON a.clip_id = b.clip_id AND a.track_id = b.track_id
-  AND b.frame_index = a.frame_index + 1 WHERE a.x_m BETWEEN 0 AND 6.1 AND a.y_m BETWEEN 0 AND 13.4 AND b.x_m BETWEEN 0 AND 6.1 AND b.y_m BETWEEN 0 AND 13.4)"""
+_SEGS = """, sgm AS MATERIALIZED (SELECT clip_id, track_id, frame_index, x0, y0, x_m AS x1, y_m AS y1 FROM (SELECT *, lag(frame_index) OVER w AS f0, lag(x_m) OVER w AS x0, lag(y_m) OVER w AS y0
+  FROM (SELECT * FROM fx_positions WHERE x_m IS NOT NULL AND y_m IS NOT NULL) q WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame_index)) l
+  WHERE f0 = frame_index - 1 AND x0 BETWEEN 0 AND 6.1 AND y0 BETWEEN 0 AND 13.4 AND x_m BETWEEN 0 AND 6.1 AND y_m BETWEEN 0 AND 13.4)"""
 _SC = f"{r('x0', 'x0_m')}, {r('y0', 'y0_m')}, {r('x1', 'x1_m')}, {r('y1', 'y1_m')}"
 ORACLES["review_trail"] = f"{cte('fx_positions')}{_SEGS} SELECT {_K}, {_SC} FROM sgm"
 ORACLES["review_trail_at_events"] = f"""{cte('fx_positions', 'fx_events')}{_SEGS} SELECT {_K.replace('clip_id', 's.clip_id').replace('frame_index AS BIGINT) AS frame_index', 's.frame_index AS BIGINT) AS frame_index')}, {_SC}, {i('e.frame_index', 'at_frame')}
