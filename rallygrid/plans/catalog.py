@@ -766,6 +766,25 @@ def insight_documents(t):
     return _report_parts(t)[1]
 
 
+@query
+def insight_document_parts(t):
+    """What a reader of the documents finds in them, counted and summed."""
+    docs = fixtures.stored(t.spark, t.sf_dir, "insight_documents", lambda: _report_parts(t)[1])
+    shape = ("schema_version string, mode string, coordinate_convention string, players array<struct<track_id:bigint,zones:map<string,double>,heatmap:struct<values_s:array<array<double>>,grid_shape:array<int>>,"
+             "quality_flags:map<string,bigint>>>, reviewed_events array<struct<positions:array<struct<track_id:bigint>>>>, review struct<identity_map:array<struct<track_id:bigint>>,rallies:array<struct<rally_id:string>>>, "
+             "quality struct<maximum_interval_s:double,policy:struct<max_fill_frames:int>>, limitations array<string>")
+    d = docs.select("clip_id", F.from_json("document", shape).alias("d")).select("clip_id", "d.*")
+    total = lambda c, start=0.0: F.aggregate(c, F.lit(start), lambda s, v: s + v)
+    over = lambda c, f: F.aggregate(F.coalesce(F.transform(c, f), F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + v)
+    size = lambda c: F.greatest(F.lit(0), F.size(c)).cast("long")
+    return d.select("clip_id", "mode", size("players").alias("players"), over("players", lambda p: total(F.map_values(p["zones"]))).alias("zone_seconds"),
+                    over("players", lambda p: F.size(p["zones"]).cast("double")).cast("long").alias("zones"), over("players", lambda p: total(F.flatten(p["heatmap"]["values_s"]))).alias("heat_seconds"),
+                    over("players", lambda p: F.size(F.flatten(p["heatmap"]["values_s"])).cast("double")).cast("long").alias("cells"),
+                    over("players", lambda p: total(F.transform(F.map_values(p["quality_flags"]), lambda v: v.cast("double")))).cast("long").alias("flagged"),
+                    size("reviewed_events").alias("events"), over("reviewed_events", lambda e: F.size(e["positions"]).cast("double")).cast("long").alias("event_positions"),
+                    size("review.identity_map").alias("identified"), size("review.rallies").alias("reviewed_rallies"), "quality.maximum_interval_s", F.size("limitations").cast("long").alias("limitations"))
+
+
 @query
 def run_summaries(t):
     s = reports.run_summaries(t.clips, summaries.tracking_summary(t.filled), pose.track_summary(t.records, t.players),
@@ -787,5 +806,9 @@ def _report_parts(t):
     warn = summaries.warnings(t.clips, q, frag, t.identity, t.rallies, shuttles)
     spans = review.rally_spans(t.rallies, t.frames)
     lines = reports.report_lines(t.clips, frag, motion.top_zones(zones.withColumn("seconds", F.round("seconds", 9))), shuttles, spans, pairs, spacing, rec, warn)
-    docs = reports.insight_documents(t.clips, q, frag, zones, review.identified_players(frag), shuttles, spans, pairs, spacing, rec, warn)
+    occ = motion.occupancy(m)
+    docs = reports.insight_documents(
+        t.clips, q, frag, zones, review.identified_players(frag), shuttles, spans, pairs, spacing, rec, warn, heat=motion.dense_heatmap(motion.heatmap(occ), frag),
+        flags=motion.flag_counts(m), events=review.nested_events(review.reviewed_events(t.events, m)), caps=timeline.gap_caps(t.frames),
+        review={"identity": t.identity, "rallies": t.rallies, "events": t.events, "targets": t.targets})
     return lines, docs

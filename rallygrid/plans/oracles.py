@@ -564,6 +564,17 @@ ORACLES["run_summaries"] = f"""{QUALITY}{FILLED[len(cte('fx_frames', 'fx_shuttle
  SELECT clip_id, 'complete' AS status, {i('d', 'detected')}, {i('t', 'unique_track_ids')}, {i('a', 'positions_available')}, {i('v', 'valid_player_positions')}
  FROM qu JOIN td USING (clip_id) JOIN tt USING (clip_id) JOIN ta USING (clip_id)"""
 
+_DOC = OCC.replace(cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations'), cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations', 'fx_rallies', 'fx_events', 'fx_clips'))
+ORACLES["insight_document_parts"] = f"""{_DOC},
+ d1 AS (SELECT clip_id, count(DISTINCT track_id) AS n FROM mo GROUP BY 1), d2 AS (SELECT clip_id, sum(seconds) AS s, count(*) AS n FROM zs GROUP BY 1), d3 AS (SELECT clip_id, sum(seconds) AS s FROM hm GROUP BY 1),
+ d4 AS (SELECT clip_id, sum(rows) AS n FROM ({ORACLES["player_flag_counts"]}) f GROUP BY 1), ev AS (SELECT DISTINCT * FROM fx_events), d5 AS (SELECT clip_id, count(*) AS n FROM ev GROUP BY 1),
+ d6 AS (SELECT ev.clip_id, count(*) AS n FROM ev JOIN mo ON mo.clip_id = ev.clip_id AND mo.frame_index = ev.frame_index AND (ev.player_label IS NULL OR ev.player_label = mo.player_label) GROUP BY 1),
+ d7 AS (SELECT clip_id, count(*) AS n FROM fx_identity GROUP BY 1), d8 AS (SELECT clip_id, count(*) AS n FROM fx_rallies GROUP BY 1), d9 AS (SELECT clip_id, gap_cap_s FROM ({ORACLES["gap_caps"]}) g)
+ SELECT c.clip_id, c.mode, {i('coalesce(d1.n, 0)', 'players')}, {r('coalesce(d2.s, 0)', 'zone_seconds')}, {i('coalesce(d2.n, 0)', 'zones')}, {r('coalesce(d3.s, 0)', 'heat_seconds')}, {i('coalesce(d1.n, 0) * 1296', 'cells')},
+ {i('coalesce(d4.n, 0)', 'flagged')}, {i('coalesce(d5.n, 0)', 'events')}, {i('coalesce(d6.n, 0)', 'event_positions')}, {i('coalesce(d7.n, 0)', 'identified')}, {i('coalesce(d8.n, 0)', 'reviewed_rallies')},
+ d9.gap_cap_s AS maximum_interval_s, CAST(8 AS BIGINT) AS limitations
+ FROM fx_clips c {" ".join(f"LEFT JOIN d{k} ON d{k}.clip_id = c.clip_id" for k in range(1, 10))}"""
+
 # The same edits as the query's, in place of the tables they change.
 _EDITS = {"fx_identity": "SELECT clip_id, track_id, CASE WHEN clip_id % 25 = 0 THEN concat('Q', CAST(track_id AS VARCHAR)) ELSE player_label END AS player_label, side, team",
           "fx_rallies": "SELECT clip_id, rally_id, start_frame, CASE WHEN clip_id % 20 = 2 THEN end_frame - 4 ELSE end_frame END AS end_frame"}

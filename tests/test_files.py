@@ -156,7 +156,7 @@ def test_reports(spark, tmp_path):
     reports.write_report(lines, str(tmp_path / "report"))
     assert os.path.isdir(tmp_path / "report/clip_id=1")
     doc = json.loads(docs.where("clip_id = 1").first().document)
-    assert doc["shuttle"]["physical_speed_km_h"] is None and all(isinstance(p["zones"], list) for p in doc["players"]) and {p["track_id"] for p in doc["players"]} == {1, 2}
+    assert doc["shuttle"]["physical_speed_km_h"] is None and all(isinstance(p["zones"], dict) and len(p["heatmap"]["values_s"]) == 54 and isinstance(p["quality_flags"], dict) for p in doc["players"]) and {p["track_id"] for p in doc["players"]} == {1, 2}
 
 
 def test_quarantine(spark):
