@@ -761,6 +761,36 @@ def recomputed_summary(t):
     return players.unionByName(rallies)
 
 
+@query
+def reprojected_players(t):
+    """Floor results forgotten and worked out again."""
+    p = court.project_players(pose.strip_derived(court.project_players(t.anchored, t.cameras)), t.cameras)
+    return p.select(*FRAME, "x_m", "y_m", "in_singles_court", "in_doubles_court", "court_flags")
+
+
+@query
+def shuttle_frame_flags(t):
+    flagged = t.frames.where("frame_index % 5 <> 4").select(*FRAME, F.array_compact(F.array("cut_flag")).alias("flags"))
+    return shuttle.attach_frame_flags(t.shuttle, flagged).select(*FRAME, "flags")
+
+
+@query
+def nested_events(t):
+    """Each event with its positions as one list, written as track, label and validity."""
+    events = review.nested_events(review.reviewed_events(t.events, t.stored_motion))
+    text = F.transform("positions", lambda p: F.concat_ws(":", p["track_id"].cast("string"), F.coalesce(p["position_label"], F.lit("-")), p["valid_position"].cast("string")))
+    return events.select(*FRAME, "kind", "player_label", text.alias("positions"))
+
+
+@query
+def court_positions_nested(t):
+    """Frames with their positions as one list, written as track and micrometres; missing ones stay, as do empty frames."""
+    placed = court.project_players(t.anchored, t.cameras).where("frame_index % 6 <> 5")
+    nested = writers.court_positions_nested(t.frames.select(*FRAME), placed)
+    micro = lambda v: F.coalesce(F.round(v * 1000000).cast("long").cast("string"), F.lit("-"))
+    return nested.select(*FRAME, F.transform("players", lambda p: F.concat_ws(":", p["track_id"].cast("string"), micro(p["x_m"]), micro(p["y_m"]))).alias("players"))
+
+
 @query
 def insight_documents(t):
     return _report_parts(t)[1]

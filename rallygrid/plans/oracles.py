@@ -564,6 +564,14 @@ ORACLES["run_summaries"] = f"""{QUALITY}{FILLED[len(cte('fx_frames', 'fx_shuttle
  SELECT clip_id, 'complete' AS status, {i('d', 'detected')}, {i('t', 'unique_track_ids')}, {i('a', 'positions_available')}, {i('v', 'valid_player_positions')}
  FROM qu JOIN td USING (clip_id) JOIN tt USING (clip_id) JOIN ta USING (clip_id)"""
 
+ORACLES["reprojected_players"] = ORACLES["projected_players"]
+ORACLES["shuttle_frame_flags"] = f"""{cte('fx_frames', 'fx_shuttle')} SELECT s.clip_id, {i('s.frame_index')}, coalesce(CASE WHEN s.frame_index % 5 <> 4 THEN f.cut_flag END, '') AS flags
+ FROM fx_shuttle s JOIN fx_frames f ON f.clip_id = s.clip_id AND f.frame_index = s.frame_index"""
+ORACLES["nested_events"] = f"""{SPANS} SELECT e.clip_id, {i('e.frame_index')}, kind, e.player_label,
+ coalesce(string_agg(concat_ws(':', m.track_id, coalesce(m.player_label, '-'), CAST(m.valid AS VARCHAR)), ';' ORDER BY m.track_id) FILTER (m.track_id IS NOT NULL), '') AS positions
+ FROM fx_events e LEFT JOIN mo m ON m.clip_id = e.clip_id AND m.frame_index = e.frame_index AND (e.player_label IS NULL OR e.player_label = m.player_label) GROUP BY ALL"""
+_UM = "coalesce(CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR), '-')"
+ORACLES["court_positions_nested"] = f"""{PROJ} SELECT clip_id, {i('frame_index')}, CASE WHEN frame_index % 6 = 5 THEN '' ELSE concat_ws(':', '1', {_UM.format(c='x_m')}, {_UM.format(c='y_m')}) END AS players FROM pp"""
 _DOC = OCC.replace(cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations'), cte('fx_frames', 'fx_positions', 'fx_identity', 'fx_calibrations', 'fx_rallies', 'fx_events', 'fx_clips'))
 ORACLES["insight_document_parts"] = f"""{_DOC},
  d1 AS (SELECT clip_id, count(DISTINCT track_id) AS n FROM mo GROUP BY 1), d2 AS (SELECT clip_id, sum(seconds) AS s, count(*) AS n FROM zs GROUP BY 1), d3 AS (SELECT clip_id, sum(seconds) AS s FROM hm GROUP BY 1),
