@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..policy import KEYPOINTS
 
+# Column names and their order in the exchange format.
 SHUTTLE_COLUMNS = ["clip_id", "frame_index", "timestamp_s", "x", "y", "confidence", "source", "low_confidence", "raw_x", "raw_y", "raw_confidence"]
 PLAYER_MOTION_COLUMNS = ["frame_index", "timestamp_s", "track_id", "player_label", "side", "team", "x_m", "y_m", "valid_position", "smoothed_x_m",
                          "smoothed_y_m", "interval_start_frame", "interval_start_timestamp_s", "interval_duration_s", "distance_m", "speed_m_s",
