@@ -15,8 +15,8 @@ def words(values) -> Column:
 
 
 def flag_set(*when: tuple[Column, str]) -> Column:
-    """Words whose condition holds, in the order given."""
-    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in when]))
+    """Words whose condition holds, in the order given; joined lists, as filtering one is an interpreted lambda."""
+    return F.concat(*[F.when(c, F.array(F.lit(name))).otherwise(empty()) for c, name in when])
 
 
 def or_empty(c: Column) -> Column:

@@ -41,8 +41,8 @@ def with_halo(df: DataFrame, pos: Column, size: float, before: Column | float,
 
 
 def long_groups(df: DataFrame, keys: Sequence[str], pos: Column, size: float) -> DataFrame:
-    """Keys of the groups that reach beyond their first block."""
-    return df.where(pos >= F.lit(size)).select(*keys).distinct()
+    """Keys of the groups with rows outside the first block."""
+    return df.where(block_of(pos, size) != 0).select(*keys).distinct()
 
 
 def carry_over(df: DataFrame, keys: Sequence[str], pos: Column, size: float, last: Column) -> DataFrame:

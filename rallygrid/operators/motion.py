@@ -52,7 +52,7 @@ def player_positions(obs: DataFrame, calibrations: DataFrame | None = None, poli
     keep = [c for c in obs.columns if c not in ("x_m", "y_m", "flags", "method", "manually_reviewed")]
     return obs.select(*keep, x.alias("x_m"), y.alias("y_m"), usable.alias("valid_position"),
                       F.when(usable, zone(x, y)).alias("zone"),
-                      merge(F.array_sort(flags), own).alias("quality_flags"))
+                      merge(F.when(F.size(flags) > 1, F.array_sort(flags)).otherwise(flags), own).alias("quality_flags"))
 
 
 def with_identity(rows: DataFrame, identity: DataFrame) -> DataFrame:
@@ -66,31 +66,44 @@ def _links(rows: DataFrame, policy: Policy, layout: Layout) -> DataFrame:
     reach = F.col("gap_cap_s") * 3 + policy.smoothing_half_window_s + 1e-6
     rows = with_halo(rows, F.col("timestamp_s"), layout.block_s, reach, reach)
     w = Window.partitionBy(*BLOCK).orderBy("frame_index")
-    prev = F.lag(F.struct("frame_index", "timestamp_s", "x_m", "y_m", "valid_position")).over(w)
-    dt = F.col("timestamp_s") - F.col("prev.timestamp_s")
-    dx, dy = F.col("x_m") - F.col("prev.x_m"), F.col("y_m") - F.col("prev.y_m")
+    prev = {f"prev_{c}": F.lag(c).over(w) for c in ("frame_index", "timestamp_s", "x_m", "y_m", "valid_position")}
+    dt = F.col("timestamp_s") - F.col("prev_timestamp_s")
+    dx, dy = F.col("x_m") - F.col("prev_x_m"), F.col("y_m") - F.col("prev_y_m")
     # A stamp that doesn't advance breaks the motion like a gap.
-    gap = (F.col("frame_index") != F.col("prev.frame_index") + 1) | (dt > F.col("gap_cap_s")) | (dt <= 0)
-    after_valid = F.coalesce(F.col("valid_position") & F.col("prev.valid_position"), F.lit(False))
+    gap = (F.col("frame_index") != F.col("prev_frame_index") + 1) | (dt > F.col("gap_cap_s")) | (dt <= 0)
+    after_valid = F.coalesce(F.col("valid_position") & F.col("prev_valid_position"), F.lit(False))
     reason = F.when(after_valid, F.when(gap, "observation_gap").when(
         F.try_divide(F.sqrt(dx * dx + dy * dy), dt) > policy.max_player_speed_m_s, "implausible_position_jump"))
     starts = F.col("valid_position") & (~F.col("after_valid") | F.col("reason").isNotNull())
-    rows = (rows.withColumn("prev", prev)
-                .withColumns({"after_valid": after_valid, "reason": reason, "first_seen": F.col("prev").isNull()})
+    rows = (rows.withColumns(prev)
+                .withColumns({"after_valid": after_valid, "reason": reason, "first_seen": F.col("prev_frame_index").isNull()})
                 .withColumn("starts", starts))
     count = F.sum(F.col("starts").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     # Unusable rows stand alone, so they never join a segment.
     return (rows.withColumn("seg", F.when(F.col("valid_position"), count).otherwise(-1 - F.col("frame_index")))
-                .drop("prev", "after_valid"))
+                .drop(*prev, "after_valid"))
 
 
-def _still_across_blocks(rows: DataFrame, policy: Policy, layout: Layout) -> DataFrame:
+def _beyond_edges(rows: DataFrame, policy: Policy, layout: Layout) -> DataFrame | None:
+    """What lies beyond a block's edges, per (track, block): validity of the row before it and resting points.
+
+    Only tracks with rows outside their first block have any.  Their names are written once, so that no work is
+    planned where there are none; ``None`` then.
+    """
+    pos = F.col("timestamp_s")
+    names = materialize(long_groups(rows, TRACK, pos, layout.block_s))
+    if names.isEmpty():
+        return None
+    long_rows = rows.join(names, TRACK, "left_semi")
+    earlier = carry_over(long_rows, TRACK, pos, layout.block_s, F.max_by("valid_position", pos))
+    return earlier.join(_still_across_blocks(long_rows, policy, layout), BLOCK, "full")
+
+
+def _still_across_blocks(long_rows: DataFrame, policy: Policy, layout: Layout) -> DataFrame:
     """Resting point of motionless segments that cross a block edge, per (track, block).
 
-    Only tracks longer than one block matter.  Their rows are read many times
-    below, so they are written once (``spark.checkpoint.dir``).
+    The rows are read many times below, so they are written once (``spark.checkpoint.dir``).
     """
-    long_rows = rows.join(long_groups(rows, TRACK, F.col("timestamp_s"), layout.block_s), TRACK, "left_semi")
     core = (_links(long_rows, policy, layout).where("is_core and valid_position")
             .select(*TRACK, F.col("block").alias("own_block"), "frame_index", "timestamp_s", "x_m", "y_m", "starts"))
     core = materialize(fill_forward(core, TRACK, "timestamp_s", F.when(F.col("starts"), F.col("frame_index")),
@@ -116,16 +129,54 @@ def _still_across_blocks(rows: DataFrame, policy: Policy, layout: Layout) -> Dat
         F.max(F.when(F.col("b1") > F.col("block"), point)).alias("still_tail"))
 
 
-def _local_fit(policy: Policy):
-    """Weighted straight-line fit through the neighbours in time, read off at the row itself."""
-    half, slack = policy.smoothing_half_window_s, policy.window_slack_s
-    t0 = F.col("timestamp_s")
-    near = F.filter("neighbours", lambda p: F.abs(p["t"] - t0) <= half + slack)
-    around = F.array_compact(F.array("p2", "p1", "p0", "n1", "n2"))
-    closest = F.slice(F.array_sort(F.transform(around, lambda p: F.struct(
-        F.abs(p["t"] - t0).alias("d"), p["f"].alias("f"), p["t"].alias("t"), p["x"].alias("x"), p["y"].alias("y")))), 1, 3)
-    picked = F.when(F.size(near) >= 3, near).otherwise(F.transform(closest, lambda p: F.struct(
-        p["t"].alias("t"), p["x"].alias("x"), p["y"].alias("y"), p["f"].alias("f"))))
+def _neighbours(ws) -> dict:
+    """Times of the three rows of the segment on both sides, places of two."""
+    at = {"p": F.lag, "n": F.lead}
+    return {f"{side}{k}_{short}": at[side](c, k).over(ws) for side in at for k in (1, 2, 3)
+            for short, c in (("t", "timestamp_s"), ("x", "x_m"), ("y", "y_m")) if k < 3 or short == "t"}
+
+
+def _read_off(w, s, ss, x, y, sx, sy) -> tuple:
+    """The weighted line's value at offset zero, from its sums."""
+    det = w * ss - s * s
+    return F.try_divide(ss * x - s * sx, det), F.try_divide(ss * y - s * sy, det)
+
+
+def _with_close_fit(r: DataFrame, policy: Policy) -> DataFrame:
+    """Weighted straight-line fit through the neighbours in time, read off at the row itself (``fit_x``, ``fit_y``).
+
+    For rows whose window holds no row beyond the second on either side: plain arithmetic on five rows, in time order.
+    With fewer than three in the window the three nearest count, an earlier row before a later one at the same distance.
+    """
+    half, t0, names = policy.smoothing_half_window_s, F.col("timestamp_s"), ("p2", "p1", "n1", "n2")
+    have = {k: F.col(f"{k}_o").isNotNull() for k in names}
+    away = {k: F.abs(F.col(f"{k}_o")) for k in names}
+    r = r.withColumns({f"{k}_o": F.col(f"{k}_t") - t0 for k in names})
+    r = r.withColumns({f"{k}_in": F.coalesce(away[k] <= half + policy.window_slack_s, F.lit(False)) for k in names})
+    held = sum((F.col(f"{k}_in").cast("int") for k in names), F.lit(1))
+    r = r.withColumns({
+        "few": held < 3,
+        "p2_near": have["p2"] & (~have["n1"] | F.coalesce(away["p2"] <= away["n1"], F.lit(False))),
+        "n2_near": have["n2"] & (~have["p1"] | F.coalesce(away["n2"] < away["p1"], F.lit(False)))})
+    near = {"p2": F.col("p2_near"), "p1": have["p1"] & ~F.col("n2_near"), "n1": have["n1"] & ~F.col("p2_near"), "n2": F.col("n2_near")}
+    weight = lambda k: 1.0 / (1.0 + (F.col(f"{k}_o") / half) * (F.col(f"{k}_o") / half))
+    r = r.withColumns({f"{k}_w": F.when(F.when(F.col("few"), near[k]).otherwise(F.col(f"{k}_in")), weight(k)).otherwise(0.0) for k in names})
+    zero = F.lit(0.0)
+    rows = [(F.col(f"{k}_w"), *[F.coalesce(f"{k}_{c}", zero) for c in "oxy"]) for k in names]
+    rows.insert(2, (F.lit(1.0), zero, F.col("x_m"), F.col("y_m")))
+    made = {"w": lambda w, o, x, y: w, "s": lambda w, o, x, y: w * o, "ss": lambda w, o, x, y: w * o * o, "x": lambda w, o, x, y: w * x,
+            "y": lambda w, o, x, y: w * y, "sx": lambda w, o, x, y: w * o * x, "sy": lambda w, o, x, y: w * o * y}
+    r = r.withColumns({f"sum_{n}": sum((f(*row) for row in rows), zero) for n, f in made.items()})
+    fit = _read_off(*[F.col(f"sum_{n}") for n in made])
+    worked = F.col("valid_position") & (F.col("n") >= 3) & ~F.col("dense")
+    r = r.withColumns({f"fit_{c}": F.when(worked, v) for c, v in zip("xy", fit)})
+    return r.drop(*[f"{k}_{c}" for k in names for c in ("o", "in", "w", "t", "x", "y")], *[f"sum_{n}" for n in made], "few", "p2_near", "n2_near", "p3_t", "n3_t")
+
+
+def _dense_fit(policy: Policy):
+    """The same fit for a row with more neighbours, all of which are in ``neighbours``."""
+    half, t0 = policy.smoothing_half_window_s, F.col("timestamp_s")
+    near = F.filter("neighbours", lambda p: F.abs(p["t"] - t0) <= half + policy.window_slack_s)
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "s", "ss", "x", "y", "sx", "sy")])
 
     def add(a, p):
@@ -136,11 +187,10 @@ def _local_fit(policy: Policy):
                         (a["sx"] + w * o * p["x"]).alias("sx"), (a["sy"] + w * o * p["y"]).alias("sy"))
 
     def read_off(a):
-        det = a["w"] * a["ss"] - a["s"] * a["s"]
-        return F.struct(F.try_divide(a["ss"] * a["x"] - a["s"] * a["sx"], det).alias("x"),
-                        F.try_divide(a["ss"] * a["y"] - a["s"] * a["sy"], det).alias("y"))
+        x, y = _read_off(*[a[n] for n in ("w", "s", "ss", "x", "y", "sx", "sy")])
+        return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.when(F.col("n") >= 3, F.aggregate(picked, zero, add, read_off))
+    return F.aggregate(near, zero, add, read_off)
 
 
 def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = POLICY, layout: Layout = LAYOUT) -> DataFrame:
@@ -150,12 +200,13 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
     pos = F.col("timestamp_s")
     r = _links(rows, policy, layout)
     # What lies beyond a block edge joins on the block keys, where the rows already are; short tracks leave nothing there.
-    earlier = carry_over(rows.select(*core_cols), TRACK, pos, layout.block_s, F.max_by("valid_position", pos))
-    still = _still_across_blocks(rows.select(*core_cols), policy, layout)
-    r = r.join(earlier.join(still, BLOCK, "full"), BLOCK, "left")
-    r = r.withColumn("reason", F.when(
-        F.col("is_core") & F.col("first_seen") & F.col("valid_position") & F.coalesce("carried", F.lit(False)),
-        "observation_gap").otherwise(F.col("reason")))
+    beyond = _beyond_edges(rows.select(*core_cols), policy, layout)
+    if beyond is None:
+        r = r.withColumns({c: F.lit(None).cast("struct<mx:double,my:double>") for c in ("still_head", "still_tail")})
+    else:
+        r = r.join(beyond, BLOCK, "left").withColumn("reason", F.when(
+            F.col("is_core") & F.col("first_seen") & F.col("valid_position") & F.coalesce("carried", F.lit(False)),
+            "observation_gap").otherwise(F.col("reason"))).drop("carried")
 
     # One order serves every window below, so the rows are sorted once per segment.
     seg_by = ", ".join([*BLOCK, "seg"])
@@ -170,33 +221,34 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
         & (F.max("y_m").over(whole) - F.min("y_m").over(whole) <= spread),
         "before": F.max(own < F.col("block")).over(whole),
         "after": F.max(own > F.col("block")).over(whole),
-        "inside": F.max("is_core").over(whole)})
+        "inside": F.max("is_core").over(whole), **_neighbours(ws)})
+    slack = policy.smoothing_half_window_s + policy.window_slack_s
+    beside = [F.coalesce(gap <= slack, F.lit(False)) for gap in (pos - F.col("p3_t"), F.col("n3_t") - pos)]
+    r = r.withColumn("dense", F.col("valid_position") & (beside[0] | beside[1]))
+    r = _with_close_fit(r, policy)
     r = r.withColumns({m: F.percentile(F.when(F.col("maybe"), F.col(c)), F.lit(0.5)).over(whole)
-                       for m, c in (("mx", "x_m"), ("my", "y_m"))})
+                       for m, c in (("mx", "x_m"), ("my", "y_m"))} | {"crowded": F.max("dense").over(whole)})
     dx, dy = F.col("x_m") - F.col("mx"), F.col("y_m") - F.col("my")
     radius = F.max(F.sqrt(dx * dx + dy * dy)).over(whole)
     rest = (F.when(F.col("inside") & F.col("before"), F.col("still_head"))
              .when(F.col("inside") & F.col("after"), F.col("still_tail"))
              .when(F.col("radius") * 2 <= policy.stationary_extent_m, F.struct("mx", "my")))
-    r = r.withColumn("radius", radius).withColumn("rest", rest)
-
-    # The fit is only worked out where the athlete moved.
-    point = F.struct(F.col("timestamp_s").alias("t"), F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.col("frame_index").alias("f"))
+    # Lists are only made in segments with more rows in a window than the plain fit takes.
+    point = F.struct(F.col("timestamp_s").alias("t"), F.col("x_m").alias("x"), F.col("y_m").alias("y"))
     reach = policy.smoothing_half_window_s + 1e-6
-    r = (r.withColumn("p0", F.when(F.col("valid_position") & F.col("rest").isNull(), point))
-          .withColumns({"neighbours": F.expr(
-              f"collect_list(p0) over (partition by {seg_by} order by timestamp_s "
-              f"range between {reach!r}D preceding and {reach!r}D following)"),
-              "p1": F.lag("p0", 1).over(ws), "p2": F.lag("p0", 2).over(ws),
-              "n1": F.lead("p0", 1).over(ws), "n2": F.lead("p0", 2).over(ws)})
-          .withColumn("fit", F.when(F.col("p0").isNotNull(), _local_fit(policy)))
-          .drop("p0", "neighbours", "p1", "p2", "n1", "n2"))
+    r = r.withColumn("p0", F.when(F.col("crowded"), point)).withColumns({"radius": radius, "neighbours": F.expr(
+        f"collect_list(p0) over (partition by {seg_by} order by timestamp_s range between {reach!r}D preceding and {reach!r}D following)")})
+    # The fit only counts where the athlete moved.
+    r = (r.withColumn("rest", rest)
+          .withColumn("fit", F.when(F.col("dense") & F.col("rest").isNull(), _dense_fit(policy)))
+          .drop("p0", "neighbours", "crowded", "dense"))
     r = r.withColumns({f"smoothed_{axis}_m": F.when(F.col("valid_position"), F.coalesce(
-        F.col(f"rest.{m}"), F.col(f"fit.{axis}"), F.col(f"{axis}_m"))) for axis, m in (("x", "mx"), ("y", "my"))})
+        F.col(f"rest.{m}"), F.col(f"fit.{axis}"), F.col(f"fit_{axis}"), F.col(f"{axis}_m"))) for axis, m in (("x", "mx"), ("y", "my"))})
 
-    r = r.withColumn("back", F.lag(F.struct("frame_index", "timestamp_s", "x_m", "y_m", "smoothed_x_m", "smoothed_y_m")).over(ws))
-    dt = pos - F.col("back.timestamp_s")
-    sx, sy = F.col("smoothed_x_m") - F.col("back.smoothed_x_m"), F.col("smoothed_y_m") - F.col("back.smoothed_y_m")
+    back = {f"back_{c}": F.lag(c).over(ws) for c in ("frame_index", "timestamp_s", "x_m", "y_m", "smoothed_x_m", "smoothed_y_m")}
+    r = r.withColumns(back)
+    dt = pos - F.col("back_timestamp_s")
+    sx, sy = F.col("smoothed_x_m") - F.col("back_smoothed_x_m"), F.col("smoothed_y_m") - F.col("back_smoothed_y_m")
     r = r.where("is_core").withColumns({"dt": F.when(F.col("valid_position"), dt), "moved": F.sqrt(sx * sx + sy * sy)})
     fast = F.try_divide("moved", "dt") > policy.max_player_speed_m_s
     ok = F.col("dt").isNotNull() & ~fast
@@ -210,11 +262,11 @@ def player_motion(positions: DataFrame, timeline: DataFrame, policy: Policy = PO
     return r.select(
         *TRACK, "frame_index", "timestamp_s", *extra, "x_m", "y_m", "valid_position", "starts",
         "smoothed_x_m", "smoothed_y_m",
-        F.when(ok, F.col("back.frame_index")).alias("interval_start_frame"),
-        F.when(ok, F.col("back.timestamp_s")).alias("interval_start_timestamp_s"),
+        F.when(ok, F.col("back_frame_index")).alias("interval_start_frame"),
+        F.when(ok, F.col("back_timestamp_s")).alias("interval_start_timestamp_s"),
         F.when(ok, F.col("dt")).alias("interval_duration_s"), F.when(ok, F.col("moved")).alias("distance_m"),
         F.when(ok, F.try_divide("moved", "dt")).alias("speed_m_s"),
-        F.when(ok, F.struct(F.col("back.x_m").alias("x_m"), F.col("back.y_m").alias("y_m"))).alias("interval_start_point"),
+        F.when(ok, F.struct(F.col("back_x_m").alias("x_m"), F.col("back_y_m").alias("y_m"))).alias("interval_start_point"),
         "zone", flags.alias("quality_flags"))
 
 
@@ -249,12 +301,17 @@ def heatmap_intensity(cells: DataFrame) -> DataFrame:
 def dense_heatmap(cells: DataFrame, tracks: DataFrame) -> DataFrame:
     """The whole grid of each of ``tracks``: seconds of all cells in row order, zeros where nobody was, and the grid's size.
 
-    Filled cells become one map per track (a grid has 1296 cells), which is looked up over a generated index.
+    Filled cells stand in order of place with as many zeros before each as the grid has empty ones there, so the work on a
+    track goes by its filled cells and not by the grid's 1296.
     """
     height, width = POLICY.heatmap_rows, POLICY.heatmap_cols
     place = (F.col("cell_row") * width + F.col("cell_col")).cast("int")
-    filled = cells.groupBy(*TRACK).agg(F.map_from_entries(F.collect_list(F.struct(place, "seconds"))).alias("filled"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: F.coalesce(F.element_at("filled", k), F.lit(0.0)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    filled = cells.groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "seconds"))).alias("filled"))
+    before = lambda i: F.coalesce(F.get("filled", i - 1)["place"], F.lit(-1))
+    runs = F.transform("filled", lambda c, i: F.concat(zeros(c["place"] - before(i) - 1), F.array(c["seconds"])))
+    tail = zeros(F.lit(height * width - 1) - F.element_at("filled", -1)["place"])
+    grid = F.when(F.col("filled").isNull(), zeros(F.lit(height * width))).otherwise(F.concat(F.flatten(runs), tail))
     return tracks.select(*TRACK).distinct().join(filled, TRACK, "left").select(
         *TRACK, F.array(F.lit(height), F.lit(width)).alias("grid_shape"), grid.alias("values_s"))
 
