@@ -95,9 +95,14 @@ MOTION_TABLES = {"player_motion": "player_motion", "shuttle_motion": "shuttle_mo
 
 
 def grid_rows(values: Column) -> Column:
-    """A dense heat map's values as one list for each row of the grid."""
+    """A dense heat map's values as one list for each row of the grid.
+
+    The values pass through a lambda, so that they are worked out once: named in the inner one, the planner may put
+    their whole expression there, to be run for each row of the grid.
+    """
     height, width = POLICY.heatmap_rows, POLICY.heatmap_cols
-    return F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda k: F.slice(values, k * width + 1, F.lit(width)))
+    rows = lambda v: F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda k: F.slice(v, k * width + 1, F.lit(width)))
+    return F.get(F.transform(F.array(values), rows), F.lit(0))
 
 
 def insight_documents(clips: DataFrame, quality: DataFrame, fragments: DataFrame, zones: DataFrame, identified: DataFrame,

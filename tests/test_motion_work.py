@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from rallygrid.operators import motion
+from rallygrid.plans import reports
 from rallygrid.plans.catalog import tidy
 from rallygrid.policy import POLICY
 
@@ -68,3 +69,14 @@ def test_whole_numbers_are_not_rounded(spark):
     assert "rint" in plan
     both = df.join(tidy(df).withColumnRenamed("v", "got"), "k").select(F.round(F.round("v", 9), 6).alias("want"), "got").collect()
     assert all(repr(r.want) == repr(r.got) for r in both), both
+
+
+def test_document_grid_is_laid_out_once(spark):
+    """A document's grid has 54 rows; each of them laid out the track's whole grid again."""
+    cells = spark.createDataFrame([(1, 1, 0, 0, 0.5), (1, 1, 53, 23, 2.5)], "clip_id long, track_id long, cell_row long, cell_col long, seconds double")
+    grid = motion.dense_heatmap(cells, cells).select(reports.grid_rows(F.col("values_s")).alias("rows"))
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(lambda" in plan, plan
+    rows = grid.first().rows
+    assert [len(r) for r in rows] == [POLICY.heatmap_cols] * POLICY.heatmap_rows
+    assert (rows[0][0], rows[53][23], sum(map(sum, rows))) == (0.5, 2.5, 3.0)
