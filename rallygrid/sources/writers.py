@@ -1,7 +1,7 @@
 """Tables to exchange formats.  Existing output is never overwritten."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,9 +65,17 @@ def players_wide(obs: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def _nested(frames: DataFrame, rows: DataFrame, item) -> DataFrame:
-    """Frames with their players as a list sorted by track; the players of one frame are few."""
-    lists = rows.groupBy("clip_id", "frame_index").agg(F.array_sort(F.collect_list(item)).alias("players"))
-    out = frames.join(lists, ["clip_id", "frame_index"], "left")
+    """Frames with their players as a list sorted by track; the players of one frame are few.
+
+    A window holds the rows of one frame at a time, where an aggregate would sort a task's whole lists.  Rows that
+    :func:`pose.by_frame` has dealt are not moved or sorted again.
+    """
+    key = ["clip_id", "frame_index"]
+    ordered = Window.partitionBy(*key).orderBy("track_id")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lists = (rows.select(*key, F.collect_list(item).over(whole).alias("players"), F.row_number().over(ordered).alias("place"))
+                 .where("place = 1").select(*key, F.array_sort("players").alias("players")))
+    out = frames.join(lists, key, "left")
     none = F.array().cast(lists.schema["players"].dataType)
     return out.withColumn("players", F.coalesce("players", none))
 
