@@ -9,7 +9,7 @@ for the few segments that cross an edge.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.court import calibration_confirmed, heatmap_cell, on_court, zone
@@ -298,22 +298,30 @@ def heatmap_intensity(cells: DataFrame) -> DataFrame:
     return cells.withColumn("intensity", F.when(top > 0, F.log1p("seconds") / F.log1p(top)).otherwise(0.0))
 
 
-def dense_heatmap(cells: DataFrame, tracks: DataFrame) -> DataFrame:
-    """The whole grid of each of ``tracks``: seconds of all cells in row order, zeros where nobody was, and the grid's size.
+def grid_place() -> Column:
+    """A cell's place in the grid, in row order."""
+    return (F.col("cell_row") * POLICY.heatmap_cols + F.col("cell_col")).cast("int")
+
+
+def dense_grid(filled: Column) -> Column:
+    """Seconds of all cells in row order, zeros where nobody was, from a list of ``(place, seconds)`` in order of place; null for none.
 
-    Filled cells stand in order of place with as many zeros before each as the grid has empty ones there, so the work on a
-    track goes by its filled cells and not by the grid's 1296.
+    Filled cells stand with as many zeros before each as the grid has empty ones there, so the work goes by the filled
+    cells and not by the grid's 1296.  ``filled`` is a column or a field, as it is read for each cell.
     """
-    height, width = POLICY.heatmap_rows, POLICY.heatmap_cols
-    place = (F.col("cell_row") * width + F.col("cell_col")).cast("int")
+    size = POLICY.heatmap_rows * POLICY.heatmap_cols
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    filled = cells.groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "seconds"))).alias("filled"))
-    before = lambda i: F.coalesce(F.get("filled", i - 1)["place"], F.lit(-1))
-    runs = F.transform("filled", lambda c, i: F.concat(zeros(c["place"] - before(i) - 1), F.array(c["seconds"])))
-    tail = zeros(F.lit(height * width - 1) - F.element_at("filled", -1)["place"])
-    grid = F.when(F.col("filled").isNull(), zeros(F.lit(height * width))).otherwise(F.concat(F.flatten(runs), tail))
+    before = lambda i: F.coalesce(F.get(filled, i - 1)["place"], F.lit(-1))
+    runs = F.transform(filled, lambda c, i: F.concat(zeros(c["place"] - before(i) - 1), F.array(c["seconds"])))
+    tail = zeros(F.lit(size - 1) - F.element_at(filled, -1)["place"])
+    return F.when(filled.isNull(), zeros(F.lit(size))).otherwise(F.concat(F.flatten(runs), tail))
+
+
+def dense_heatmap(cells: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The whole grid of each of ``tracks``, and the grid's size."""
+    filled = cells.groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct(grid_place().alias("place"), "seconds"))).alias("filled"))
     return tracks.select(*TRACK).distinct().join(filled, TRACK, "left").select(
-        *TRACK, F.array(F.lit(height), F.lit(width)).alias("grid_shape"), grid.alias("values_s"))
+        *TRACK, F.array(F.lit(POLICY.heatmap_rows), F.lit(POLICY.heatmap_cols)).alias("grid_shape"), dense_grid(F.col("filled")).alias("values_s"))
 
 
 def top_zones(zones: DataFrame, n: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.motion import dense_grid, grid_place
 from ..operators.timeline import CLIP
 from ..policy import COURT_LENGTH, COURT_WIDTH, POLICY
 
@@ -105,49 +106,68 @@ def grid_rows(values: Column) -> Column:
     return F.get(F.transform(F.array(values), rows), F.lit(0))
 
 
+def gathered(keys: list[str], lists: dict[str, DataFrame], ones: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What many tables hold for a key: a column for each, of ``lists`` as a list, null where there is none, of ``ones`` as it is.
+
+    A table holds the keys and one column of its name; of more rows for a key in ``ones`` the largest stays.
+    The rows of all tables are dealt by key and sorted together.  Joined one after the other, each table has a sort of its
+    own; all of them stand in one task, where every one keeps a page of memory.
+    """
+    ones = ones or {}
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (lists | ones).values())
+    found = rows.repartition(*keys).groupBy(*keys).agg(*[F.collect_list(n).alias(n) for n in lists], *[F.max(n).alias(n) for n in ones])
+    return found.withColumns({n: F.when(F.size(n) > 0, F.col(n)) for n in lists})
+
+
 def insight_documents(clips: DataFrame, quality: DataFrame, fragments: DataFrame, zones: DataFrame, identified: DataFrame,
                       shuttle: DataFrame, rallies: DataFrame, pairs: DataFrame, spacing: DataFrame, recovery: DataFrame, warnings: DataFrame,
                       heat: DataFrame, flags: DataFrame, events: DataFrame, caps: DataFrame, review: dict[str, DataFrame]) -> DataFrame:
     """One JSON document per clip with the summary measures, the review they rest on and the policy.
 
-    ``heat`` holds dense grids, ``flags`` counts per track, ``events`` reviewed events with their positions, ``caps`` gap caps,
-    ``review`` the tables ``identity``, ``rallies``, ``events`` and ``targets``.
+    ``heat`` holds filled cells, which become whole grids when their document is written, ``flags`` counts per track, ``events``
+    reviewed events with their positions, ``caps`` gap caps, ``review`` the tables ``identity``, ``rallies``, ``events`` and ``targets``.
     Lists hold what a clip has few of: tracks, labels, rallies, pairs, targets, events.
     The row-level motion stays in its own table and is named, not folded in.
     """
-    pairs_of = lambda df, key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
-    zone_map = zones.groupBy(CLIP, "track_id").agg(pairs_of(zones, "zone", "seconds").alias("zones"))
-    flag_map = flags.groupBy(CLIP, "track_id").agg(pairs_of(flags, "flag", "rows").alias("quality_flags"))
-    heat_map = heat.select(CLIP, "track_id", F.struct(grid_rows(F.col("values_s")).alias("values_s"), "grid_shape",
-                                                      F.array(*[F.lit(float(v)) for v in (0, 0, COURT_WIDTH, COURT_LENGTH)]).alias("bounds_m"), F.lit("observed seconds").alias("unit")).alias("heatmap"))
     track = [CLIP, "track_id"]
-    none = lambda c, t: F.coalesce(F.col(c), F.create_map().cast(t))
-    players = fragments.join(zone_map, track, "left").join(heat_map, track, "left").join(flag_map, track, "left").withColumns(
-        {"zones": none("zones", "map<string,double>"), "quality_flags": none("quality_flags", "map<string,bigint>")})
-
-    def listed(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    entry = lambda df, name, *cols: df.select(*track, F.struct(*cols).alias(name))
+    traits = gathered(track, {"zones": entry(zones, "zones", "zone", "seconds"), "heatmap": entry(heat.withColumn("place", grid_place()), "heatmap", "place", "seconds"),
+                              "quality_flags": entry(flags, "quality_flags", "flag", "rows")})
+    pairs_of = lambda c, t: F.coalesce(F.map_from_entries(F.array_sort(c)), F.create_map().cast(t))
+    players = fragments.join(traits, track, "left").withColumns(
+        {"zones": pairs_of("zones", "map<string,double>"), "heatmap": F.array_sort("heatmap"), "quality_flags": pairs_of("quality_flags", "map<string,bigint>")})
+
+    def keyed(df: DataFrame, name: str, order: list[str]) -> DataFrame:
         rest = [c for c in df.columns if c not in (CLIP, *order)]
         # Sorted by text, as maps have no order of their own.
-        keyed = F.struct(F.to_json(F.struct(*[F.format_string("%012d", c) if t in ("int", "bigint") else F.col(c) for c, t in df.select(*order).dtypes])).alias("k"), F.struct(*order, *rest).alias("v"))
-        ordered = F.array_sort(F.collect_list(keyed), lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0))
-        return df.groupBy(CLIP).agg(F.transform(ordered, lambda x: x["v"]).alias(name))
-
+        k = F.to_json(F.struct(*[F.format_string("%012d", c) if t in ("int", "bigint") else F.col(c) for c, t in df.select(*order).dtypes]))
+        return df.select(CLIP, F.struct(k.alias("k"), F.struct(*order, *rest).alias("v")).alias(name))
+
+    def listed(name: str, made=lambda v: v) -> Column:
+        ordered = F.array_sort(F.col(name), lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0))
+        return F.transform(ordered, lambda x: made(x["v"]))
+
+    def with_grid(v: Column) -> Column:
+        grid = F.struct(grid_rows(dense_grid(v["heatmap"])).alias("values_s"), F.array(F.lit(POLICY.heatmap_rows), F.lit(POLICY.heatmap_cols)).alias("grid_shape"),
+                        F.array(*[F.lit(float(x)) for x in (0, 0, COURT_WIDTH, COURT_LENGTH)]).alias("bounds_m"), F.lit("observed seconds").alias("unit"))
+        return v.withField("heatmap", F.when(v["track_id"].isNotNull(), grid))
+
+    whole = lambda df, name: df.select(CLIP, F.struct(*[c for c in df.columns if c != CLIP]).alias(name))
+    given = {"identity_map": (review["identity"], ["track_id"]), "rallies": (review["rallies"], ["start_frame", "rally_id"]),
+             "events": (review["events"], ["frame_index"]), "recovery_targets": (review["targets"], ["player_label", "contact_frame"])}
+    lists = {"players": (players, ["track_id"]), "identified_players": (identified, ["player_label"]), "rallies": (rallies, ["start_frame", "rally_id"]),
+             "pairs": (pairs, ["side", "first_label", "second_label"]), "recovery": (recovery, ["player_label", "contact_frame"]),
+             "reviewed_events": (events, ["frame_index"])} | {f"review_{n}": v for n, v in given.items()}
+    ones = {"spacing": whole(spacing, "spacing"), "shuttle": whole(shuttle, "shuttle"), "known": whole(quality, "known"),
+            "warnings": warnings.select(CLIP, "warnings"), "maximum_interval_s": caps.select(CLIP, F.col("gap_cap_s").alias("maximum_interval_s"))}
+    out = clips.select(CLIP, "mode").join(gathered([CLIP], {n: keyed(df, n, order) for n, (df, order) in lists.items()}, ones), CLIP, "left")
     policy = F.struct(*[F.lit(v).alias(n) for n, v in asdict(POLICY).items()])
-    known = quality.join(warnings, CLIP, "left").join(caps.select(CLIP, F.col("gap_cap_s").alias("maximum_interval_s")), CLIP, "left")
-    block = F.struct(*[c for c in quality.columns if c != CLIP], "warnings", "maximum_interval_s", policy.alias("policy"))
-    reviewed = clips.select(CLIP)
-    for name, table, order in (("identity_map", review["identity"], ["track_id"]), ("rallies", review["rallies"], ["start_frame", "rally_id"]),
-                               ("events", review["events"], ["frame_index"]), ("recovery_targets", review["targets"], ["player_label", "contact_frame"])):
-        reviewed = reviewed.join(listed(table, name, order), CLIP, "left")
-    out = clips.select(CLIP, "mode")
-    pair_list = listed(pairs, "pairs", ["side", "first_label", "second_label"])
-    for table in (listed(players, "players", ["track_id"]),
-                  listed(identified, "identified_players", ["player_label"]), listed(rallies, "rallies", ["start_frame", "rally_id"]),
-                  spacing.join(pair_list, CLIP, "left").select(CLIP, F.struct("status", "reason", "pairs").alias("doubles_pair_spacing")), listed(recovery, "recovery", ["player_label", "contact_frame"]),
-                  listed(events, "reviewed_events", ["frame_index"]), reviewed.select(CLIP, F.struct(*[c for c in reviewed.columns if c != CLIP]).alias("review")),
-                  shuttle.select(CLIP, F.struct(*[c for c in shuttle.columns if c != CLIP]).alias("shuttle")), known.select(CLIP, block.alias("quality"))):
-        out = out.join(table, CLIP, "left")
-    body = F.struct(F.lit("1.0").alias("schema_version"), *[F.col(c) for c in out.columns], F.lit(COORDINATES).alias("coordinate_convention"),
+    block = F.struct(*[F.col(f"known.{c}") for c in quality.columns if c != CLIP], "warnings", "maximum_interval_s", policy.alias("policy"))
+    apart = F.struct("spacing.status", "spacing.reason", listed("pairs").alias("pairs"))
+    body = F.struct(F.lit("1.0").alias("schema_version"), CLIP, "mode", listed("players", with_grid).alias("players"), listed("identified_players").alias("identified_players"),
+                    listed("rallies").alias("rallies"), F.when(F.col("spacing").isNotNull(), apart).alias("doubles_pair_spacing"), listed("recovery").alias("recovery"),
+                    listed("reviewed_events").alias("reviewed_events"), F.struct(*[listed(f"review_{n}").alias(n) for n in given]).alias("review"), "shuttle",
+                    F.when(F.col("known").isNotNull(), block).alias("quality"), F.lit(COORDINATES).alias("coordinate_convention"),
                     F.struct(*[F.lit(t).alias(n) for n, t in MOTION_TABLES.items()]).alias("tables"), F.array(*[F.lit(x) for x in LIMITATIONS]).alias("limitations"))
     return out.select(CLIP, F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
 
