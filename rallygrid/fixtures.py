@@ -259,13 +259,16 @@ def cte(*names: str) -> str:
 _stored: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """``build()`` written as Parquet on first use and read back from there."""
+def stored(spark: SparkSession, sf_dir: str, name: str, build, rows_per_file: int = 32768) -> DataFrame:
+    """``build()`` written as Parquet on first use and read back from there.
+
+    A task reads some thousand rows of a file at a time, so a table of long rows needs few ``rows_per_file``.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         path = f"{scratch_dir(spark)}/{hashlib.sha1(sf_dir.encode()).hexdigest()[:8]}/{name}"
         # Small files, so that even a small test table is read by several tasks.
-        build().write.option("maxRecordsPerFile", 32768).mode("overwrite").parquet(path)
+        build().write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 

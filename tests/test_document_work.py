@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from rallygrid import fixtures
 from rallygrid.operators import motion
 from rallygrid.plans import reports
 from rallygrid.plans.catalog import QUERIES
@@ -82,3 +83,19 @@ def test_documents_of_odd_clips(spark):
     assert one["doubles_pair_spacing"] == {"status": "unavailable", "reason": "why", "pairs": None} and one["quality"]["warnings"] == ["w"] and one["quality"]["maximum_interval_s"] == 0.25
     assert [k for k, v in bare.items() if v is None] == ["players", "identified_players", "rallies", "doubles_pair_spacing", "recovery", "reviewed_events", "shuttle", "quality"]
     assert bare["review"] == {"identity_map": None, "rallies": None, "events": None, "recovery_targets": None}
+
+
+def test_documents_are_read_few_at_a_time(spark, monkeypatch):
+    """A task read 4096 documents at once, 0.7 GB of those of the events repeated with shifted clips, more where clips are longer."""
+    rows = {}
+    before = fixtures.stored
+
+    def stored(spark, sf_dir, name, build, **more):
+        rows[name] = more.get("rows_per_file")
+        return before(spark, sf_dir, name, build, **more)
+
+    monkeypatch.setattr(fixtures, "stored", stored)
+    assert QUERIES["insight_document_parts"](spark, SF).count() == 15
+    assert rows["insight_documents"] and rows["insight_documents"] <= 128
+    small = before(spark, SF, "long_rows", lambda: spark.range(300).coalesce(1), rows_per_file=128)
+    assert sorted(r["count"] for r in small.groupBy(F.input_file_name()).count().collect()) == [44, 128, 128]
